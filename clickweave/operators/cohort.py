@@ -37,13 +37,18 @@ def user_weeks(clean: DataFrame, names: EventNames = EventNames()) -> DataFrame:
     return _purchase_weeks(clean, names).distinct()
 
 
-def cohort_activity(clean: DataFrame, names: EventNames = EventNames()) -> DataFrame:
-    """Active buyers per cohort week and week offset."""
+def _offsets(clean: DataFrame, names: EventNames) -> DataFrame:
+    """One row per (buyer, purchase week): cohort week and week offset."""
     bw = buyer_weeks(clean, names)
     return (bw.select("cohort_week", F.explode("weeks").alias("w"))
             .select("cohort_week",
-                    F.floor(F.datediff(F.col("w"), F.col("cohort_week")) / 7).cast("int").alias("week_number"))
-            .groupBy("cohort_week", "week_number").agg(F.count(F.lit(1)).alias("active_users")))
+                    F.floor(F.datediff(F.col("w"), F.col("cohort_week")) / 7).cast("int").alias("week_number")))
+
+
+def cohort_activity(clean: DataFrame, names: EventNames = EventNames()) -> DataFrame:
+    """Active buyers per cohort week and week offset."""
+    return (_offsets(clean, names).groupBy("cohort_week", "week_number")
+            .agg(F.count(F.lit(1)).alias("active_users")))
 
 
 def cohort_size(clean: DataFrame, names: EventNames = EventNames()) -> DataFrame:
@@ -55,11 +60,12 @@ def cohort_size(clean: DataFrame, names: EventNames = EventNames()) -> DataFrame
 def cohort_retention(clean: DataFrame, names: EventNames = EventNames(), weeks: int = 13) -> DataFrame:
     """Matrix: cohort_week, cohort_users, w0 = 100.0, w1..w{weeks} = % of the cohort active
     (2dp), NULL where nobody of the cohort bought in that week."""
-    act = cohort_activity(clean, names)
-    wn, au = F.col("week_number"), F.col("active_users")
-    pivot = act.groupBy("cohort_week").agg(
-        F.max(F.when(wn == 0, au)).alias("cohort_users"),
-        *[F.max(F.when(wn == k, au)).alias(f"_a{k}") for k in range(1, weeks + 1)])
+    wn = F.col("week_number")
+    # each buyer has at most one row per offset, so counting rows counts distinct buyers
+    pivot = _offsets(clean, names).groupBy("cohort_week").agg(
+        F.count_if(wn == 0).alias("cohort_users"),
+        *[F.count_if(wn == k).alias(f"_a{k}") for k in range(1, weeks + 1)])
     return pivot.select(
         "cohort_week", "cohort_users", F.lit(100.0).alias("w0"),
-        *[pct(F.col(f"_a{k}"), F.col("cohort_users")).alias(f"w{k}") for k in range(1, weeks + 1)])
+        *[pct(F.nullif(F.col(f"_a{k}"), F.lit(0)), F.col("cohort_users")).alias(f"w{k}")
+          for k in range(1, weeks + 1)])

@@ -2,8 +2,10 @@
 
 All three parts come from one scan: a grouping-sets aggregate at (user), (month, user)
 and (category, user) grain, partially aggregated before its shuffle, then a second
-aggregate over those per-user rows. A user with a huge share of the events still sends
-one partial row per map task and set.
+aggregate over those per-user rows, then a single projection that lays the parts out
+as the stacked 19-column relation (a union of filtered branches would be planned as
+three scans, since Catalyst pushes each branch's filter below the shared aggregate).
+A user with a huge share of the events still sends one partial row per map task and set.
 """
 
 from __future__ import annotations
@@ -57,61 +59,80 @@ def _stage_totals(clean: DataFrame, parts: Sequence[str], names: EventNames) ->
         F.sum("p").cast("bigint").alias("purchasers"), F.sum("rev").alias("revenue"))
 
 
-def _pad(df: DataFrame, row_type: str) -> DataFrame:
-    have = set(df.columns)
-    cols = [F.lit(row_type).alias("row_type") if name == "row_type"
-            else (F.col(name).cast(t) if name in have else F.lit(None).cast(t)).alias(name)
-            for name, t in FUNNEL_COLUMNS]
-    return df.select(*cols)
+def _overall_cols(t: DataFrame) -> dict[str, F.Column]:
+    v, c, p = F.col("viewers"), F.col("carters"), F.col("purchasers")
+    return {
+        "users_viewed": v, "users_carted": c, "users_purchased": p,
+        "view_to_cart_rate": pct(c, v), "cart_to_purchase_rate": pct(p, c), "overall_cvr": pct(p, v),
+        "view_to_cart_dropoff": round_n(F.lit(100.0) - safe_ratio(c, v), 2),
+        "cart_to_purchase_dropoff": round_n(F.lit(100.0) - safe_ratio(p, c), 2),
+    }
 
 
-def _overall(t: DataFrame) -> DataFrame:
-    v, c, p = F.col("viewers"), F.col("carters"), F.col("purchasers")
-    return t.where(F.col("gid") == _GID[OVERALL]).select(
-        v.alias("users_viewed"), c.alias("users_carted"), p.alias("users_purchased"),
-        pct(c, v).alias("view_to_cart_rate"), pct(p, c).alias("cart_to_purchase_rate"),
-        pct(p, v).alias("overall_cvr"),
-        round_n(F.lit(100.0) - safe_ratio(c, v), 2).alias("view_to_cart_dropoff"),
-        round_n(F.lit(100.0) - safe_ratio(p, c), 2).alias("cart_to_purchase_dropoff"))
+def _monthly_cols(t: DataFrame) -> dict[str, F.Column]:
+    return {
+        "event_month": F.col("event_month"), "total_events": F.col("events"),
+        "unique_users": F.col("users"), "monthly_viewers": F.col("viewers"),
+        "monthly_purchasers": F.col("purchasers"), "monthly_revenue": round_n(F.col("revenue"), 2),
+    }
+
+
+def _category_cols(t: DataFrame) -> dict[str, F.Column]:
+    return {
+        "category_top": F.col("category_top"), "viewers": F.col("users"), "purchasers": F.col("purchasers"),
+        "category_cvr": pct(F.col("purchasers"), F.col("users")),
+    }
+
 
+_PART_COLS = {OVERALL: _overall_cols, MONTHLY: _monthly_cols, CATEGORY: _category_cols}
 
-def _monthly(t: DataFrame) -> DataFrame:
-    return t.where(F.col("gid") == _GID[MONTHLY]).select(
-        "event_month", F.col("events").alias("total_events"), F.col("users").alias("unique_users"),
-        F.col("viewers").alias("monthly_viewers"), F.col("purchasers").alias("monthly_purchasers"),
-        round_n(F.col("revenue"), 2).alias("monthly_revenue"))
+
+def _shape(totals: DataFrame, parts: Sequence[str], names: Sequence[str] | None = None) -> DataFrame:
+    """Turn the per-part totals into output rows with one projection (no union): each
+    column takes its value from the part the row belongs to and is NULL elsewhere."""
+    gid = F.col("gid")
+    keep = ~((gid == _GID[CATEGORY]) & (F.col("category_top") == UNKNOWN))
+    cols = {}
+    for part in parts:
+        for name, expr in _PART_COLS[part](totals).items():
+            cols.setdefault(name, []).append((gid == _GID[part], expr))
+    row_type = None
+    for part in parts:
+        row_type = (F.when if row_type is None else row_type.when)(gid == _GID[part], F.lit(part))
+    out = []
+    for name, t in FUNNEL_COLUMNS:
+        if name == "row_type":
+            out.append(row_type.alias(name))
+            continue
+        expr = None
+        for cond, value in cols.get(name, []):
+            expr = (F.when if expr is None else expr.when)(cond, value)
+        out.append((expr if expr is not None else F.lit(None)).cast(t).alias(name))
+    shaped = totals.where(keep).select(*out)
+    return shaped.select(*names) if names else shaped
 
 
-def _category(t: DataFrame) -> DataFrame:
-    return t.where((F.col("gid") == _GID[CATEGORY]) & (F.col("category_top") != UNKNOWN)).select(
-        "category_top", F.col("users").alias("viewers"), F.col("purchasers"),
-        pct(F.col("purchasers"), F.col("users")).alias("category_cvr"))
+def _part(clean: DataFrame, part: str, names: EventNames) -> DataFrame:
+    return _shape(_stage_totals(clean, [part], names), [part], list(_PART_COLS[part](clean)))
 
 
 def funnel_overall(clean: DataFrame, names: EventNames = EventNames()) -> DataFrame:
     """Users per stage, step rates, overall CVR and drop-offs (%, 2dp, NULL on 0)."""
-    return _overall(_stage_totals(clean, [OVERALL], names))
+    return _part(clean, OVERALL, names)
 
 
 def funnel_monthly_trend(clean: DataFrame, names: EventNames = EventNames()) -> DataFrame:
     """Per month: events, users, viewers, purchasers and purchase revenue."""
-    return _monthly(_stage_totals(clean, [MONTHLY], names))
+    return _part(clean, MONTHLY, names)
 
 
 def funnel_category_cvr(clean: DataFrame, names: EventNames = EventNames()) -> DataFrame:
     """Per known top category: users with any event, purchasers, their ratio (%)."""
-    return _category(_stage_totals(clean, [CATEGORY], names))
+    return _part(clean, CATEGORY, names)
 
 
 def funnel(clean: DataFrame, names: EventNames = EventNames(),
            parts: Sequence[str] = (OVERALL, MONTHLY, CATEGORY)) -> DataFrame:
-    """The three parts stacked in one 19-column relation tagged by ``row_type``.
-
-    The parts share one aggregate; Spark reuses its exchange across the union branches."""
-    totals = _stage_totals(clean, parts, names)
-    build = {OVERALL: _overall, MONTHLY: _monthly, CATEGORY: _category}
-    out = None
-    for part in parts:
-        piece = _pad(build[part](totals), part)
-        out = piece if out is None else out.unionByName(piece)
-    return out
+    """The three parts stacked in one 19-column relation tagged by ``row_type``: one scan,
+    one grouping-sets aggregate, one projection."""
+    return _shape(_stage_totals(clean, parts, names), parts)
