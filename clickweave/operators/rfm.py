@@ -49,12 +49,13 @@ def rfm_raw(clean: DataFrame, reference_date: dt.date = DEFAULT_PARAMS.reference
 
 def rfm_scores(raw_scores: DataFrame, params: Params = DEFAULT_PARAMS) -> DataFrame:
     """Add r_score (recent = high), f_score (5 if repeat buyer else 1), m_score (high spend =
-    high). The per-buyer frame is checkpointed first: the n-tiles read it several times."""
+    high). The per-buyer frame is checkpointed before each n-tile: each reads its input in
+    several jobs and needs the same values every time."""
     ensure_checkpoint_dir(raw_scores.sparkSession)
     base = raw_scores.withColumn("_h", F.md5(F.col("user_id"))).checkpoint(eager=True)
     tb = ["_h", "user_id"]
     scored = exact_ntile(base, "recency_days", params.tiles, "r_score", tb, "_h", ascending=False,
-                         rows_per_task=params.rank_rows_per_task)
+                         rows_per_task=params.rank_rows_per_task).checkpoint(eager=True)
     scored = exact_ntile(scored, "monetary", params.tiles, "m_score", tb, "_h", ascending=True,
                          rows_per_task=params.rank_rows_per_task)
     return scored.drop("_h").withColumn(
