@@ -36,6 +36,24 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
     return spark
 
 
+def scale_conf(input_bytes: int, total_cores: int, target_partition_bytes: int = 256 << 20) -> dict[str, str]:
+    """Shuffle and scan sizing for a job reading ``input_bytes`` on ``total_cores`` cores.
+
+    Every heavy step here is one shuffle of (at most) the input volume, partially aggregated
+    before it, so the initial shuffle partition count is the input over the target size,
+    at least twice the cores; AQE coalesces small partitions and splits skewed ones after
+    each stage. Scans use the same target split size.
+    """
+    parts = max(2 * total_cores, -(-input_bytes // target_partition_bytes))
+    return {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * target_partition_bytes),
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": str(target_partition_bytes // 8),
+    }
+
+
 def _context(spark: SparkSession):
     try:
         return spark.sparkContext

@@ -80,6 +80,14 @@ def _ingest(spark: SparkSession, d: str) -> DataFrame:
     return accepted
 
 
+def _quarantine(spark: SparkSession, d: str) -> DataFrame:
+    cat = catalog_for(spark, d)
+    path = cat.scratch("csv-quarantine")
+    export_csv(cat.raw().select(*EVENT_COLUMNS), path)
+    _, rejected = ingest_events(spark, path)
+    return rejected
+
+
 def _incremental(spark: SparkSession, d: str) -> DataFrame:
     """Clean all months, then rebuild the last month alone in place."""
     cat = catalog_for(spark, d)
@@ -132,6 +140,7 @@ def _percentiles(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     # load and profile
     "ingest_events": _ingest,
+    "quarantine_events": _quarantine,
     "eda_monthly_shape": _raw_table(E.monthly_shape),
     "eda_event_type_mix": _raw(E.event_type_mix),
     "eda_null_audit": _raw(E.null_audit),
@@ -176,8 +185,10 @@ QUERIES: dict[str, Query] = {
     "product_metrics": _clean(P.product_metrics),
     "check_product_category": lambda s, d: K.check_product_category(catalog_for(s, d).product()),
     "check_product_monthly": lambda s, d: K.check_product_monthly(catalog_for(s, d).product()),
-    "check_category_product": lambda s, d: K.check_category_product(catalog_for(s, d).product()),
-    "check_category_clean": lambda s, d: K.check_category_clean(
+    # the category under check is a parameter; by default the top-revenue category
+    # (electronics in the source data set)
+    "check_electronics_product": lambda s, d: K.check_category_product(catalog_for(s, d).product()),
+    "check_electronics_clean": lambda s, d: K.check_category_clean(
         catalog_for(s, d).clean(), catalog_for(s, d).product()),
     "check_month_completeness": _raw_table(K.check_month_completeness),
     # overview

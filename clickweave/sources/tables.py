@@ -23,12 +23,14 @@ def with_month(df: DataFrame, ts: str = "event_time") -> DataFrame:
 
 
 def write_event_table(df: DataFrame, path: str, cluster_by: Sequence[str] = ("event_type", "user_id"),
-                      mode: str = "overwrite") -> None:
-    """Write ``df`` partitioned by month. With ``mode='overwrite'`` and the session's
-    dynamic partition-overwrite mode only the months present in ``df`` are replaced."""
+                      mode: str = "overwrite", max_records_per_file: int = 20_000_000) -> None:
+    """Write ``df`` partitioned by month. With ``mode='overwrite'`` only the months present in
+    ``df`` are replaced (dynamic partition overwrite). Each task writes one sorted file per
+    month it holds, split every ``max_records_per_file`` rows."""
     out = with_month(df).sortWithinPartitions(MONTH, *cluster_by)
     (out.write.mode(mode)
         .option("partitionOverwriteMode", "dynamic")
+        .option("maxRecordsPerFile", max_records_per_file)
         .partitionBy(MONTH).parquet(path))
 
 
