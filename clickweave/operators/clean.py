@@ -17,7 +17,7 @@ from clickweave.functions.dims import brand_norm, category_top, price_bucket, ti
 from clickweave.schema import (
     CLEAN_COLUMNS, DEDUP_KEY, DEDUP_ORDER, DEFAULT_PARAMS, EventNames, Params, UNKNOWN,
 )
-from clickweave.sources.tables import MONTH, write_event_table
+from clickweave.sources.tables import MONTH, restrict_period, write_event_table
 
 
 def clean_filter(raw: DataFrame, names: EventNames = EventNames()) -> DataFrame:
@@ -63,8 +63,10 @@ def enrich(df: DataFrame, params: Params = DEFAULT_PARAMS, keep: Sequence[str] =
 
 
 def clean_events(raw: DataFrame, params: Params = DEFAULT_PARAMS) -> DataFrame:
-    """Filter, de-duplicate, enrich. Partition columns of ``raw`` other than the nine
-    canonical ones are ignored."""
+    """Filter (to ``params.period`` when set), de-duplicate, enrich. Partition columns of
+    ``raw`` other than the nine canonical ones are ignored."""
+    if params.period is not None:
+        raw = restrict_period(raw, *params.period)
     return enrich(clean_dedup(clean_filter(raw, params.events)), params)
 
 

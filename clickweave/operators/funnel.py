@@ -77,24 +77,30 @@ def _monthly_cols(t: DataFrame) -> dict[str, F.Column]:
     }
 
 
-def _category_cols(t: DataFrame) -> dict[str, F.Column]:
+def _category_cols(t: DataFrame, denominator: str = "any") -> dict[str, F.Column]:
+    """``viewers`` is the CVR denominator: users with any event in the category (the source
+    model's SQL), or with ``denominator='view'`` users who viewed in it."""
+    den = F.col({"any": "users", "view": "viewers"}[denominator])
     return {
-        "category_top": F.col("category_top"), "viewers": F.col("users"), "purchasers": F.col("purchasers"),
-        "category_cvr": pct(F.col("purchasers"), F.col("users")),
+        "category_top": F.col("category_top"), "viewers": den, "purchasers": F.col("purchasers"),
+        "category_cvr": pct(F.col("purchasers"), den),
     }
 
 
 _PART_COLS = {OVERALL: _overall_cols, MONTHLY: _monthly_cols, CATEGORY: _category_cols}
 
 
-def _shape(totals: DataFrame, parts: Sequence[str], names: Sequence[str] | None = None) -> DataFrame:
+def _shape(totals: DataFrame, parts: Sequence[str], names: Sequence[str] | None = None,
+           category_denominator: str = "any") -> DataFrame:
     """Turn the per-part totals into output rows with one projection (no union): each
     column takes its value from the part the row belongs to and is NULL elsewhere."""
     gid = F.col("gid")
     keep = ~((gid == _GID[CATEGORY]) & (F.col("category_top") == UNKNOWN))
     cols = {}
     for part in parts:
-        for name, expr in _PART_COLS[part](totals).items():
+        build = _PART_COLS[part]
+        part_cols = build(totals, category_denominator) if part == CATEGORY else build(totals)
+        for name, expr in part_cols.items():
             cols.setdefault(name, []).append((gid == _GID[part], expr))
     row_type = None
     for part in parts:
@@ -112,8 +118,9 @@ def _shape(totals: DataFrame, parts: Sequence[str], names: Sequence[str] | None
     return shaped.select(*names) if names else shaped
 
 
-def _part(clean: DataFrame, part: str, names: EventNames) -> DataFrame:
-    return _shape(_stage_totals(clean, [part], names), [part], list(_PART_COLS[part](clean)))
+def _part(clean: DataFrame, part: str, names: EventNames, category_denominator: str = "any") -> DataFrame:
+    return _shape(_stage_totals(clean, [part], names), [part], list(_PART_COLS[part](clean)),
+                  category_denominator)
 
 
 def funnel_overall(clean: DataFrame, names: EventNames = EventNames()) -> DataFrame:
@@ -126,13 +133,13 @@ def funnel_monthly_trend(clean: DataFrame, names: EventNames = EventNames()) ->
     return _part(clean, MONTHLY, names)
 
 
-def funnel_category_cvr(clean: DataFrame, names: EventNames = EventNames()) -> DataFrame:
-    """Per known top category: users with any event, purchasers, their ratio (%)."""
-    return _part(clean, CATEGORY, names)
+def funnel_category_cvr(clean: DataFrame, names: EventNames = EventNames(), denominator: str = "any") -> DataFrame:
+    """Per known top category: users with any event (or viewers), purchasers, ratio (%)."""
+    return _part(clean, CATEGORY, names, denominator)
 
 
 def funnel(clean: DataFrame, names: EventNames = EventNames(),
-           parts: Sequence[str] = (OVERALL, MONTHLY, CATEGORY)) -> DataFrame:
+           parts: Sequence[str] = (OVERALL, MONTHLY, CATEGORY), category_denominator: str = "any") -> DataFrame:
     """The three parts stacked in one 19-column relation tagged by ``row_type``: one scan,
     one grouping-sets aggregate, one projection."""
-    return _shape(_stage_totals(clean, parts, names), parts)
+    return _shape(_stage_totals(clean, parts, names), parts, category_denominator=category_denominator)

@@ -31,10 +31,16 @@ def _month_user_totals(clean: DataFrame, names: EventNames) -> DataFrame:
 _MONTHLY = ["event_month", "total_events", "unique_users", "viewers", "carters", "purchasers", "revenue"]
 
 
-def overview_monthly(clean: DataFrame, names: EventNames = EventNames()) -> DataFrame:
-    """Per month: events, users, viewers, carters, purchasers, revenue, CVR (view-based)."""
+def _cvr(denominator: str) -> F.Column:
+    den = {"view": "viewers", "any": "unique_users"}[denominator]
+    return pct(F.col("purchasers"), F.col(den)).alias("cvr")
+
+
+def overview_monthly(clean: DataFrame, names: EventNames = EventNames(), denominator: str = "view") -> DataFrame:
+    """Per month: events, users, viewers, carters, purchasers, revenue, CVR (purchasers over
+    viewers, or over all users with ``denominator='any'``)."""
     m = _month_user_totals(clean, names)
-    return m.select(*_MONTHLY, pct(F.col("purchasers"), F.col("viewers")).alias("cvr"))
+    return m.select(*_MONTHLY, _cvr(denominator))
 
 
 def overview_event_mix(clean: DataFrame) -> DataFrame:
@@ -44,7 +50,7 @@ def overview_event_mix(clean: DataFrame) -> DataFrame:
     return counts.withColumn("event_pct", pct(F.col("event_count"), month_total))
 
 
-def overview(clean: DataFrame, names: EventNames = EventNames()) -> DataFrame:
+def overview(clean: DataFrame, names: EventNames = EventNames(), denominator: str = "view") -> DataFrame:
     """Monthly KPIs with the type mix as columns (NULL when a type is absent in a month)
     and changes against the previous month present (NULL for the first)."""
     m = _month_user_totals(clean, names)
@@ -53,7 +59,7 @@ def overview(clean: DataFrame, names: EventNames = EventNames()) -> DataFrame:
     rev, users = F.col("revenue"), F.col("unique_users")
     prev_rev, prev_users = F.lag(rev).over(w), F.lag(users).over(w)
     return m.select(
-        *_MONTHLY, pct(F.col("purchasers"), F.col("viewers")).alias("cvr"),
+        *_MONTHLY, _cvr(denominator),
         present("ve").alias("view_events"), present("ce").alias("cart_events"),
         present("pe").alias("purchase_events"),
         pct(present("ve"), F.col("total_events")).alias("view_pct"),

@@ -23,9 +23,10 @@ def product_events(clean: DataFrame) -> DataFrame:
     return clean.where((F.col("category_top") != UNKNOWN) & (F.col("brand") != UNKNOWN))
 
 
-def product_metrics(clean: DataFrame, names: EventNames = EventNames()) -> DataFrame:
+def product_metrics(clean: DataFrame, names: EventNames = EventNames(), denominator: str = "view") -> DataFrame:
     """Events, users, products, stage users, revenue (0 when no purchase), mean purchase
-    price (NULL when none) and purchasers/viewers (%) per product group."""
+    price (NULL when none) and purchasers/viewers (%) per product group (purchasers over all
+    users of the group with ``denominator='any'``)."""
     is_buy = F.col("event_type") == names.purchase
     flag = lambda t: F.max(F.when(F.col("event_type") == t, 1).otherwise(0))
     level1 = (product_events(clean)
@@ -53,4 +54,4 @@ def product_metrics(clean: DataFrame, names: EventNames = EventNames()) -> DataF
         round_n(F.col("rev"), 2).alias("revenue"),
         round_n(F.when(F.col("buy_cnt") > 0, F.col("buy_sum").cast("double") / F.col("buy_cnt")), 2)
         .alias("avg_order_value"),
-        pct(F.col("purchasers"), F.col("viewers")).alias("cvr"))
+        pct(F.col("purchasers"), F.col({"view": "viewers", "any": "unique_users"}[denominator])).alias("cvr"))

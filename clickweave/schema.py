@@ -58,6 +58,8 @@ class EventNames:
 class Params:
     """Knobs of the analyses. Defaults are the source model's values."""
     events: EventNames = field(default_factory=EventNames)
+    # analysed months [start, end), first days; None = all data
+    period: tuple[dt.date, dt.date] | None = None
     price_bounds: tuple = PRICE_BOUNDS
     # RFM
     reference_date: dt.date = dt.date(2020, 1, 1)

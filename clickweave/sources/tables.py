@@ -34,6 +34,15 @@ def write_event_table(df: DataFrame, path: str, cluster_by: Sequence[str] = ("ev
         .partitionBy(MONTH).parquet(path))
 
 
+def restrict_period(df: DataFrame, start, end) -> DataFrame:
+    """Rows with start <= event month < end (DATEs, first of month). On a month-partitioned
+    table the predicate is on the partition column and prunes directories."""
+    if MONTH in df.columns:
+        return df.where((F.col(MONTH) >= F.lit(start)) & (F.col(MONTH) < F.lit(end)))
+    day = F.to_date(F.col("event_time"))
+    return df.where((day >= F.lit(start)) & (day < F.lit(end)))
+
+
 def raw_table_schema() -> T.StructType:
     return T.StructType([*EVENT_SCHEMA.fields, T.StructField(MONTH, T.DateType(), True)])
 

@@ -66,3 +66,39 @@ def test_single_month_all_deltas_null(spark):
     assert all(getattr(r, c) is None for c in ("revenue_mom_delta", "users_mom_delta", "revenue_mom_pct",
                                                "users_mom_pct"))
     assert r.cvr == 0.0 and r.purchasers == 0
+
+
+def test_cvr_denominators(spark):
+    from clickweave.operators.funnel import funnel_category_cvr
+    from clickweave.operators.overview import overview_monthly
+    from clickweave.operators.product import product_metrics
+
+    rows = [ev("2019-10-01 00:00:00", "view", user="a"), ev("2019-10-01 00:02:00", "purchase", user="a"),
+            ev("2019-10-01 00:03:00", "purchase", user="b"), ev("2019-10-01 00:04:00", "cart", user="c")]
+    ce = clean_events(events(spark, rows))
+    assert funnel_category_cvr(ce).first().category_cvr == round(200 / 3, 2)
+    assert funnel_category_cvr(ce, denominator="view").first().category_cvr == 200.0
+    assert overview_monthly(ce).first().cvr == 200.0
+    assert overview_monthly(ce, denominator="any").first().cvr == round(200 / 3, 2)
+    assert product_metrics(ce, denominator="any").first().cvr == round(200 / 3, 2)
+
+
+def test_period_restriction(spark, catalog):
+    from clickweave.schema import Params
+
+    p = Params(period=(dt.date(2019, 11, 1), dt.date(2019, 12, 1)))
+    ce = clean_events(catalog.raw(), p)
+    months = {r[0] for r in ce.select("event_month").distinct().collect()}
+    assert months == {dt.date(2019, 11, 1)}
+    plan = ce._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(event_month" in plan
+
+
+def test_fixture_invariants(catalog):
+    raw, ce = catalog.raw(), catalog.clean()
+    types = {r.event_type: r.n for r in raw.groupBy("event_type").agg(F.count("*").alias("n")).collect()}
+    assert sum(types.values()) == raw.count()
+    assert types == {"view": 6000, "cart": 1262, "purchase": 310, "remove_from_cart": 23}
+    coh = cohort_retention(ce).agg(F.sum("cohort_users")).first()[0]
+    buyers = ce.where("event_type = 'purchase'").select("user_id").distinct().count()
+    assert coh == buyers == 186
