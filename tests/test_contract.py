@@ -8,7 +8,7 @@ import pytest
 import __spark_entry__ as entry_mod
 
 SF = "/root/testdata/sf0.001"
-NO_ORACLE = {"stream_kpis", "product_sketches"}
+NO_ORACLE = {"product_sketches"}
 
 
 def _norm(v):
