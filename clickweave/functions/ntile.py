@@ -10,9 +10,10 @@ one task. Here the order is cut into value buckets first:
    tie-break key, so bucket order stays consistent with the total order.
 3. Row counts per bucket (a small table: bounded by the number of buckets) give each
    bucket's rank offset on the driver.
-4. A bucket whose whole rank range falls inside one tile takes that tile through a
-   broadcast join; only the at most k-1 buckets that straddle a tile edge are ranked with
-   ``row_number`` inside the bucket. Every ranking task holds at most one bucket.
+4. A bucket whose whole rank range falls inside one tile takes that tile through a join
+   with the bucket table (broadcast while that table is below ``BROADCAST_MAX_ROWS``);
+   only the at most k-1 buckets that straddle a tile edge are ranked with ``row_number``
+   inside the bucket. Every ranking task holds at most one bucket.
 
 The input must give the same values on every evaluation (a persisted table or a
 checkpointed frame), since it is read by several jobs.
@@ -26,6 +27,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 HASH_PREFIX = 2          # hex digits used to split a tied value: 16**2 = 256 ways
+# The bucket table has at most (2B + 2) * 256 rows for B value buckets; above this many
+# rows it is joined by shuffle instead of broadcast.
+BROADCAST_MAX_ROWS = 500_000
 _V, _B, _S = "_nt_v", "_nt_b", "_nt_s"
 
 
@@ -115,15 +119,18 @@ def exact_ntile(df: DataFrame, value: str | Column, k: int, out: str,
             straddle.append((b, s, offset))
         offset += c
 
+    def small(table: DataFrame, rows: int) -> DataFrame:
+        return F.broadcast(table) if rows <= BROADCAST_MAX_ROWS else table
+
     parts = []
     if uniform:
         tiles = spark.createDataFrame(uniform, f"{_B} int, {_S} string, {out} int")
-        parts.append(bucketed.join(F.broadcast(tiles), [_B, _S]))
+        parts.append(bucketed.join(small(tiles, len(uniform)), [_B, _S]))
     if straddle:
         offs = spark.createDataFrame(straddle, f"{_B} int, {_S} string, _nt_off long")
         order = [F.col(_V).asc_nulls_first(), *[F.col(c).asc_nulls_first() for c in tiebreak]]
         w = Window.partitionBy(_B, _S).orderBy(*order)
-        ranked = (bucketed.join(F.broadcast(offs), [_B, _S])
+        ranked = (bucketed.join(small(offs, len(straddle)), [_B, _S])
                   .withColumn("_nt_r", F.col("_nt_off") + F.row_number().over(w) - 1))
         parts.append(ranked.withColumn(out, _ntile_col(F.col("_nt_r"), n, k))
                      .drop("_nt_off", "_nt_r"))

@@ -72,3 +72,27 @@ def test_percentile_disc(spark, rows_per_task):
     s = sorted(v for v in values if v is not None)
     want = [s[min(len(s) - 1, max(0, math.ceil(len(s) * p) - 1))] for p in probs]
     assert got == want
+
+
+from hypothesis import HealthCheck, given, settings, strategies as st  # noqa: E402
+
+
+@settings(max_examples=12, deadline=None, suppress_health_check=list(HealthCheck))
+@given(values=st.lists(st.one_of(st.none(), st.integers(0, 6).map(float), st.floats(0, 50)), max_size=60),
+       k=st.integers(1, 7), rows_per_task=st.integers(2, 30), ascending=st.booleans())
+def test_property_equals_builtin_ntile(spark, values, k, rows_per_task, ascending):
+    df = _frame(spark, values)
+    got = exact_ntile(df, "v", k, "t", ["_h", "user_id"], "_h", ascending=ascending,
+                      rows_per_task=rows_per_task).collect()
+    assert len(got) == len(values)
+    if values:
+        assert {r.user_id: r.t for r in got} == _builtin(df, "v", k, ascending)
+
+
+def test_shuffle_join_beyond_broadcast_bound(spark, monkeypatch):
+    import clickweave.functions.ntile as nt
+
+    monkeypatch.setattr(nt, "BROADCAST_MAX_ROWS", 0)
+    df = _frame(spark, [float(i % 9) for i in range(120)])
+    out = nt.exact_ntile(df, "v", 5, "t", ["_h", "user_id"], "_h", rows_per_task=15)
+    assert {r.user_id: r.t for r in out.collect()} == _builtin(df, "v", 5, True)
