@@ -33,6 +33,14 @@ class EventCatalog:
         self._paths: dict[str, str] = {}
         self._lock = threading.RLock()
 
+    @classmethod
+    def over_table(cls, spark: SparkSession, raw_path: str, params: Params = DEFAULT_PARAMS,
+                   root: str | None = None) -> "EventCatalog":
+        """Catalog over an existing month-partitioned raw table (e.g. written by ingest)."""
+        cat = cls(spark, lambda: read_event_table(spark, raw_path, raw_table_schema()), params, root)
+        cat._paths["raw"] = raw_path
+        return cat
+
     # -- persisted relations ------------------------------------------------------------------
     def _persisted(self, name: str, build: Callable[[str], None]) -> str:
         with self._lock:

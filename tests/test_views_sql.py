@@ -24,3 +24,14 @@ def test_scale_conf():
     conf = scale_conf(100 * 2**40, 8000)
     assert int(conf["spark.sql.shuffle.partitions"]) == 409600
     assert int(scale_conf(1 << 20, 8)["spark.sql.shuffle.partitions"]) == 16
+
+
+def test_catalog_over_existing_table(spark, catalog):
+    from clickweave.operators.funnel import funnel
+    from clickweave.plans.catalog import EventCatalog
+
+    cat = EventCatalog.over_table(spark, catalog.raw_path())
+    assert cat.raw_path() == catalog.raw_path()
+    assert cat.clean().count() == catalog.clean().count()
+    a, b = funnel(cat.clean()), funnel(catalog.clean())
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
