@@ -1,6 +1,7 @@
 """Benchmark the headline queries; prints one JSON line.
 
-Env: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8), BENCH_REPEAT (default 3).
+Env: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8), BENCH_REPEAT (default 3),
+BENCH_CONF (JSON of extra Spark settings, for experiments).
 Setup (not timed per query, reported under "setup"): the fixture is mapped from the driver
 tables and written as the month-partitioned raw table, then the clean table is written
 once. Each query then runs BENCH_REPEAT times into the noop sink; the median is reported.
@@ -37,7 +38,8 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     repeat = int(os.environ.get("BENCH_REPEAT", "3"))
-    spark = build_session(master=f"local[{cpus}]", shuffle_partitions=max(8, cpus))
+    extra = json.loads(os.environ.get("BENCH_CONF", "{}"))
+    spark = build_session(master=f"local[{cpus}]", shuffle_partitions=max(8, cpus), extra=extra)
     cat = catalog_for(spark, sf_dir)
     setup = {}
     t0 = time.time()

@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -80,59 +81,80 @@ def _with_bucket(df: DataFrame, bounds: list[float], nulls_first: bool) -> DataF
     return out.withColumn(_B, bucket).drop(idx, "_nt_vz")
 
 
-def exact_ntile(df: DataFrame, value: str | Column, k: int, out: str,
-                tiebreak: Sequence[str], hash_col: str, ascending: bool = True,
-                nulls_first: bool | None = None, rows_per_task: int = 2_000_000) -> DataFrame:
-    """``NTILE(k) OVER (ORDER BY value [DESC], *tiebreak)`` computed without one global task.
+@dataclass(frozen=True)
+class NtilePlan:
+    """Driver-side result of the statistics pass: bounded by the number of value buckets."""
+    value: Column
+    k: int
+    n: int
+    bounds: list[float]
+    nulls_first: bool
+    hash_col: str
+    tiebreak: tuple[str, ...]
+    uniform: list[tuple[int, str, int]]      # (bucket, sub, tile) for buckets inside one tile
+    straddle: list[tuple[int, str, int]]     # (bucket, sub, rank offset) for the others
 
-    ``tiebreak`` must start with ``hash_col``, a hex string (e.g. md5 of the id), and end with
-    a unique key so that the order is total. NULL values sort first for ascending order and
-    last for descending order, as in BigQuery, unless ``nulls_first`` says otherwise.
-    """
-    if not tiebreak or tiebreak[0] != hash_col:
-        raise ValueError("tiebreak must start with hash_col")
-    if nulls_first is None:
-        nulls_first = ascending
-    spark = df.sparkSession
+
+def _value_col(value: str | Column, ascending: bool) -> Column:
     vcol = (F.col(value) if isinstance(value, str) else value).cast("double")
-    if not ascending:
-        vcol = -vcol
-    base = df.withColumn(_V, vcol)
-    n = base.count()
-    if n == 0:
-        return df.withColumn(out, F.lit(None).cast("int"))
-    bounds = _boundaries(base.select(_V), n, rows_per_task)
-    bucketed = _with_bucket(base, bounds, nulls_first)
+    return vcol if ascending else -vcol
+
+
+def _bucket_and_sub(df: DataFrame, bounds: list[float], nulls_first: bool, hash_col: str) -> DataFrame:
+    bucketed = _with_bucket(df, bounds, nulls_first)
     tied = (F.col(_B) % 2 == 1) | (F.col(_B) == -1) | (F.col(_B) == 2 * len(bounds) + 2)
     if not bounds:
         tied = F.col(_B) != 0
-    bucketed = bucketed.withColumn(
+    return bucketed.withColumn(
         _S, F.when(tied, F.substring(F.col(hash_col), 1, HASH_PREFIX)).otherwise(F.lit("")))
 
-    counts = sorted((r[_B], r[_S], r["count"]) for r in bucketed.groupBy(_B, _S).count().collect())
+
+def plan_ntile(df: DataFrame, value: str | Column, k: int, tiebreak: Sequence[str], hash_col: str,
+               ascending: bool = True, nulls_first: bool | None = None,
+               rows_per_task: int = 2_000_000, n: int | None = None) -> NtilePlan:
+    """Statistics pass of :func:`exact_ntile`: row count, value boundaries, bucket counts."""
+    if not tiebreak or tiebreak[0] != hash_col:
+        raise ValueError("tiebreak must start with hash_col")
+    if nulls_first is None:
+        nulls_first = ascending
+    vcol = _value_col(value, ascending)
+    base = df.withColumn(_V, vcol)
+    n = base.count() if n is None else n
+    bounds = _boundaries(base.select(_V), n, rows_per_task) if n else []
+    counts = sorted((r[_B], r[_S], r["count"]) for r in
+                    _bucket_and_sub(base, bounds, nulls_first, hash_col).groupBy(_B, _S).count().collect())
     uniform, straddle, offset = [], [], 0
-    for b, s, c in counts:
+    for b, sub, c in counts:
         lo, hi = ntile_of_rank(offset, n, k), ntile_of_rank(offset + c - 1, n, k)
         if lo == hi:
-            uniform.append((b, s, lo))
+            uniform.append((b, sub, lo))
         else:
-            straddle.append((b, s, offset))
+            straddle.append((b, sub, offset))
         offset += c
+    return NtilePlan(vcol, k, n, bounds, nulls_first, hash_col, tuple(tiebreak), uniform, straddle)
+
+
+def apply_ntile(df: DataFrame, plan: NtilePlan, out: str) -> DataFrame:
+    """Assign tiles to the rows of ``df`` (the frame the plan was computed on)."""
+    if plan.n == 0:
+        return df.withColumn(out, F.lit(None).cast("int"))
+    spark = df.sparkSession
+    bucketed = _bucket_and_sub(df.withColumn(_V, plan.value), plan.bounds, plan.nulls_first, plan.hash_col)
 
     def small(table: DataFrame, rows: int) -> DataFrame:
         return F.broadcast(table) if rows <= BROADCAST_MAX_ROWS else table
 
     parts = []
-    if uniform:
-        tiles = spark.createDataFrame(uniform, f"{_B} int, {_S} string, {out} int")
-        parts.append(bucketed.join(small(tiles, len(uniform)), [_B, _S]))
-    if straddle:
-        offs = spark.createDataFrame(straddle, f"{_B} int, {_S} string, _nt_off long")
-        order = [F.col(_V).asc_nulls_first(), *[F.col(c).asc_nulls_first() for c in tiebreak]]
+    if plan.uniform:
+        tiles = spark.createDataFrame(plan.uniform, f"{_B} int, {_S} string, {out} int")
+        parts.append(bucketed.join(small(tiles, len(plan.uniform)), [_B, _S]))
+    if plan.straddle:
+        offs = spark.createDataFrame(plan.straddle, f"{_B} int, {_S} string, _nt_off long")
+        order = [F.col(_V).asc_nulls_first(), *[F.col(c).asc_nulls_first() for c in plan.tiebreak]]
         w = Window.partitionBy(_B, _S).orderBy(*order)
-        ranked = (bucketed.join(small(offs, len(straddle)), [_B, _S])
+        ranked = (bucketed.join(small(offs, len(plan.straddle)), [_B, _S])
                   .withColumn("_nt_r", F.col("_nt_off") + F.row_number().over(w) - 1))
-        parts.append(ranked.withColumn(out, _ntile_col(F.col("_nt_r"), n, k))
+        parts.append(ranked.withColumn(out, _ntile_col(F.col("_nt_r"), plan.n, plan.k))
                      .drop("_nt_off", "_nt_r"))
     result = parts[0]
     for p in parts[1:]:
@@ -140,6 +162,19 @@ def exact_ntile(df: DataFrame, value: str | Column, k: int, out: str,
     return result.drop(_V, _B, _S)
 
 
+def exact_ntile(df: DataFrame, value: str | Column, k: int, out: str,
+                tiebreak: Sequence[str], hash_col: str, ascending: bool = True,
+                nulls_first: bool | None = None, rows_per_task: int = 2_000_000) -> DataFrame:
+    """``NTILE(k) OVER (ORDER BY value [DESC], *tiebreak)`` computed without one global task.
+
+    ``tiebreak`` must start with ``hash_col``, a hex string (e.g. md5 of the id), and end with
+    a unique key so that the order is total. NULL values sort first for ascending order and
+    last for descending order, as in BigQuery, unless ``nulls_first`` says otherwise.
+    """
+    plan = plan_ntile(df, value, k, tiebreak, hash_col, ascending, nulls_first, rows_per_task)
+    return apply_ntile(df, plan, out)
+
+
 def exact_percentiles_disc(df: DataFrame, value: str | Column, probs: Sequence[float],
                            rows_per_task: int = 2_000_000) -> list[float | None]:
     """``PERCENTILE_DISC(p)`` for each p: the value at 0-based rank ceil(n*p)-1, NULLs ignored.
