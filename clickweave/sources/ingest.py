@@ -10,10 +10,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from clickweave.schema import CSV_TIME_FORMAT, EVENT_COLUMNS, EVENT_SCHEMA, REQUIRED_COLUMNS
-from clickweave.sources.tables import write_event_table
+from clickweave.sources.tables import raw_table_schema, read_event_table, write_event_table
 
 _CORRUPT = "_corrupt_record"
 
@@ -42,13 +43,21 @@ def ingest_events(spark: SparkSession, paths: str | Sequence[str], out: str | No
     for c in REQUIRED_COLUMNS:
         reason = reason.when(F.col(c).isNull(), F.lit(f"missing_{c}"))
     tagged = df.withColumn("reason", reason)
+    if out is not None:
+        # both outputs come from one parse of the files: spill the tagged rows to executor
+        # disk for the two writes (recomputed from the files if an executor is lost)
+        tagged = tagged.persist(StorageLevel.DISK_ONLY)
     accepted = tagged.where(F.col("reason").isNull()).select(*EVENT_COLUMNS)
     rejected = tagged.where(F.col("reason").isNotNull()).select(
         *EVENT_COLUMNS, F.col(_CORRUPT).alias("raw_record"), "reason")
-    if out is not None:
-        write_event_table(accepted, out)
-        rejected.write.mode("overwrite").parquet(out.rstrip("/") + "_rejected")
-    return accepted, rejected
+    if out is None:
+        return accepted, rejected
+    rejected_path = out.rstrip("/") + "_rejected"
+    write_event_table(accepted, out)
+    rejected.write.mode("overwrite").parquet(rejected_path)
+    tagged.unpersist()
+    return (read_event_table(spark, out, raw_table_schema()).select(*EVENT_COLUMNS),
+            spark.read.parquet(rejected_path))
 
 
 def export_csv(df: DataFrame, path: str, time_format: str = CSV_TIME_FORMAT) -> None:
