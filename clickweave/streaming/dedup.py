@@ -8,7 +8,7 @@ seen, so the output equals the batch clean table on the key columns.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from clickweave.operators.clean import clean_filter, enrich
 from clickweave.schema import DEDUP_KEY, DEFAULT_PARAMS, Params
@@ -17,9 +17,12 @@ WATERMARK_COL = "event_ts"
 
 
 def with_event_ts(df: DataFrame) -> DataFrame:
-    """Watermarks need TIMESTAMP (not TIMESTAMP_NTZ); with the UTC session the instant is
-    the UTC wall-clock time."""
-    return df.withColumn(WATERMARK_COL, F.col("event_time").cast("timestamp"))
+    """Watermarks need TIMESTAMP (not TIMESTAMP_NTZ). A TIMESTAMP_NTZ event time holds UTC
+    wall-clock values; it becomes the UTC instant whatever the session time zone."""
+    ts = F.col("event_time")
+    if isinstance(df.schema["event_time"].dataType, T.TimestampNTZType):
+        ts = F.from_utc_timestamp(ts.cast("timestamp"), F.current_timezone())
+    return df.withColumn(WATERMARK_COL, ts)
 
 
 def stream_clean(events: DataFrame, delay: str = "1 hour", params: Params = DEFAULT_PARAMS,

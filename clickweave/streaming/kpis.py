@@ -34,4 +34,6 @@ def stream_daily_kpis(events: DataFrame, delay: str = "1 hour", window: str = "1
         F.sum("nc").alias("cart_events"), F.sum("np").alias("purchase_events"),
         round_n(F.sum("rev"), 2).alias("revenue"),
         F.count(F.lit(1)).alias("unique_users"), F.count_if(F.col("np") > 0).alias("purchasers"))
-    return per_window.select(F.to_date(F.col("d.start")).alias("day"), *KPI_COLUMNS[1:])
+    # windows are aligned on UTC epoch days; name each by its UTC date
+    day = F.date_from_unix_date(F.floor(F.unix_seconds(F.col("d.start")) / 86400).cast("int"))
+    return per_window.select(day.alias("day"), *KPI_COLUMNS[1:])
