@@ -35,10 +35,13 @@ class EventCatalog:
 
     @classmethod
     def over_table(cls, spark: SparkSession, raw_path: str, params: Params = DEFAULT_PARAMS,
-                   root: str | None = None) -> "EventCatalog":
-        """Catalog over an existing month-partitioned raw table (e.g. written by ingest)."""
+                   root: str | None = None, clean_path: str | None = None) -> "EventCatalog":
+        """Catalog over an existing month-partitioned raw table (e.g. written by ingest) and,
+        optionally, an existing clean table."""
         cat = cls(spark, lambda: read_event_table(spark, raw_path, raw_table_schema()), params, root)
         cat._paths["raw"] = raw_path
+        if clean_path is not None:
+            cat._paths["clean"] = clean_path
         return cat
 
     # -- persisted relations ------------------------------------------------------------------

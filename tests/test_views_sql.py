@@ -35,3 +35,18 @@ def test_catalog_over_existing_table(spark, catalog):
     assert cat.clean().count() == catalog.clean().count()
     a, b = funnel(cat.clean()), funnel(catalog.clean())
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_command_line(spark, catalog):
+    from clickweave.__main__ import main
+    from clickweave.sources.ingest import export_csv
+
+    root = f"{shared_root(spark)}/test-cli-{uuid.uuid4().hex[:8]}"
+    export_csv(catalog.raw().drop("event_month"), f"{root}/csv")
+    report = main(["--csv", f"{root}/csv", "--out", f"{root}/out", "--views", "vw_overview", "vw_funnel"])
+    assert report["rejected"] == 0
+    assert spark.read.parquet(report["views"]["vw_overview"]).count() == 3
+    assert spark.read.parquet(f"{root}/out/clean").count() == catalog.clean().count()
+    # rebuild one month in place
+    main(["--raw", f"{root}/out/raw", "--out", f"{root}/out", "--months", "2019-12-01", "--views", "vw_cohort"])
+    assert spark.read.parquet(f"{root}/out/clean").count() == catalog.clean().count()
