@@ -8,10 +8,11 @@ one task. Here the order is cut into value buckets first:
    between boundary k-1 and k, ``2k+1`` for a value equal to boundary k. A tied boundary
    value is further split by the first hex digits of a hash column, which is the first
    tie-break key, so bucket order stays consistent with the total order.
-3. Row counts per bucket (a small table: bounded by the number of buckets) give each
-   bucket's rank offset on the driver.
+3. Row counts per bucket form the bucket table (bounded by the number of buckets); a running
+   sum over it gives each bucket's rank offset and the tiles of its first and last rank.
+   It is checkpointed, so it is computed once.
 4. A bucket whose whole rank range falls inside one tile takes that tile through a join
-   with the bucket table (broadcast while that table is below ``BROADCAST_MAX_ROWS``);
+   with the bucket table (broadcast while its row bound is below ``BROADCAST_MAX_ROWS``);
    only the at most k-1 buckets that straddle a tile edge are ranked with ``row_number``
    inside the bucket. Every ranking task holds at most one bucket.
 
@@ -27,9 +28,11 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from clickweave.config import ensure_checkpoint_dir
+
 HASH_PREFIX = 2          # hex digits used to split a tied value: 16**2 = 256 ways
-# The bucket table has at most (2B + 2) * 256 rows for B value buckets; above this many
-# rows it is joined by shuffle instead of broadcast.
+# The bucket table has at most about (B + 2) * 257 rows for B value buckets; above this
+# bound it is joined by shuffle instead of broadcast.
 BROADCAST_MAX_ROWS = 500_000
 _V, _B, _S = "_nt_v", "_nt_b", "_nt_s"
 
@@ -83,7 +86,9 @@ def _with_bucket(df: DataFrame, bounds: list[float], nulls_first: bool) -> DataF
 
 @dataclass(frozen=True)
 class NtilePlan:
-    """Driver-side result of the statistics pass: bounded by the number of value buckets."""
+    """Result of the statistics pass. ``buckets`` is a checkpointed frame with one row per
+    (bucket, sub-bucket): its rank offset and the tiles of its first and last row. It has at
+    most ``max_buckets`` rows, a bound known before it is built."""
     value: Column
     k: int
     n: int
@@ -91,8 +96,8 @@ class NtilePlan:
     nulls_first: bool
     hash_col: str
     tiebreak: tuple[str, ...]
-    uniform: list[tuple[int, str, int]]      # (bucket, sub, tile) for buckets inside one tile
-    straddle: list[tuple[int, str, int]]     # (bucket, sub, rank offset) for the others
+    buckets: DataFrame | None
+    max_buckets: int
 
 
 def _value_col(value: str | Column, ascending: bool) -> Column:
@@ -112,54 +117,51 @@ def _bucket_and_sub(df: DataFrame, bounds: list[float], nulls_first: bool, hash_
 def plan_ntile(df: DataFrame, value: str | Column, k: int, tiebreak: Sequence[str], hash_col: str,
                ascending: bool = True, nulls_first: bool | None = None,
                rows_per_task: int = 2_000_000, n: int | None = None) -> NtilePlan:
-    """Statistics pass of :func:`exact_ntile`: row count, value boundaries, bucket counts."""
+    """Statistics pass of :func:`exact_ntile`: row count, value boundaries, and the bucket
+    table with rank offsets (a running sum over the bucket table, which is bounded)."""
     if not tiebreak or tiebreak[0] != hash_col:
         raise ValueError("tiebreak must start with hash_col")
     if nulls_first is None:
         nulls_first = ascending
+    ensure_checkpoint_dir(df.sparkSession)
     vcol = _value_col(value, ascending)
     base = df.withColumn(_V, vcol)
     n = base.count() if n is None else n
     bounds = _boundaries(base.select(_V), n, rows_per_task) if n else []
-    counts = sorted((r[_B], r[_S], r["count"]) for r in
-                    _bucket_and_sub(base, bounds, nulls_first, hash_col).groupBy(_B, _S).count().collect())
-    uniform, straddle, offset = [], [], 0
-    for b, sub, c in counts:
-        lo, hi = ntile_of_rank(offset, n, k), ntile_of_rank(offset + c - 1, n, k)
-        if lo == hi:
-            uniform.append((b, sub, lo))
-        else:
-            straddle.append((b, sub, offset))
-        offset += c
-    return NtilePlan(vcol, k, n, bounds, nulls_first, hash_col, tuple(tiebreak), uniform, straddle)
+    # open intervals and the two NULL slots hold one sub-bucket; tied values up to 16**HASH_PREFIX
+    max_buckets = (len(bounds) + 2) + (len(bounds) + 2) * 16 ** HASH_PREFIX
+    if n == 0:
+        return NtilePlan(vcol, k, n, bounds, nulls_first, hash_col, tuple(tiebreak), None, 0)
+    counts = (_bucket_and_sub(base, bounds, nulls_first, hash_col)
+              .groupBy(_B, _S).agg(F.count(F.lit(1)).alias("_nt_c")))
+    before = Window.orderBy(_B, _S).rowsBetween(Window.unboundedPreceding, -1)
+    off = F.coalesce(F.sum("_nt_c").over(before), F.lit(0)).cast("long")
+    buckets = (counts.withColumn("_nt_off", off)
+               .withColumn("_nt_lo", _ntile_col(F.col("_nt_off"), n, k))
+               .withColumn("_nt_hi", _ntile_col(F.col("_nt_off") + F.col("_nt_c") - 1, n, k))
+               .select(_B, _S, "_nt_off", "_nt_lo", "_nt_hi")
+               .checkpoint(eager=True))
+    return NtilePlan(vcol, k, n, bounds, nulls_first, hash_col, tuple(tiebreak), buckets, max_buckets)
 
 
 def apply_ntile(df: DataFrame, plan: NtilePlan, out: str) -> DataFrame:
-    """Assign tiles to the rows of ``df`` (the frame the plan was computed on)."""
+    """Assign tiles to the rows of ``df`` (the frame the plan was computed on). Rows of a
+    bucket inside one tile take it from the bucket table; rows of the at most k-1 buckets
+    that straddle a tile edge are ranked inside their bucket."""
     if plan.n == 0:
         return df.withColumn(out, F.lit(None).cast("int"))
-    spark = df.sparkSession
-    bucketed = _bucket_and_sub(df.withColumn(_V, plan.value), plan.bounds, plan.nulls_first, plan.hash_col)
-
-    def small(table: DataFrame, rows: int) -> DataFrame:
-        return F.broadcast(table) if rows <= BROADCAST_MAX_ROWS else table
-
-    parts = []
-    if plan.uniform:
-        tiles = spark.createDataFrame(plan.uniform, f"{_B} int, {_S} string, {out} int")
-        parts.append(bucketed.join(small(tiles, len(plan.uniform)), [_B, _S]))
-    if plan.straddle:
-        offs = spark.createDataFrame(plan.straddle, f"{_B} int, {_S} string, _nt_off long")
-        order = [F.col(_V).asc_nulls_first(), *[F.col(c).asc_nulls_first() for c in plan.tiebreak]]
-        w = Window.partitionBy(_B, _S).orderBy(*order)
-        ranked = (bucketed.join(small(offs, len(plan.straddle)), [_B, _S])
-                  .withColumn("_nt_r", F.col("_nt_off") + F.row_number().over(w) - 1))
-        parts.append(ranked.withColumn(out, _ntile_col(F.col("_nt_r"), plan.n, plan.k))
-                     .drop("_nt_off", "_nt_r"))
-    result = parts[0]
-    for p in parts[1:]:
-        result = result.unionByName(p)
-    return result.drop(_V, _B, _S)
+    table = plan.buckets
+    if plan.max_buckets <= BROADCAST_MAX_ROWS:
+        table = F.broadcast(table)
+    joined = _bucket_and_sub(df.withColumn(_V, plan.value), plan.bounds, plan.nulls_first,
+                             plan.hash_col).join(table, [_B, _S])
+    lo, hi = F.col("_nt_lo"), F.col("_nt_hi")
+    inside = joined.where(lo == hi).withColumn(out, lo)
+    order = [F.col(_V).asc_nulls_first(), *[F.col(c).asc_nulls_first() for c in plan.tiebreak]]
+    w = Window.partitionBy(_B, _S).orderBy(*order)
+    rank = F.col("_nt_off") + F.row_number().over(w) - 1
+    edge = joined.where(lo != hi).withColumn(out, _ntile_col(rank, plan.n, plan.k))
+    return inside.unionByName(edge).drop(_V, _B, _S, "_nt_off", "_nt_lo", "_nt_hi")
 
 
 def exact_ntile(df: DataFrame, value: str | Column, k: int, out: str,
@@ -169,7 +171,8 @@ def exact_ntile(df: DataFrame, value: str | Column, k: int, out: str,
 
     ``tiebreak`` must start with ``hash_col``, a hex string (e.g. md5 of the id), and end with
     a unique key so that the order is total. NULL values sort first for ascending order and
-    last for descending order, as in BigQuery, unless ``nulls_first`` says otherwise.
+    last for descending order, as in BigQuery, unless ``nulls_first`` says otherwise. The
+    input must evaluate to the same rows every time (persisted or checkpointed).
     """
     plan = plan_ntile(df, value, k, tiebreak, hash_col, ascending, nulls_first, rows_per_task)
     return apply_ntile(df, plan, out)
@@ -179,8 +182,9 @@ def exact_percentiles_disc(df: DataFrame, value: str | Column, probs: Sequence[f
                            rows_per_task: int = 2_000_000) -> list[float | None]:
     """``PERCENTILE_DISC(p)`` for each p: the value at 0-based rank ceil(n*p)-1, NULLs ignored.
 
-    Only the bucket holding a wanted rank is sorted, in one task of bounded size; a rank that
-    lands on a tied boundary value needs no sort at all.
+    The bucket table with running offsets locates the bucket of each wanted rank; only those
+    buckets (at most one per p, each of bounded size) are sorted, and a rank that lands on a
+    tied boundary value needs no sort at all. Only the len(probs) answers reach the driver.
     """
     vcol = (F.col(value) if isinstance(value, str) else value).cast("double")
     vals = df.select(vcol.alias(_V)).where(F.col(_V).isNotNull())
@@ -189,28 +193,29 @@ def exact_percentiles_disc(df: DataFrame, value: str | Column, probs: Sequence[f
         return [None for _ in probs]
     bounds = _boundaries(vals, n, rows_per_task)
     bucketed = _with_bucket(vals, bounds, nulls_first=True)
-    counts = sorted((r[_B], r["count"]) for r in bucketed.groupBy(_B).count().collect())
+    targets = [min(n - 1, max(0, math.ceil(n * p) - 1)) for p in probs]
+    before = Window.orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
+    table = (bucketed.groupBy(_B).agg(F.count(F.lit(1)).alias("_nt_c"))
+             .withColumn("_nt_off", F.coalesce(F.sum("_nt_c").over(before), F.lit(0)).cast("long")))
+    hit = F.lit(False)
+    for t in targets:
+        hit = hit | ((F.col("_nt_off") <= t) & (F.lit(t) < F.col("_nt_off") + F.col("_nt_c")))
+    located = [(r[_B], r["_nt_off"], r["_nt_c"]) for r in table.where(hit).collect()]
 
     answers: dict[int, float] = {}
     wanted: dict[tuple[int, int], list[int]] = {}
-    for i, p in enumerate(probs):
-        target = min(n - 1, max(0, math.ceil(n * p) - 1))
-        offset = 0
-        for b, c in counts:
-            if target < offset + c:
-                if bounds and b % 2 == 1:
-                    answers[i] = bounds[(b - 1) // 2]
-                else:
-                    wanted.setdefault((b, target - offset + 1), []).append(i)
-                break
-            offset += c
+    for i, t in enumerate(targets):
+        b, off = next((b, off) for b, off, c in located if off <= t < off + c)
+        if bounds and b % 2 == 1:
+            answers[i] = bounds[(b - 1) // 2]
+        else:
+            wanted.setdefault((b, t - off + 1), []).append(i)
     if wanted:
-        buckets = sorted({b for b, _ in wanted})
         w = Window.partitionBy(_B).orderBy(F.col(_V))
         cond = F.lit(False)
         for b, pos in wanted:
             cond = cond | ((F.col(_B) == b) & (F.col("_nt_rn") == pos))
-        rows = (bucketed.where(F.col(_B).isin(buckets))
+        rows = (bucketed.where(F.col(_B).isin(sorted({b for b, _ in wanted})))
                 .withColumn("_nt_rn", F.row_number().over(w))
                 .where(cond).select(_B, "_nt_rn", _V).collect())
         for r in rows:
