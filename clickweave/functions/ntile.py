@@ -10,7 +10,6 @@ one task. Here the order is cut into value buckets first:
    tie-break key, so bucket order stays consistent with the total order.
 3. Row counts per bucket form the bucket table (bounded by the number of buckets); a running
    sum over it gives each bucket's rank offset and the tiles of its first and last rank.
-   It is checkpointed, so it is computed once.
 4. A bucket whose whole rank range falls inside one tile takes that tile through a join
    with the bucket table (broadcast while its row bound is below ``BROADCAST_MAX_ROWS``);
    only the at most k-1 buckets that straddle a tile edge are ranked with ``row_number``
@@ -28,8 +27,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from clickweave.config import ensure_checkpoint_dir
-
 HASH_PREFIX = 2          # hex digits used to split a tied value: 16**2 = 256 ways
 # The bucket table has at most about (B + 2) * 257 rows for B value buckets; above this
 # bound it is joined by shuffle instead of broadcast.
@@ -86,9 +83,10 @@ def _with_bucket(df: DataFrame, bounds: list[float], nulls_first: bool) -> DataF
 
 @dataclass(frozen=True)
 class NtilePlan:
-    """Result of the statistics pass. ``buckets`` is a checkpointed frame with one row per
+    """Result of the statistics pass. ``buckets`` is a (lazy) frame with one row per
     (bucket, sub-bucket): its rank offset and the tiles of its first and last row. It has at
-    most ``max_buckets`` rows, a bound known before it is built."""
+    most ``max_buckets`` rows, a bound known before it is built; both joins of
+    :func:`apply_ntile` use the same broadcast of it, which Spark builds once."""
     value: Column
     k: int
     n: int
@@ -123,7 +121,6 @@ def plan_ntile(df: DataFrame, value: str | Column, k: int, tiebreak: Sequence[st
         raise ValueError("tiebreak must start with hash_col")
     if nulls_first is None:
         nulls_first = ascending
-    ensure_checkpoint_dir(df.sparkSession)
     vcol = _value_col(value, ascending)
     base = df.withColumn(_V, vcol)
     n = base.count() if n is None else n
@@ -139,8 +136,7 @@ def plan_ntile(df: DataFrame, value: str | Column, k: int, tiebreak: Sequence[st
     buckets = (counts.withColumn("_nt_off", off)
                .withColumn("_nt_lo", _ntile_col(F.col("_nt_off"), n, k))
                .withColumn("_nt_hi", _ntile_col(F.col("_nt_off") + F.col("_nt_c") - 1, n, k))
-               .select(_B, _S, "_nt_off", "_nt_lo", "_nt_hi")
-               .checkpoint(eager=True))
+               .select(_B, _S, "_nt_off", "_nt_lo", "_nt_hi"))
     return NtilePlan(vcol, k, n, bounds, nulls_first, hash_col, tuple(tiebreak), buckets, max_buckets)
 
 
