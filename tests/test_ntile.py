@@ -46,11 +46,17 @@ def test_all_equal_values(spark):
     assert {r.user_id: r.t for r in got} == _builtin(df, "v", 5, True)
 
 
-def test_no_single_partition_window(spark):
+def test_no_single_partition_over_rows(spark):
+    """The only single-partition step is the running sum over the bucket table (one row
+    per bucket), never over the ranked rows."""
     df = _frame(spark, [float(i) for i in range(200)])
     out = exact_ntile(df, "v", 5, "t", ["_h", "user_id"], "_h", rows_per_task=20)
-    plan = out._jdf.queryExecution().executedPlan().toString()
-    assert "SinglePartition" not in plan
+    lines = out._jdf.queryExecution().executedPlan().toString().splitlines()
+    singles = [i for i, ln in enumerate(lines) if "Exchange SinglePartition" in ln]
+    assert singles
+    for i in singles:
+        below = lines[i + 1].lstrip(" :")
+        assert below.startswith("+- HashAggregate(keys=[_nt_b") and "functions=[count(1)]" in below, below
 
 
 def test_ntile_of_rank_sizes():
