@@ -9,11 +9,10 @@ one task. Here the order is cut into value buckets first:
    value is further split by the first hex digits of a hash column, which is the first
    tie-break key, so bucket order stays consistent with the total order.
 3. Row counts per bucket form the bucket table (bounded by the number of buckets); a running
-   sum over it gives each bucket's rank offset and the tiles of its first and last rank.
-4. A bucket whose whole rank range falls inside one tile takes that tile through a join
-   with the bucket table (broadcast while its row bound is below ``BROADCAST_MAX_ROWS``);
-   only the at most k-1 buckets that straddle a tile edge are ranked with ``row_number``
-   inside the bucket. Every ranking task holds at most one bucket.
+   sum over it gives each bucket's rank offset.
+4. Rows join the bucket table (broadcast while its row bound is below ``BROADCAST_MAX_ROWS``)
+   and are ranked with ``row_number`` inside their bucket: offset + position is the global
+   rank, from which the tile follows. Every ranking task holds one bucket of bounded size.
 
 The input must give the same values on every evaluation (a persisted table or a
 checkpointed frame), since it is read by several jobs.
@@ -84,9 +83,8 @@ def _with_bucket(df: DataFrame, bounds: list[float], nulls_first: bool) -> DataF
 @dataclass(frozen=True)
 class NtilePlan:
     """Result of the statistics pass. ``buckets`` is a (lazy) frame with one row per
-    (bucket, sub-bucket): its rank offset and the tiles of its first and last row. It has at
-    most ``max_buckets`` rows, a bound known before it is built; both joins of
-    :func:`apply_ntile` use the same broadcast of it, which Spark builds once."""
+    (bucket, sub-bucket) and its rank offset. It has at most ``max_buckets`` rows, a bound
+    known before it is built."""
     value: Column
     k: int
     n: int
@@ -133,31 +131,25 @@ def plan_ntile(df: DataFrame, value: str | Column, k: int, tiebreak: Sequence[st
               .groupBy(_B, _S).agg(F.count(F.lit(1)).alias("_nt_c")))
     before = Window.orderBy(_B, _S).rowsBetween(Window.unboundedPreceding, -1)
     off = F.coalesce(F.sum("_nt_c").over(before), F.lit(0)).cast("long")
-    buckets = (counts.withColumn("_nt_off", off)
-               .withColumn("_nt_lo", _ntile_col(F.col("_nt_off"), n, k))
-               .withColumn("_nt_hi", _ntile_col(F.col("_nt_off") + F.col("_nt_c") - 1, n, k))
-               .select(_B, _S, "_nt_off", "_nt_lo", "_nt_hi"))
+    buckets = counts.withColumn("_nt_off", off).select(_B, _S, "_nt_off")
     return NtilePlan(vcol, k, n, bounds, nulls_first, hash_col, tuple(tiebreak), buckets, max_buckets)
 
 
 def apply_ntile(df: DataFrame, plan: NtilePlan, out: str) -> DataFrame:
-    """Assign tiles to the rows of ``df`` (the frame the plan was computed on). Rows of a
-    bucket inside one tile take it from the bucket table; rows of the at most k-1 buckets
-    that straddle a tile edge are ranked inside their bucket."""
+    """Assign tiles to the rows of ``df`` (the frame the plan was computed on): rank inside
+    the row's bucket plus the bucket's offset gives the global rank. One shuffle, by bucket,
+    each task holding one bounded bucket."""
     if plan.n == 0:
         return df.withColumn(out, F.lit(None).cast("int"))
-    table = plan.buckets
+    table = plan.buckets.select(_B, _S, "_nt_off")
     if plan.max_buckets <= BROADCAST_MAX_ROWS:
         table = F.broadcast(table)
     joined = _bucket_and_sub(df.withColumn(_V, plan.value), plan.bounds, plan.nulls_first,
                              plan.hash_col).join(table, [_B, _S])
-    lo, hi = F.col("_nt_lo"), F.col("_nt_hi")
-    inside = joined.where(lo == hi).withColumn(out, lo)
     order = [F.col(_V).asc_nulls_first(), *[F.col(c).asc_nulls_first() for c in plan.tiebreak]]
     w = Window.partitionBy(_B, _S).orderBy(*order)
     rank = F.col("_nt_off") + F.row_number().over(w) - 1
-    edge = joined.where(lo != hi).withColumn(out, _ntile_col(rank, plan.n, plan.k))
-    return inside.unionByName(edge).drop(_V, _B, _S, "_nt_off", "_nt_lo", "_nt_hi")
+    return joined.withColumn(out, _ntile_col(rank, plan.n, plan.k)).drop(_V, _B, _S, "_nt_off")
 
 
 def exact_ntile(df: DataFrame, value: str | Column, k: int, out: str,
