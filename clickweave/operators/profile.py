@@ -95,10 +95,11 @@ def duplicate_drilldown(raw: DataFrame, user_id: str | None = None, product_id:
                         event_type: str | None = None) -> DataFrame:
     """For one user, product and type: copies and price range per timestamp.
 
-    Without arguments the most repeated key of :func:`duplicate_keys` is examined; the
-    one-row key frame is broadcast."""
+    Without arguments the most repeated key of :func:`duplicate_keys` among keys with a
+    known user and product is examined; the one-row key frame is broadcast."""
     if user_id is None or product_id is None or event_type is None:
-        pick = duplicate_keys(raw, 1).select("user_id", "product_id", "event_type")
+        known = raw.where(F.col("user_id").isNotNull() & F.col("product_id").isNotNull())
+        pick = duplicate_keys(known, 1).select("user_id", "product_id", "event_type")
         rows = raw.join(F.broadcast(pick), ["user_id", "product_id", "event_type"])
     else:
         rows = raw.where((F.col("user_id") == user_id) & (F.col("product_id") == product_id)
