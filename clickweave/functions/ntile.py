@@ -159,7 +159,7 @@ def exact_ntile(df: DataFrame, value: str | Column, k: int, out: str,
 
     ``tiebreak`` must start with ``hash_col``, a hex string (e.g. md5 of the id), and end with
     a unique key so that the order is total. NULL values sort first for ascending order and
-    last for descending order, as in BigQuery, unless ``nulls_first`` says otherwise. The
+    last for descending order (the source dialect's default), unless ``nulls_first`` says otherwise. The
     input must evaluate to the same rows every time (persisted or checkpointed).
     """
     plan = plan_ntile(df, value, k, tiebreak, hash_col, ascending, nulls_first, rows_per_task)
