@@ -34,7 +34,7 @@ def product_metrics(clean: DataFrame, names: EventNames = EventNames(), denomina
                             *PRODUCT_KEYS, "user_id", "product_id")
               .agg(F.count(F.lit(1)).alias("n"),
                    flag(names.view).alias("v"), flag(names.cart).alias("c"), flag(names.purchase).alias("p"),
-                   F.sum(money(F.when(is_buy, F.col("price")).otherwise(F.lit(0.0)))).alias("rev"),
+                   F.count_if(is_buy).alias("buy_rows"),
                    F.sum(money(F.when(is_buy, F.col("price")))).alias("buy_sum"),
                    F.count(F.when(is_buy, F.col("price"))).alias("buy_cnt"),
                    F.grouping_id().alias("gid")))
@@ -47,11 +47,15 @@ def product_metrics(clean: DataFrame, names: EventNames = EventNames(), denomina
         F.sum(by_user("v")).cast("bigint").alias("viewers"),
         F.sum(by_user("c")).cast("bigint").alias("carters"),
         F.sum(by_user("p")).cast("bigint").alias("purchasers"),
-        F.sum(by_user("rev")).alias("rev"), F.sum(by_user("buy_sum")).alias("buy_sum"),
+        F.sum(by_user("buy_rows")).alias("buy_rows"), F.sum(by_user("buy_sum")).alias("buy_sum"),
         F.sum(by_user("buy_cnt")).alias("buy_cnt"))
+    # SUM(CASE WHEN purchase THEN price ELSE 0 END): 0 without purchases, NULL only when every
+    # row is a purchase without a price
+    has_value = (F.col("total_events") > F.col("buy_rows")) | (F.col("buy_cnt") > 0)
+    rev = F.when(has_value, F.coalesce(F.col("buy_sum"), F.lit(0).cast("decimal(38,10)")))
     return level2.select(
         *PRODUCT_KEYS, "total_events", "unique_users", "unique_products", "viewers", "carters", "purchasers",
-        round_n(F.col("rev"), 2).alias("revenue"),
+        round_n(rev, 2).alias("revenue"),
         round_n(F.when(F.col("buy_cnt") > 0, F.col("buy_sum").cast("double") / F.col("buy_cnt")), 2)
         .alias("avg_order_value"),
         pct(F.col("purchasers"), F.col({"view": "viewers", "any": "unique_users"}[denominator])).alias("cvr"))

@@ -112,3 +112,16 @@ def test_rfm_independent_of_bucket_size(spark, catalog):
     b = rfm(catalog.clean(), Params(rank_rows_per_task=20))      # ~10 value buckets per score
     assert a.count() == 186
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_product_revenue_null_and_zero(spark):
+    from clickweave.operators.product import product_metrics
+
+    rows = [ev("2019-10-01 00:00:00", "view", user="a", brand="b1"),                    # no purchase: 0, AOV NULL
+            ev("2019-10-01 00:01:00", "purchase", user="a", brand="b2", price=None),    # only NULL-price buys
+            ev("2019-10-01 00:02:00", "purchase", user="a", brand="b3", price=2.005),
+            ev("2019-10-01 00:03:00", "purchase", user="b", brand="b3", price=2.0)]
+    out = {r.brand: r for r in product_metrics(clean_events(events(spark, rows))).collect()}
+    assert (out["b1"].revenue, out["b1"].avg_order_value, out["b1"].cvr) == (0.0, None, 0.0)
+    assert (out["b2"].revenue, out["b2"].avg_order_value, out["b2"].cvr) == (None, None, None)
+    assert (out["b3"].revenue, out["b3"].avg_order_value, out["b3"].purchasers) == (4.01, 2.0, 2)
