@@ -50,7 +50,9 @@ def _stage_totals(clean: DataFrame, parts: Sequence[str], names: EventNames) ->
               .agg(F.count(F.lit(1)).alias("n"),
                    _flag(names.view).alias("v"), _flag(names.cart).alias("c"),
                    _flag(names.purchase).alias("p"),
-                   F.sum(money(F.when(F.col("event_type") == names.purchase, F.col("price"))
+                   # revenue is only reported per month: other sets skip the decimal sum
+                   F.sum(money(F.when(F.grouping_id() != _GID[MONTHLY], F.lit(None))
+                               .when(F.col("event_type") == names.purchase, F.col("price"))
                                .otherwise(F.lit(0.0)))).alias("rev"),
                    F.grouping_id().alias("gid")))
     return level1.groupBy("gid", "event_month", "category_top").agg(

@@ -35,7 +35,8 @@ def product_metrics(clean: DataFrame, names: EventNames = EventNames(), denomina
               .agg(F.count(F.lit(1)).alias("n"),
                    flag(names.view).alias("v"), flag(names.cart).alias("c"), flag(names.purchase).alias("p"),
                    F.count_if(is_buy).alias("buy_rows"),
-                   F.sum(money(F.when(is_buy, F.col("price")))).alias("buy_sum"),
+                   # money is only needed at (group, user) grain
+                   F.sum(money(F.when((F.grouping_id() == _USER_SET) & is_buy, F.col("price")))).alias("buy_sum"),
                    F.count(F.when(is_buy, F.col("price"))).alias("buy_cnt"),
                    F.grouping_id().alias("gid")))
     on_user = F.col("gid") == _USER_SET
