@@ -61,23 +61,30 @@ def _boundaries(values: DataFrame, n: int, rows_per_task: int) -> list[float]:
     return sorted({float(q) for q in qs if q is not None and not math.isnan(q)})
 
 
-def _with_bucket(df: DataFrame, bounds: list[float], nulls_first: bool) -> DataFrame:
-    """Add the bucket id ``_nt_b`` computed from ``_nt_v`` (see module doc)."""
+def _with_bucket(df: DataFrame, bounds: list[float], nulls_first: bool, nan_first: bool = False) -> DataFrame:
+    """Add the bucket id ``_nt_b`` computed from ``_nt_v`` (see module doc). NULL and NaN get
+    buckets of their own at the ends, in the order the sort would put them."""
     v = F.col(_V)
-    null_bucket = F.lit(-1 if nulls_first else 2 * len(bounds) + 2)
+    m = len(bounds)
+    null_bucket = F.lit(-3 if nulls_first else 2 * m + 3)
+    nan_bucket = F.lit(-2 if nan_first else 2 * m + 2)
     if not bounds:
-        return df.withColumn(_B, F.when(v.isNull(), null_bucket).otherwise(F.lit(0)))
-    from pyspark.ml.feature import Bucketizer  # JVM binary search over the splits
-
-    idx = "_nt_idx"
-    out = Bucketizer(splits=[-math.inf, *bounds, math.inf], inputCol="_nt_vz",
-                     outputCol=idx, handleInvalid="keep").transform(
-        df.withColumn("_nt_vz", F.coalesce(v, F.lit(0.0))))
-    k = F.col(idx).cast("int")
-    edges = F.array(*[F.lit(b) for b in bounds])
-    eq = F.when(k >= 1, F.element_at(edges, k) == v).otherwise(F.lit(False))
-    bucket = F.when(v.isNull(), null_bucket).otherwise(2 * k - eq.cast("int"))
-    return out.withColumn(_B, bucket).drop(idx, "_nt_vz")
+        value_bucket = F.lit(0)
+        out = df
+    else:
+        from pyspark.ml.feature import Bucketizer  # JVM binary search over the splits
+
+        idx = "_nt_idx"
+        out = Bucketizer(splits=[-math.inf, *bounds, math.inf], inputCol="_nt_vz",
+                         outputCol=idx, handleInvalid="keep").transform(
+            df.withColumn("_nt_vz", F.coalesce(v, F.lit(0.0))))
+        k = F.col(idx).cast("int")
+        edges = F.array(*[F.lit(b) for b in bounds])
+        eq = F.coalesce(F.when(k >= 1, F.try_element_at(edges, k) == v), F.lit(False))
+        value_bucket = 2 * k - eq.cast("int")
+    bucket = F.when(v.isNull(), null_bucket).when(F.isnan(v), nan_bucket).otherwise(value_bucket)
+    out = out.withColumn(_B, bucket)
+    return out.drop("_nt_idx", "_nt_vz") if bounds else out
 
 
 @dataclass(frozen=True)
@@ -90,6 +97,7 @@ class NtilePlan:
     n: int
     bounds: list[float]
     nulls_first: bool
+    nan_first: bool
     hash_col: str
     tiebreak: tuple[str, ...]
     buckets: DataFrame | None
@@ -101,11 +109,13 @@ def _value_col(value: str | Column, ascending: bool) -> Column:
     return vcol if ascending else -vcol
 
 
-def _bucket_and_sub(df: DataFrame, bounds: list[float], nulls_first: bool, hash_col: str) -> DataFrame:
-    bucketed = _with_bucket(df, bounds, nulls_first)
-    tied = (F.col(_B) % 2 == 1) | (F.col(_B) == -1) | (F.col(_B) == 2 * len(bounds) + 2)
+def _bucket_and_sub(df: DataFrame, bounds: list[float], nulls_first: bool, hash_col: str,
+                    nan_first: bool = False) -> DataFrame:
+    bucketed = _with_bucket(df, bounds, nulls_first, nan_first)
+    b = F.col(_B)
+    tied = (b % 2 == 1) | (b < 0) | (b >= 2 * len(bounds) + 2)     # one value per bucket
     if not bounds:
-        tied = F.col(_B) != 0
+        tied = b != 0
     return bucketed.withColumn(
         _S, F.when(tied, F.substring(F.col(hash_col), 1, HASH_PREFIX)).otherwise(F.lit("")))
 
@@ -124,15 +134,17 @@ def plan_ntile(df: DataFrame, value: str | Column, k: int, tiebreak: Sequence[st
     n = base.count() if n is None else n
     bounds = _boundaries(base.select(_V), n, rows_per_task) if n else []
     # open intervals and the two NULL slots hold one sub-bucket; tied values up to 16**HASH_PREFIX
-    max_buckets = (len(bounds) + 2) + (len(bounds) + 2) * 16 ** HASH_PREFIX
+    max_buckets = (len(bounds) + 4) * (1 + 16 ** HASH_PREFIX)
     if n == 0:
-        return NtilePlan(vcol, k, n, bounds, nulls_first, hash_col, tuple(tiebreak), None, 0)
-    counts = (_bucket_and_sub(base, bounds, nulls_first, hash_col)
+        return NtilePlan(vcol, k, n, bounds, nulls_first, not ascending, hash_col, tuple(tiebreak), None, 0)
+    # NaN sorts above every number; after negation for a descending order it must come first
+    counts = (_bucket_and_sub(base, bounds, nulls_first, hash_col, nan_first=not ascending)
               .groupBy(_B, _S).agg(F.count(F.lit(1)).alias("_nt_c")))
     before = Window.orderBy(_B, _S).rowsBetween(Window.unboundedPreceding, -1)
     off = F.coalesce(F.sum("_nt_c").over(before), F.lit(0)).cast("long")
     buckets = counts.withColumn("_nt_off", off).select(_B, _S, "_nt_off")
-    return NtilePlan(vcol, k, n, bounds, nulls_first, hash_col, tuple(tiebreak), buckets, max_buckets)
+    return NtilePlan(vcol, k, n, bounds, nulls_first, not ascending, hash_col, tuple(tiebreak), buckets,
+                     max_buckets)
 
 
 def apply_ntile(df: DataFrame, plan: NtilePlan, out: str) -> DataFrame:
@@ -145,7 +157,7 @@ def apply_ntile(df: DataFrame, plan: NtilePlan, out: str) -> DataFrame:
     if plan.max_buckets <= BROADCAST_MAX_ROWS:
         table = F.broadcast(table)
     joined = _bucket_and_sub(df.withColumn(_V, plan.value), plan.bounds, plan.nulls_first,
-                             plan.hash_col).join(table, [_B, _S])
+                             plan.hash_col, plan.nan_first).join(table, [_B, _S])
     order = [F.col(_V).asc_nulls_first(), *[F.col(c).asc_nulls_first() for c in plan.tiebreak]]
     w = Window.partitionBy(_B, _S).orderBy(*order)
     rank = F.col("_nt_off") + F.row_number().over(w) - 1

@@ -102,3 +102,11 @@ def test_shuffle_join_beyond_broadcast_bound(spark, monkeypatch):
     df = _frame(spark, [float(i % 9) for i in range(120)])
     out = nt.exact_ntile(df, "v", 5, "t", ["_h", "user_id"], "_h", rows_per_task=15)
     assert {r.user_id: r.t for r in out.collect()} == _builtin(df, "v", 5, True)
+
+
+@pytest.mark.parametrize("ascending", [True, False])
+def test_nan_and_null_with_many_buckets(spark, ascending):
+    values = [float(i % 13) for i in range(120)] + [float("nan")] * 3 + [None] * 4
+    df = _frame(spark, values)
+    got = exact_ntile(df, "v", 5, "t", ["_h", "user_id"], "_h", ascending=ascending, rows_per_task=10).collect()
+    assert {r.user_id: r.t for r in got} == _builtin(df, "v", 5, ascending)
