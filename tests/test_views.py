@@ -125,3 +125,19 @@ def test_product_revenue_null_and_zero(spark):
     assert (out["b1"].revenue, out["b1"].avg_order_value, out["b1"].cvr) == (0.0, None, 0.0)
     assert (out["b2"].revenue, out["b2"].avg_order_value, out["b2"].cvr) == (None, None, None)
     assert (out["b3"].revenue, out["b3"].avg_order_value, out["b3"].purchasers) == (4.01, 2.0, 2)
+
+
+def test_stated_invariants_on_fixture(spark, catalog):
+    from clickweave.operators.checks import (
+        check_category_clean, check_category_product, check_rfm_recency)
+
+    # product-view revenue never exceeds clean revenue of the same category (unknown brands)
+    prod = check_category_product(catalog.product())
+    raw = check_category_clean(catalog.clean(), catalog.product())
+    both = prod.join(raw, "event_month").collect()
+    assert both and all(r.product_view_revenue <= r.raw_revenue + 1e-9 for r in both)
+    # a higher recency score never has a longer recency
+    rec = {r.r_score: r for r in check_rfm_recency(catalog.rfm()).collect()}
+    assert sorted(rec) == [1, 2, 3, 4, 5]
+    for s in range(1, 5):
+        assert rec[s + 1].max_recency <= rec[s].min_recency
