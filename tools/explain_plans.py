@@ -35,7 +35,8 @@ def main() -> None:
     out = ["# Physical plans of the headline queries", "",
            f"Generated by `tools/explain_plans.py` at `{sf_dir}` (AQE initial plans; the clean and raw "
            "tables are the persisted month-partitioned parquet tables).", ""]
-    for name in HEADLINE:
+    # rfm's plan starts at its checkpoint; rfm_raw shows the event-side part
+    for name in [*HEADLINE, "rfm_raw", "eda_duplicate_drilldown", "check_electronics_clean"]:
         df = QUERIES[name](spark, sf_dir)
         formatted = df._jdf.queryExecution().explainString(
             spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
