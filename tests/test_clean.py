@@ -54,3 +54,18 @@ def test_fixture_clean_count(catalog):
     # measured for the fixture at sf0.001 with both engines
     assert catalog.raw().count() == 7595
     assert catalog.clean().count() == 6047
+
+
+def test_independent_of_shuffle_partitions(spark, catalog):
+    prev = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        results = []
+        for n in ("3", "11"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            results.append(clean_events(catalog.raw()).collect())
+        a, b = results
+        assert len(a) == len(b) == 6047
+        key = lambda r: tuple("" if v is None else str(v) for v in r)
+        assert sorted(a, key=key) == sorted(b, key=key)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", prev)

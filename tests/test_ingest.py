@@ -44,3 +44,15 @@ def test_round_trip_and_partitioned_write(spark, catalog):
     table = read_event_table(spark, path + "/table", raw_table_schema())
     months = sorted(r[0] for r in table.select("event_month").distinct().collect())
     assert [str(m) for m in months] == ["2019-10-01", "2019-11-01", "2019-12-01"]
+
+
+def test_gzip_csv(spark, catalog):
+    raw = catalog.raw().select(*[f.name for f in raw_table_schema().fields][:9])
+    path = f"{shared_root(spark)}/test-gzip-{uuid.uuid4().hex[:8]}"
+    from pyspark.sql import functions as F
+
+    from clickweave.schema import CSV_TIME_FORMAT
+    cols = [F.date_format("event_time", CSV_TIME_FORMAT).alias("event_time"), *raw.columns[1:]]
+    raw.select(*cols).write.option("header", True).option("compression", "gzip").csv(path)
+    accepted, rejected = ingest_events(spark, path)
+    assert rejected.count() == 0 and accepted.count() == raw.count()
