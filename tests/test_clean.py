@@ -69,3 +69,40 @@ def test_independent_of_shuffle_partitions(spark, catalog):
         assert sorted(a, key=key) == sorted(b, key=key)
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", prev)
+
+
+from hypothesis import HealthCheck, given, settings, strategies as st  # noqa: E402
+
+
+def _brute_force_clean_keys(rows):
+    """Pure-Python reference: filter, then keep the first copy per key by (price, code, brand,
+    category id) with NULLs first."""
+    keep = {}
+    for r in rows:
+        if r["user_id"] is None or r["product_id"] is None or r["event_type"] not in ("view", "cart", "purchase"):
+            continue
+        key = (r["event_time"], r["event_type"], r["user_id"], r["user_session"], r["product_id"])
+        order = tuple((v is not None, v) for v in (r["price"], r["category_code"], r["brand"], r["category_id"]))
+        if key not in keep or order < keep[key][0]:
+            keep[key] = (order, r)
+    return sorted(((k, v[1]["price"]) for k, v in keep.items()), key=_nullsafe)
+
+
+def _nullsafe(item):
+    key, price = item
+    return tuple((v is not None, "" if v is None else str(v)) for v in (*key, price))
+
+
+@settings(max_examples=8, deadline=None, derandomize=True, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.tuples(st.integers(0, 2), st.sampled_from(["view", "cart", "purchase", "other"]),
+                          st.sampled_from(["u1", "u2", None]), st.sampled_from(["s1", None]),
+                          st.sampled_from(["p1", "p2", None]), st.sampled_from([None, 1.0, 2.5, 9.0])),
+                min_size=1, max_size=40))
+def test_clean_matches_brute_force(spark, raw_rows):
+    import datetime as dt
+
+    rows = [ev(dt.datetime(2019, 11, 1, 10, m), et, user=u, session=s, product=p, price=pr)
+            for m, et, u, s, p, pr in raw_rows]
+    got = sorted((((r.event_time, r.event_type, r.user_id, r.user_session, r.product_id), r.price)
+                  for r in clean_events(events(spark, rows)).collect()), key=_nullsafe)
+    assert got == _brute_force_clean_keys(rows)
