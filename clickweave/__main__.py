@@ -31,11 +31,11 @@ def main(argv: list[str] | None = None) -> dict:
     src = ap.add_mutually_exclusive_group(required=True)
     src.add_argument("--csv", nargs="+", help="CSV event files or globs")
     src.add_argument("--raw", help="existing month-partitioned raw table")
-    ap.add_argument("--out", required=True)
+    ap.add_argument("--out", required=True, help="output root (raw/, clean/, views/ below it)")
     ap.add_argument("--months", nargs="*", default=None, help="rebuild only these months (YYYY-MM-01)")
-    ap.add_argument("--views", nargs="*", default=list(VIEWS))
-    ap.add_argument("--input-bytes", type=int, default=None)
-    ap.add_argument("--cores", type=int, default=None)
+    ap.add_argument("--views", nargs="*", default=list(VIEWS), help="views to export (default: all)")
+    ap.add_argument("--input-bytes", type=int, default=None, help="input size, for shuffle sizing")
+    ap.add_argument("--cores", type=int, default=None, help="total executor cores, for shuffle sizing")
     args = ap.parse_args(argv)
 
     builder = SparkSession.builder.appName("clickweave")
