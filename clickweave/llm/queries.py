@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from clickweave.llm.common import read_table
+from clickweave.llm.license_scan import license_scan
 from clickweave.llm.quality_rules import quality_rules
 from clickweave.llm.source_mixing import mix_report, mix_sources
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(read_table(spark, sf_dir))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(read_table(spark, sf_dir))
 
@@ -17,5 +22,5 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_report(mix_sources(read_table(spark, sf_dir)))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op10_source_mixing)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_quality_rules, op10_source_mixing)}
 ORACLE: dict[str, str] = {}
