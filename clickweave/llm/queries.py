@@ -7,7 +7,18 @@ from pyspark.sql import DataFrame, SparkSession
 from clickweave.llm.common import read_table
 from clickweave.llm.license_scan import license_scan
 from clickweave.llm.quality_rules import quality_rules
+from clickweave.llm.rlz_substring import substring_dedup
 from clickweave.llm.source_mixing import mix_report, mix_sources
+from clickweave.llm.token_counts import token_counts
+from clickweave.llm.trie_dedup import trie_owners
+
+
+def piece_model(name: str = "piece_bpe_32k.model") -> bytes:
+    """A tokenizer file's bytes (half a megabyte), which travel with the tasks."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path(name), "rb") as f:
+        return f.read()
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,9 +29,39 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(read_table(spark, sf_dir))
 
 
+def op6_rlz_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(read_table(spark, sf_dir))[0]
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(read_table(spark, sf_dir), piece_model())
+
+
+def op9_trie_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie_owners(read_table(spark, sf_dir))
+
+
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_report(mix_sources(read_table(spark, sf_dir)))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_quality_rules, op10_source_mixing)}
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_quality_rules, op6_rlz_substring, op7_token_counts, op9_trie_dedup,
+                                  op10_source_mixing)}
+ORACLE: dict[str, str] = {
+    "op6_rlz_substring": """
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, p, array_to_string(w[p:p + 49], ' ') AS s
+        FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS p FROM d WHERE len(w) >= 50)),
+dup AS (SELECT doc_id, p FROM (SELECT doc_id, p, min(doc_id) OVER (PARTITION BY s) AS least FROM win) WHERE least < doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(p, p + 50)) AS q FROM dup),
+per AS (SELECT doc_id, list(q) AS qs FROM gone GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(len(qs), 0)::BIGINT AS n_removed,
+       sha256(array_to_string(CASE WHEN qs IS NULL THEN w ELSE
+              [z[1] FOR z IN list_zip(w, range(1, len(w) + 1)) IF NOT list_contains(qs, z[2])] END, ' ')) AS kept_sha256
+FROM d LEFT JOIN per USING (doc_id)""",
+    "op9_trie_dedup": """
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+       doc_id = max(doc_id) OVER same AS kept, sha256(t) AS text_sha256
+FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)
+WINDOW same AS (PARTITION BY t)""",
+}
