@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from clickweave.llm.common import read_table
+from clickweave.llm.compression_classifier import quality_scores
+from clickweave.llm.hyperminhash import near_duplicates
 from clickweave.llm.license_scan import license_scan
 from clickweave.llm.quality_rules import quality_rules
 from clickweave.llm.rlz_substring import substring_dedup
@@ -29,6 +31,14 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(read_table(spark, sf_dir))
 
 
+def op3_compression_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(read_table(spark, sf_dir), read_table(spark, sf_dir, "labels"))
+
+
+def op5_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read_table(spark, sf_dir))
+
+
 def op6_rlz_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(read_table(spark, sf_dir))[0]
 
@@ -45,7 +55,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_report(mix_sources(read_table(spark, sf_dir)))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_quality_rules, op6_rlz_substring, op7_token_counts, op9_trie_dedup,
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_quality_rules, op3_compression_classifier, op5_hyperminhash, op6_rlz_substring, op7_token_counts, op9_trie_dedup,
                                   op10_source_mixing)}
 ORACLE: dict[str, str] = {
     "op6_rlz_substring": """
