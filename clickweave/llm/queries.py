@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from clickweave.llm.common import read_table
 from clickweave.llm.compression_classifier import quality_scores
 from clickweave.llm.hyperminhash import near_duplicates
+from clickweave.llm.interpolation_lm import lm_scores
 from clickweave.llm.license_scan import license_scan
 from clickweave.llm.quality_rules import quality_rules
 from clickweave.llm.rlz_substring import substring_dedup
@@ -47,6 +48,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read_table(spark, sf_dir), piece_model())
 
 
+def op8_interpolation_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(read_table(spark, sf_dir))
+
+
 def op9_trie_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie_owners(read_table(spark, sf_dir))
 
@@ -55,8 +60,8 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_report(mix_sources(read_table(spark, sf_dir)))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_quality_rules, op3_compression_classifier, op5_hyperminhash, op6_rlz_substring, op7_token_counts, op9_trie_dedup,
-                                  op10_source_mixing)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_quality_rules, op3_compression_classifier, op5_hyperminhash, op6_rlz_substring, op7_token_counts,
+                                  op8_interpolation_lm, op9_trie_dedup, op10_source_mixing)}
 ORACLE: dict[str, str] = {
     "op6_rlz_substring": """
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
