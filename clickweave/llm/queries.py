@@ -11,6 +11,7 @@ from clickweave.llm.interpolation_lm import lm_scores
 from clickweave.llm.license_scan import license_scan
 from clickweave.llm.quality_rules import quality_rules
 from clickweave.llm.rlz_substring import substring_dedup
+from clickweave.llm.sentencepiece_scan import encode
 from clickweave.llm.source_mixing import mix_report, mix_sources
 from clickweave.llm.token_counts import token_counts
 from clickweave.llm.trie_dedup import trie_owners
@@ -36,6 +37,10 @@ def op3_compression_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(read_table(spark, sf_dir), read_table(spark, sf_dir, "labels"))
 
 
+def op4_sentencepiece_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode(read_table(spark, sf_dir), piece_model())
+
+
 def op5_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir))
 
@@ -60,8 +65,10 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_report(mix_sources(read_table(spark, sf_dir)))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_quality_rules, op3_compression_classifier, op5_hyperminhash, op6_rlz_substring, op7_token_counts,
-                                  op8_interpolation_lm, op9_trie_dedup, op10_source_mixing)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_quality_rules, op3_compression_classifier,
+                                  op4_sentencepiece_scan, op5_hyperminhash, op6_rlz_substring,
+                                  op7_token_counts, op8_interpolation_lm, op9_trie_dedup,
+                                  op10_source_mixing)}
 ORACLE: dict[str, str] = {
     "op6_rlz_substring": """
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
