@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import string
-from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -65,5 +64,10 @@ def free_name(df: DataFrame, wanted: str) -> str:
     return wanted
 
 
-def tidy(labels: Sequence[str]) -> list[str]:
-    return sorted(set(labels))
+def without_rows(docs: DataFrame, gone: DataFrame, limit: int = 2_000_000) -> DataFrame:
+    """``docs`` without the rows whose scan numbers (monotonically_increasing_id) are in ``gone.rid``;
+    ``docs`` must be a table, which Spark deals alike at each scan. Up to ``limit`` numbers (16 MB)
+    are broadcast; beyond, the join shuffles."""
+    name = free_name(docs, "_row")
+    numbered = docs.withColumn(name, F.monotonically_increasing_id())
+    return numbered.join(bounded(gone.select(F.col("rid").alias(name)), limit=limit), name, "left_anti").select(*docs.columns)

@@ -31,7 +31,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from clickweave.llm.common import bounded, text_or_empty, written
+from clickweave.llm.common import bounded, text_or_empty, without_rows, written
 from clickweave.llm.components import connected_components
 
 BUCKET_BITS, MANTISSA = 7, 10
@@ -86,9 +86,9 @@ def band_keys(regs: np.ndarray) -> np.ndarray:
     return key
 
 
-_SKETCH = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("regs", pa.list_(pa.int32())),
+_SKETCH = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("regs", pa.list_(pa.int32())),
                      ("bands", pa.list_(pa.int64()))])
-_SKETCH_DDL = "doc_id long, n long, digest binary, regs array<int>, bands array<long>"
+_SKETCH_DDL = "rid long, doc_id long, n long, digest binary, regs array<int>, bands array<long>"
 
 
 def _lists(parts: list[np.ndarray], kind: pa.DataType, as_: type) -> pa.ListArray:
@@ -102,13 +102,13 @@ def _sketches(batches: Iterable[pa.RecordBatch], words: int) -> Iterator[pa.Reco
         for at in range(0, batch.num_rows, 1000):
             part = batch.slice(at, 1000)
             n, digests, regs, bands = [], [], [], []
-            for text in part.column(1):
+            for text in part.column(2):
                 s = shingle_set(text.as_buffer().to_pybytes(), words)
                 n.append(len(s))
                 digests.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 regs.append(registers(s) if len(s) else np.zeros(0, np.int32))
                 bands.append(band_keys(regs[-1]) if len(s) else np.zeros(0, np.uint64))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()),
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(digests, pa.binary()),
                                               _lists(regs, pa.int32(), np.int32), _lists(bands, pa.int64(), np.int64)], schema=_SKETCH)
 
 
@@ -154,9 +154,11 @@ def _linked(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, pe
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept."""
+    """One row per row of ``docs``: rid (the scan's row number), doc_id, n_shingles, component_id, kept."""
+    numbered = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"),
+                           text_or_empty().cast("binary").alias("text"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().cast("binary").alias("text"))
-    sketches = written(texts.mapInArrow(lambda b: _sketches(b, words), _SKETCH_DDL), "near-sketches")
+    sketches = written(numbered.mapInArrow(lambda b: _sketches(b, words), _SKETCH_DDL), "near-sketches")
     owners = written(sketches.where("doc_id is not null and n > 0").groupBy("digest").agg(F.min("doc_id").alias("id")), "near-owners")
     nodes = written(sketches.join(owners.select(F.col("digest").alias("d_"), "id"), (F.col("digest") == F.col("d_")) & (F.col("doc_id") == F.col("id")))
                     .dropDuplicates(["digest"]).select("id", "n", "regs", "bands"), "near-nodes")
@@ -187,7 +189,13 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80) -> DataF
         done = 2 * done + 1
 
     named = owners.join(found, "id", "left").select(F.col("digest").alias("d_"), F.coalesce("component", "id").alias("by_set"))
-    rows = sketches.select("doc_id", "n", "digest").join(named, F.col("digest") == F.col("d_"), "left")
+    rows = sketches.select("rid", "doc_id", "n", "digest").join(named, F.col("digest") == F.col("d_"), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("by_set", "doc_id"))
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"),
+    return rows.select("rid", "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"),
                        F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` (a table) without near-duplicates: of each component the row of its
+    smallest id stays."""
+    return without_rows(docs, near_duplicates(docs, words, percent).where("not kept").select("rid"))

@@ -26,7 +26,7 @@ import string
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from clickweave.llm.common import WORD, bounded, count_of, text_or_empty, words_of, written
+from clickweave.llm.common import WORD, bounded, count_of, text_or_empty, without_rows, words_of, written
 
 SYMBOLS = "#*$%&|<>"
 GRID = 512
@@ -63,14 +63,14 @@ def _covered_words(h: Column) -> Column:
 
 
 def text_counts(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, source and the counts of each row's whole text."""
+    """rid (the scan's row number), doc_id, lang, source and the counts of each row's whole text."""
     text, lines = F.col("t"), F.col("lines")
     punctuation = "".join(c for c in string.punctuation if c not in SYMBOLS)
-    d = (docs.select(F.col("doc_id").cast("long"), "lang", "source", text_or_empty().alias("t"))
+    d = (docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long"), "lang", "source", text_or_empty().alias("t"))
          .withColumn("words", words_of(text)).withColumn("h", _window_hashes(F.col("words")))
          .withColumn("lines", F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, " \t\x0b\x0c\r", "")) > 0)))
     return d.select(
-        "doc_id", "lang", "source", F.size("words").cast("long").alias("n_words"),
+        "rid", "doc_id", "lang", "source", F.size("words").cast("long").alias("n_words"),
         F.length(F.translate(text, " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
         count_of(text, SYMBOLS).cast("long").alias("n_symbols"),
         (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
@@ -169,7 +169,7 @@ def _estimate(rows: DataFrame, share: float) -> DataFrame:
 
 def quality_rules(docs: DataFrame, cutoff: float = 25.0, share: float = 0.75, steps: int = 4,
                   min_rows: int = 100) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_words, word_chars, n_symbols, n_dup_lines,
+    """One row per row of ``docs``: rid, doc_id, n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words, base_failed, kept, distance (squared; NULL where no group judges it)."""
     counts = written(_statistics(text_counts(docs)), "quality-counts")
     groups = written(_groups(counts, min_rows), "quality-groups")
@@ -185,9 +185,14 @@ def quality_rules(docs: DataFrame, cutoff: float = 25.0, share: float = 0.75, st
     estimate = written(estimate.drop("half").join(final, "g"), "mcd-final")
     scaled = _with_distance(rows.where(F.col("g").isNotNull()), estimate.drop("half"), n).join(bounded(estimate.select("g", "half"), n), "g")
     wider = F.greatest(F.lit(1.0), F.col("half") / CHI2_MEDIAN)
-    out = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    out = ("rid", "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
     distance = F.col("far") / wider * F.col("n_words") / (F.col("n_words") + 50)
     scaled = scaled.select(*out, distance.alias("distance"))
     rest = rows.where(F.col("g").isNull()).select(*out, F.lit(None).cast("double").alias("distance"))
     return scaled.unionByName(rest).select(
         *out, (~F.col("base_failed") & ~F.coalesce(F.col("distance") > cutoff, F.lit(False))).alias("kept"), "distance")
+
+
+def good_documents(docs: DataFrame, **params) -> DataFrame:
+    """The rows of ``docs`` (a table) that the rules keep."""
+    return without_rows(docs, quality_rules(docs, **params).where("not kept").select("rid"))

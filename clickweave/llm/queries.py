@@ -30,7 +30,7 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules(read_table(spark, sf_dir))
+    return quality_rules(read_table(spark, sf_dir)).drop("rid")
 
 
 def op3_compression_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,7 +42,7 @@ def op4_sentencepiece_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(read_table(spark, sf_dir))
+    return near_duplicates(read_table(spark, sf_dir)).drop("rid")
 
 
 def op6_rlz_substring(spark: SparkSession, sf_dir: str) -> DataFrame:

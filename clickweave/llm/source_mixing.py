@@ -27,7 +27,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from clickweave.llm.common import WORD, bounded, written
+from clickweave.llm.common import WORD, bounded, free_name, words_of, written
 
 WEIGHTS = (5, 2, 1)
 _RUN = 4096
@@ -155,17 +155,17 @@ def mix_documents(docs: DataFrame, **params) -> DataFrame:
     words taken in that pass; a text taken whole stays as it is. Row ids are the scan's, so ``docs``
     must be a table that reads the same each time."""
     mix = mix_sources(docs, **params)
+    row, size, passes, one = (free_name(docs, x) for x in ("_row", "_size", "_passes", "_pass"))
     by_pass = (mix.spans().groupBy("rid", "epoch")
                .agg(F.sum(F.col("hi") - F.col("lo")).alias("got"), F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("parts"))
-               .groupBy("rid").agg(F.collect_list(F.struct("got", "parts")).alias("passes")))
-    by_pass = (by_pass.join(mix.sized.select("rid", "size"), "rid")
-               .select(F.col("rid").alias("_rid"), F.col("size").alias("_size"), F.col("passes").alias("_passes")))
-    n_chars = [c for c in docs.columns if c == "n_chars"]
-    rows = (docs.withColumn("_rid", F.monotonically_increasing_id()).join(by_pass, "_rid")
-            .withColumn("_pass", F.explode("_passes")))
-    cut = F.expr(f"array_join(flatten(transform(_pass.parts, p -> slice(regexp_extract_all(text, '{WORD}', 0), "
-                 "cast(p.lo + 1 as int), cast(p.hi - p.lo as int)))), ' ')".replace("\\", "\\\\"))
-    rows = rows.withColumn("text", F.when(F.col("_pass.got") == F.col("_size"), F.col("text")).otherwise(cut))
-    for c in n_chars:
-        rows = rows.withColumn(c, F.length("text").cast(docs.schema[c].dataType))
+               .groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("epoch", "got", "parts"))).alias(passes)))
+    by_pass = by_pass.join(mix.sized.select("rid", F.col("size").alias(size)), "rid").withColumnRenamed("rid", row)
+    rows = (docs.withColumn(row, F.monotonically_increasing_id()).join(by_pass, row)
+            .withColumn(one, F.explode(passes)))
+    words = words_of(F.col("text"))
+    cut = F.array_join(F.flatten(F.transform(F.col(f"{one}.parts"), lambda p: F.slice(
+        words, (p.lo + 1).cast("int"), (p.hi - p.lo).cast("int")))), " ")
+    rows = rows.withColumn("text", F.when(F.col(f"{one}.got") == F.col(size), F.col("text")).otherwise(cut))
+    if "n_chars" in docs.columns:
+        rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return rows.select(*docs.columns)
