@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -16,6 +17,10 @@ SESSION_DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # stateful streaming keeps its keys on disk, not in executor heap
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
@@ -64,8 +69,9 @@ def _context(spark: SparkSession):
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the session's checkpoint folder.
 
-    On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as is.
-    Only when it is unset (local tests) a private folder is created and registered.
+    On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as is. Only a local
+    master may leave it unset (tests): a private folder is created and registered. Elsewhere a
+    folder of the driver's machine would be out of the executors' reach, so that is an error.
     """
     sc = _context(spark)
     if sc is not None:
@@ -76,6 +82,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if configured:
             sc.setCheckpointDir(configured)
             return sc.getCheckpointDir()
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         local = tempfile.mkdtemp(prefix="clickweave-ckpt-")
         sc.setCheckpointDir(local)
         return sc.getCheckpointDir()
@@ -102,3 +110,10 @@ def local_path(path: str) -> str | None:
     if "://" not in path and os.path.isabs(path):
         return path
     return None
+
+
+def delete_path(spark: SparkSession, path: str) -> bool:
+    """Remove a folder or file that this library wrote, in whatever store it is."""
+    sc = spark.sparkContext
+    target = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True))

@@ -17,7 +17,7 @@ from clickweave.functions.dims import brand_norm, category_top, price_bucket, ti
 from clickweave.schema import (
     CLEAN_COLUMNS, DEDUP_KEY, DEDUP_ORDER, DEFAULT_PARAMS, EventNames, Params, UNKNOWN,
 )
-from clickweave.sources.tables import MONTH, restrict_period, write_event_table
+from clickweave.sources.tables import MONTH, drop_months, restrict_period, write_event_table
 
 
 def clean_filter(raw: DataFrame, names: EventNames = EventNames()) -> DataFrame:
@@ -72,8 +72,13 @@ def clean_events(raw: DataFrame, params: Params = DEFAULT_PARAMS) -> DataFrame:
 
 def rebuild_months(raw: DataFrame, clean_path: str, months: Iterable, params: Params = DEFAULT_PARAMS) -> None:
     """Re-clean only ``months`` (DATEs, first of month) and replace those partitions of the
-    clean table in place; other months are untouched (dynamic partition overwrite)."""
+    clean table in place; other months are untouched (dynamic partition overwrite). A month that
+    has no valid rows any more loses its partition."""
     months = list(months)
-    src = raw.where(F.col(MONTH).isin(months)) if MONTH in raw.columns else raw.where(
-        F.trunc(F.to_date("event_time"), "MM").isin(months))
+    month = F.col(MONTH) if MONTH in raw.columns else F.trunc(F.to_date("event_time"), "MM")
+    src = raw.where(month.isin(months))
+    # the filter alone decides whether a month is empty: de-duplication keeps a row of every key
+    valid = clean_filter(src if params.period is None else restrict_period(src, *params.period), params.events)
+    left = {r[0] for r in valid.select(F.trunc(F.to_date("event_time"), "MM").alias("m")).distinct().collect()}
     write_event_table(clean_events(src, params), clean_path)
+    drop_months(raw.sparkSession, clean_path, [m for m in months if m not in left])

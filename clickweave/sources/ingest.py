@@ -1,63 +1,67 @@
-"""Typed CSV ingest with rejection of rows that miss a required column.
+"""CSV ingest with rejection of rows that break the schema.
 
-The declared schema is applied, never inferred. A row is rejected, with a reason, when it
-cannot be parsed (bad timestamp, non-numeric price, wrong arity) or when a REQUIRED column
-(event_time, event_type) is empty. Spark file sources do not enforce ``nullable=False``,
-so the check is explicit.
+All nine fields are read as strings and the declared types are applied by expressions, so a row is
+accepted or rejected for what it holds, whatever columns a query reads of it. Reasons: a wrong
+number of fields, a time or price that does not parse, an empty REQUIRED column (event_time,
+event_type). A file whose header names other columns, or in another order, is refused.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from clickweave.schema import CSV_TIME_FORMAT, EVENT_COLUMNS, EVENT_SCHEMA, REQUIRED_COLUMNS
 from clickweave.sources.tables import raw_table_schema, read_event_table, write_event_table
 
 _CORRUPT = "_corrupt_record"
+REJECTED_COLUMNS = (*EVENT_COLUMNS, "raw_record", "reason")
 
 
-def _read_schema() -> T.StructType:
-    fields = [T.StructField(f.name, f.dataType, True) for f in EVENT_SCHEMA.fields]
-    return T.StructType([*fields, T.StructField(_CORRUPT, T.StringType(), True)])
+def _typed(field: T.StructField, time_format: str) -> Column:
+    c = F.col(field.name)
+    if isinstance(field.dataType, T.StringType):
+        return c
+    if isinstance(field.dataType, T.TimestampNTZType):
+        return F.try_to_timestamp(c, F.lit(time_format)).cast(field.dataType)
+    return c.try_cast(field.dataType)
 
 
 def ingest_events(spark: SparkSession, paths: str | Sequence[str], out: str | None = None,
-                  time_format: str = CSV_TIME_FORMAT) -> tuple[DataFrame, DataFrame]:
+                  time_format: str = CSV_TIME_FORMAT, mode: str = "append") -> tuple[DataFrame, DataFrame]:
     """Load CSV event files. Returns ``(accepted, rejected)``.
 
-    ``accepted`` has the nine canonical columns. ``rejected`` has the parsed columns, the
-    raw line (``raw_record``, NULL when the line parsed) and a ``reason``. With ``out``,
-    accepted rows are written as the month-partitioned table at ``out`` and rejected rows
-    as parquet at ``out + '_rejected'``.
+    ``accepted`` has the nine canonical columns, typed. ``rejected`` has the nine fields as read, the
+    raw line where the number of fields is wrong, and a ``reason``. With ``out``, accepted rows are
+    added to the month-partitioned table at ``out`` (``mode='overwrite'`` replaces the months that
+    the files hold) and rejected rows to parquet at ``out + '_rejected'``; each write parses the
+    files once, and nothing is kept on executor disks in between.
     """
-    df = (spark.read.schema(_read_schema())
-          .option("header", True)
-          .option("mode", "PERMISSIVE")
-          .option("columnNameOfCorruptRecord", _CORRUPT)
-          .option("timestampNTZFormat", time_format)
+    strings = T.StructType([T.StructField(c, T.StringType(), True) for c in (*EVENT_COLUMNS, _CORRUPT)])
+    df = (spark.read.schema(strings)
+          .option("header", True).option("enforceSchema", False)
+          .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", _CORRUPT)
+          .option("columnPruning", False)  # else the number of fields is not checked
           .csv(list(paths) if not isinstance(paths, str) else paths))
     reason = F.when(F.col(_CORRUPT).isNotNull(), F.lit("malformed_row"))
+    for f in EVENT_SCHEMA.fields:
+        if not isinstance(f.dataType, T.StringType):
+            reason = reason.when(F.col(f.name).isNotNull() & _typed(f, time_format).isNull(), F.lit(f"bad_{f.name}"))
     for c in REQUIRED_COLUMNS:
         reason = reason.when(F.col(c).isNull(), F.lit(f"missing_{c}"))
     tagged = df.withColumn("reason", reason)
-    if out is not None:
-        # both outputs come from one parse of the files: spill the tagged rows to executor
-        # disk for the two writes (recomputed from the files if an executor is lost)
-        tagged = tagged.persist(StorageLevel.DISK_ONLY)
-    accepted = tagged.where(F.col("reason").isNull()).select(*EVENT_COLUMNS)
+    accepted = tagged.where(F.col("reason").isNull()).select(
+        *[_typed(f, time_format).alias(f.name) for f in EVENT_SCHEMA.fields])
     rejected = tagged.where(F.col("reason").isNotNull()).select(
         *EVENT_COLUMNS, F.col(_CORRUPT).alias("raw_record"), "reason")
     if out is None:
         return accepted, rejected
     rejected_path = out.rstrip("/") + "_rejected"
-    write_event_table(accepted, out)
-    rejected.write.mode("overwrite").parquet(rejected_path)
-    tagged.unpersist()
+    write_event_table(accepted, out, mode=mode)
+    rejected.write.mode(mode).parquet(rejected_path)
     return (read_event_table(spark, out, raw_table_schema()).select(*EVENT_COLUMNS),
-            spark.read.parquet(rejected_path))
+            spark.read.schema(rejected.schema).parquet(rejected_path))
 
 
 def export_csv(df: DataFrame, path: str, time_format: str = CSV_TIME_FORMAT) -> None:

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from clickweave.config import delete_path
 from clickweave.schema import EVENT_SCHEMA
 
 MONTH = "event_month"
@@ -25,15 +26,24 @@ def with_month(df: DataFrame, ts: str = "event_time") -> DataFrame:
 def write_event_table(df: DataFrame, path: str, cluster_by: Sequence[str] = ("event_type", "user_id"),
                       mode: str = "overwrite", max_records_per_file: int = 20_000_000) -> None:
     """Write ``df`` partitioned by month. With ``mode='overwrite'`` only the months present in
-    ``df`` are replaced (dynamic partition overwrite). Each task writes one sorted file per
-    month it holds, split every ``max_records_per_file`` rows."""
-    out = with_month(df).sortWithinPartitions(MONTH, *cluster_by)
+    ``df`` are replaced (dynamic partition overwrite); ``mode='append'`` adds to them.
+
+    Rows are rebalanced by month first: adaptive execution splits a large month into tasks of the
+    advisory size and packs small ones, so a month has about (its bytes / advisory size) sorted
+    files however many tasks computed it."""
+    out = with_month(df).hint("rebalance", MONTH).sortWithinPartitions(MONTH, *cluster_by)
     (out.write.mode(mode)
         .option("partitionOverwriteMode", "dynamic")
         .option("maxRecordsPerFile", max_records_per_file)
         .partitionBy(MONTH).parquet(path))
 
 
+def drop_months(spark: SparkSession, path: str, months: Sequence) -> None:
+    """Remove the partitions of ``months`` (DATEs)."""
+    for month in months:
+        delete_path(spark, f"{path.rstrip('/')}/{MONTH}={month}")
+
+
 def restrict_period(df: DataFrame, start, end) -> DataFrame:
     """Rows with start <= event month < end (DATEs, first of month). On a month-partitioned
     table the predicate is on the partition column and prunes directories."""

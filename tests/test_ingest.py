@@ -1,11 +1,13 @@
 import uuid
 
+import pytest
+
 from clickweave.config import shared_root
 from clickweave.sources.ingest import export_csv, ingest_events
 from clickweave.sources.tables import read_event_table, raw_table_schema
 
 HEADER = "event_time,event_type,product_id,category_id,category_code,brand,price,user_id,user_session\n"
-GOOD = "2019-11-17 16:58:15 UTC,cart,1004836,2053013555631882655,electronics.smartphone,samsung,244.02,518642416,s1\n"
+GOOD = "2019-11-17 16:58:15 UTC,cart,4711,205,audio.headphone,acme,244.02,u77,s1\n"
 
 
 def _write(spark, text):
@@ -18,20 +20,52 @@ def _write(spark, text):
     return path
 
 
+BAD = [
+    (",view,1,2,a.b,x,1.0,u,s\n", "missing_event_time"),
+    ("2019-11-17 16:58:15 UTC,,1,2,a.b,x,1.0,u,s\n", "missing_event_type"),
+    ("2019-13-45 99:00:00 UTC,view,1,2,a.b,x,1.0,u,s\n", "bad_event_time"),
+    ("2019-11-17 16:58:15 UTC,view,1,2,a.b,x,abc,u,s\n", "bad_price"),
+    ("2019-11-17 16:58:15 UTC,view,1,2\n", "malformed_row"),
+    ("2019-11-17 16:58:15 UTC,view,1,2,a.b,x,1.0,u,s,more\n", "malformed_row"),
+]
+
+
 def test_rejects_with_reasons(spark):
-    bad = [
-        ",view,1,2,a.b,x,1.0,u,s\n",                                  # empty event_time
-        "2019-11-17 16:58:15 UTC,,1,2,a.b,x,1.0,u,s\n",               # empty event_type
-        "2019-13-45 99:00:00 UTC,view,1,2,a.b,x,1.0,u,s\n",           # malformed time
-        "2019-11-17 16:58:15 UTC,view,1,2,a.b,x,abc,u,s\n",           # non-numeric price
-    ]
-    path = _write(spark, HEADER + GOOD + "".join(bad))
+    path = _write(spark, HEADER + GOOD + "".join(b for b, _ in BAD))
     accepted, rejected = ingest_events(spark, path)
     acc = accepted.collect()
-    assert len(acc) == 1 and acc[0].price == 244.02 and acc[0].user_id == "518642416"
+    assert len(acc) == 1 and acc[0].price == 244.02 and acc[0].user_id == "u77"
     assert str(acc[0].event_time) == "2019-11-17 16:58:15"
-    reasons = sorted(r.reason for r in rejected.collect())
-    assert reasons == ["malformed_row", "malformed_row", "missing_event_time", "missing_event_type"]
+    rej = rejected.collect()
+    assert sorted(r.reason for r in rej) == sorted(reason for _, reason in BAD)
+    assert sorted(r.raw_record for r in rej if r.reason == "malformed_row") == sorted(b.strip() for b, r in BAD if r == "malformed_row")
+
+
+def test_row_sets_do_not_depend_on_the_columns_read(spark):
+    path = _write(spark, HEADER + GOOD + "".join(b for b, _ in BAD))
+    accepted, rejected = ingest_events(spark, path)
+    assert accepted.count() == 1 and rejected.count() == len(BAD)
+    assert all(len(accepted.select(c).collect()) == 1 for c in accepted.columns)
+    assert all(len(rejected.select(c).collect()) == len(BAD) for c in rejected.columns)
+    assert [tuple(r) for r in accepted.groupBy("event_type").count().collect()] == [("cart", 1)]
+
+
+def test_a_reordered_header_is_refused(spark):
+    names = HEADER.strip().split(",")
+    path = _write(spark, ",".join([names[-1], *names[:-1]]) + "\n" + GOOD)
+    for read in (lambda df: df.count(), lambda df: df.select("brand").collect()):
+        with pytest.raises(Exception, match="header"):
+            read(ingest_events(spark, path)[0])
+
+
+def test_a_second_file_of_a_month_is_added(spark):
+    out = f"{shared_root(spark)}/test-append-{uuid.uuid4().hex[:8]}"
+    first, rejected = ingest_events(spark, _write(spark, HEADER + GOOD + BAD[0][0]), out=out)
+    second, rejected = ingest_events(spark, _write(spark, HEADER + GOOD.replace("-17 ", "-18 ") + BAD[1][0]), out=out)
+    assert sorted(str(r.event_time.date()) for r in second.collect()) == ["2019-11-17", "2019-11-18"]
+    assert rejected.count() == 2
+    only, _ = ingest_events(spark, _write(spark, HEADER + GOOD.replace("-17 ", "-19 ")), out=out, mode="overwrite")
+    assert [str(r.event_time.date()) for r in only.collect()] == ["2019-11-19"]
 
 
 def test_round_trip_and_partitioned_write(spark, catalog):

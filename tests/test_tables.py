@@ -35,6 +35,23 @@ def test_rebuild_one_month_leaves_others_untouched(spark, catalog):
     assert got.count() == catalog.clean().count()
 
 
+def test_rebuilding_a_month_without_rows_removes_it(spark, catalog):
+    path = f"{shared_root(spark)}/test-empty-month-{uuid.uuid4().hex[:8]}"
+    raw = catalog.raw()
+    write_event_table(clean_events(raw), path)
+    gone = raw.where("event_month <> date'2019-11-01' or event_type = 'remove_from_cart'")
+    rebuild_months(gone, path, [dt.date(2019, 11, 1), dt.date(2019, 12, 1)])
+    months = {str(r[0]) for r in spark.read.parquet(path).select("event_month").distinct().collect()}
+    assert months == {"2019-10-01", "2019-12-01"}
+
+
+def test_files_per_month_follow_the_data_not_the_tasks(spark, catalog):
+    path = f"{shared_root(spark)}/test-files-{uuid.uuid4().hex[:8]}"
+    write_event_table(catalog.raw().repartition(16), path)
+    files = _mtimes(local_path(path))
+    assert len(files) <= 6 and len({os.path.dirname(f) for f in files}) == 3
+
+
 def test_month_check_prunes_partitions(catalog):
     df = check_month_completeness(catalog.raw(), dt.date(2019, 12, 1))
     plan = df._jdf.queryExecution().executedPlan().toString()
