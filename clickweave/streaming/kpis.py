@@ -4,7 +4,8 @@ Exact distinct counts are not supported by a single streaming aggregation, so th
 distinct-user measures use two chained windowed aggregations in append mode: first per
 (window, user), then per window over those rows. State is bounded by the users active in
 the open windows and is dropped when the watermark passes a window's end; a window is
-emitted once closed, so the newest window of a finished stream stays open.
+emitted once closed, so the newest window of a finished stream stays open, and rows behind the
+watermark are dropped. ``complete`` has every day and every row.
 """
 
 from __future__ import annotations

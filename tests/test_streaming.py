@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 from clickweave.config import shared_root
 from clickweave.operators.clean import clean_events
 from clickweave.schema import DEDUP_KEY, EVENT_COLUMNS, EVENT_SCHEMA
-from clickweave.streaming import stream_clean, stream_daily_kpis
+from clickweave.streaming import stream_clean, stream_daily_kpis, stream_kpi_table
+from clickweave.streaming.complete import daily_kpis, read_stream_clean, read_stream_kpis
 
 
 def _split_source(spark, catalog, parts=4):
@@ -36,6 +37,37 @@ def test_stream_dedup_equals_batch_on_keys(spark, catalog):
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
 
 
+def test_complete_tables_of_unsorted_files(spark, catalog):
+    """Files in no time order, one per micro-batch: every row and every payload column of the batch
+    table, and every day's KPIs."""
+    root = f"{shared_root(spark)}/test-complete-{uuid.uuid4().hex[:8]}"
+    catalog.raw().select(*EVENT_COLUMNS).repartition(4, F.xxhash64("event_time", "price")).write.parquet(f"{root}/src")
+    src = spark.readStream.schema(EVENT_SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{root}/src")
+    query = stream_kpi_table(src, f"{root}/t").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert sum(o.get("numRowsDroppedByWatermark", 0) for p in query.recentProgress for o in p["stateOperators"]) == 0
+    assert len([p for p in query.recentProgress if p["numInputRows"]]) > 2
+    got, want = read_stream_clean(spark, f"{root}/t"), catalog.clean()
+    assert got.columns == want.columns
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+    days, batch = read_stream_kpis(spark, f"{root}/t"), daily_kpis(want)
+    assert days.count() == 92
+    assert days.exceptAll(batch).isEmpty() and batch.exceptAll(days).isEmpty()
+
+
+def test_a_repeated_micro_batch_changes_nothing(spark):
+    from helpers import ev, events
+
+    from clickweave.streaming.complete import _absorb
+    from clickweave.schema import DEFAULT_PARAMS
+
+    root = f"{shared_root(spark)}/test-repeat-{uuid.uuid4().hex[:8]}"
+    rows = events(spark, [ev("2019-11-10 09:00:00", "view", user="a"), ev("2019-11-10 09:00:00", "view", user="a", price=1.0)])
+    for batch_id in (0, 0, 1):
+        _absorb(rows, batch_id, f"{root}/raw", f"{root}/clean", DEFAULT_PARAMS)
+        assert read_stream_clean(spark, root).count() == 1
+
+
 def test_stream_kpis_exact_columns(spark, catalog):
     root = _split_source(spark, catalog, parts=3)
     src = spark.readStream.schema(EVENT_SCHEMA).option("maxFilesPerTrigger", 1) \
