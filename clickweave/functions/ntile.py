@@ -3,13 +3,15 @@
 ``NTILE(k) OVER (ORDER BY v)`` with no PARTITION BY makes Spark move every row into
 one task. Here the order is cut into value buckets first:
 
-1. ``approxQuantile`` gives at most B-1 distinct boundaries (B = n / rows_per_task).
+1. ``approxQuantile`` gives at most B-1 distinct boundaries. B is n / rows_per_task, and at least
+   twice the shuffle partitions, so that ranking always uses the whole cluster.
 2. Every row gets a bucket that is a pure function of its value: ``2k`` for values strictly
    between boundary k-1 and k, ``2k+1`` for a value equal to boundary k. A tied boundary
    value is further split by the first hex digits of a hash column, which is the first
-   tie-break key, so bucket order stays consistent with the total order.
-3. Row counts per bucket form the bucket table (bounded by the number of buckets); a running
-   sum over it gives each bucket's rank offset.
+   tie-break key, so bucket order stays consistent with the total order. There are as many
+   digits as it takes to cut n equal values into parts of rows_per_task.
+3. Row counts per (bucket, part) form the bucket table; a running sum over the buckets (a few
+   times B rows) and one inside each bucket give the rank offsets.
 4. Rows join the bucket table (broadcast while its row bound is below ``BROADCAST_MAX_ROWS``)
    and are ranked with ``row_number`` inside their bucket: offset + position is the global
    rank, from which the tile follows. Every ranking task holds one bucket of bounded size.
@@ -26,9 +28,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-HASH_PREFIX = 2          # hex digits used to split a tied value: 16**2 = 256 ways
-# The bucket table has at most about (B + 2) * 257 rows for B value buckets; above this
-# bound it is joined by shuffle instead of broadcast.
+# The bucket table has at most (B + 4) * (1 + 16 ** digits) rows for B value buckets; above
+# this bound it is joined by shuffle instead of broadcast.
 BROADCAST_MAX_ROWS = 500_000
 _V, _B, _S = "_nt_v", "_nt_b", "_nt_s"
 
@@ -52,8 +53,18 @@ def _ntile_col(rank: Column, n: int, k: int) -> Column:
     return F.when(rank < F.lit(big), first).otherwise(rest).cast("int")
 
 
+def bucket_count(n: int, rows_per_task: int, partitions: int) -> int:
+    """Value buckets for n rows: bounded parts, and enough of them for every task of a shuffle."""
+    return max(1, min(n, max(math.ceil(n / max(1, rows_per_task)), 2 * partitions)))
+
+
+def tie_digits(n: int, rows_per_task: int) -> int:
+    """Hex digits that cut n rows of one value into parts of about rows_per_task; at least two."""
+    return max(2, math.ceil(math.log(max(1.0, n / max(1, rows_per_task)), 16)))
+
+
 def _boundaries(values: DataFrame, n: int, rows_per_task: int) -> list[float]:
-    buckets = max(1, math.ceil(n / max(1, rows_per_task)))
+    buckets = bucket_count(n, rows_per_task, int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     if buckets == 1:
         return []
     probs = [i / buckets for i in range(1, buckets)]
@@ -102,6 +113,7 @@ class NtilePlan:
     tiebreak: tuple[str, ...]
     buckets: DataFrame | None
     max_buckets: int
+    digits: int
 
 
 def _value_col(value: str | Column, ascending: bool) -> Column:
@@ -110,14 +122,14 @@ def _value_col(value: str | Column, ascending: bool) -> Column:
 
 
 def _bucket_and_sub(df: DataFrame, bounds: list[float], nulls_first: bool, hash_col: str,
-                    nan_first: bool = False) -> DataFrame:
+                    digits: int, nan_first: bool = False) -> DataFrame:
     bucketed = _with_bucket(df, bounds, nulls_first, nan_first)
     b = F.col(_B)
     tied = (b % 2 == 1) | (b < 0) | (b >= 2 * len(bounds) + 2)     # one value per bucket
     if not bounds:
         tied = b != 0
     return bucketed.withColumn(
-        _S, F.when(tied, F.substring(F.col(hash_col), 1, HASH_PREFIX)).otherwise(F.lit("")))
+        _S, F.when(tied, F.substring(F.col(hash_col), 1, digits)).otherwise(F.lit("")))
 
 
 def plan_ntile(df: DataFrame, value: str | Column, k: int, tiebreak: Sequence[str], hash_col: str,
@@ -133,18 +145,23 @@ def plan_ntile(df: DataFrame, value: str | Column, k: int, tiebreak: Sequence[st
     base = df.withColumn(_V, vcol)
     n = base.count() if n is None else n
     bounds = _boundaries(base.select(_V), n, rows_per_task) if n else []
-    # open intervals and the two NULL slots hold one sub-bucket; tied values up to 16**HASH_PREFIX
-    max_buckets = (len(bounds) + 4) * (1 + 16 ** HASH_PREFIX)
+    # open intervals and the two NULL slots hold one part; tied values up to 16 ** digits
+    digits = tie_digits(n, rows_per_task)
+    max_buckets = (len(bounds) + 4) * (1 + 16 ** digits)
     if n == 0:
-        return NtilePlan(vcol, k, n, bounds, nulls_first, not ascending, hash_col, tuple(tiebreak), None, 0)
+        return NtilePlan(vcol, k, n, bounds, nulls_first, not ascending, hash_col, tuple(tiebreak), None, 0, digits)
     # NaN sorts above every number; after negation for a descending order it must come first
-    counts = (_bucket_and_sub(base, bounds, nulls_first, hash_col, nan_first=not ascending)
+    counts = (_bucket_and_sub(base, bounds, nulls_first, hash_col, digits, nan_first=not ascending)
               .groupBy(_B, _S).agg(F.count(F.lit(1)).alias("_nt_c")))
-    before = Window.orderBy(_B, _S).rowsBetween(Window.unboundedPreceding, -1)
-    off = F.coalesce(F.sum("_nt_c").over(before), F.lit(0)).cast("long")
-    buckets = counts.withColumn("_nt_off", off).select(_B, _S, "_nt_off")
+    over_buckets = Window.orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(_B).orderBy(_S).rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0).cast("long")
+    starts = (counts.groupBy(_B).agg(F.sum("_nt_c").alias("_nt_c"))
+              .select(_B, F.coalesce(F.sum("_nt_c").over(over_buckets), zero).alias("_nt_start")))
+    buckets = (counts.withColumn("_nt_in", F.coalesce(F.sum("_nt_c").over(inside), zero)).join(starts, _B)
+               .select(_B, _S, (F.col("_nt_start") + F.col("_nt_in")).alias("_nt_off")))
     return NtilePlan(vcol, k, n, bounds, nulls_first, not ascending, hash_col, tuple(tiebreak), buckets,
-                     max_buckets)
+                     max_buckets, digits)
 
 
 def apply_ntile(df: DataFrame, plan: NtilePlan, out: str) -> DataFrame:
@@ -157,7 +174,7 @@ def apply_ntile(df: DataFrame, plan: NtilePlan, out: str) -> DataFrame:
     if plan.max_buckets <= BROADCAST_MAX_ROWS:
         table = F.broadcast(table)
     joined = _bucket_and_sub(df.withColumn(_V, plan.value), plan.bounds, plan.nulls_first,
-                             plan.hash_col, plan.nan_first).join(table, [_B, _S])
+                             plan.hash_col, plan.digits, plan.nan_first).join(table, [_B, _S])
     order = [F.col(_V).asc_nulls_first(), *[F.col(c).asc_nulls_first() for c in plan.tiebreak]]
     w = Window.partitionBy(_B, _S).orderBy(*order)
     rank = F.col("_nt_off") + F.row_number().over(w) - 1
