@@ -7,8 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from clickweave.functions.dims import category_depth
-from clickweave.functions.ntile import exact_percentiles_disc
-from clickweave.functions.numeric import pct, round_n
+from clickweave.functions.numeric import money, pct, round_n
 from clickweave.schema import DEDUP_KEY, EventNames
 from clickweave.sources.tables import with_month
 
@@ -61,26 +60,36 @@ def category_depth_histogram(raw: DataFrame) -> DataFrame:
 
 
 def purchase_price_profile(raw: DataFrame, names: EventNames = EventNames(), exact: bool = False,
-                           accuracy: int = 10_000, rows_per_task: int = 2_000_000) -> DataFrame:
+                           accuracy: int = 10_000) -> DataFrame:
     """Purchase prices: min, max, mean (2dp), quartiles, zero and NULL counts.
 
     ``exact=False`` uses mergeable quantile sketches (one pass, bounded memory), like the
-    approximate quantiles of the source model. ``exact=True`` returns PERCENTILE_DISC values
-    via bucketed ranking (a few extra passes, no task holds more than one value bucket).
+    approximate quantiles of the source model. ``exact=True`` returns PERCENTILE_DISC values: the
+    purchases are counted by price (partial counts before the shuffle, so a common price is one row
+    per task), and everything else is read off that table of distinct prices, which is ranked by a
+    running count. The raw table is read once.
     """
     buys = raw.where(F.col("event_type") == names.purchase)
-    aggs = [F.min("price").alias("min_price"), F.max("price").alias("max_price"),
-            round_n(F.avg("price"), 2).alias("avg_price")]
-    tail = [F.count_if(F.col("price") == 0).alias("zero_price_rows"),
-            F.count_if(F.col("price").isNull()).alias("null_price_rows")]
-    probs = [0.25, 0.5, 0.75]
+    probs, labels = [0.25, 0.5, 0.75], ("p25", "median", "p75")
     if not exact:
         q = F.percentile_approx("price", probs, accuracy)
-        return buys.agg(*aggs, *[q[i].alias(n) for i, n in enumerate(("p25", "median", "p75"))], *tail)
-    qs = exact_percentiles_disc(buys, "price", probs, rows_per_task)
-    lits = [F.lit(v).cast("double").alias(n) for v, n in zip(qs, ("p25", "median", "p75"))]
-    return buys.agg(*aggs, *tail).select("min_price", "max_price", "avg_price", *lits,
-                                         "zero_price_rows", "null_price_rows")
+        mean = F.sum(money(F.col("price"))) / F.nullif(F.count("price"), F.lit(0))
+        return buys.agg(F.min("price").alias("min_price"), F.max("price").alias("max_price"), round_n(mean, 2).alias("avg_price"),
+                        *[q[i].alias(n) for i, n in enumerate(labels)],
+                        F.count_if(F.col("price") == 0).alias("zero_price_rows"),
+                        F.count_if(F.col("price").isNull()).alias("null_price_rows"))
+    by_price = buys.groupBy("price").agg(F.count(F.lit(1)).alias("n"))
+    known = F.col("price").isNotNull()
+    upto = F.sum(F.when(known, F.col("n"))).over(Window.orderBy(F.col("price").asc_nulls_first()))
+    every = F.sum(F.when(known, F.col("n"))).over(Window.partitionBy())
+    ranked = by_price.withColumn("upto", upto).withColumn("every", every)
+    total = F.sum(money(F.col("price")) * F.col("n"))
+    return ranked.agg(
+        F.min("price").alias("min_price"), F.max("price").alias("max_price"),
+        round_n(total / F.nullif(F.sum(F.when(known, F.col("n"))), F.lit(0)), 2).alias("avg_price"),
+        *[F.min(F.when(known & (F.col("upto") >= F.ceil(F.col("every") * p)), F.col("price"))).alias(n) for p, n in zip(probs, labels)],
+        F.coalesce(F.sum(F.when(F.col("price") == 0, F.col("n"))), F.lit(0)).alias("zero_price_rows"),
+        F.coalesce(F.sum(F.when(~known, F.col("n"))), F.lit(0)).alias("null_price_rows"))
 
 
 def duplicate_keys(raw: DataFrame, n: int = 10, key: Sequence[str] = DEDUP_KEY) -> DataFrame:

@@ -31,3 +31,17 @@ def rollup_sketches(sketches: DataFrame, keys: list[str]) -> DataFrame:
         F.hll_sketch_estimate("users_sketch").alias("est_users"),
         F.hll_sketch_estimate("viewers_sketch").alias("est_viewers"),
         F.hll_sketch_estimate("purchasers_sketch").alias("est_purchasers"))
+
+
+def sketch_accuracy(clean: DataFrame, keys: list[str], names: EventNames = EventNames(), lg_k: int = 14,
+                    within: float = 0.05) -> DataFrame:
+    """Per roll-up group: exact distinct users, viewers and purchasers, and whether the roll-up of the
+    product sketches is within that share of them."""
+    t = F.col("event_type")
+    exact = product_events(clean).groupBy(*keys).agg(
+        F.countDistinct("user_id").alias("users"),
+        F.countDistinct(F.when(t == names.view, F.col("user_id"))).alias("viewers"),
+        F.countDistinct(F.when(t == names.purchase, F.col("user_id"))).alias("purchasers"))
+    both = exact.join(rollup_sketches(product_sketches(clean, names, lg_k), keys), keys)
+    return both.select(*keys, "users", "viewers", "purchasers", *[
+        (F.abs(F.col(f"est_{c}") - F.col(c)) <= within * F.col(c)).alias(f"{c}_near") for c in ("users", "viewers", "purchasers")])

@@ -45,7 +45,8 @@ class EventCatalog:
         return cat
 
     # -- persisted relations ------------------------------------------------------------------
-    def _persisted(self, name: str, build: Callable[[str], None]) -> str:
+    def persisted(self, name: str, build: Callable[[str], None]) -> str:
+        """The path of a table that ``build`` writes once; later calls reuse it."""
         with self._lock:
             if name not in self._paths:
                 path = f"{self.root}/{name}"
@@ -55,7 +56,7 @@ class EventCatalog:
 
     def raw(self) -> DataFrame:
         """The raw event table (nine columns + ``event_month`` partition column)."""
-        path = self._persisted("raw", lambda p: write_event_table(self.source(), p))
+        path = self.persisted("raw", lambda p: write_event_table(self.source(), p))
         return read_event_table(self.spark, path, raw_table_schema())
 
     def raw_path(self) -> str:
@@ -63,16 +64,16 @@ class EventCatalog:
         return self._paths["raw"]
 
     def clean(self) -> DataFrame:
-        path = self._persisted("clean", lambda p: write_event_table(C.clean_events(self.raw(), self.params), p))
+        path = self.persisted("clean", lambda p: write_event_table(C.clean_events(self.raw(), self.params), p))
         return read_event_table(self.spark, path).select(*CLEAN_COLUMNS)
 
     def rfm(self) -> DataFrame:
-        path = self._persisted(
+        path = self.persisted(
             "rfm", lambda p: R.rfm(self.clean(), self.params).write.mode("overwrite").parquet(p))
         return self.spark.read.parquet(path)
 
     def product(self) -> DataFrame:
-        path = self._persisted(
+        path = self.persisted(
             "product", lambda p: P.product_metrics(self.clean(), self.params.events)
             .write.mode("overwrite").partitionBy("event_month").parquet(p))
         return self.spark.read.parquet(path).select(*P.PRODUCT_KEYS, *[

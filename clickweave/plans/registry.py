@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from clickweave.config import ensure_checkpoint_dir
+from clickweave.config import delete_path, ensure_checkpoint_dir
 from clickweave.operators import checks as K
 from clickweave.operators import clean as C
 from clickweave.operators import cohort as H
@@ -23,10 +23,10 @@ from clickweave.operators import profile as E
 from clickweave.operators import rfm as R
 from clickweave.operators import sketch as X
 from clickweave.plans.catalog import EventCatalog
-from clickweave.schema import DEDUP_KEY, DEFAULT_PARAMS, EVENT_COLUMNS
+from clickweave.schema import CSV_TIME_FORMAT, DEDUP_KEY, DEFAULT_PARAMS, EVENT_COLUMNS
 from clickweave.sources.fixtures import commerce_events
 from clickweave.sources.ingest import export_csv, ingest_events
-from clickweave.sources.tables import raw_table_schema, write_event_table
+from clickweave.sources.tables import raw_table_schema, read_event_table, write_event_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -72,69 +72,98 @@ def _key_and(*cols: str) -> Query:
     return q
 
 
-def _ingest(spark: SparkSession, d: str) -> DataFrame:
+def _planted_csv(cat: EventCatalog, path: str) -> None:
+    """The raw rows as CSV, and every 37th product's rows once more, broken in one of five ways: a
+    bad time, a bad price, too few fields, an empty time, an empty type."""
+    raw = cat.raw().select(*EVENT_COLUMNS)
+    export_csv(raw, f"{path}/good")
+    way = F.floor(F.col("product_id").cast("long") / 37) % 5
+    rows = raw.where(F.col("product_id").cast("long") % 37 == 0)
+    good_time = F.date_format("event_time", CSV_TIME_FORMAT)
+    fields = [F.when(way == 0, "not a time").when(way == 3, "").otherwise(good_time), F.when(way == 4, "").otherwise(F.col("event_type")),
+              F.col("product_id"), F.col("category_id"), F.col("category_code"), F.col("brand"),
+              F.when(way == 1, "dear").otherwise(F.col("price").cast("string")), F.col("user_id"), F.col("user_session")]
+    fields = [F.coalesce(c, F.lit("")) for c in fields]
+    line = F.when(way == 2, F.concat_ws(",", *fields[:5])).otherwise(F.concat_ws(",", *fields))
+    header = cat.spark.createDataFrame([(",".join(EVENT_COLUMNS),)], "line string")
+    # one file with its header first: the broken lines are a thirty-seventh of a fixture
+    lines = header.select(F.lit(0).alias("o"), "line").unionByName(rows.select(F.lit(1).alias("o"), line.alias("line")))
+    lines.coalesce(1).sortWithinPartitions("o").select("line").write.text(f"{path}/bad")
+
+
+def _loaded(spark: SparkSession, d: str) -> str:
+    """The table (and its rejected rows beside it) that ingest writes from the planted files."""
     cat = catalog_for(spark, d)
-    path = cat.scratch("csv")
-    export_csv(cat.raw().select(*EVENT_COLUMNS), path)
-    accepted, _ = ingest_events(spark, path)
-    return accepted
+
+    def load(out: str) -> None:
+        path = cat.scratch("csv")
+        _planted_csv(cat, path)
+        try:
+            ingest_events(spark, [f"{path}/good", f"{path}/bad"], out=out)
+        finally:
+            delete_path(spark, path)
+
+    return cat.persisted("ingested", load)
+
+
+def _ingest(spark: SparkSession, d: str) -> DataFrame:
+    return read_event_table(spark, _loaded(spark, d), raw_table_schema()).select(*EVENT_COLUMNS)
 
 
 def _quarantine(spark: SparkSession, d: str) -> DataFrame:
-    cat = catalog_for(spark, d)
-    path = cat.scratch("csv-quarantine")
-    export_csv(cat.raw().select(*EVENT_COLUMNS), path)
-    _, rejected = ingest_events(spark, path)
-    return rejected
+    return spark.read.parquet(_loaded(spark, d) + "_rejected").select("event_time", "event_type", "product_id", "reason")
 
 
 def _incremental(spark: SparkSession, d: str) -> DataFrame:
-    """Clean all months, then rebuild the last month alone in place."""
+    """Clean all months but the last, then add the last one through the rebuild."""
     cat = catalog_for(spark, d)
-    raw = cat.raw()
-    path = cat.scratch("clean-incremental")
-    write_event_table(C.clean_events(raw), path)
-    last = raw.agg(F.max("event_month")).first()[0]
-    if last is not None:
+
+    def build(path: str) -> None:
+        raw = cat.raw()
+        last = raw.agg(F.max("event_month")).first()[0]
+        write_event_table(C.clean_events(raw.where(F.col("event_month") < last)), path)
         C.rebuild_months(raw, path, [last])
-    return spark.read.parquet(path).select(*C.CLEAN_COLUMNS)
 
+    return spark.read.parquet(cat.persisted("clean-incremental", build)).select(*C.CLEAN_COLUMNS)
 
-def _stream_dedup(spark: SparkSession, d: str) -> DataFrame:
-    from clickweave.streaming.dedup import stream_clean
+
+def _streamed(spark: SparkSession, d: str) -> str:
+    """The tables kept by a stream over the raw table's files, in several micro-batches."""
+    from clickweave.streaming.complete import stream_kpi_table
 
     cat = catalog_for(spark, d)
-    src = cat.raw_path()
-    out, ckpt = cat.scratch("stream-clean"), cat.scratch("stream-ckpt")
-    events = spark.readStream.schema(raw_table_schema()).parquet(src).select(*EVENT_COLUMNS)
-    q = (stream_clean(events).writeStream.format("parquet").option("path", out)
-         .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.read.parquet(out).select(*DEDUP_KEY, "event_date", "event_month", "event_hour",
-                                          "event_day_of_week")
+
+    def run(root: str) -> None:
+        files = len(cat.raw().inputFiles())
+        events = (spark.readStream.schema(raw_table_schema()).option("maxFilesPerTrigger", max(1, -(-files // 3)))
+                  .parquet(cat.raw_path()).select(*EVENT_COLUMNS))
+        stream_kpi_table(events, root).trigger(availableNow=True).start().awaitTermination()
+
+    return cat.persisted("streamed", run)
+
+
+def _stream_dedup(spark: SparkSession, d: str) -> DataFrame:
+    from clickweave.streaming.complete import read_stream_clean
+
+    return read_stream_clean(spark, _streamed(spark, d))
 
 
 def _stream_kpis(spark: SparkSession, d: str) -> DataFrame:
-    from clickweave.streaming.kpis import stream_daily_kpis
+    from clickweave.streaming.complete import read_stream_kpis
 
-    cat = catalog_for(spark, d)
-    src = cat.raw_path()
-    out, ckpt = cat.scratch("stream-kpis"), cat.scratch("stream-kpis-ckpt")
-    events = spark.readStream.schema(raw_table_schema()).parquet(src).select(*EVENT_COLUMNS)
-    q = (stream_daily_kpis(events).writeStream.format("parquet").outputMode("append")
-         .option("path", out).option("checkpointLocation", ckpt).trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.read.parquet(out)
+    return read_stream_kpis(spark, _streamed(spark, d))
 
 
 def _sketches(spark: SparkSession, d: str) -> DataFrame:
-    sk = X.product_sketches(catalog_for(spark, d).clean())
-    return X.rollup_sketches(sk, ["event_month", "category_top"])
+    return X.sketch_accuracy(catalog_for(spark, d).clean(), ["event_month", "category_top"])
 
 
 def _percentiles(spark: SparkSession, d: str) -> DataFrame:
-    raw = catalog_for(spark, d).raw().select(*EVENT_COLUMNS)
-    return E.purchase_price_profile(raw, exact=True, rows_per_task=DEFAULT_PARAMS.rank_rows_per_task)
+    return E.purchase_price_profile(catalog_for(spark, d).raw().select(*EVENT_COLUMNS), exact=True)
+
+
+#: A category of the fixture, for the checks of one that is named.
+NAMED_CATEGORY = "promo"
 
 
 QUERIES: dict[str, Query] = {
@@ -167,18 +196,21 @@ QUERIES: dict[str, Query] = {
     "check_funnel_overall": _clean(K.check_funnel_overall),
     "check_funnel_monthly": _clean(K.check_funnel_monthly),
     "check_funnel_category": _clean(K.check_funnel_category),
+    "check_funnel_rates": _clean(lambda c: K.check_funnel_rates(Fn.funnel(c))),
     # cohort
     "cohort_first_purchase": _clean(H.first_purchase),
     "cohort_user_weeks": _clean(H.user_weeks),
     "cohort_activity": _clean(H.cohort_activity),
     "cohort_size": _clean(H.cohort_size),
     "cohort_retention": _clean(H.cohort_retention),
-    "check_cohort": _clean(H.cohort_retention),
+    "check_cohort": _clean(lambda c: K.check_cohort(H.cohort_retention(c))),
+    "check_cohort_sizes": _clean(lambda c: K.check_cohort_sizes(H.cohort_retention(c), c)),
     # rfm
     "rfm_raw": _clean(R.rfm_raw),
-    "rfm_scores": _clean(lambda c: R.rfm_scores(R.rfm_raw(c))),
-    "rfm_segments": _clean(lambda c: R.rfm_segments(R.rfm_scores(R.rfm_raw(c)))),
-    "rfm": _clean(R.rfm),
+    "rfm_scores": lambda s, d: catalog_for(s, d).rfm().select(
+        "user_id", "recency_days", "frequency", "monetary", "r_score", "m_score", "f_score"),
+    "rfm_segments": lambda s, d: catalog_for(s, d).rfm(),
+    "rfm": lambda s, d: catalog_for(s, d).rfm(),
     "check_rfm_recency": lambda s, d: K.check_rfm_recency(catalog_for(s, d).rfm()),
     "check_rfm_segments": lambda s, d: K.check_rfm_segments(catalog_for(s, d).rfm()),
     # product
@@ -190,6 +222,8 @@ QUERIES: dict[str, Query] = {
     "check_electronics_product": lambda s, d: K.check_category_product(catalog_for(s, d).product()),
     "check_electronics_clean": lambda s, d: K.check_category_clean(
         catalog_for(s, d).clean(), catalog_for(s, d).product()),
+    "check_named_category_product": lambda s, d: K.check_category_product(catalog_for(s, d).product(), NAMED_CATEGORY),
+    "check_named_category_clean": lambda s, d: K.check_category_clean(catalog_for(s, d).clean(), category=NAMED_CATEGORY),
     "check_month_completeness": _raw_table(K.check_month_completeness),
     # overview
     "overview_monthly": _clean(O.overview_monthly),

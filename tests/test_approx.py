@@ -13,7 +13,7 @@ from clickweave.schema import EVENT_COLUMNS
 def test_price_profile_sketch_close_to_exact(catalog):
     raw = catalog.raw().select(*EVENT_COLUMNS)
     approx = purchase_price_profile(raw).first()
-    exact = purchase_price_profile(raw, exact=True, rows_per_task=50).first()
+    exact = purchase_price_profile(raw, exact=True).first()
     assert (approx.min_price, approx.max_price, approx.avg_price) == (exact.min_price, exact.max_price, exact.avg_price)
     prices = sorted(r.price for r in raw.where("event_type = 'purchase' and price is not null").collect())
     for name, p in (("p25", 0.25), ("median", 0.5), ("p75", 0.75)):

@@ -6,9 +6,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_mod
+from clickweave.plans.oracle import ORACLE
+from clickweave.plans.registry import QUERIES
 
 SF = "/root/testdata/sf0.001"
-NO_ORACLE = {"product_sketches"}
 
 
 def _norm(v):
@@ -32,23 +33,36 @@ def con():
     return c
 
 
-def test_every_query_has_oracle_or_is_approximate():
-    qs, oracle = entry_mod.queries(), entry_mod.oracle_sql()
-    assert set(qs) - set(oracle) == NO_ORACLE
-    assert set(oracle) <= set(qs)
+def test_every_query_has_an_oracle():
+    assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(entry_mod.queries()) and set(ORACLE) <= set(entry_mod.oracle_sql())
 
 
-@pytest.mark.parametrize("name", sorted(entry_mod.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_matches_oracle(spark, con, name):
-    df = entry_mod.queries()[name](spark, SF)
+    df = QUERIES[name](spark, SF)
     got = df.collect()
-    cur = con.execute(entry_mod.oracle_sql()[name])
+    cur = con.execute(ORACLE[name])
     cols = [c[0] for c in cur.description]
     want = cur.fetchall()
+    assert want
     assert sorted(df.columns) == sorted(cols)
     assert _rows(df.columns, got) == _rows(cols, want)
 
 
+def test_checks_come_in_order(spark):
+    def column(name, c):
+        return [r[c] for r in QUERIES[name](spark, SF).collect()]
+
+    for name, c in (("check_funnel_monthly", "event_month"), ("check_cohort", "cohort_week"), ("check_rfm_recency", "r_score"),
+                    ("check_product_monthly", "event_month"), ("check_electronics_clean", "event_month")):
+        got = column(name, c)
+        assert got == sorted(got) and len(got) > 2, name
+    for name, c in (("check_funnel_category", "category_cvr"), ("check_rfm_segments", "user_count")):
+        got = column(name, c)
+        assert got == sorted(got, reverse=True), name
+
+
 def test_entry_smoke(spark):
     df = entry_mod.entry(spark)
     assert df.count() > 0
