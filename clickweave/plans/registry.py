@@ -23,7 +23,7 @@ from clickweave.operators import profile as E
 from clickweave.operators import rfm as R
 from clickweave.operators import sketch as X
 from clickweave.plans.catalog import EventCatalog
-from clickweave.schema import CSV_TIME_FORMAT, DEDUP_KEY, DEFAULT_PARAMS, EVENT_COLUMNS
+from clickweave.schema import CSV_TIME_FORMAT, DEDUP_KEY, DEFAULT_PARAMS, EVENT_COLUMNS, Params
 from clickweave.sources.fixtures import commerce_events
 from clickweave.sources.ingest import export_csv, ingest_events
 from clickweave.sources.tables import raw_table_schema, read_event_table, write_event_table
@@ -53,6 +53,10 @@ def _raw(f: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, d: f(catalog_for(spark, d).raw().select(*EVENT_COLUMNS))
 
 
+def _raw_with(f: Callable[[DataFrame, Params], DataFrame]) -> Query:
+    return lambda spark, d: f(catalog_for(spark, d).raw().select(*EVENT_COLUMNS), catalog_for(spark, d).params)
+
+
 def _raw_table(f: Callable[[DataFrame], DataFrame]) -> Query:
     """For queries that benefit from the month partition column (pruning)."""
     return lambda spark, d: f(catalog_for(spark, d).raw())
@@ -173,10 +177,10 @@ QUERIES: dict[str, Query] = {
     "eda_monthly_shape": _raw_table(E.monthly_shape),
     "eda_event_type_mix": _raw(E.event_type_mix),
     "eda_null_audit": _raw(E.null_audit),
-    "eda_top_categories": _raw(E.top_categories),
+    "eda_top_categories": _raw_with(lambda r, p: E.top_categories(r, p.top_categories)),
     "eda_category_depth": _raw(E.category_depth_histogram),
     "eda_purchase_price_profile": _percentiles,
-    "eda_duplicate_keys": _raw(E.duplicate_keys),
+    "eda_duplicate_keys": _raw_with(lambda r, p: E.duplicate_keys(r, p.top_duplicates)),
     "eda_duplicate_drilldown": _raw(E.duplicate_drilldown),
     # clean
     "clean_filter": lambda s, d: C.clean_filter(catalog_for(s, d).raw().select(*EVENT_COLUMNS)),
@@ -215,16 +219,18 @@ QUERIES: dict[str, Query] = {
     "check_rfm_segments": lambda s, d: K.check_rfm_segments(catalog_for(s, d).rfm()),
     # product
     "product_metrics": _clean(P.product_metrics),
-    "check_product_category": lambda s, d: K.check_product_category(catalog_for(s, d).product()),
+    "check_product_category": lambda s, d: K.check_product_category(catalog_for(s, d).product(), catalog_for(s, d).params.top_check),
     "check_product_monthly": lambda s, d: K.check_product_monthly(catalog_for(s, d).product()),
     # the category under check is a parameter; by default the top-revenue category
     # (electronics in the source data set)
-    "check_electronics_product": lambda s, d: K.check_category_product(catalog_for(s, d).product()),
+    "check_electronics_product": lambda s, d: K.check_category_product(
+        catalog_for(s, d).product(), catalog_for(s, d).params.check_category),
     "check_electronics_clean": lambda s, d: K.check_category_clean(
-        catalog_for(s, d).clean(), catalog_for(s, d).product()),
+        catalog_for(s, d).clean(), catalog_for(s, d).product(), catalog_for(s, d).params.check_category),
     "check_named_category_product": lambda s, d: K.check_category_product(catalog_for(s, d).product(), NAMED_CATEGORY),
     "check_named_category_clean": lambda s, d: K.check_category_clean(catalog_for(s, d).clean(), category=NAMED_CATEGORY),
-    "check_month_completeness": _raw_table(K.check_month_completeness),
+    "check_month_completeness": lambda s, d: K.check_month_completeness(
+        catalog_for(s, d).raw(), catalog_for(s, d).params.check_month),
     # overview
     "overview_monthly": _clean(O.overview_monthly),
     "overview_event_mix": _clean(O.overview_event_mix),
