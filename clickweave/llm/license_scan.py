@@ -73,17 +73,17 @@ def _grams(words: Column, k: int) -> Column:
 
 def template_grams(spark: SparkSession, templates: tuple[Template, ...]) -> DataFrame:
     """One row per template position: hash, template (its number), at, k and the k-gram's words."""
-    rows = []
+    none = F.lit(None).cast("array<string>")
+    rows = [F.struct(F.lit(_EVERY_TEXT).cast("long").alias("hash"), F.lit(_EVERY_TEXT).alias("template"), F.lit(0).alias("at"),
+                     F.lit(0).alias("k"), none.alias("gram"))]
     for t, x in enumerate(templates):
         words = x.text.split(" ")
         k = min(3, len(words))
-        rows += [(t, i, k, words[i:i + k]) for i in range(len(words) - k + 1)]
-    grams = spark.createDataFrame(rows, "template int, at int, k int, gram array<string>")
-    w = F.col("gram")
-    hashed = F.when(F.col("k") == 2, F.xxhash64(F.lit(2), w[0], w[1])).otherwise(F.xxhash64(F.lit(3), w[0], w[1], w[2]))
-    every = spark.range(1).select(F.lit(_EVERY_TEXT).cast("long").alias("hash"), F.lit(_EVERY_TEXT).alias("template"),
-                                  F.lit(0).alias("at"), F.lit(0).alias("k"), F.lit(None).cast("array<string>").alias("gram"))
-    return grams.select(hashed.alias("hash"), "template", "at", "k", "gram").unionByName(every)
+        for i in range(len(words) - k + 1):
+            gram = [F.lit(w) for w in words[i:i + k]]
+            rows.append(F.struct(F.xxhash64(F.lit(k), *gram).alias("hash"), F.lit(t).alias("template"), F.lit(i).alias("at"),
+                                 F.lit(k).alias("k"), F.array(*gram).alias("gram")))
+    return spark.range(1).select(F.inline(F.array(*rows)))
 
 
 def license_votes(docs: DataFrame, templates: tuple[Template, ...]) -> DataFrame:
@@ -110,9 +110,10 @@ def license_spans(votes: DataFrame, templates: tuple[Template, ...]) -> DataFram
     """Votes of neighbouring diagonals merged: rid, doc_id, n, template, label, base, first, end,
     coverage (0 to 1); plus one row per text with a NULL template."""
     spark = votes.sparkSession
-    facts = spark.createDataFrame(
-        [(t, x.label, x.base, x.drift, float(x.need), max(1, len(x.text.split()) - 2), len(x.text.split()))
-         for t, x in enumerate(templates)], "template int, label string, base boolean, drift int, need double, grams int, length int")
+    facts = spark.range(1).select(F.inline(F.array(*[
+        F.struct(F.lit(t).alias("template"), F.lit(x.label).alias("label"), F.lit(x.base).alias("base"), F.lit(x.drift).alias("drift"),
+                 F.lit(float(x.need)).alias("need"), F.lit(max(1, len(x.text.split()) - 2)).alias("grams"),
+                 F.lit(len(x.text.split())).alias("length")) for t, x in enumerate(templates)])))
     v = votes.join(F.broadcast(facts), "template", "left")
     of = Window.partitionBy("rid", "template").orderBy("diagonal")
     apart = F.col("diagonal") - F.lag("diagonal").over(of) > F.coalesce("drift", F.lit(0))
