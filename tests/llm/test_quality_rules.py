@@ -1,0 +1,57 @@
+import random
+import re
+from collections import Counter
+
+from clickweave.llm.quality_rules import good_documents, quality_rules
+
+
+def brute(text):
+    text = text or ""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    grams = [tuple(words[i:i + 5]) for i in range(len(words) - 4)]
+    seen = Counter(grams)
+    covered = {i + j for i, g in enumerate(grams) if seen[g] > 1 for j in range(5)}
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    n = len(words)
+    return (n, sum(map(len, words)), sum(text.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(covered),
+            n < 10 or 100 * len(covered) > 20 * n)
+
+
+def prose(rng, n):
+    return " ".join(rng.choice(["the", "of", "river", "stone", "walking", "a", "under", "green"]) + rng.choice(["", "s", "ed", "."]) for _ in range(n))
+
+
+def test_counts_equal_brute_force(make_docs):
+    rng = random.Random(1)
+    rows = [(1, None), (2, ""), (3, " \n\t\x0b"), (4, "a b c d e a b c d e a b c d e"), (5, "one\none\n \n \ntwo\r\none"), (6, "# $ % é漢 | <a> *"),
+            (7, "x " * 4000), (None, "q w e r t y"), (8, "a\x1cb c d"), (8, "a\x1cb c d")]
+    rows += [(100 + i, prose(rng, rng.randint(1, 60)), None if i % 7 == 0 else "en", None if i % 5 == 0 else "s") for i in range(40)]
+    got = quality_rules(make_docs(rows, extra=("n", "g", "q1", "far")), min_rows=8).collect()
+    assert sorted(map(repr, (((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in got)))) == \
+        sorted(map(repr, ((r[0], *brute(r[1])) for r in rows)))
+    assert all(not (r.kept and r.base_failed) for r in got)
+
+
+def test_outliers_go_and_prose_stays(make_docs, table):
+    rng = random.Random(2)
+    rows = [(i, prose(rng, 80)) for i in range(200)]
+    rows += [(1000 + i, " ".join(w + "$$$" for w in prose(rng, 80).split())) for i in range(20)]
+    rows += [(2000 + i, prose(rng, 80).upper().replace(" ", "!! ")) for i in range(20)]
+    docs = table(make_docs(rows))
+    kept = {r.doc_id: r.kept for r in quality_rules(docs).collect()}
+    base = {r[0]: brute(r[1])[-1] for r in rows}
+    assert all(kept[i] for i, _ in rows[:200] if not base[i])
+    assert not any(kept[i] for i, _ in rows[200:])
+    assert {r.doc_id for r in good_documents(docs).collect()} == {i for i, k in kept.items() if k}
+
+
+def test_estimate_is_not_moved_by_a_fifth_of_junk(make_docs):
+    rng = random.Random(3)
+    good = [(i, prose(rng, 100)) for i in range(160)]
+    junk = [(500 + i, " ".join(w + "|||" for w in prose(rng, 100).split())) for i in range(40)]
+    far = {r.doc_id: r.distance for r in quality_rules(make_docs(good + junk)).collect()}
+    assert max(far[i] for i, _ in good) * 3 < min(far[i] for i, _ in junk)
+
+
+def test_no_rows(make_docs):
+    assert quality_rules(make_docs([])).collect() == []
