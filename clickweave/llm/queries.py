@@ -8,7 +8,7 @@ from clickweave.llm.common import read_table
 from clickweave.llm.compression_classifier import quality_scores
 from clickweave.llm.hyperminhash import near_duplicates
 from clickweave.llm.interpolation_lm import lm_scores
-from clickweave.llm.license_scan import license_scan
+from clickweave.llm.license_scan import BASE, LICENSE_WORD, NOTICES, license_scan
 from clickweave.llm.quality_rules import quality_rules
 from clickweave.llm.rlz_substring import substring_dedup
 from clickweave.llm.sentencepiece_scan import encode
@@ -69,7 +69,51 @@ QUERIES = {f.__name__: f for f in (op1_license_scan, op2_quality_rules, op3_comp
                                   op4_sentencepiece_scan, op5_hyperminhash, op6_rlz_substring,
                                   op7_token_counts, op8_interpolation_lm, op9_trie_dedup,
                                   op10_source_mixing)}
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _license_sql() -> str:
+    """Operator 1 in SQL: the same templates, each k-gram a list of words."""
+    rows = ",\n".join(f"({i}, '{t.label}', {str(t.base).lower()}, {t.drift}, {t.need}, '{t.text}')" for i, t in enumerate(BASE + NOTICES))
+    return f"""
+WITH t(template, label, base, drift, need, phrase) AS (VALUES
+{rows}),
+tw AS (SELECT *, string_split(phrase, ' ') AS tw, least(3, len(string_split(phrase, ' '))) AS k FROM t),
+tg AS (SELECT template, o, tw[o + 1:o + k] AS gram FROM (SELECT *, unnest(range(0, len(tw) - k + 1)) AS o FROM tw)),
+d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({_LOWER}, '{LICENSE_WORD}') AS w FROM documents),
+g AS (SELECT rid, p, w[p + 1:p + 2] AS gram FROM (SELECT *, unnest(range(0, len(w) - 1)) AS p FROM d)
+      UNION ALL SELECT rid, p, w[p + 1:p + 3] FROM (SELECT *, unnest(range(0, len(w) - 2)) AS p FROM d)),
+v AS (SELECT rid, template, p - o AS diagonal, count(*) AS votes, min(p) AS first, max(p + len(gram)) AS past
+      FROM g JOIN tg USING (gram) GROUP BY ALL),
+m AS (SELECT v.*, tw.*, sum(CASE WHEN gap <= drift THEN 0 ELSE 1 END) OVER (PARTITION BY rid, v.template ORDER BY diagonal) AS span
+      FROM (SELECT *, diagonal - lag(diagonal) OVER (PARTITION BY rid, template ORDER BY diagonal) AS gap FROM v) v
+      JOIN tw ON tw.template = v.template),
+s AS (SELECT rid, label, base, need, least(1.0, sum(votes) / greatest(1, len(tw) - 2))::DOUBLE AS coverage, min(first) AS first
+      FROM m GROUP BY rid, m.template, label, base, need, span, tw
+      HAVING max(past) - min(first) <= 2 * len(tw) AND least(1.0, sum(votes) / greatest(1, len(tw) - 2)) >= need)
+SELECT doc_id, len(w)::BIGINT AS n_words, count(s.rid) FILTER (base) AS n_base, min(first) FILTER (base)::BIGINT AS first_word,
+       max(first) FILTER (base)::BIGINT AS last_word,
+       coalesce(array_to_string(list_sort(list(DISTINCT label) FILTER (base)), ','), '') AS base_labels,
+       coalesce(array_to_string(list_sort(list(DISTINCT label) FILTER (label IS NOT NULL)), ','), '') AS labels,
+       coalesce(max(coverage), 0.0) AS score
+FROM d LEFT JOIN s USING (rid) GROUP BY rid, doc_id, w"""
+
+
 ORACLE: dict[str, str] = {
+    "op1_license_scan": _license_sql(),
+    "op5_hyperminhash": f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+sh AS (SELECT DISTINCT doc_id, CASE WHEN len(w) < 4 THEN array_to_string(w, ' ') ELSE array_to_string(w[p:p + 3], ' ') END AS s
+       FROM (SELECT *, unnest(range(1, greatest(1, len(w) - 3) + 1)) AS p FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY ALL),
+common AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS m FROM sh x JOIN sh y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM common JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * m >= 80 * (na.n + nb.n - m)),
+edge AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach(id, c) AS (SELECT a, a FROM edge UNION SELECT edge.b, c FROM reach JOIN edge ON edge.a = id AND c < edge.b),
+comp AS (SELECT id, min(c) AS c FROM reach GROUP BY ALL)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least(d.doc_id, coalesce(c, d.doc_id)) AS component_id,
+       d.doc_id <= coalesce(c, d.doc_id) AS kept
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN comp ON comp.id = d.doc_id""",
     "op6_rlz_substring": """
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
 win AS (SELECT doc_id, p, array_to_string(w[p:p + 49], ' ') AS s
