@@ -12,9 +12,9 @@ from pathlib import Path
 ROOT = Path(__file__).resolve().parents[1]
 sys.path.insert(0, str(ROOT))
 
-from bench import HEADLINE  # noqa: E402
+from bench import HEADLINE, TIMED as QUERIES  # noqa: E402
 from clickweave.config import build_session  # noqa: E402
-from clickweave.plans.registry import QUERIES, catalog_for  # noqa: E402
+from clickweave.plans.registry import catalog_for  # noqa: E402
 
 
 def _summary(formatted: str) -> str:
