@@ -1,42 +1,45 @@
 """Near-duplicates by HyperMinHash (operator 5).
 
 A document's set holds the 64-bit hashes of its distinct ``words``-word shingles (texts with fewer
-words: the whole sequence). Each hash falls into one of 128 buckets by its first seven bits; of the
-smallest rest in each bucket 16 bits stay, the count of leading zeros (six bits) and the ten
-mantissa bits after the first one. Equal sets are one node from here on.
-
-Bands of four registers, each with at least one filled, are the candidate search: two sets of
-similarity 0.8 or more share a band with a probability over 1 - 1e-7 (32 bands). In every band
-bucket, leaders are compared with the members that are not yet in their component: in round r the
-members of rank 2**(r-1) to 2**r - 1, until no bucket has two components and leaders left. Groups of
-near copies fall together in the first round, so their pairs are never listed; members of a bucket
-that stay apart are all compared in the end, with no cap.
-
-A pair's similarity is estimated by the share of equal registers, corrected for registers equal by
-accident, and pairs more than six standard errors under the threshold go. The others are confirmed
-on the full sets.
+words: the whole sequence). Each hash falls into a bucket by its first bits; of the smallest rest in
+each bucket 16 bits stay, the count of leading zeros (six bits) and the ten mantissa bits after the
+first one. 128 buckets serve the bands and 512 the estimate. Equal sets are one node from here on.
+
+Bands of four registers are the candidate search, an empty register borrowing from a filled one
+that its bucket ranks first: two sets of similarity 0.8 or more share one of 32 bands with a
+probability over 1 - 1e-7. In every band bucket all members are first compared with its leader, the
+smallest id; groups of near copies mostly fall together here, by one pair a member. Members of a
+bucket that are still in different components are then compared by their registers in blocks of
+1,000 against 1,000, each pair in its first common band only, and no pair leaves a block unless its
+estimate is near the threshold. So the exact way is taken for whatever the leaders have not joined,
+with no cap, and no task holds more than two blocks of a bucket.
+
+The estimate is the share of equal registers, corrected for registers equal by accident. Pairs go if
+it is more than six standard errors under the threshold (of a sample without replacement, one
+shingle a bucket). The others are confirmed on the full sets.
 
 Defined cases: NULL, empty and blank texts have empty sets and no links; a NULL id is linked with
-nothing; rows that share an id go each by its own set, and sets whose smallest id is the same are one node; no rows, no result;
-extra columns are ignored.
+nothing; rows that share an id go each by its own set, and sets whose smallest id is the same are
+one node; no rows, no result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from clickweave.llm.common import bounded, text_or_empty, without_rows, written
 from clickweave.llm.components import connected_components
 
-BUCKET_BITS, MANTISSA = 7, 10
-BUCKETS, BAND = 1 << BUCKET_BITS, 4
-EMPTY = -1
+BAND_BITS, ESTIMATE_BITS, MANTISSA = 7, 9, 10
+BUCKETS, BAND = 1 << BAND_BITS, 4
+EMPTY = 0xFFFF
+#: Members of a bucket that a task compares with as many others.
+BLOCK = 1000
 #: Ids that may be broadcast as one column (16 MB).
 ID_ROWS = 2_000_000
 _C = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -62,39 +65,58 @@ def shingle_set(text: bytes, words: int) -> np.ndarray:
     return np.unique(mixed)
 
 
-def registers(hashes: np.ndarray) -> np.ndarray:
-    """128 registers (EMPTY where a bucket has no hash) of a sorted set."""
-    out = np.full(BUCKETS, EMPTY, np.int32)
-    bucket = (hashes >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+def registers(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """2 ** bits registers (EMPTY where a bucket has no hash) of a sorted set."""
+    out = np.full(1 << bits, EMPTY, np.uint16)
+    bucket = (hashes >> np.uint64(64 - bits)).astype(np.int64)
     first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(hashes) else np.zeros(0, np.int64)
-    rest = hashes[first] << np.uint64(BUCKET_BITS)
-    # leading zeros by the float exponent of the upper half, exact for these whole numbers
-    high = (rest >> np.uint64(11)).astype(np.float64)
-    zeros = np.where(rest >> np.uint64(11) > 0, 53 - np.frexp(high)[1], 53).astype(np.uint64)
+    rest = hashes[first] << np.uint64(bits)
+    # leading zeros by the float exponent of the upper 53 bits, exact for these whole numbers
+    high = rest >> np.uint64(11)
+    zeros = np.where(high > 0, 53 - np.frexp(high.astype(np.float64))[1], 53).astype(np.uint64)
     mantissa = (rest << (zeros + np.uint64(1))) >> np.uint64(64 - MANTISSA)
-    out[bucket[first]] = ((zeros << np.uint64(MANTISSA)) | mantissa).astype(np.int32)
+    out[bucket[first]] = ((zeros << np.uint64(MANTISSA)) | mantissa).astype(np.uint16)
+    return out
+
+
+def _ranks() -> np.ndarray:
+    """Which filled bucket an empty one would rather borrow from: a fixed random order per bucket."""
+    return _mixed(np.arange(1, BUCKETS * BUCKETS + 1, dtype=np.uint64) * _C[0]).reshape(BUCKETS, BUCKETS)
+
+
+_RANKS = _ranks()
+
+
+def densified(regs: np.ndarray) -> np.ndarray:
+    """Registers whose empty buckets hold what a random filled one has, so that bands of small sets,
+    too, agree as often as four independent minima would."""
+    filled = np.flatnonzero(regs != EMPTY)
+    if len(filled) in (0, BUCKETS):
+        return regs
+    empty = np.flatnonzero(regs == EMPTY)
+    out = regs.copy()
+    out[empty] = regs[filled[_RANKS[np.ix_(empty, filled)].argmin(axis=1)]]
     return out
 
 
 def band_keys(regs: np.ndarray) -> np.ndarray:
-    """A 64-bit key per band that has a filled register, the band's number included."""
-    bands = regs.reshape(-1, BAND)
-    rows = np.flatnonzero((bands != EMPTY).any(axis=1))
-    key = rows.astype(np.uint64) + np.uint64(1)
+    """A 64-bit key per band of a set that is not empty, the band's number included."""
+    bands = densified(regs).reshape(-1, BAND)
+    key = np.arange(1, len(bands) + 1, dtype=np.uint64)
     for i in range(BAND):
-        key = _mixed(key * _C[0] + (bands[rows, i] + 1).astype(np.uint64))
+        key = _mixed(key * _C[0] + bands[:, i].astype(np.uint64))
     return key
 
 
-_SKETCH = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("regs", pa.list_(pa.int32())),
+_SKETCH = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("regs", pa.binary()),
                      ("bands", pa.list_(pa.int64()))])
-_SKETCH_DDL = "rid long, doc_id long, n long, digest binary, regs array<int>, bands array<long>"
+_SKETCH_DDL = "rid long, doc_id long, n long, digest binary, regs binary, bands array<long>"
 
 
-def _lists(parts: list[np.ndarray], kind: pa.DataType, as_: type) -> pa.ListArray:
+def _lists(parts: list[np.ndarray]) -> pa.ListArray:
     offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
-    flat = np.concatenate(parts) if parts else np.zeros(0, as_)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.astype(as_, copy=False) if flat.dtype != np.uint64 else flat.view(np.int64), kind))
+    flat = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64)))
 
 
 def _sketches(batches: Iterable[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
@@ -106,10 +128,10 @@ def _sketches(batches: Iterable[pa.RecordBatch], words: int) -> Iterator[pa.Reco
                 s = shingle_set(text.as_buffer().to_pybytes(), words)
                 n.append(len(s))
                 digests.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                regs.append(registers(s) if len(s) else np.zeros(0, np.int32))
-                bands.append(band_keys(regs[-1]) if len(s) else np.zeros(0, np.uint64))
+                regs.append(registers(s, ESTIMATE_BITS).tobytes() if len(s) else b"")
+                bands.append(band_keys(registers(s, BAND_BITS)) if len(s) else np.zeros(0, np.uint64))
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(digests, pa.binary()),
-                                              _lists(regs, pa.int32(), np.int32), _lists(bands, pa.int64(), np.int64)], schema=_SKETCH)
+                                              pa.array(regs, pa.binary()), _lists(bands)], schema=_SKETCH)
 
 
 def _sets(batches: Iterable[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
@@ -117,34 +139,66 @@ def _sets(batches: Iterable[pa.RecordBatch], words: int) -> Iterator[pa.RecordBa
         for at in range(0, batch.num_rows, 200):
             part = batch.slice(at, 200)
             found = [shingle_set(t.as_buffer().to_pybytes(), words) for t in part.column(1)]
-            yield pa.RecordBatch.from_arrays([part.column(0), _lists(found, pa.int64(), np.int64)], names=["id", "s"])
-
-
-def estimated(a: Column, b: Column) -> tuple[Column, Column]:
-    """Corrected Jaccard estimate of two register arrays, and the number of buckets it rests on.
-    Two different minima agree in their leading zeros a third of the time and then in the mantissa
-    once in 2**MANTISSA."""
-    accident = 2.0 ** -MANTISSA / 3
-    filled = F.size(F.filter(F.zip_with(a, b, lambda x, y: F.greatest(x, y)), lambda x: x != EMPTY))
-    same = F.size(F.filter(F.zip_with(a, b, lambda x, y: (x == y) & (x != EMPTY)), lambda x: x))
-    return (same / filled - accident) / (1 - accident), filled
+            yield pa.RecordBatch.from_arrays([part.column(0), _lists(found)], names=["id", "s"])
+
+
+def may_be_near(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
+    """Which rows of the register arrays a and b, of sets of na and nb shingles, sizes and registers
+    don't rule out. Two different minima agree in their leading zeros a third of the time and then
+    in the mantissa once in 2 ** MANTISSA."""
+    t, accident = percent / 100, 2.0 ** -MANTISSA / 3
+    same = ((a == b) & (a != EMPTY)).sum(axis=1)
+    filled = np.maximum(((a != EMPTY) | (b != EMPTY)).sum(axis=1), 1)
+    estimate = (same / filled - accident) / (1 - accident)
+    union = (na + nb) / (1 + t)  # at the threshold
+    left_out = np.clip(1 - filled / np.maximum(union, 1), 0.02, 1.0)
+    error = 6 * np.sqrt(t * (1 - t) * left_out / filled) + 2 / filled
+    return (estimate >= t - error) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb))
+
+
+def _register_rows(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(x.as_buffer() for x in column), np.uint16).reshape(len(column), -1)
+
+
+def _near_pairs(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        if b.num_rows:
+            near = may_be_near(_register_rows(b["ra"]), _register_rows(b["rb"]), b["na"].to_numpy(), b["nb"].to_numpy(), percent)
+            yield pa.RecordBatch.from_arrays([b["a"], b["b"]], names=["a", "b"]).filter(pa.array(near))
+
+
+def _apart_pairs(table: pa.Table, percent: int) -> pa.Table:
+    """Two blocks (i, j) of a band's members, or one block with itself: pairs of different components
+    that may be near, in the first band that they share."""
+    at, band = table["block"].to_numpy(), table["band"][0].as_py()
+    i, j = table["i"][0].as_py(), table["j"][0].as_py()
+    ids, c, n = (table[x].to_numpy() for x in ("id", "c", "n"))
+    regs = _register_rows(table["regs"].combine_chunks())
+    bands = table["bands"].combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
+    place = int(np.argwhere(bands == band)[0, 1])  # a row may be of another set of the same id
+    left, right = np.flatnonzero(at == i), np.flatnonzero(at == j)
+    out: list[tuple[np.ndarray, np.ndarray]] = []
+    for m in left:
+        x = right[(c[right] != c[m]) & ((ids[right] > ids[m]) if i == j else True)]
+        x = x[(bands[x, :place] != bands[m, :place]).all(axis=1)]
+        if len(x):
+            x = x[may_be_near(regs[x], regs[m][None, :], n[x], n[m], percent)]
+            out.append((np.full(len(x), ids[m]), ids[x]))
+    a, b = (np.concatenate(p) for p in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
 
 
 def _near(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that sizes and registers don't rule out."""
-    t = percent / 100
     one = nodes.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("regs").alias("ra"))
     two = nodes.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("regs").alias("rb"))
-    both = pairs.join(two, "b").join(one, "a").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    estimate, filled = estimated(F.col("ra"), F.col("rb"))
-    error = 6 * math.sqrt(t * (1 - t)) / F.sqrt(filled)
-    return both.where(estimate >= F.lit(t) - error).select("a", "b")
+    return pairs.join(two, "b").join(one, "a").mapInArrow(lambda x: _near_pairs(x, percent), "a long, b long").distinct()
 
 
-def _linked(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs that are links, confirmed on the full sets of the documents that are still in question."""
-    near = written(_near(pairs, nodes, percent), "near-pairs")
-    ids = near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+def _linked(near: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs that are links, confirmed on the full sets of the documents that are in question."""
+    near = written(near, "near-pairs")
+    ids = near.select(F.col("a").alias("doc_id")).unionByName(near.select(F.col("b").alias("doc_id"))).distinct()
     sets = written(texts.join(bounded(ids, limit=ID_ROWS), "doc_id", "left_semi")
                    .mapInArrow(lambda b: _sets(b, words), "id long, s array<long>"), "near-sets")
     full = (near.join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
@@ -164,29 +218,27 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80) -> DataF
                     .dropDuplicates(["digest"]).select("id", "n", "regs", "bands"), "near-nodes")
 
     banded = nodes.select("id", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("band", "least")
+    # written before it is joined: Spark splits a skewed key only between sides that come from a shuffle
+    shared = written(banded.groupBy("band").agg(F.min("id").alias("least"), F.max("id").alias("most"))
+                     .where("least < most").select("band", "least"), "near-bands")
     members = written(banded.join(shared, "band").distinct(), "near-members")
-    first = members.where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
-    links = _linked(first, nodes, texts, words, percent)
+    stars = members.where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
+    links = _linked(_near(stars, nodes, percent), texts, words, percent)
     found = connected_components(links, "near-components")
-    done, finished = 1, False
-    while not finished:
-        # buckets with several components, and the rank of their members
-        placed = members.select("band", "id").join(found, "id", "left").select("band", "id", F.coalesce("component", "id").alias("c"))
-        mixed = placed.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("of"))
-        mixed = mixed.where((F.col("lo") < F.col("hi")) & (F.col("of") > done + 1)).select("band")
-        rank = F.row_number().over(Window.partitionBy("band").orderBy("id"))
-        ranked = written(placed.join(mixed, "band").withColumn("rank", rank), "near-ranked")
-        leaders = ranked.where(F.col("rank").between(done + 1, 2 * done + 1)).select(
-            "band", F.col("id").alias("a"), F.col("c").alias("ca"), F.col("rank").alias("r"))
-        pairs = (ranked.join(leaders, "band").where((F.col("rank") > F.col("r")) & (F.col("c") != F.col("ca")))
-                 .select("a", F.col("id").alias("b")).distinct())
-        more = _linked(pairs, nodes, texts, words, percent)
-        if not more.isEmpty():
-            links = written(links.unionByName(more), "near-links")
-            found = connected_components(links, "near-components")
-        finished = ranked.where(F.col("rank") > 2 * done + 2).isEmpty()
-        done = 2 * done + 1
+
+    # what the leaders have not joined
+    placed = members.select("band", "id").join(found, "id", "left").select("band", "id", F.coalesce("component", "id").alias("c"))
+    mixed = placed.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("of"))
+    mixed = mixed.where("lo < hi and of > 2").select("band", F.ceil(F.col("of") / BLOCK).cast("int").alias("blocks"))
+    rank = F.row_number().over(Window.partitionBy("band").orderBy("id"))
+    blocks = (placed.join(mixed, "band").withColumn("block", F.floor((rank - 1) / BLOCK).cast("int"))
+              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+              .select("band", "id", "c", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")))
+    apart = (blocks.join(nodes, "id").groupBy("band", "i", "j")
+             .applyInArrow(lambda t: _apart_pairs(t, percent), "a long, b long").distinct())
+    more = _linked(apart, texts, words, percent)
+    if not more.isEmpty():
+        found = connected_components(links.unionByName(more), "near-components")
 
     named = owners.join(found, "id", "left").select(F.col("digest").alias("d_"), F.coalesce("component", "id").alias("by_set"))
     rows = sketches.select("rid", "doc_id", "n", "digest").join(named, F.col("digest") == F.col("d_"), "left")

@@ -78,6 +78,19 @@ def test_a_large_group_of_near_copies(make_docs):
     assert got(make_docs(rows)) == brute(rows)
 
 
+def test_blocks_of_a_bucket(make_docs, monkeypatch):
+    """Blocks of three members give what one block gives."""
+    from clickweave.llm import hyperminhash
+
+    monkeypatch.setattr(hyperminhash, "BLOCK", 3)
+    rng = random.Random(13)
+    rows = list(enumerate(t for _ in range(4) for t in family(rng, 40, 14)))
+    rng.shuffle(rows)
+    want = brute(rows)
+    assert 10 < len({c for _, _, c, _ in want}) < 150
+    assert got(make_docs(rows)) == want
+
+
 def test_null_and_repeated_ids(make_docs, table):
     rows = [(None, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (None, None), (2, "other text here now")]
     docs = table(make_docs(rows))
@@ -90,14 +103,21 @@ def test_null_and_repeated_ids(make_docs, table):
     assert near_duplicates(make_docs([])).collect() == []
 
 
+def test_sets_that_share_an_id(make_docs):
+    rng = random.Random(19)
+    a, b = family(rng, 30, 12), family(rng, 30, 12)
+    rows = [(i, t) for i, t in enumerate(a)] + [(i, t) for i, t in enumerate(b)]
+    assert len(near_duplicates(make_docs(rows)).collect()) == 60
+
+
 def test_registers_hold_leading_zeros_and_mantissa():
     s = np.sort(np.random.default_rng(3).integers(0, 1 << 63, 5000).astype(np.uint64) * np.uint64(2) + np.uint64(1))
-    r = registers(s)
+    r = registers(s, 7)
     for bucket in (0, 1, 77, 127):
         bits = min(format(int(h) & ((1 << 57) - 1), "057b") for h in s if int(h) >> 57 == bucket)
         zeros = len(bits) - len(bits.lstrip("0"))
         assert r[bucket] == zeros << 10 | int(bits[zeros + 1:zeros + 11].ljust(10, "0"), 2)
-    assert (registers(s[:1]) != EMPTY).sum() == 1 and len(band_keys(registers(s[:1]))) == 1
+    assert (registers(s[:1], 9) != EMPTY).sum() == 1 and len(band_keys(registers(s[:1], 7))) == 32
 
 
 def test_shingles_of_short_texts():
