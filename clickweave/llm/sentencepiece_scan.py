@@ -255,17 +255,15 @@ def _id_lists(blobs: list[bytes]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(blobs), np.int32)))
 
 
-def _encoded(batches: Iterable[pa.RecordBatch], model: bytes, most: int) -> Iterator[pa.RecordBatch]:
-    """Rows (rid, doc_id, text): ids of usual texts; the others go on as ``huge``."""
+def _encoded(batches: Iterable[pa.RecordBatch], model: bytes) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, text) of usual texts."""
     lattice = lattice_of(model)
     for batch in batches:
         for at in range(0, batch.num_rows, 500):
             part = batch.slice(at, 500)
-            texts = part.column(2).to_pylist()
-            ids = _id_lists([lattice.encode(t) if len(t) <= most else b"" for t in texts])
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(1), pa.array([len(t) for t in texts], pa.int64()), ids,
-                 pa.array([t if len(t) > most else None for t in texts], pa.string())], names=["rid", "doc_id", "n_chars", "ids", "huge"])
+            texts = part.column(1).to_pylist()
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(t) for t in texts], pa.int64()),
+                                              _id_lists([lattice.encode(t) for t in texts])], names=["doc_id", "n_chars", "ids"])
 
 
 def _cut(batches: Iterable[pa.RecordBatch], model: bytes, chunk: int) -> Iterator[pa.RecordBatch]:
@@ -344,12 +342,12 @@ def scan_giants(giants: DataFrame, model: bytes, chunk: int, block: int = _BLOCK
 def encode(docs: DataFrame, model: bytes, chunk: int = 16_384) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_chars, n_chunks, n_pieces, ids."""
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    usual = written(rows.mapInArrow(lambda b: _encoded(b, model, 2 * chunk), "rid long, doc_id long, n_chars long, ids array<int>, huge string"),
-                    "pieces-usual")
-    out = usual.where("huge is null").select("doc_id", "n_chars", F.lit(1).cast("long").alias("n_chunks"), "ids")
-    giants = usual.where("huge is not null")
+    giant = F.length("text") > 2 * chunk
+    out = (rows.where(~giant).select("doc_id", "text").mapInArrow(lambda b: _encoded(b, model), "doc_id long, n_chars long, ids array<int>")
+           .select("doc_id", "n_chars", F.lit(1).cast("long").alias("n_chunks"), "ids"))
+    giants = written(rows.where(giant).withColumn("n_chars", F.length("text").cast("long")), "pieces-giants")
     if not giants.isEmpty():
-        found = scan_giants(giants.select("rid", F.col("huge").alias("text")), model, chunk)
+        found = scan_giants(giants.select("rid", "text"), model, chunk)
         out = out.unionByName(giants.select("rid", "doc_id", "n_chars").join(found, "rid").select("doc_id", "n_chars", "n_chunks", "ids"))
     return out.select("doc_id", "n_chars", "n_chunks", F.size("ids").cast("long").alias("n_pieces"), "ids")
 
