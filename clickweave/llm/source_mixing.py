@@ -47,7 +47,7 @@ class Mix:
         """(rid, epoch, lo, hi): words [lo, hi) of the document that a slot takes."""
         p, s = self.pieces, self.slots
         upto = F.least(F.col("to"), F.col("take"))
-        return (s.join(p, ["sid", "block"]).where(F.col("from") < F.col("take"))
+        return (s.hint("merge").join(p, ["sid", "block"]).where(F.col("from") < F.col("take"))
                 .select("rid", "epoch", (F.col("from") + F.col("shift")).alias("lo"),
                         (upto + F.col("shift")).alias("hi")))
 
@@ -87,7 +87,7 @@ def _permuted(k: str, n: str, key: str) -> str:
 
 
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = 3,
-                block_words: int = 512, shard_slots: int = 4096, seed: int = 20, bucket_rows: int = 20_000) -> Mix:
+                block_words: int = 512, shard_slots: int = 4096, seed: int = 20, bucket_rows: int = 5_000) -> Mix:
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
     sized = written(docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long"),
                                 F.col("source"), size.alias("size")), "mix-sized")
