@@ -13,7 +13,7 @@ Per range the requests of all chunks are added up, which is the whole corpus's c
 and pair, and each chunk gets its totals back in the order in which it asked, so no hash travels
 twice. Then chunk texts and answers meet once, by chunk. A frequent word or pair is one entry per
 chunk; ranges are even, as hashes are. Nothing is pruned or sampled: every pair's count is exact (up
-to 64-bit hash collisions). Scans of the same table must deal it alike, as Spark's file scans do.
+to 64-bit hash collisions), added up and kept in 64 bits. Scans of the same table must deal it alike, as Spark's file scans do.
 
 Learning reads a table of event counts: deleted tokens by context bucket and by the half octaves of
 the two estimates, at most 24 x 130 x 130 rows, on the driver.
@@ -87,7 +87,7 @@ def _asked(chunk: int, texts: list[bytes], learn: list[bool], bits: int) -> Iter
     weights = np.repeat(np.array(learn, np.float64), np.diff(np.append(starts, len(tokens))))
     for kind, keys in ((WORDS, tokens), (PAIRS, _pairs(tokens, starts))):
         distinct, place = np.unique(keys, return_inverse=True)
-        counts = np.bincount(place, weights, len(distinct)).astype(np.uint32)
+        counts = np.bincount(place, weights, len(distinct)).astype(np.uint64)
         edges = np.searchsorted(distinct, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
         edges = np.append(edges, len(distinct))
         rows = [(kind, r, chunk, _packed(np.diff(distinct[a:b], prepend=np.uint64(0))), _packed(counts[a:b]))
@@ -121,12 +121,13 @@ def _answers(table: pa.Table) -> pa.Table:
     kind, span = table["kind"][0].as_py(), table["range"][0].as_py()
     chunks = table["chunk"].to_pylist()
     hashes = [np.cumsum(_unpacked(h.as_buffer(), np.uint64), dtype=np.uint64) for h in table["hashes"]]
-    counts = [_unpacked(c.as_buffer(), np.uint32).astype(np.float64) for c in table["counts"]]
+    counts = [_unpacked(c.as_buffer(), np.uint64) for c in table["counts"]]
     deleted = [np.full(len(h), c & 1, bool) for h, c in zip(hashes, chunks)]
     distinct, place = np.unique(np.concatenate(hashes), return_inverse=True)
     n, gone = np.concatenate(counts), np.concatenate(deleted)
-    total = np.bincount(place, n, len(distinct)).astype(np.uint32)
-    kept = total - np.bincount(place, n * gone, len(distinct)).astype(np.uint32)
+    total, kept = np.zeros(len(distinct), np.uint64), np.zeros(len(distinct), np.uint64)
+    np.add.at(total, place, n)  # whole numbers: a corpus may hold a word more than 2^32 times
+    np.add.at(kept, place[~gone], n[~gone])
     rows, at = [], 0
     for i, (chunk, h) in enumerate(zip(chunks, hashes)):
         p = place[at:at + len(h)]
@@ -152,7 +153,7 @@ def _chunk_counts(texts: list[bytes], told: pa.Table, column: str) -> tuple[np.n
     found = []
     for kind, keys in ((WORDS, tokens), (PAIRS, _pairs(tokens, starts))):
         rows = sorted((r, i) for i, (k, r) in enumerate(zip(told["kind"].to_pylist(), told["range"].to_pylist())) if k == kind)
-        counts = np.concatenate([_unpacked(told[column][i].as_buffer(), np.uint32) for _, i in rows])
+        counts = np.concatenate([_unpacked(told[column][i].as_buffer(), np.uint64) for _, i in rows])
         found.append(counts[np.unique(keys, return_inverse=True)[1]].astype(np.float64))
     begins = np.zeros(len(tokens), bool)
     begins[starts] = True

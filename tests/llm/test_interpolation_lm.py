@@ -4,8 +4,10 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 
-from clickweave.llm.interpolation_lm import _packed, _unpacked, learned_weights, lm_scores
+from clickweave.llm.interpolation_lm import _answers, _asked, _chunk_counts, _packed, _unpacked, learned_weights, lm_scores
 
 
 def rows(n=400):
@@ -57,6 +59,20 @@ def test_expectation_maximisation_finds_the_mixture():
         assert likelihood([x / sum(p) for x in p]) <= likelihood(w[3]) + 1e-3
 
 
+def test_counts_beyond_32_bits():
+    # a text learned 3,000,000,000 times in each of two chunks, the second one deleted
+    text, times = b"the cat the", 3_000_000_000
+    asked = pa.Table.from_batches([b for chunk in (0, 1) for b in _asked(chunk, [text], [times], 0)])
+    told = pa.concat_tables([_answers(asked.filter(pa.compute.equal(asked["kind"], kind))) for kind in (0, 1)])
+    facts = [sum(told[c].to_pylist()) for c in ("types", "tokens", "deleted", "ends")]
+    assert facts == [3, 8 * times, 4 * times, 2 * times]
+    told = told.filter(pa.compute.equal(told["chunk"], 1))
+    own, pair, _, _ = _chunk_counts([text], told, "all")
+    assert own.tolist() == [4 * times, 2 * times, 4 * times, 2 * times] and pair.tolist() == [2 * times] * 4
+    own, pair, _, _ = _chunk_counts([text], told, "kept")
+    assert own.tolist() == [2 * times, times, 2 * times, times] and pair.tolist() == [times] * 4
+
+
 def test_byte_planes_round_trip():
     for kind in (np.uint32, np.uint64):
         x = np.random.default_rng(2).integers(0, 1 << 31, 1000).astype(kind)
