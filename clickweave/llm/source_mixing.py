@@ -9,7 +9,9 @@ a x b >= blocks with cycle walking, so no sort and no table is needed); the shor
 last in a pass, and the last slot of the pass in part takes only the words that are still missing.
 Every slot is thrown into one of the output shards by a seeded hash: the source counts of the
 shards are a multinomial draw conditioned on the source totals, so a source's total equals its
-target to the word. Slots then join the blocks by (source, index).
+target to the word. Slots then join the blocks by (source, index). ``mix_report`` gives, per document
+row, the words that each shard takes of it; the rows of ``mix_documents`` are per document and pass,
+whatever the shards.
 
 Defined cases: NULL or empty text has size 0 and is never taken; a NULL source is a source of its
 own, last in order; rows that repeat a doc_id are separate rows, each with its own words; a table
@@ -44,11 +46,11 @@ class Mix:
     slots: DataFrame
 
     def spans(self) -> DataFrame:
-        """(rid, epoch, lo, hi): words [lo, hi) of the document that a slot takes."""
+        """(rid, epoch, shard, lo, hi): words [lo, hi) of the document that a slot takes."""
         p, s = self.pieces, self.slots
         upto = F.least(F.col("to"), F.col("take"))
         return (s.hint("merge").join(p, ["sid", "block"]).where(F.col("from") < F.col("take"))
-                .select("rid", "epoch", (F.col("from") + F.col("shift")).alias("lo"),
+                .select("rid", "epoch", "shard", (F.col("from") + F.col("shift")).alias("lo"),
                         (upto + F.col("shift")).alias("hi")))
 
 
@@ -143,11 +145,15 @@ def shard_counts(mix: Mix) -> DataFrame:
 
 
 def mix_report(mix: Mix) -> DataFrame:
-    """One row per document row: doc_id, size, source_size, target, taken."""
-    taken = mix.spans().groupBy("rid").agg(F.sum(F.col("hi") - F.col("lo")).alias("taken"))
+    """One row per document row: doc_id, size, source_size, target, taken, and ``shards``, the words
+    that each output shard takes of it, in order of the shards."""
+    by_shard = mix.spans().groupBy("rid", "shard").agg(F.sum(F.col("hi") - F.col("lo")).alias("words"))
+    taken = by_shard.groupBy("rid").agg(F.sum("words").alias("taken"),
+                                        F.sort_array(F.collect_list(F.struct("shard", "words"))).alias("shards"))
     known = mix.sources.select(F.col("source").alias("s_"), "source_size", "target")
     return (mix.sized.join(known, F.col("source").eqNullSafe(F.col("s_"))).join(taken, "rid", "left")
-            .select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken")))
+            .select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"),
+                    F.coalesce("shards", F.array().cast("array<struct<shard:bigint,words:bigint>>")).alias("shards")))
 
 
 def mix_documents(docs: DataFrame, **params) -> DataFrame:

@@ -80,6 +80,19 @@ def test_each_pass_takes_each_block_at_most_once(make_docs, table):
     assert sum(c.blocks for c in counts) == len(slots) and len({c.shard for c in counts}) > 2
 
 
+def test_report_holds_the_draw_of_the_shards(make_docs, table):
+    data = [r for r in rows(5) if r[0] not in (None, 5001)]
+    mix = mix_sources(table(make_docs(data)), block_words=8, shard_slots=50)
+    got = mix_report(mix).collect()
+    assert all(r.taken == sum(x.words for x in r.shards) and len({x.shard for x in r.shards}) == len(r.shards) for r in got)
+    sids = {r.source: r.sid for r in mix.sources.collect()}
+    of, words = {i: sids[s] for i, _, _, s in data}, {}
+    for r in got:
+        for x in r.shards:
+            words[x.shard, of[r.doc_id]] = words.get((x.shard, of[r.doc_id]), 0) + x.words
+    assert words == {(c.shard, c.sid): c.words for c in shard_counts(mix).collect()} and len({s for s, _ in words}) > 2
+
+
 def test_mixed_documents_hold_the_words_taken(make_docs, table):
     data = rows(4)
     docs = table(make_docs(data, extra=("size", "_row", "_pass")))
