@@ -11,7 +11,7 @@ from clickweave.llm.interpolation_lm import lm_scores
 from clickweave.llm.license_scan import BASE, LICENSE_WORD, NOTICES, license_scan
 from clickweave.llm.quality_rules import quality_rules
 from clickweave.llm.rlz_substring import substring_dedup
-from clickweave.llm.sentencepiece_scan import encode
+from clickweave.llm.sentencepiece_scan import encode, with_digests
 from clickweave.llm.source_mixing import mix_report, mix_sources
 from clickweave.llm.token_counts import token_counts
 from clickweave.llm.trie_dedup import trie_owners
@@ -38,7 +38,8 @@ def op3_compression_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_sentencepiece_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode(read_table(spark, sf_dir), piece_model())
+    model = piece_model()
+    return with_digests(encode(read_table(spark, sf_dir), model), model)
 
 
 def op5_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:

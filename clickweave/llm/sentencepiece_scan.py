@@ -25,12 +25,13 @@ own; no rows, no result; extra columns are ignored. Decoding gives back the text
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from clickweave.llm.common import text_or_empty, written
 
@@ -40,6 +41,8 @@ NEVER = -(1 << 61)
 #: Parts that a Python worker remembers, none longer than _LONG characters.
 _CACHE, _LONG = 400_000, 48
 _SEEK, _BLOCK = 1024, 256
+#: Ids decoded at a time for a digest.
+_DECODED = 1 << 18
 
 
 class Lattice:
@@ -95,6 +98,10 @@ class Lattice:
         return b"".join(map(solved.__getitem__, parts))
 
     def decode(self, ids: list[int]) -> str:
+        return self.joined(ids)[1:]
+
+    def joined(self, ids: list[int]) -> str:
+        """The text of some of a text's ids, the space before its first word included."""
         pieces, bytes_, out = self.text, self.byte_of, []
         if bytes_.keys().isdisjoint(ids) and self.control.isdisjoint(ids):
             out = map(pieces.__getitem__, ids)
@@ -107,7 +114,7 @@ class Lattice:
                     out += [run.decode("utf-8", "replace"), pieces[i]]
                     run.clear()
             out.append(run.decode("utf-8", "replace"))
-        return "".join(out).replace(MARK, " ")[1:]
+        return "".join(out).replace(MARK, " ")
 
     # Paths of pieces, for chunk edges and for stretches without a certain boundary
 
@@ -365,3 +372,30 @@ def _decoded(batches: Iterable[pa.RecordBatch], model: bytes) -> Iterator[pa.Rec
 def decode(encoded: DataFrame, model: bytes) -> DataFrame:
     """(doc_id, ids) -> (doc_id, text)."""
     return encoded.select("doc_id", "ids").mapInArrow(lambda b: _decoded(b, model), "doc_id long, text string")
+
+
+def _digest(lattice: Lattice, ids: pa.Array) -> str:
+    """sha256 of the text that ``ids`` decode to, part by part; a character's bytes stay in one part."""
+    digest, held, start = hashlib.sha256(), [], True
+    for at in range(0, len(ids), _DECODED):
+        part = held + ids.slice(at, _DECODED).to_pylist()
+        cut = len(part)
+        while at + _DECODED < len(ids) and cut and (part[cut - 1] in lattice.byte_of or part[cut - 1] in lattice.control):
+            cut -= 1
+        text, held = lattice.joined(part[:cut]), part[cut:]
+        digest.update(text[int(start):].encode())
+        start = start and not text
+    return digest.hexdigest()
+
+
+def _digests(batches: Iterable[pa.RecordBatch], model: bytes) -> Iterator[pa.RecordBatch]:
+    lattice = lattice_of(model)
+    for batch in batches:
+        found = [_digest(lattice, ids.values) for ids in batch["ids"]]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], names=[*batch.schema.names, "decoded_sha256"])
+
+
+def with_digests(encoded: DataFrame, model: bytes) -> DataFrame:
+    """``encoded`` and decoded_sha256, of the UTF-8 text that its ids decode to: that of the input with
+    marks (U+2581) as spaces."""
+    return encoded.mapInArrow(lambda b: _digests(b, model), T.StructType([*encoded.schema.fields, T.StructField("decoded_sha256", T.StringType())]))

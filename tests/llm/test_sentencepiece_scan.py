@@ -63,3 +63,28 @@ def test_many_blocks_of_chunks(make_docs):
     docs = make_docs([(1, text)]).selectExpr("doc_id as rid", "text")
     got = s.scan_giants(docs, MODEL, 40, block=16).collect()
     assert list(got[0].ids) == LIBRARY.encode(text) and got[0].n_chunks > 256
+
+
+def test_query_decodes_every_document(spark, make_docs, monkeypatch):
+    import hashlib
+
+    from clickweave.llm import sentencepiece_scan as s
+    from clickweave.llm.queries import op4_sentencepiece_scan
+
+    def digest(text):
+        return hashlib.sha256((text or "").replace("\u2581", " ").encode()).hexdigest()
+
+    sf = "/root/testdata/sf0.001"
+    texts = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    got = op4_sentencepiece_scan(spark, sf).select("doc_id", "decoded_sha256").collect()
+    assert sorted(map(tuple, got)) == sorted((r.doc_id, digest(r.text)) for r in texts)
+    marks = [*ODD, (13, "a\u2581b \u2581"), (14, "😀\x01é" * 12_000)]
+    got = s.with_digests(encode(make_docs(marks), MODEL), MODEL).collect()
+    assert {r.doc_id: r.decoded_sha256 for r in got} == {i: digest(t) for i, t in marks}
+    # in parts that would cut a character's bytes
+    lattice = Lattice(MODEL)
+    for size in (1, 2, 3, 7):
+        monkeypatch.setattr(s, "_DECODED", size)
+        for _, t in marks:
+            ids = LIBRARY.encode((t or "")[:400])
+            assert s._digest(lattice, s.pa.array(ids, s.pa.int32())) == digest((t or "")[:400])
