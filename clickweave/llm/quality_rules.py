@@ -12,8 +12,10 @@ distance counts n_words / (n_words + 50) times.
 Everything is DataFrame expressions. Statistics are whole numbers (1/512 of a unit), so that sums
 of them and of their products are exact and the verdicts don't depend on the order of rows; a step
 is one aggregation by (group, distance bin), of a few hundred rows per group, so a source with a
-third of all rows is pre-aggregated in every task. A group under ``min_rows`` rows is judged with
-the other small ones of its language, and if those are too few as well, by the base rules alone.
+third of all rows is pre-aggregated in every task. A group under ``min_rows`` rows with words is
+judged with the other small ones of its language; if those are too few as well, by the estimate of
+all rows of its language, and if that has too few, by the estimate of the whole table. Only a table
+that has under ``min_rows`` rows with words itself is left to the base rules alone.
 
 Defined cases: NULL, empty or blank text has no words (all counts 0) and fails the base rules; NULL
 language or source are values like others; repeated rows are rows of their own; no rows, no result;
@@ -92,14 +94,27 @@ def _statistics(counts: DataFrame) -> DataFrame:
 
 
 def _groups(rows: DataFrame, min_rows: int) -> DataFrame:
-    """(lang, source) -> the group that judges it; NULL where there are too few rows."""
-    own = rows.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"))
+    """(lang, source) -> the group that judges it, NULL where the table has too few rows, and the
+    groups whose estimates its rows enter."""
+    own = written(rows.groupBy("lang", "source").agg(F.count_if(F.col("n_words") > 0).alias("n")), "quality-sizes")
+    whole = F.lit(own.agg(F.sum("n")).first()[0] or 0) >= min_rows
+    by_lang = Window.partitionBy("lang")
+    lang = (F.coalesce("lang", F.lit("")).alias("lang"), F.col("lang").isNull().alias("no_lang"))
+    source = (F.coalesce("source", F.lit("")).alias("source"), F.col("source").isNull().alias("no_source"))
     large = F.col("n") >= min_rows
-    pooled = F.sum(F.when(~large, F.col("n"))).over(Window.partitionBy("lang"))
-    name = (F.when(large, F.to_json(F.struct(F.coalesce("lang", F.lit("")).alias("lang"), F.col("lang").isNull().alias("no_lang"),
-                                             F.coalesce("source", F.lit("")).alias("source"), F.col("source").isNull().alias("no_source"))))
-            .when(pooled >= min_rows, F.to_json(F.struct(F.coalesce("lang", F.lit("")).alias("lang"), F.col("lang").isNull().alias("no_lang")))))
-    return own.select(F.col("lang").alias("l_"), F.col("source").alias("s_"), name.alias("g"))
+    own = (own.withColumn("pooled", F.coalesce(F.sum(F.when(~large, F.col("n"))).over(by_lang), F.lit(0)))
+           .withColumn("spoken", F.sum("n").over(by_lang)))
+    of_lang = F.to_json(F.struct(*lang))
+    # a pool of small groups and a whole language share a name: no language has both
+    name = (F.when(large, F.to_json(F.struct(*lang, *source))).when((F.col("pooled") >= min_rows) | (F.col("spoken") >= min_rows), of_lang)
+            .when(whole, F.lit("{}")))
+    own = own.withColumn("g", name)
+    some = F.max((F.col("g") == "{}").cast("int"))
+    tabled = F.lit(own.agg(some).first()[0] == 1)
+    short = F.max((~large & (F.col("pooled") < min_rows)).cast("int")).over(by_lang) == 1
+    feeds = F.array(F.when(large | (F.col("pooled") >= min_rows), F.col("g")),
+                    F.when(short & (F.col("spoken") >= min_rows), of_lang), F.when(tabled, F.lit("{}")))
+    return own.select(F.col("lang").alias("l_"), F.col("source").alias("s_"), "g", F.array_distinct(F.array_compact(feeds)).alias("feeds"))
 
 
 def _start(rows: DataFrame) -> DataFrame:
@@ -175,8 +190,9 @@ def quality_rules(docs: DataFrame, cutoff: float = 25.0, share: float = 0.75, st
     groups = written(_groups(counts, min_rows), "quality-groups")
     n = groups.count()
     known = bounded(groups, n)
+    n = 2 * n + 1  # with those of whole languages and of the whole table
     rows = counts.join(known, F.col("lang").eqNullSafe(F.col("l_")) & F.col("source").eqNullSafe(F.col("s_"))).drop("l_", "s_")
-    judged = rows.where(F.col("g").isNotNull() & (F.col("n_words") > 0))
+    judged = rows.where(F.col("n_words") > 0).select(*STATS, F.explode("feeds").alias("g"))
     # each step ends in a table of one row per group
     estimate = written(_start(judged), "mcd-0").withColumn("half", F.lit(CHI2_MEDIAN))
     for step in range(1, steps + 1):

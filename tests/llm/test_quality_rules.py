@@ -55,3 +55,26 @@ def test_estimate_is_not_moved_by_a_fifth_of_junk(make_docs):
 
 def test_no_rows(make_docs):
     assert quality_rules(make_docs([])).collect() == []
+
+
+def test_small_groups_are_judged_by_their_language_or_the_table(make_docs):
+    rng = random.Random(4)
+
+    def some(first, n, lang, source, junk=0):
+        good = [(first + i, prose(rng, 80), lang, source) for i in range(n)]
+        return good + [(first + n + i, " ".join(w + "$$$" for w in prose(rng, 80).split()), lang, source) for i in range(junk)]
+
+    hot = some(0, 240, "en", "hot")
+    rows = hot + some(1000, 40, "en", "a", 4) + some(2000, 20, "en", None, 4) + some(3000, 30, "fr", "a", 4) + some(4000, 5, None, "b", 1)
+    rows += [(5000 + i, None, "xx", "empty") for i in range(120)]
+    got = {r.doc_id: r for r in quality_rules(make_docs(rows)).collect()}
+    assert len(got) == len(rows)
+    texts = [r for r in rows if r[1]]
+    assert all(got[r[0]].distance is not None for r in texts)
+    junk = {r[0] for r in texts if "$$$" in r[1]}
+    assert len(junk) == 13 and not any(got[i].kept for i in junk)
+    assert all(got[r[0]].kept for r in texts if r[0] not in junk and not got[r[0]].base_failed)
+    alone = {r.doc_id: r.distance for r in quality_rules(make_docs(hot)).collect()}
+    assert all(got[i].distance == alone[i] for i, *_ in hot)
+    # too few rows in the whole table
+    assert all(r.distance is None for r in quality_rules(make_docs(hot[:99])).collect())
