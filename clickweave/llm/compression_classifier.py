@@ -16,8 +16,9 @@ counts all of its rows in bins of the difference, a table of at most 2 x 2,001 c
 
 Defined cases: NULL and empty texts get the score of the mean difference; NULL ids are not
 held out and never learned from; repeated rows are rows of their own (a repeated label row counts
-again in calibration); without labels of both classes every score is 0.5; no rows, no result; extra
-columns are ignored.
+again in calibration); blocks under 64 bytes feed a dictionary only where its class has no others;
+without labels of both classes, or where the texts of a class that feed its dictionary are all empty,
+every score is 0.5; no rows, no result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -79,12 +80,11 @@ def _difference(usual: float) -> Column:
 
 
 def _blocks(batches: Iterable[pa.RecordBatch], block: int) -> Iterator[pa.RecordBatch]:
-    """(quality, block) of whole texts; blocks under 64 bytes say too little."""
+    """(quality, block) of whole texts."""
     for b in batches:
         for quality, text in zip(b.column(0).to_pylist(), b.column(1)):
             text = text.as_buffer().to_pybytes()
             parts = [text[i:i + block] for i in range(0, len(text), block)]
-            parts = [p for p in parts if len(p) >= 64]
             yield pa.RecordBatch.from_arrays([pa.array([quality] * len(parts), pa.int32()), pa.array(parts, pa.binary())], names=["quality", "block"])
 
 
@@ -119,10 +119,14 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1,
     blocks = rows.where("part < 4").select("quality", "text").mapInArrow(lambda b: _blocks(b, block), "quality int, block binary")
     # distinct blocks by hash: first how many, then those whose hash is low enough for twice the sample
     blocks = blocks.withColumn("key", F.xxhash64("block"))
-    sizes = {r[0]: r[1] for r in blocks.groupBy("quality").agg(F.approx_count_distinct("key")).collect()}
+    # blocks under 64 bytes say too little, unless a class has no others
+    blocks = blocks.withColumn("long", F.length("block") >= 64)
+    sizes = {(r[0], r[1]): r[2] for r in blocks.groupBy("quality", "long").agg(F.approx_count_distinct("key")).collect()}
     low = F.lit(False)
-    for q, n in sizes.items():
-        low = low | ((F.col("quality") == q) & (F.col("key") <= F.lit(-2**63 + (2**64 - 1) * min(2 * sample, max(n, 1)) // max(n, 1))))
+    for (q, long), n in sizes.items():
+        if not long and (q, True) in sizes:
+            continue
+        low = low | ((F.col("quality") == q) & (F.col("long") == long) & (F.col("key") <= F.lit(-2**63 + (2**64 - 1) * min(2 * sample, max(n, 1)) // max(n, 1))))
     found = blocks.where(low).groupBy("quality", "key").agg(F.min("block").alias("block")).collect()
     samples = {q: [bytes(r.block) for r in sorted((r for r in found if r.quality == q), key=lambda r: r.key)[:sample]] for q in (0, 1)}
     if not all(samples.values()):

@@ -39,3 +39,17 @@ def test_without_labels_of_both_classes(make_docs, spark):
     none = spark.createDataFrame([(1, 1, 0), (2, None, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
     assert {r.score for r in quality_scores(make_docs([(1, "a b"), (2, None)]), none).collect()} == {0.5}
     assert quality_scores(make_docs([]), none).collect() == []
+
+
+def test_a_class_of_short_texts_is_learned(make_docs, spark):
+    docs, _, quality = corpus(make_docs, spark)
+    rng = random.Random(19)
+    for least in (1, 4):
+        short = [(i, t if quality[i] else " ".join(f"BUY{rng.randint(0, 9)}$$" for _ in range(rng.randint(least, 6)))) for i, t in docs]
+        assert all(len(t) < 64 for i, t in short if not quality[i])
+        labels = spark.createDataFrame([(i, q, 0) for i, q in quality.items()], "doc_id long, quality int, toxic int")
+        got = [r for r in quality_scores(make_docs(short), labels).collect() if r.held_out]
+        assert len(got) > 50 and sum(r.predicted == quality[r.doc_id] for r in got) > 0.9 * len(got)
+    # one tiny text
+    few = [(i, t) for i, t in docs if quality[i]] + [(i, "B") for i, _ in docs if not quality[i]]
+    assert all(0 <= r.score <= 1 for r in quality_scores(make_docs(few), labels).collect())
