@@ -89,10 +89,10 @@ def _planted_csv(cat: EventCatalog, path: str) -> None:
               F.when(way == 1, "dear").otherwise(F.col("price").cast("string")), F.col("user_id"), F.col("user_session")]
     fields = [F.coalesce(c, F.lit("")) for c in fields]
     line = F.when(way == 2, F.concat_ws(",", *fields[:5])).otherwise(F.concat_ws(",", *fields))
-    header = cat.spark.createDataFrame([(",".join(EVENT_COLUMNS),)], "line string")
-    # one file with its header first: the broken lines are a thirty-seventh of a fixture
-    lines = header.select(F.lit(0).alias("o"), "line").unionByName(rows.select(F.lit(1).alias("o"), line.alias("line")))
-    lines.coalesce(1).sortWithinPartitions("o").select("line").write.text(f"{path}/bad")
+    # each task writes its lines as they are, under the header as the name of their one column
+    (rows.select(line.alias(",".join(EVENT_COLUMNS))).write
+     .options(header=True, sep="\x01", quote="", escapeQuotes=False, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+     .csv(f"{path}/bad"))
 
 
 def _loaded(spark: SparkSession, d: str) -> str:

@@ -90,3 +90,25 @@ def test_gzip_csv(spark, catalog):
     raw.select(*cols).write.option("header", True).option("compression", "gzip").csv(path)
     accepted, rejected = ingest_events(spark, path)
     assert rejected.count() == 0 and accepted.count() == raw.count()
+
+
+def test_broken_lines_are_written_by_several_tasks_under_a_header_each(spark, tmp_path):
+    from types import SimpleNamespace
+
+    from pyspark.sql import functions as F
+
+    from clickweave.plans.registry import _planted_csv
+    from clickweave.schema import EVENT_COLUMNS
+
+    n = 200
+    raw = spark.range(0, n, 1, 4).select(
+        F.timestamp_seconds(F.lit(1575000000) + F.col("id")).alias("event_time"), F.lit("view").alias("event_type"),
+        (F.col("id") * 37).cast("string").alias("product_id"), F.lit("7").alias("category_id"), F.lit("a.b").alias("category_code"),
+        F.lit(' "x y" ').alias("brand"), F.lit(1.5).alias("price"), F.col("id").cast("string").alias("user_id"), F.lit("s ").alias("user_session"))
+    _planted_csv(SimpleNamespace(raw=lambda: raw, spark=spark), str(tmp_path / "csv"))
+    files = [p.read_text().split("\n")[:-1] for p in (tmp_path / "csv" / "bad").glob("part-*")]
+    assert len(files) == 4 and all(f[0] == ",".join(EVENT_COLUMNS) and len(f) > 1 for f in files)
+    lines = sorted((x for f in files for x in f[1:]), key=lambda x: int(x.split(",")[2]))
+    assert len(lines) == n
+    assert lines[1].endswith(',view,37,7,a.b, "x y" ,dear,1,s ') and lines[0].startswith("not a time,view,0,") and lines[3].startswith(",view,111,")
+    assert lines[2].endswith(",view,74,7,a.b") and ",,148,7," in lines[4]
