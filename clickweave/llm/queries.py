@@ -4,17 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from clickweave.config import new_shared_path
+from clickweave.llm.collocations import collocations
 from clickweave.llm.common import read_table
 from clickweave.llm.compression_classifier import quality_scores
 from clickweave.llm.hyperminhash import near_duplicates
 from clickweave.llm.interpolation_lm import lm_scores
 from clickweave.llm.license_scan import BASE, LICENSE_WORD, NOTICES, license_scan
+from clickweave.llm.periodic_runs import periodic_runs, planted, run_report
 from clickweave.llm.quality_rules import quality_rules
 from clickweave.llm.rlz_substring import substring_dedup
 from clickweave.llm.sentencepiece_scan import encode, with_digests
 from clickweave.llm.source_mixing import mix_report, mix_sources
 from clickweave.llm.token_counts import token_counts
 from clickweave.llm.trie_dedup import trie_owners
+from clickweave.llm.warc import page_report, read_archives, write_archives
 
 
 def piece_model(name: str = "piece_bpe_32k.model") -> bytes:
@@ -66,10 +70,25 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_report(mix_sources(read_table(spark, sf_dir)))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The archives hold a torn copy of about every hundredth record, so that the reader has to salvage."""
+    path = new_shared_path(spark, "warc")
+    write_archives(read_table(spark, sf_dir, "pages"), path, torn_every=97)
+    return page_report(read_archives(spark, path, payloads=False))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_report(periodic_runs(read_table(spark, sf_dir), prepare=planted))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(read_table(spark, sf_dir))
+
+
 QUERIES = {f.__name__: f for f in (op1_license_scan, op2_quality_rules, op3_compression_classifier,
                                   op4_sentencepiece_scan, op5_hyperminhash, op6_rlz_substring,
                                   op7_token_counts, op8_interpolation_lm, op9_trie_dedup,
-                                  op10_source_mixing)}
+                                  op10_source_mixing, op11_warc, op12_periodic_runs, op13_collocations)}
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
@@ -131,4 +150,29 @@ SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
        doc_id = max(doc_id) OVER same AS kept, sha256(t) AS text_sha256
 FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)
 WINDOW same AS (PARTITION BY t)""",
+    "op11_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS t, sha1(coalesce(html, '')) AS h FROM pages),
+o AS (SELECT page_id, t, max(page_id) OVER (PARTITION BY t) AS owner,
+             array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(h, 5 * (c // 4) + 1, 5))::BIGINT >> (15 - 5 * (c % 4))) & 31), 1)
+                              FOR c IN range(32)], '') AS payload_digest FROM p)
+SELECT page_id, strlen(t) AS payload_bytes, payload_digest, CASE WHEN owner IS DISTINCT FROM page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN owner IS DISTINCT FROM page_id THEN owner END AS refers_to
+FROM o""",
+    "op13_collocations": f"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER}, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces),
+f AS (SELECT lang, k AS words, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS f
+      FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, range(1, 5) t(k) WHERE len(w) >= k) GROUP BY ALL),
+c AS (SELECT lang, words, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE words > 1 AND f >= 30),
+longer AS (SELECT lang, array_to_string(ws[i:i + k - 1], ' ') AS phrase, max(a) AS most
+           FROM (SELECT *, unnest(range(1, words - k + 2)) AS i FROM c, range(2, 4) t(k) WHERE k < words) GROUP BY ALL),
+cut AS (SELECT c.lang, c.phrase, a, k, x.f AS l, y.f AS r, ((2000000::HUGEINT * a) // (x.f + y.f))::BIGINT AS score
+        FROM (SELECT c.* FROM c LEFT JOIN longer USING (lang, phrase) WHERE most IS NULL OR 100 * most < 80 * a) c
+        JOIN range(1, 4) t(k) ON k < c.words
+        JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(ws[1:k], ' ')
+        JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(ws[k + 1:], ' ')),
+best AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best)
+SELECT lang, rank, phrase, a, l, r, n, score
+FROM ranked JOIN (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE words = 1 GROUP BY lang) USING (lang) WHERE rank <= 2000""",
 }

@@ -15,7 +15,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def test_names():
-    assert [n for n in QUERIES] == sorted(QUERIES, key=lambda n: int(n[2:].split("_")[0])) and len(QUERIES) == 10
+    assert [n for n in QUERIES] == sorted(QUERIES, key=lambda n: int(n[2:].split("_")[0])) and len(QUERIES) == 13
     assert set(QUERIES) | {"pipeline"} <= set(__spark_entry__.queries())
     assert len(corpus_pipeline.STAGES) == 5 and corpus_pipeline.ORACLE_SQL is None
 
@@ -23,7 +23,8 @@ def test_names():
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_oracles(spark, name):
     con = duckdb.connect()
-    con.execute(f"create view documents as select * from read_parquet('{SF}/documents.parquet')")
+    for name_ in ("documents", "pages"):
+        con.execute(f"create view {name_} as select * from read_parquet('{SF}/{name_}.parquet')")
     want = con.execute(ORACLE[name])
     columns = [c[0] for c in want.description]
     got = QUERIES[name](spark, SF).select(*columns)
