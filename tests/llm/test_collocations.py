@@ -85,7 +85,7 @@ def corpus(rng, n=500):
     return rows + [(None, "en"), ("", "de"), ("....", "es"), ("no no " * 200, "it"), ("ha " * 1000, None), ("yes\n" * 100, "it"), ("und so", "und")]
 
 
-@pytest.mark.parametrize("chunk,partition,top", [(8 << 20, 12 << 20, 2000), (2000, 1000, 7)])
+@pytest.mark.parametrize("chunk,partition,top", [(4 << 20, 6 << 20, 2000), (2000, 1000, 7)])
 def test_equals_brute_force(make_docs, monkeypatch, chunk, partition, top):
     monkeypatch.setattr(C, "CHUNK", chunk)
     monkeypatch.setattr(C, "PARTITION", partition)
