@@ -20,12 +20,12 @@ from pyspark.sql import SparkSession
 
 from clickweave.config import SESSION_DEFAULTS, ensure_checkpoint_dir, scale_conf
 from clickweave.operators.checks import check_category_product, check_funnel_rates, check_month_completeness
-from clickweave.operators.clean import clean_events, rebuild_months
+from clickweave.operators.clean import rebuild_months, write_clean
 from clickweave.plans.catalog import EventCatalog
 from clickweave.plans.views import VIEWS, export_views
 from clickweave.schema import DEFAULT_PARAMS, Params
 from clickweave.sources.ingest import ingest_events
-from clickweave.sources.tables import raw_table_schema, read_event_table, write_event_table
+from clickweave.sources.tables import raw_table_schema, read_event_table
 
 
 def params_of(args: argparse.Namespace) -> Params:
@@ -86,7 +86,7 @@ def main(argv: list[str] | None = None) -> dict:
     if args.months:
         rebuild_months(raw, clean_path, [dt.date.fromisoformat(m) for m in args.months], params)
     else:
-        write_event_table(clean_events(raw, params), clean_path)
+        write_clean(raw, clean_path, params=params)
     catalog = EventCatalog.over_table(spark, raw_path, params, clean_path=clean_path)
     month, category = params.check_month, params.check_category
     report["checks"] = {

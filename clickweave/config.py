@@ -117,3 +117,11 @@ def delete_path(spark: SparkSession, path: str) -> bool:
     sc = spark.sparkContext
     target = sc._jvm.org.apache.hadoop.fs.Path(path)
     return bool(target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True))
+
+
+def list_path(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder, in whatever store it is; none if it is absent."""
+    sc = spark.sparkContext
+    target = sc._jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(sc._jsc.hadoopConfiguration())
+    return [s.getPath().getName() for s in fs.listStatus(target)] if fs.exists(target) else []

@@ -1,241 +1,54 @@
-"""Exact global n-tiles and discrete percentiles without a single-partition window.
+"""Exact global n-tiles without a single-partition window.
 
-``NTILE(k) OVER (ORDER BY v)`` with no PARTITION BY makes Spark move every row into
-one task. Here the order is cut into value buckets first:
-
-1. ``approxQuantile`` gives at most B-1 distinct boundaries. B is n / rows_per_task, and at least
-   twice the shuffle partitions, so that ranking always uses the whole cluster.
-2. Every row gets a bucket that is a pure function of its value: ``2k`` for values strictly
-   between boundary k-1 and k, ``2k+1`` for a value equal to boundary k. A tied boundary
-   value is further split by the first hex digits of a hash column, which is the first
-   tie-break key, so bucket order stays consistent with the total order. There are as many
-   digits as it takes to cut n equal values into parts of rows_per_task.
-3. Row counts per (bucket, part) form the bucket table; a running sum over the buckets (a few
-   times B rows) and one inside each bucket give the rank offsets.
-4. Rows join the bucket table (broadcast while its row bound is below ``BROADCAST_MAX_ROWS``)
-   and are ranked with ``row_number`` inside their bucket: offset + position is the global
-   rank, from which the tile follows. Every ranking task holds one bucket of bounded size.
-
-The input must give the same values on every evaluation (a persisted table or a
-checkpointed frame), since it is read by several jobs.
+``NTILE(k) OVER (ORDER BY v)`` with no PARTITION BY makes Spark move every row into one task. Here
+the rows are range-partitioned by the whole order (value, then tie-breaks, so that equal values are
+dealt to several tasks too), sorted in their tasks, written and numbered (``functions.numbering``).
+The number is the global rank, from which the tile follows. Nothing of the data is in the plan: no
+boundaries, no counts. Several n-tiles of one table share the count of its parts.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
-from dataclasses import dataclass
-
-from pyspark.sql import Column, DataFrame, Window, functions as F
-
-# The bucket table has at most (B + 4) * (1 + 16 ** digits) rows for B value buckets; above
-# this bound it is joined by shuffle instead of broadcast.
-BROADCAST_MAX_ROWS = 500_000
-_V, _B, _S = "_nt_v", "_nt_b", "_nt_s"
-
-
-def ntile_of_rank(rank: int, n: int, k: int) -> int:
-    """Tile (1-based) of 0-based rank r among n rows: first n % k tiles get one more row."""
-    q, e = divmod(n, k)
-    big = e * (q + 1)
-    if rank < big:
-        return rank // (q + 1) + 1
-    return e + (rank - big) // q + 1
-
-
-def _ntile_col(rank: Column, n: int, k: int) -> Column:
-    q, e = divmod(n, k)
-    big = e * (q + 1)
-    first = (rank / F.lit(q + 1)).cast("long") + 1
-    if q == 0:
-        return first.cast("int")
-    rest = F.lit(e) + ((rank - F.lit(big)) / F.lit(q)).cast("long") + 1
-    return F.when(rank < F.lit(big), first).otherwise(rest).cast("int")
 
-
-def bucket_count(n: int, rows_per_task: int, partitions: int) -> int:
-    """Value buckets for n rows: bounded parts, and enough of them for every task of a shuffle."""
-    return max(1, min(n, max(math.ceil(n / max(1, rows_per_task)), 2 * partitions)))
-
-
-def tie_digits(n: int, rows_per_task: int) -> int:
-    """Hex digits that cut n rows of one value into parts of about rows_per_task; at least two."""
-    return max(2, math.ceil(math.log(max(1.0, n / max(1, rows_per_task)), 16)))
-
-
-def _boundaries(values: DataFrame, n: int, rows_per_task: int) -> list[float]:
-    buckets = bucket_count(n, rows_per_task, int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    if buckets == 1:
-        return []
-    probs = [i / buckets for i in range(1, buckets)]
-    qs = values.approxQuantile(_V, probs, 1.0 / (4 * buckets))
-    return sorted({float(q) for q in qs if q is not None and not math.isnan(q)})
-
-
-def _with_bucket(df: DataFrame, bounds: list[float], nulls_first: bool, nan_first: bool = False) -> DataFrame:
-    """Add the bucket id ``_nt_b`` computed from ``_nt_v`` (see module doc). NULL and NaN get
-    buckets of their own at the ends, in the order the sort would put them."""
-    v = F.col(_V)
-    m = len(bounds)
-    null_bucket = F.lit(-3 if nulls_first else 2 * m + 3)
-    nan_bucket = F.lit(-2 if nan_first else 2 * m + 2)
-    if not bounds:
-        value_bucket = F.lit(0)
-        out = df
+from pyspark.sql import Column, DataFrame, functions as F
+
+from clickweave.config import delete_path
+from clickweave.functions.numbering import part_offsets, with_number, write_numbered
+
+
+def exact_ntiles(df: DataFrame, k: int, orders: dict[str, Sequence[Column]]) -> DataFrame:
+    """``NTILE(k) OVER (ORDER BY ...)`` per name and order. Orders must be total, or rows that tie get
+    any of their places. No rows, no tiles."""
+    path, ids = None, {out: f"_nt_{i}" for i, out in enumerate(orders)}
+    for out, order in orders.items():
+        before, (df, path) = path, write_numbered(df.repartitionByRange(*order).sortWithinPartitions(*order), ids[out])
+        if before is not None:
+            delete_path(df.sparkSession, before)
+    offsets = part_offsets(df, list(ids.values()))
+    for out, name in ids.items():
+        # the first n % k tiles are one row longer
+        df = (with_number(df, offsets, name, "_nt_r", "_nt_n")
+              .withColumns({"_nt_q": F.expr(f"_nt_n div {k}"), "_nt_e": F.col("_nt_n") % k})
+              .withColumn(out, F.expr("cast(if(_nt_r < _nt_e * (_nt_q + 1), _nt_r div (_nt_q + 1),"
+                                      " _nt_e + (_nt_r - _nt_e * (_nt_q + 1)) div greatest(_nt_q, 1)) + 1 as int)"))
+              .drop("_nt_r", "_nt_n", "_nt_q", "_nt_e"))
+    return df
+
+
+def tile_order(value: str | Column, tiebreak: Sequence[str], ascending: bool = True, nulls_first: bool | None = None) -> list[Column]:
+    """The order of an n-tile: NULLs first when ascending and last when descending (the source dialect's
+    default), unless ``nulls_first`` says otherwise."""
+    v = F.col(value) if isinstance(value, str) else value
+    first = ascending if nulls_first is None else nulls_first
+    if ascending:
+        v = v.asc_nulls_first() if first else v.asc_nulls_last()
     else:
-        from pyspark.ml.feature import Bucketizer  # JVM binary search over the splits
-
-        idx = "_nt_idx"
-        out = Bucketizer(splits=[-math.inf, *bounds, math.inf], inputCol="_nt_vz",
-                         outputCol=idx, handleInvalid="keep").transform(
-            df.withColumn("_nt_vz", F.coalesce(v, F.lit(0.0))))
-        k = F.col(idx).cast("int")
-        edges = F.array(*[F.lit(b) for b in bounds])
-        eq = F.coalesce(F.when(k >= 1, F.try_element_at(edges, k) == v), F.lit(False))
-        value_bucket = 2 * k - eq.cast("int")
-    bucket = F.when(v.isNull(), null_bucket).when(F.isnan(v), nan_bucket).otherwise(value_bucket)
-    out = out.withColumn(_B, bucket)
-    return out.drop("_nt_idx", "_nt_vz") if bounds else out
-
-
-@dataclass(frozen=True)
-class NtilePlan:
-    """Result of the statistics pass. ``buckets`` is a (lazy) frame with one row per
-    (bucket, sub-bucket) and its rank offset. It has at most ``max_buckets`` rows, a bound
-    known before it is built."""
-    value: Column
-    k: int
-    n: int
-    bounds: list[float]
-    nulls_first: bool
-    nan_first: bool
-    hash_col: str
-    tiebreak: tuple[str, ...]
-    buckets: DataFrame | None
-    max_buckets: int
-    digits: int
-
-
-def _value_col(value: str | Column, ascending: bool) -> Column:
-    vcol = (F.col(value) if isinstance(value, str) else value).cast("double")
-    return vcol if ascending else -vcol
-
-
-def _bucket_and_sub(df: DataFrame, bounds: list[float], nulls_first: bool, hash_col: str,
-                    digits: int, nan_first: bool = False) -> DataFrame:
-    bucketed = _with_bucket(df, bounds, nulls_first, nan_first)
-    b = F.col(_B)
-    tied = (b % 2 == 1) | (b < 0) | (b >= 2 * len(bounds) + 2)     # one value per bucket
-    if not bounds:
-        tied = b != 0
-    return bucketed.withColumn(
-        _S, F.when(tied, F.substring(F.col(hash_col), 1, digits)).otherwise(F.lit("")))
-
-
-def plan_ntile(df: DataFrame, value: str | Column, k: int, tiebreak: Sequence[str], hash_col: str,
-               ascending: bool = True, nulls_first: bool | None = None,
-               rows_per_task: int = 2_000_000, n: int | None = None) -> NtilePlan:
-    """Statistics pass of :func:`exact_ntile`: row count, value boundaries, and the bucket
-    table with rank offsets (a running sum over the bucket table, which is bounded)."""
-    if not tiebreak or tiebreak[0] != hash_col:
-        raise ValueError("tiebreak must start with hash_col")
-    if nulls_first is None:
-        nulls_first = ascending
-    vcol = _value_col(value, ascending)
-    base = df.withColumn(_V, vcol)
-    n = base.count() if n is None else n
-    bounds = _boundaries(base.select(_V), n, rows_per_task) if n else []
-    # open intervals and the two NULL slots hold one part; tied values up to 16 ** digits
-    digits = tie_digits(n, rows_per_task)
-    max_buckets = (len(bounds) + 4) * (1 + 16 ** digits)
-    if n == 0:
-        return NtilePlan(vcol, k, n, bounds, nulls_first, not ascending, hash_col, tuple(tiebreak), None, 0, digits)
-    # NaN sorts above every number; after negation for a descending order it must come first
-    counts = (_bucket_and_sub(base, bounds, nulls_first, hash_col, digits, nan_first=not ascending)
-              .groupBy(_B, _S).agg(F.count(F.lit(1)).alias("_nt_c")))
-    over_buckets = Window.orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
-    inside = Window.partitionBy(_B).orderBy(_S).rowsBetween(Window.unboundedPreceding, -1)
-    zero = F.lit(0).cast("long")
-    starts = (counts.groupBy(_B).agg(F.sum("_nt_c").alias("_nt_c"))
-              .select(_B, F.coalesce(F.sum("_nt_c").over(over_buckets), zero).alias("_nt_start")))
-    buckets = (counts.withColumn("_nt_in", F.coalesce(F.sum("_nt_c").over(inside), zero)).join(starts, _B)
-               .select(_B, _S, (F.col("_nt_start") + F.col("_nt_in")).alias("_nt_off")))
-    return NtilePlan(vcol, k, n, bounds, nulls_first, not ascending, hash_col, tuple(tiebreak), buckets,
-                     max_buckets, digits)
-
-
-def apply_ntile(df: DataFrame, plan: NtilePlan, out: str) -> DataFrame:
-    """Assign tiles to the rows of ``df`` (the frame the plan was computed on): rank inside
-    the row's bucket plus the bucket's offset gives the global rank. One shuffle, by bucket,
-    each task holding one bounded bucket."""
-    if plan.n == 0:
-        return df.withColumn(out, F.lit(None).cast("int"))
-    table = plan.buckets.select(_B, _S, "_nt_off")
-    if plan.max_buckets <= BROADCAST_MAX_ROWS:
-        table = F.broadcast(table)
-    joined = _bucket_and_sub(df.withColumn(_V, plan.value), plan.bounds, plan.nulls_first,
-                             plan.hash_col, plan.digits, plan.nan_first).join(table, [_B, _S])
-    order = [F.col(_V).asc_nulls_first(), *[F.col(c).asc_nulls_first() for c in plan.tiebreak]]
-    w = Window.partitionBy(_B, _S).orderBy(*order)
-    rank = F.col("_nt_off") + F.row_number().over(w) - 1
-    return joined.withColumn(out, _ntile_col(rank, plan.n, plan.k)).drop(_V, _B, _S, "_nt_off")
-
-
-def exact_ntile(df: DataFrame, value: str | Column, k: int, out: str,
-                tiebreak: Sequence[str], hash_col: str, ascending: bool = True,
-                nulls_first: bool | None = None, rows_per_task: int = 2_000_000) -> DataFrame:
-    """``NTILE(k) OVER (ORDER BY value [DESC], *tiebreak)`` computed without one global task.
-
-    ``tiebreak`` must start with ``hash_col``, a hex string (e.g. md5 of the id), and end with
-    a unique key so that the order is total. NULL values sort first for ascending order and
-    last for descending order (the source dialect's default), unless ``nulls_first`` says otherwise. The
-    input must evaluate to the same rows every time (persisted or checkpointed).
-    """
-    plan = plan_ntile(df, value, k, tiebreak, hash_col, ascending, nulls_first, rows_per_task)
-    return apply_ntile(df, plan, out)
-
-
-def exact_percentiles_disc(df: DataFrame, value: str | Column, probs: Sequence[float],
-                           rows_per_task: int = 2_000_000) -> list[float | None]:
-    """``PERCENTILE_DISC(p)`` for each p: the value at 0-based rank ceil(n*p)-1, NULLs ignored.
+        v = v.desc_nulls_first() if first else v.desc_nulls_last()
+    return [v, *[F.col(c).asc_nulls_first() for c in tiebreak]]
 
-    The bucket table with running offsets locates the bucket of each wanted rank; only those
-    buckets (at most one per p, each of bounded size) are sorted, and a rank that lands on a
-    tied boundary value needs no sort at all. Only the len(probs) answers reach the driver.
-    """
-    vcol = (F.col(value) if isinstance(value, str) else value).cast("double")
-    vals = df.select(vcol.alias(_V)).where(F.col(_V).isNotNull())
-    n = vals.count()
-    if n == 0:
-        return [None for _ in probs]
-    bounds = _boundaries(vals, n, rows_per_task)
-    bucketed = _with_bucket(vals, bounds, nulls_first=True)
-    targets = [min(n - 1, max(0, math.ceil(n * p) - 1)) for p in probs]
-    before = Window.orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
-    table = (bucketed.groupBy(_B).agg(F.count(F.lit(1)).alias("_nt_c"))
-             .withColumn("_nt_off", F.coalesce(F.sum("_nt_c").over(before), F.lit(0)).cast("long")))
-    hit = F.lit(False)
-    for t in targets:
-        hit = hit | ((F.col("_nt_off") <= t) & (F.lit(t) < F.col("_nt_off") + F.col("_nt_c")))
-    located = [(r[_B], r["_nt_off"], r["_nt_c"]) for r in table.where(hit).collect()]
 
-    answers: dict[int, float] = {}
-    wanted: dict[tuple[int, int], list[int]] = {}
-    for i, t in enumerate(targets):
-        b, off = next((b, off) for b, off, c in located if off <= t < off + c)
-        if bounds and b % 2 == 1:
-            answers[i] = bounds[(b - 1) // 2]
-        else:
-            wanted.setdefault((b, t - off + 1), []).append(i)
-    if wanted:
-        w = Window.partitionBy(_B).orderBy(F.col(_V))
-        cond = F.lit(False)
-        for b, pos in wanted:
-            cond = cond | ((F.col(_B) == b) & (F.col("_nt_rn") == pos))
-        rows = (bucketed.where(F.col(_B).isin(sorted({b for b, _ in wanted})))
-                .withColumn("_nt_rn", F.row_number().over(w))
-                .where(cond).select(_B, "_nt_rn", _V).collect())
-        for r in rows:
-            for i in wanted[(r[_B], r["_nt_rn"])]:
-                answers[i] = r[_V]
-    return [answers.get(i) for i in range(len(probs))]
+def exact_ntile(df: DataFrame, value: str | Column, k: int, out: str, tiebreak: Sequence[str], ascending: bool = True,
+                nulls_first: bool | None = None) -> DataFrame:
+    """``NTILE(k) OVER (ORDER BY value [DESC], *tiebreak)``; the tie-break ends with a unique key."""
+    return exact_ntiles(df, k, {out: tile_order(value, tiebreak, ascending, nulls_first)})

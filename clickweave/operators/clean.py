@@ -13,11 +13,12 @@ from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from clickweave.config import delete_path, list_path
 from clickweave.functions.dims import brand_norm, category_top, price_bucket, time_dims
 from clickweave.schema import (
-    CLEAN_COLUMNS, DEDUP_KEY, DEDUP_ORDER, DEFAULT_PARAMS, EventNames, Params, UNKNOWN,
+    CLEAN_COLUMNS, DEDUP_KEY, DEDUP_ORDER, DEFAULT_PARAMS, EVENT_COLUMNS, EventNames, Params, UNKNOWN,
 )
-from clickweave.sources.tables import MONTH, drop_months, restrict_period, write_event_table
+from clickweave.sources.tables import MONTH, drop_months, restrict_period, with_month, write_event_table
 
 
 def clean_filter(raw: DataFrame, names: EventNames = EventNames()) -> DataFrame:
@@ -80,5 +81,50 @@ def rebuild_months(raw: DataFrame, clean_path: str, months: Iterable, params: Pa
     # the filter alone decides whether a month is empty: de-duplication keeps a row of every key
     valid = clean_filter(src if params.period is None else restrict_period(src, *params.period), params.events)
     left = {r[0] for r in valid.select(F.trunc(F.to_date("event_time"), "MM").alias("m")).distinct().collect()}
-    write_event_table(clean_events(src, params), clean_path)
+    write_clean(src, clean_path, sorted(left), params)
     drop_months(raw.sparkSession, clean_path, [m for m in months if m not in left])
+
+
+def write_clean(raw: DataFrame, clean_path: str, months: Iterable | None = None, params: Params = DEFAULT_PARAMS, at_once: int = 4) -> None:
+    """Clean ``raw`` (its ``months``, all that it has: None) into the table at ``clean_path``, with one shuffle.
+
+    The shuffle of the de-duplication is the only one: its tasks, which adaptive execution makes as large as
+    advised, write what they hold of each month. So that files don't become small where there are many
+    months, ``at_once`` of them are cleaned at a time; each reads its own partitions of the raw table."""
+    raw = with_month(raw)
+    if months is None:
+        valid = clean_filter(raw if params.period is None else restrict_period(raw, *params.period), params.events)
+        months = [r[0] for r in valid.select(MONTH).distinct().orderBy(MONTH).collect()]
+    months = list(months)
+    for i in range(0, len(months), at_once):
+        part = raw.where(F.col(MONTH).isin(months[i:i + at_once]))
+        write_event_table(clean_events(part, params), clean_path, rebalance=False)
+
+
+# -- changed months -------------------------------------------------------------------------
+
+def month_fingerprints(raw: DataFrame) -> DataFrame:
+    """Per month: rows, and the sum and the exclusive or of the rows' 64-bit hashes, whatever their order. A
+    row that comes twice, goes or changes changes the sum."""
+    # a NULL changes a hash by its place alone, so each column says whether it is one
+    row = F.xxhash64(*[x for c in EVENT_COLUMNS for x in (F.col(c), F.col(c).isNull())])
+    return with_month(raw).select(MONTH, row.alias("h")).groupBy(MONTH).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("h").cast("decimal(38,0)")).alias("total"), F.bit_xor("h").alias("mixed"))
+
+
+def refresh_clean(raw: DataFrame, clean_path: str, params: Params = DEFAULT_PARAMS) -> list:
+    """Clean the months of ``raw`` that differ from those that the clean table was last built of, and drop
+    those that are gone. Returns the months (DATEs) that changed. The fingerprints of the months, a few rows,
+    are kept beside the table and written last: a refresh that failed is done again."""
+    spark, kept = raw.sparkSession, clean_path.rstrip("/") + "_fingerprints"
+    found = month_fingerprints(raw)
+    now = {r[MONTH]: tuple(r) for r in found.collect() if r[MONTH] is not None}
+    versions = sorted(int(v) for v in list_path(spark, kept) if v.isdigit())
+    before = {r[MONTH]: tuple(r) for r in spark.read.parquet(f"{kept}/{versions[-1]}").collect()} if versions else {}
+    changed = sorted(m for m in now.keys() | before.keys() if now.get(m) != before.get(m))
+    if changed:
+        rebuild_months(raw, clean_path, changed, params)
+        spark.createDataFrame(list(now.values()), found.schema).coalesce(1).write.parquet(f"{kept}/{versions[-1] + 1 if versions else 0}")
+        for v in versions[:-1]:
+            delete_path(spark, f"{kept}/{v}")
+    return changed

@@ -6,8 +6,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from clickweave.config import delete_path, new_shared_path
 from clickweave.functions.dims import category_depth
+from clickweave.functions.joins import bounded
 from clickweave.functions.numeric import money, pct, round_n
+from clickweave.functions.select import percentiles_disc
 from clickweave.schema import DEDUP_KEY, EventNames
 from clickweave.sources.tables import with_month
 
@@ -66,8 +69,8 @@ def purchase_price_profile(raw: DataFrame, names: EventNames = EventNames(), exa
     ``exact=False`` uses mergeable quantile sketches (one pass, bounded memory), like the
     approximate quantiles of the source model. ``exact=True`` returns PERCENTILE_DISC values: the
     purchases are counted by price (partial counts before the shuffle, so a common price is one row
-    per task), and everything else is read off that table of distinct prices, which is ranked by a
-    running count. The raw table is read once.
+    per task) into a table, and everything else is read off it, the percentiles by narrowing
+    histograms (``functions.select``). The raw table is read once, and no task ranks all prices.
     """
     buys = raw.where(F.col("event_type") == names.purchase)
     probs, labels = [0.25, 0.5, 0.75], ("p25", "median", "p75")
@@ -78,26 +81,48 @@ def purchase_price_profile(raw: DataFrame, names: EventNames = EventNames(), exa
                         *[q[i].alias(n) for i, n in enumerate(labels)],
                         F.count_if(F.col("price") == 0).alias("zero_price_rows"),
                         F.count_if(F.col("price").isNull()).alias("null_price_rows"))
-    by_price = buys.groupBy("price").agg(F.count(F.lit(1)).alias("n"))
-    known = F.col("price").isNotNull()
-    upto = F.sum(F.when(known, F.col("n"))).over(Window.orderBy(F.col("price").asc_nulls_first()))
-    every = F.sum(F.when(known, F.col("n"))).over(Window.partitionBy())
-    ranked = by_price.withColumn("upto", upto).withColumn("every", every)
+    spark, path = raw.sparkSession, new_shared_path(raw.sparkSession, "prices")
+    buys.groupBy("price").agg(F.count(F.lit(1)).alias("n")).write.parquet(path)
+    by_price, known = spark.read.schema("price double, n long").parquet(path), F.col("price").isNotNull()
+    quartiles = percentiles_disc(by_price, probs, "price")
     total = F.sum(money(F.col("price")) * F.col("n"))
-    return ranked.agg(
+    profile = by_price.agg(
         F.min("price").alias("min_price"), F.max("price").alias("max_price"),
         round_n(total / F.nullif(F.sum(F.when(known, F.col("n"))), F.lit(0)), 2).alias("avg_price"),
-        *[F.min(F.when(known & (F.col("upto") >= F.ceil(F.col("every") * p)), F.col("price"))).alias(n) for p, n in zip(probs, labels)],
+        *[F.lit(q).cast("double").alias(n) for q, n in zip(quartiles, labels)],
         F.coalesce(F.sum(F.when(F.col("price") == 0, F.col("n"))), F.lit(0)).alias("zero_price_rows"),
         F.coalesce(F.sum(F.when(~known, F.col("n"))), F.lit(0)).alias("null_price_rows"))
+    row = spark.createDataFrame(profile.collect(), profile.schema)
+    delete_path(spark, path)
+    return row
 
 
 def duplicate_keys(raw: DataFrame, n: int = 10, key: Sequence[str] = DEDUP_KEY) -> DataFrame:
-    """Keys that occur more than once, the n most repeated (ties by key, NULLs first)."""
-    return (raw.groupBy(*key).agg(F.count(F.lit(1)).alias("occurrences"))
-            .where(F.col("occurrences") > 1)
-            .orderBy(F.col("occurrences").desc(), *[F.col(c).asc_nulls_first() for c in key])
-            .limit(n))
+    """Keys that occur more than once, the n most repeated (ties by key, NULLs first).
+
+    Nearly all keys occur once, so the keys themselves are not shuffled: their 64-bit hashes are counted
+    first (16 bytes a row). Only rows whose hash occurs as often as the n-th most frequent one are read
+    again, and counted by the keys. Keys of one hash can make it look more frequent than they are; if
+    the n-th key found has a lower count than was asked for, all hashes down to its count are looked at."""
+    spark, path = raw.sparkSession, new_shared_path(raw.sparkSession, "repeated")
+    hashed = raw.select(*key, F.xxhash64(*key).alias("_h"))
+    hashed.groupBy("_h").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").write.parquet(path)
+    repeated = spark.read.schema("_h long, _c long").parquet(path)
+    most = [r[0] for r in repeated.select("_c").orderBy(F.col("_c").desc()).limit(n).collect()]
+    least = most[-1] if len(most) == n else 2
+    order = [F.col("occurrences").desc(), *[F.col(c).asc_nulls_first() for c in key]]
+    while True:
+        wanted = repeated.where(F.col("_c") >= least).select("_h")
+        found = (hashed.join(bounded(wanted), "_h", "left_semi").groupBy(*key).agg(F.count(F.lit(1)).alias("occurrences"))
+                 .where(F.col("occurrences") > 1).orderBy(*order).limit(n))
+        rows = found.collect()
+        seen = rows[-1].occurrences if len(rows) == n else 2
+        if seen >= least or least == 2:
+            break
+        least = seen
+    top = spark.createDataFrame(rows, found.schema)
+    delete_path(spark, path)
+    return top
 
 
 def duplicate_drilldown(raw: DataFrame, user_id: str | None = None, product_id: str | None = None,

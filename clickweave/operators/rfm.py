@@ -1,7 +1,7 @@
 """RFM scoring and segments of buyers.
 
-Recency and monetary scores are global quintiles. They are computed with the exact
-bucketed n-tile (``functions.ntile``), never with a window over all buyers in one task.
+Recency and monetary scores are global quintiles. They are computed with the exact distributed
+n-tile (``functions.ntile``), never with a window over all buyers in one task.
 Ties, left open by the source model, are broken by (md5(user_id), user_id).
 """
 
@@ -11,8 +11,7 @@ import datetime as dt
 
 from pyspark.sql import DataFrame, functions as F
 
-from clickweave.config import ensure_checkpoint_dir
-from clickweave.functions.ntile import apply_ntile, plan_ntile
+from clickweave.functions.ntile import exact_ntiles, tile_order
 from clickweave.functions.numeric import money, round_n
 from clickweave.schema import DEFAULT_PARAMS, Params
 
@@ -48,18 +47,10 @@ def rfm_raw(clean: DataFrame, reference_date: dt.date = DEFAULT_PARAMS.reference
 
 
 def rfm_scores(raw_scores: DataFrame, params: Params = DEFAULT_PARAMS) -> DataFrame:
-    """Add r_score (recent = high), f_score (5 if repeat buyer else 1), m_score (high spend =
-    high). The per-buyer frame is checkpointed first: the statistics passes of both n-tiles
-    and the final assignment read it and must see the same values. Both plans come from the
-    checkpoint, so the tiles are assigned in one pass over it."""
-    ensure_checkpoint_dir(raw_scores.sparkSession)
-    base = raw_scores.withColumn("_h", F.md5(F.col("user_id"))).checkpoint(eager=True)
-    tb = ["_h", "user_id"]
-    n = base.count()
-    rows = params.rank_rows_per_task
-    r_plan = plan_ntile(base, "recency_days", params.tiles, tb, "_h", ascending=False, rows_per_task=rows, n=n)
-    m_plan = plan_ntile(base, "monetary", params.tiles, tb, "_h", ascending=True, rows_per_task=rows, n=n)
-    scored = apply_ntile(apply_ntile(base, r_plan, "r_score"), m_plan, "m_score")
+    """Add r_score (recent = high), f_score (5 if repeat buyer else 1), m_score (high spend = high)."""
+    base, ties = raw_scores.withColumn("_h", F.md5(F.col("user_id"))), ["_h", "user_id"]
+    scored = exact_ntiles(base, params.tiles, {"r_score": tile_order("recency_days", ties, ascending=False),
+                                               "m_score": tile_order("monetary", ties)})
     return scored.drop("_h").withColumn(
         "f_score", F.when(F.col("frequency") >= params.repeat_threshold, 5).otherwise(1))
 

@@ -64,7 +64,7 @@ class EventCatalog:
         return self._paths["raw"]
 
     def clean(self) -> DataFrame:
-        path = self.persisted("clean", lambda p: write_event_table(C.clean_events(self.raw(), self.params), p))
+        path = self.persisted("clean", lambda p: C.write_clean(self.raw(), p, params=self.params))
         return read_event_table(self.spark, path).select(*CLEAN_COLUMNS)
 
     def rfm(self) -> DataFrame:

@@ -73,8 +73,6 @@ class Params:
     top_categories: int = 20
     top_duplicates: int = 10
     top_check: int = 10
-    # exact n-tile: target rows per ranking task
-    rank_rows_per_task: int = 2_000_000
 
 
 DEFAULT_PARAMS = Params()

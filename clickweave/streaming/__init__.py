@@ -1,7 +1,7 @@
-"""Structured Streaming: complete clean and KPI tables, and their low-latency watermarked variants."""
+"""Structured Streaming: complete clean and KPI tables with a live path, and watermarked variants."""
 
-from clickweave.streaming.complete import stream_clean_table, stream_kpi_table
+from clickweave.streaming.complete import stream_table
 from clickweave.streaming.dedup import stream_clean
 from clickweave.streaming.kpis import stream_daily_kpis
 
-__all__ = ["stream_clean", "stream_clean_table", "stream_daily_kpis", "stream_kpi_table"]
+__all__ = ["stream_clean", "stream_daily_kpis", "stream_table"]

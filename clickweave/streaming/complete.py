@@ -1,84 +1,250 @@
-"""Streams whose tables equal the batch tables, however late or unsorted rows arrive.
-
-A watermark bounds state by dropping late rows. Here nothing is dropped: each micro-batch adds its
-raw rows to a month-partitioned table and the months it touches are cleaned again, so the survivor
-of a key is the same row as in batch. A batch writes to a folder of its own, replaced if the batch
-is repeated after a failure, and rebuilding a month is idempotent, so every row counts once.
-
-The work of a batch grows with the months it touches, which for rows in rough time order is the
-newest one or two. For low latency at the price of late rows see ``dedup`` and ``kpis``.
+"""A stream with two paths: fresh rows at once, and complete tables that lose no late row.
+
+Live path. ``dropDuplicatesWithinWatermark`` lets the first copy of every key ahead of the watermark
+through in the micro-batch that it arrives in; its state is bounded by the watermark. Those rows are
+provisional: a later copy may be the one that the clean table keeps, and rows behind the watermark
+are not among them.
+
+Complete path. Every valid row of a micro-batch is set aside under its cell, a day and a hash bucket of
+users. Copies share time and user, so a cell is as independent of all others as a month is. When the
+watermark has passed a day, its cells are settled: de-duplicated once and written as a new version.
+Rows that come later are set aside like any others, and only their cells are settled again, from the
+rows kept and the new ones (of the survivors of two sets the survivor is that of their union). A batch
+cleans the cells of the days that it closes and of its late rows, no month and no other day.
+
+KPIs. Of each settled cell seven sums are kept: events by type, exact revenue, users, buyers. All rows
+of a user and day are in one cell, so users and buyers add up exactly over cells. The KPIs of a day are
+the sums of its cells; only cells with rows not yet settled are aggregated when the table is read.
+
+State. ``state/batch=N`` lists the cells (days x buckets rows, which the driver reads): version, batches
+with rows set aside, the seven sums. Writing it commits batch N. A batch repeated after a failure
+finds its state and changes nothing, or writes the same files again; readers follow the newest state.
+Files that neither of the last two states names are removed. ``progress/batch=N`` tells what a batch did.
+
+Defined cases: rows that the clean filter rejects are left out; NULL sessions are one key; an empty batch
+only moves the state on; a stream without rows gives empty tables.
 """
 
 from __future__ import annotations
 
+import datetime as dt
+from collections.abc import Iterable
+from dataclasses import dataclass, replace
+
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from clickweave.config import delete_path, list_path
 from clickweave.functions.numeric import money, round_n
-from clickweave.operators.clean import rebuild_months
-from clickweave.schema import CLEAN_COLUMNS, DEFAULT_PARAMS, EVENT_COLUMNS, Params
-from clickweave.sources.tables import MONTH, drop_months, raw_table_schema, read_event_table, with_month, write_event_table
+from clickweave.operators.clean import clean_dedup, clean_filter, enrich
+from clickweave.schema import CLEAN_COLUMNS, DEDUP_KEY, DEFAULT_PARAMS, EVENT_COLUMNS, EVENT_SCHEMA, Params
+from clickweave.streaming.dedup import WATERMARK_COL, with_event_ts
 from clickweave.streaming.kpis import KPI_COLUMNS
 
+DELAY, BUCKETS = dt.timedelta(hours=1), 16
+CELL = ("event_date", "bucket")
+SUMS = KPI_COLUMNS[1:]
+_CELL_FIELDS = [T.StructField("event_date", T.DateType()), T.StructField("bucket", T.IntegerType())]
+_ARRIVED = T.StructType([*EVENT_SCHEMA.fields, T.StructField("batch", T.LongType()), T.StructField("way", T.StringType()), *_CELL_FIELDS])
+_KEPT = T.StructType([*EVENT_SCHEMA.fields, T.StructField("version", T.LongType()), *_CELL_FIELDS])
+_STATE = T.StructType([
+    *_CELL_FIELDS, T.StructField("version", T.LongType()), T.StructField("pending", T.ArrayType(T.LongType())),
+    *[T.StructField(c, T.DecimalType(38, 10) if c == "revenue" else T.LongType()) for c in SUMS], T.StructField("newest", T.TimestampNTZType())])
+_PROGRESS = "batch long, n_rows long, late_rows long, cells array<struct<event_date: date, bucket: int>>"
 
-def daily_kpis(clean: DataFrame, params: Params = DEFAULT_PARAMS) -> DataFrame:
-    """Per day: events by type, purchase revenue, distinct users and buyers (exact; first per user
-    and day, so that a busy day is pre-aggregated)."""
-    names, t = params.events, F.col("event_type")
-    per_user = clean.groupBy("event_date", "user_id").agg(
+
+@dataclass(frozen=True)
+class _Cell:
+    version: int | None = None
+    pending: tuple[int, ...] = ()
+    sums: tuple = (None,) * len(SUMS)
+
+
+@dataclass
+class _State:
+    batch: int
+    newest: dt.datetime | None
+    cells: dict[tuple[dt.date, int], _Cell]
+
+
+def with_cells(events: DataFrame, buckets: int = BUCKETS, params: Params = DEFAULT_PARAMS) -> DataFrame:
+    """Every valid row with its cell (way ``all``)."""
+    return clean_filter(events.select(*EVENT_COLUMNS), params.events).withColumns({
+        "event_date": F.to_date("event_time"), "bucket": F.pmod(F.xxhash64("user_id"), F.lit(buckets)).cast("int"), "way": F.lit("all")})
+
+
+def two_paths(events: DataFrame, delay: dt.timedelta = DELAY, buckets: int = BUCKETS, params: Params = DEFAULT_PARAMS) -> DataFrame:
+    """Every valid row, and the first copies ahead of the watermark again (way ``live``, a feed by day)."""
+    rows = with_cells(events, buckets, params)
+    fresh = (with_event_ts(rows).withWatermark(WATERMARK_COL, f"{int(delay.total_seconds())} seconds")
+             .dropDuplicatesWithinWatermark(list(DEDUP_KEY)).drop(WATERMARK_COL))
+    return rows.unionByName(fresh.withColumns({"way": F.lit("live"), "bucket": F.lit(0)}))
+
+
+def _sums(kept: DataFrame, keys: Iterable[str], params: Params) -> DataFrame:
+    """The seven sums by ``keys``, which must hold all rows of a user and day together or the day. First per
+    user, so that a busy day is pre-aggregated."""
+    keys, names, t = list(keys), params.events, F.col("event_type")
+    per_user = kept.groupBy(*keys, "user_id").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(t == names.view).alias("nv"), F.count_if(t == names.cart).alias("nc"),
         F.count_if(t == names.purchase).alias("np"),
         F.sum(money(F.when(t == names.purchase, F.col("price")).otherwise(F.lit(0.0)))).alias("rev"))
-    days = per_user.groupBy(F.col("event_date").alias("day")).agg(
+    return per_user.groupBy(*keys).agg(
         F.sum("n").alias("total_events"), F.sum("nv").alias("view_events"), F.sum("nc").alias("cart_events"),
-        F.sum("np").alias("purchase_events"), round_n(F.coalesce(F.sum("rev"), F.lit(0)), 2).alias("revenue"),
+        F.sum("np").alias("purchase_events"), F.coalesce(F.sum("rev"), F.lit(0)).cast("decimal(38,10)").alias("revenue"),
         F.count(F.lit(1)).alias("unique_users"), F.count_if(F.col("np") > 0).alias("purchasers"))
-    return days.select(*KPI_COLUMNS)
 
 
-def _arrived(spark: SparkSession, raw_path: str) -> DataFrame:
-    schema = T.StructType([*raw_table_schema().fields, T.StructField("batch", T.LongType())])
-    return spark.read.schema(schema).parquet(raw_path).drop("batch")
+def daily_kpis(clean: DataFrame, params: Params = DEFAULT_PARAMS) -> DataFrame:
+    """Per day: events by type, purchase revenue, distinct users and buyers (exact)."""
+    days = _sums(clean, ["event_date"], params)
+    return days.withColumn("revenue", round_n(F.col("revenue"), 2)).withColumnRenamed("event_date", "day").select(*KPI_COLUMNS)
 
 
-def _absorb(batch: DataFrame, batch_id: int, raw_path: str, clean_path: str, params: Params) -> list:
-    """Add the batch's rows and clean its months again; returns the months."""
-    spark = batch.sparkSession
-    mine = f"{raw_path}/batch={batch_id}"
-    with_month(batch.select(*EVENT_COLUMNS)).write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(MONTH).parquet(mine)
-    months = [r[0] for r in spark.read.schema(raw_table_schema()).parquet(mine).select(MONTH).distinct().collect()]
-    if months:
-        rebuild_months(_arrived(spark, raw_path), clean_path, months, params)
-    return months
+# -- state ----------------------------------------------------------------------------------
 
+def _newest_state(spark: SparkSession, root: str) -> int:
+    return max((int(n.removeprefix("batch=")) for n in list_path(spark, f"{root}/state") if n.startswith("batch=")), default=-1)
 
-def stream_clean_table(events: DataFrame, root: str, params: Params = DEFAULT_PARAMS):
-    """A writer (set a trigger and start it) that keeps ``root/clean`` equal to the batch clean table
-    of all rows seen; arrived rows are in ``root/raw``."""
-    def absorb(batch: DataFrame, batch_id: int) -> None:
-        _absorb(batch, batch_id, f"{root}/raw", f"{root}/clean", params)
 
-    return events.writeStream.foreachBatch(absorb).option("checkpointLocation", f"{root}/checkpoint")
+def _state(spark: SparkSession, root: str, batch: int) -> _State:
+    found = _State(batch, None, {})
+    if batch >= 0:
+        for r in spark.read.schema(_STATE).parquet(f"{root}/state/batch={batch}").collect():
+            if r.event_date is None:
+                found.newest = r.newest
+            else:
+                found.cells[(r.event_date, r.bucket)] = _Cell(r.version, tuple(r.pending), tuple(r[c] for c in SUMS))
+    return found
+
+
+def _commit(spark: SparkSession, root: str, state: _State) -> None:
+    """One file, so that the state is there as a whole or not at all."""
+    rows = [(None, None, None, [], *[None] * len(SUMS), state.newest)]
+    rows += [(*k, c.version, list(c.pending), *c.sums, None) for k, c in state.cells.items()]
+    spark.createDataFrame(rows, _STATE).coalesce(1).write.mode("overwrite").parquet(f"{root}/state/batch={state.batch}")
+
 
+def _cell_paths(base: str, cells: Iterable[tuple[dt.date, int]]) -> list[str]:
+    return [f"{base}/event_date={d}/bucket={b}" for d, b in cells]
 
-def stream_kpi_table(events: DataFrame, root: str, params: Params = DEFAULT_PARAMS):
-    """As :func:`stream_clean_table`, and ``root/kpis`` holds the daily KPIs of all rows seen, the
-    newest day included."""
+
+def _rows_of(spark: SparkSession, base: str, schema: T.StructType, paths: list[str]) -> DataFrame:
+    if not paths:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("basePath", base).parquet(*paths)
+
+
+def _united(spark: SparkSession, root: str, state: _State, cells: list[tuple[dt.date, int]]) -> DataFrame:
+    """The rows of cells, de-duplicated: those kept and those set aside since."""
+    kept = [p for k in cells if (v := state.cells[k].version) is not None for p in _cell_paths(f"{root}/kept/version={v}", [k])]
+    aside = [p for k in cells for b in state.cells[k].pending for p in _cell_paths(f"{root}/arrived/batch={b}/way=all", [k])]
+    columns = [*EVENT_COLUMNS, *CELL]
+    both = _rows_of(spark, f"{root}/kept", _KEPT, kept).select(*columns).unionByName(
+        _rows_of(spark, f"{root}/arrived", _ARRIVED, aside).select(*columns))
+    return clean_dedup(both)
+
+
+def _settle(spark: SparkSession, root: str, state: _State, due: list[tuple[dt.date, int]], params: Params) -> None:
+    version = state.batch
+    path = f"{root}/kept/version={version}"
+    rows = _united(spark, root, state, due).hint("rebalance", *CELL).sortWithinPartitions(*CELL, "event_type", "user_id")
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(*CELL).parquet(path)
+    for r in _sums(spark.read.schema(_KEPT).option("basePath", f"{root}/kept").parquet(path), CELL, params).collect():  # a row per cell
+        state.cells[(r.event_date, r.bucket)] = _Cell(version, (), tuple(r[c] for c in SUMS))
+
+
+def _remove_unused(spark: SparkSession, root: str, states: Iterable[_State]) -> None:
+    """Versions, batches and states that none of ``states`` names."""
+    states = list(states)
+    keep = {"kept/version=": {c.version for s in states for c in s.cells.values()},
+            "arrived/batch=": {b for s in states for c in s.cells.values() for b in c.pending} | {s.batch for s in states},
+            "state/batch=": {s.batch for s in states}}
+    for prefix, used in keep.items():
+        folder, name = prefix.split("/")
+        for found in list_path(spark, f"{root}/{folder}"):
+            if found.startswith(name) and int(found.removeprefix(name)) not in used:
+                delete_path(spark, f"{root}/{folder}/{found}")
+
+
+def _absorb(batch: DataFrame, batch_id: int, root: str, delay: dt.timedelta, params: Params, clean_up: bool = True) -> None:
+    """Take in a micro-batch of :func:`two_paths`."""
+    spark = batch.sparkSession
+    last = _newest_state(spark, root)
+    if last >= batch_id:
+        return
+    before = _state(spark, root, last)
+    state = _State(batch_id, before.newest, dict(before.cells))
+    path = f"{root}/arrived/batch={batch_id}"
+    # both ways in one job, so that the stream's state is computed once; a cell's rows in one file, or a few if they are many
+    batch.hint("rebalance", "way", *CELL).write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("way", *CELL).parquet(path)
+    late = F.lit(False) if before.newest is None else F.col("event_time") <= F.lit(before.newest - delay)
+    arrived = spark.read.schema(_ARRIVED).option("basePath", f"{root}/arrived").parquet(path).where("way = 'all'")
+    touched = arrived.groupBy(*CELL).agg(F.count(F.lit(1)).alias("n"), F.count_if(late).alias("late"), F.max("event_time").alias("newest")).collect()
+    for r in touched:
+        cell = state.cells.get((r.event_date, r.bucket), _Cell())
+        state.cells[(r.event_date, r.bucket)] = replace(cell, pending=(*cell.pending, batch_id))
+        state.newest = r.newest if state.newest is None else max(state.newest, r.newest)
+    due: list[tuple[dt.date, int]] = []
+    if state.newest is not None:
+        open_day = (state.newest - delay).date()
+        due = [k for k, c in state.cells.items() if c.pending and k[0] < open_day]
+    if due:
+        _settle(spark, root, state, due, params)
+    spark.createDataFrame([(batch_id, sum(r.n for r in touched), sum(r.late for r in touched), due)], _PROGRESS).coalesce(1).write.mode(
+        "overwrite").parquet(f"{root}/progress/batch={batch_id}")
+    _commit(spark, root, state)
+    if clean_up:
+        _remove_unused(spark, root, (before, state))
+
+
+def stream_table(events: DataFrame, root: str, delay: dt.timedelta = DELAY, buckets: int = BUCKETS, params: Params = DEFAULT_PARAMS,
+                 clean_up: bool = True):
+    """A writer (set a trigger and start it) that keeps live rows, the clean table and daily KPIs of all
+    rows seen under ``root``. A batch's live rows stay until its days are settled."""
     def absorb(batch: DataFrame, batch_id: int) -> None:
-        spark, clean_path, kpi_path = batch.sparkSession, f"{root}/clean", f"{root}/kpis"
-        months = _absorb(batch, batch_id, f"{root}/raw", clean_path, params)
-        if not months:
-            return
-        touched = read_event_table(spark, clean_path).where(F.col(MONTH).isin(months))
-        write_event_table(daily_kpis(touched, params).withColumn(MONTH, F.trunc("day", "MM")), kpi_path, cluster_by=("day",))
-        left = {r[0] for r in touched.select(MONTH).distinct().collect()}
-        drop_months(spark, kpi_path, [m for m in months if m not in left])
+        _absorb(batch, batch_id, root, delay, params, clean_up)
+
+    return two_paths(events, delay, buckets, params).writeStream.foreachBatch(absorb).option("checkpointLocation", f"{root}/checkpoint")
+
+
+# -- reading --------------------------------------------------------------------------------
+
+def _settled(spark: SparkSession, root: str, state: _State) -> DataFrame:
+    """The rows of all cells that have none set aside. The list of cells has days x buckets rows."""
+    cells = [(*k, c.version) for k, c in state.cells.items() if not c.pending]
+    if not cells:
+        return spark.createDataFrame([], _KEPT).select(*EVENT_COLUMNS)
+    wanted = spark.createDataFrame(cells, T.StructType([*_CELL_FIELDS, T.StructField("version", T.LongType())]))
+    kept = spark.read.schema(_KEPT).parquet(f"{root}/kept")
+    return kept.join(F.broadcast(wanted), [*CELL, "version"], "left_semi").select(*EVENT_COLUMNS)
+
+
+def _unsettled(spark: SparkSession, root: str, state: _State) -> DataFrame:
+    return _united(spark, root, state, [k for k, c in state.cells.items() if c.pending])
+
+
+def read_stream_clean(spark: SparkSession, root: str, params: Params = DEFAULT_PARAMS) -> DataFrame:
+    """The clean table of all rows seen."""
+    state = _state(spark, root, _newest_state(spark, root))
+    return enrich(_settled(spark, root, state).unionByName(_unsettled(spark, root, state).select(*EVENT_COLUMNS)), params).select(*CLEAN_COLUMNS)
+
 
-    return events.writeStream.foreachBatch(absorb).option("checkpointLocation", f"{root}/checkpoint")
+def read_stream_live(spark: SparkSession, root: str, params: Params = DEFAULT_PARAMS) -> DataFrame:
+    """The provisional rows of the batches that are not removed yet."""
+    arrived = spark.read.schema(_ARRIVED).parquet(f"{root}/arrived").where("way = 'live'")
+    return enrich(arrived.drop("event_date"), params, keep=["batch"])
 
 
-def read_stream_clean(spark: SparkSession, root: str) -> DataFrame:
-    return read_event_table(spark, f"{root}/clean").select(*CLEAN_COLUMNS)
+def read_stream_kpis(spark: SparkSession, root: str, params: Params = DEFAULT_PARAMS) -> DataFrame:
+    """The daily KPIs of all rows seen: sums over settled cells, and the unsettled cells aggregated now."""
+    state = _state(spark, root, _newest_state(spark, root))
+    known = [(k[0], *c.sums) for k, c in state.cells.items() if not c.pending]
+    schema = T.StructType([_STATE["event_date"], *[_STATE[c] for c in SUMS]])
+    sums = spark.createDataFrame(known, schema).unionByName(_sums(_unsettled(spark, root, state), CELL, params).drop("bucket"))
+    days = sums.groupBy(F.col("event_date").alias("day")).agg(*[F.sum(c).alias(c) for c in SUMS])
+    return days.withColumn("revenue", round_n(F.col("revenue"), 2)).select(*KPI_COLUMNS)
 
 
-def read_stream_kpis(spark: SparkSession, root: str) -> DataFrame:
-    return read_event_table(spark, f"{root}/kpis").select(*KPI_COLUMNS)
+def read_stream_progress(spark: SparkSession, root: str) -> DataFrame:
+    """Per batch: rows, late rows, and the cells that it settled."""
+    return spark.read.schema(_PROGRESS).parquet(f"{root}/progress")

@@ -1,6 +1,9 @@
 """The driver contract: every registered query against its DuckDB oracle at sf0.001."""
 
 import math
+import subprocess
+import sys
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -38,6 +41,25 @@ def test_every_query_has_an_oracle():
     assert set(QUERIES) <= set(entry_mod.queries()) and set(ORACLE) <= set(entry_mod.oracle_sql())
 
 
+_WITHOUT_LLM = """
+import sys
+class Absent:
+    def find_spec(self, name, path=None, target=None):
+        if name == "clickweave.llm" or name.startswith("clickweave.llm."):
+            raise ModuleNotFoundError(name, name="clickweave.llm")
+sys.meta_path.insert(0, Absent())
+import __spark_entry__ as e
+from clickweave.plans.registry import QUERIES
+assert set(e.queries()) == set(e.oracle_sql()) == set(QUERIES)
+"""
+
+
+def test_entry_without_the_training_data_operators():
+    """They, and the pipeline that imports them, are left out where their folder is absent."""
+    done = subprocess.run([sys.executable, "-c", _WITHOUT_LLM], cwd=Path(entry_mod.__file__).parent, capture_output=True, text=True)
+    assert done.returncode == 0, done.stderr
+
+
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_matches_oracle(spark, con, name):
     df = QUERIES[name](spark, SF)

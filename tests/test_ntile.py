@@ -1,10 +1,13 @@
-import math
 import random
 
 import pytest
+from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import Window, functions as F
 
-from clickweave.functions.ntile import exact_ntile, exact_percentiles_disc, ntile_of_rank
+from clickweave.functions.ntile import exact_ntile, exact_ntiles, tile_order
+from clickweave.operators.rfm import rfm, rfm_raw, rfm_scores
+
+TIES = ["_h", "user_id"]
 
 
 def _builtin(df, value, k, ascending):
@@ -18,114 +21,72 @@ def _frame(spark, values):
     return spark.createDataFrame(rows, "user_id string, v double").withColumn("_h", F.md5("user_id"))
 
 
+def _tiles(df, k, ascending=True):
+    return {r.user_id: r.t for r in exact_ntile(df, "v", k, "t", TIES, ascending=ascending).collect()}
+
+
 @pytest.mark.parametrize("n", [0, 1, 4, 5, 6, 11])
 def test_small_sizes_match_builtin(spark, n):
     df = _frame(spark, [float(i % 3) for i in range(n)])
-    got = exact_ntile(df, "v", 5, "t", ["_h", "user_id"], "_h").collect()
-    assert len(got) == n
-    if n:
-        assert {r.user_id: r.t for r in got} == _builtin(df, "v", 5, True)
+    assert _tiles(df, 5) == _builtin(df, "v", 5, True)
+
+
+@pytest.fixture(params=["1", "4", "37"])
+def partitions(request, spark):
+    """Parts as many as the shuffle setting says: adaptive execution would unite small ones."""
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", request.param)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield int(request.param)
+    for k, v in before.items():
+        spark.conf.set(k, v)
 
 
 @pytest.mark.parametrize("ascending", [True, False])
-@pytest.mark.parametrize("rows_per_task", [7, 50, 10_000])
-def test_many_buckets_and_ties_match_builtin(spark, ascending, rows_per_task):
+def test_many_parts_and_ties_match_builtin(spark, partitions, ascending):
     rnd = random.Random(7)
     values = [float(rnd.choice([1, 2, 2, 2, 3, 5, 8, 13])) if i % 5 else rnd.random() * 100 for i in range(503)]
-    values[10] = None
-    values[20] = None
+    values[10] = values[20] = None
+    values[30] = values[31] = float("nan")
     df = _frame(spark, values)
-    got = exact_ntile(df, "v", 5, "t", ["_h", "user_id"], "_h", ascending=ascending,
-                      rows_per_task=rows_per_task).collect()
-    assert {r.user_id: r.t for r in got} == _builtin(df, "v", 5, ascending)
-
-
-def test_all_equal_values(spark):
-    df = _frame(spark, [4.0] * 37)
-    got = exact_ntile(df, "v", 5, "t", ["_h", "user_id"], "_h", rows_per_task=5).collect()
-    assert {r.user_id: r.t for r in got} == _builtin(df, "v", 5, True)
-
-
-def test_no_single_partition_over_rows(spark):
-    """The only single-partition step is the running sum over the bucket table (one row
-    per bucket), never over the ranked rows."""
-    df = _frame(spark, [float(i) for i in range(200)])
-    out = exact_ntile(df, "v", 5, "t", ["_h", "user_id"], "_h", rows_per_task=20)
-    lines = out._jdf.queryExecution().executedPlan().toString().splitlines()
-    singles = [i for i, ln in enumerate(lines) if "Exchange SinglePartition" in ln]
-    assert singles
-    for i in singles:
-        below = lines[i + 1].lstrip(" :")
-        assert below.startswith("+- HashAggregate(keys=[_nt_b"), below
-
-
-def test_ntile_of_rank_sizes():
-    for n in range(0, 30):
-        tiles = [ntile_of_rank(r, n, 5) for r in range(n)]
-        sizes = [tiles.count(t) for t in range(1, 6)]
-        q, e = divmod(n, 5)
-        assert sizes == [q + 1] * e + [q] * (5 - e)
-
-
-@pytest.mark.parametrize("rows_per_task", [3, 40, 10_000])
-def test_percentile_disc(spark, rows_per_task):
-    rnd = random.Random(3)
-    values = [float(rnd.choice([0.5, 1.0, 1.0, 2.5, 7.0])) if i % 3 else rnd.random() for i in range(211)]
-    values.append(None)
-    df = spark.createDataFrame([(v,) for v in values], "v double")
-    probs = [0.0, 0.25, 0.5, 0.75, 1.0]
-    got = exact_percentiles_disc(df, "v", probs, rows_per_task)
-    s = sorted(v for v in values if v is not None)
-    want = [s[min(len(s) - 1, max(0, math.ceil(len(s) * p) - 1))] for p in probs]
-    assert got == want
+    assert _tiles(df, 5, ascending) == _builtin(df, "v", 5, ascending)
 
 
-from hypothesis import HealthCheck, given, settings, strategies as st  # noqa: E402
+def test_equal_values_are_dealt_to_several_tasks(spark, partitions):
+    df = _frame(spark, [4.0] * 300)
+    assert _tiles(df, 5) == _builtin(df, "v", 5, True)
 
 
-@settings(max_examples=12, deadline=None, derandomize=True, suppress_health_check=list(HealthCheck))
+@settings(max_examples=10, deadline=None, derandomize=True, suppress_health_check=list(HealthCheck))
 @given(values=st.lists(st.one_of(st.none(), st.integers(0, 6).map(float), st.floats(0, 50)), max_size=60),
-       k=st.integers(1, 7), rows_per_task=st.integers(2, 30), ascending=st.booleans())
-def test_property_equals_builtin_ntile(spark, values, k, rows_per_task, ascending):
+       k=st.integers(1, 7), ascending=st.booleans())
+def test_property_equals_builtin_ntile(spark, values, k, ascending):
     df = _frame(spark, values)
-    got = exact_ntile(df, "v", k, "t", ["_h", "user_id"], "_h", ascending=ascending,
-                      rows_per_task=rows_per_task).collect()
-    assert len(got) == len(values)
-    if values:
-        assert {r.user_id: r.t for r in got} == _builtin(df, "v", k, ascending)
-
-
-def test_shuffle_join_beyond_broadcast_bound(spark, monkeypatch):
-    import clickweave.functions.ntile as nt
-
-    monkeypatch.setattr(nt, "BROADCAST_MAX_ROWS", 0)
-    df = _frame(spark, [float(i % 9) for i in range(120)])
-    out = nt.exact_ntile(df, "v", 5, "t", ["_h", "user_id"], "_h", rows_per_task=15)
-    assert {r.user_id: r.t for r in out.collect()} == _builtin(df, "v", 5, True)
-
-
-@pytest.mark.parametrize("ascending", [True, False])
-def test_nan_and_null_with_many_buckets(spark, ascending):
-    values = [float(i % 13) for i in range(120)] + [float("nan")] * 3 + [None] * 4
-    df = _frame(spark, values)
-    got = exact_ntile(df, "v", 5, "t", ["_h", "user_id"], "_h", ascending=ascending, rows_per_task=10).collect()
-    assert {r.user_id: r.t for r in got} == _builtin(df, "v", 5, ascending)
-
-
-def test_buckets_follow_the_parallelism_and_digits_the_count():
-    from clickweave.functions.ntile import bucket_count, tie_digits
-
-    assert bucket_count(186, 2_000_000, 4) == 8 and bucket_count(3, 2_000_000, 4) == 3
-    assert bucket_count(10**10, 2_000_000, 200) == 5000
-    assert tie_digits(1000, 2_000_000) == 2 and 16 ** tie_digits(10**10, 2_000_000) >= 5000
-    assert all(10**k / 16 ** tie_digits(10**k, 2_000_000) <= 2_000_000 for k in range(1, 14))
-
-
-def test_every_size_ranks_in_several_buckets(spark, catalog):
-    from clickweave.functions.ntile import plan_ntile
-    from clickweave.operators.rfm import rfm_raw
-
-    base = rfm_raw(catalog.clean()).withColumn("_h", F.md5("user_id")).checkpoint()
-    for value in ("recency_days", "monetary"):
-        plan = plan_ntile(base, value, 5, ["_h", "user_id"], "_h")
-        assert len(plan.bounds) >= 4
+    assert _tiles(df, k, ascending) == _builtin(df, "v", k, ascending)
+
+
+def test_two_orders_share_one_table(spark, partitions):
+    rnd = random.Random(9)
+    df = _frame(spark, [rnd.random() for _ in range(200)]).withColumn("w", F.crc32("user_id") % 10)
+    got = exact_ntiles(df, 4, {"a": tile_order("v", TIES), "b": tile_order("w", TIES, ascending=False)})
+    assert got.columns == [*df.columns, "a", "b"]
+    assert {r.user_id: r.a for r in got.collect()} == _builtin(df, "v", 4, True)
+    assert {r.user_id: r.b for r in got.collect()} == _builtin(df, "w", 4, False)
+
+
+def test_plan_holds_nothing_of_the_data_and_no_task_holds_all_rows(spark, catalog):
+    """The plan is the same whatever the shuffle setting, and has no single-partition exchange."""
+    raw, sizes = rfm_raw(catalog.clean()), []
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    for partitions in ("4", "200"):
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        plan = rfm_scores(raw)._jdf.queryExecution().toString()
+        assert "SinglePartition" not in plan
+        sizes.append(len(plan.splitlines()))
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert sizes[0] == sizes[1] < 400
+
+
+def test_rfm_does_not_depend_on_the_parts(spark, catalog, partitions):
+    a, b = rfm(catalog.clean()), catalog.rfm()
+    assert a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()

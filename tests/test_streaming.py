@@ -1,12 +1,13 @@
+import datetime as dt
 import uuid
 
 from pyspark.sql import functions as F
 
-from clickweave.config import shared_root
-from clickweave.operators.clean import clean_events
-from clickweave.schema import DEDUP_KEY, EVENT_COLUMNS, EVENT_SCHEMA
-from clickweave.streaming import stream_clean, stream_daily_kpis, stream_kpi_table
-from clickweave.streaming.complete import daily_kpis, read_stream_clean, read_stream_kpis
+from clickweave.config import delete_path, list_path, shared_root
+from clickweave.schema import DEDUP_KEY, DEFAULT_PARAMS, EVENT_COLUMNS, EVENT_SCHEMA
+from clickweave.streaming import stream_clean, stream_daily_kpis, stream_table
+from clickweave.streaming.complete import (
+    _absorb, daily_kpis, read_stream_clean, read_stream_kpis, read_stream_live, read_stream_progress, with_cells)
 
 
 def _split_source(spark, catalog, parts=4):
@@ -37,15 +38,19 @@ def test_stream_dedup_equals_batch_on_keys(spark, catalog):
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
 
 
+def _shuffled_source(spark, catalog, files=3):
+    root = f"{shared_root(spark)}/test-complete-{uuid.uuid4().hex[:8]}"
+    catalog.raw().select(*EVENT_COLUMNS).repartition(files, F.xxhash64("event_time", "price")).write.parquet(f"{root}/src")
+    return root
+
+
 def test_complete_tables_of_unsorted_files(spark, catalog):
     """Files in no time order, one per micro-batch: every row and every payload column of the batch
     table, and every day's KPIs."""
-    root = f"{shared_root(spark)}/test-complete-{uuid.uuid4().hex[:8]}"
-    catalog.raw().select(*EVENT_COLUMNS).repartition(4, F.xxhash64("event_time", "price")).write.parquet(f"{root}/src")
+    root = _shuffled_source(spark, catalog)
     src = spark.readStream.schema(EVENT_SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{root}/src")
-    query = stream_kpi_table(src, f"{root}/t").trigger(availableNow=True).start()
+    query = stream_table(src, f"{root}/t", buckets=1).trigger(availableNow=True).start()
     query.awaitTermination()
-    assert sum(o.get("numRowsDroppedByWatermark", 0) for p in query.recentProgress for o in p["stateOperators"]) == 0
     assert len([p for p in query.recentProgress if p["numInputRows"]]) > 2
     got, want = read_stream_clean(spark, f"{root}/t"), catalog.clean()
     assert got.columns == want.columns
@@ -53,19 +58,77 @@ def test_complete_tables_of_unsorted_files(spark, catalog):
     days, batch = read_stream_kpis(spark, f"{root}/t"), daily_kpis(want)
     assert days.count() == 92
     assert days.exceptAll(batch).isEmpty() and batch.exceptAll(days).isEmpty()
+    late = [r.late_rows for r in read_stream_progress(spark, f"{root}/t").orderBy("batch").collect()]
+    assert late[0] == 0 and sum(late) > 1000
 
 
-def test_a_repeated_micro_batch_changes_nothing(spark):
-    from helpers import ev, events
+def test_live_rows_of_files_in_time_order(spark, catalog):
+    """Nothing is late: the live path has every key once, in the batch that brought it, and every batch
+    settles only days that it closed."""
+    root = _split_source(spark, catalog)
+    src = spark.readStream.schema(EVENT_SCHEMA).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{root}/src")
+    stream_table(src, f"{root}/t", delay=dt.timedelta(hours=2), buckets=1, clean_up=False).trigger(availableNow=True).start().awaitTermination()
+    live, want = read_stream_live(spark, f"{root}/t"), catalog.clean()
+    keys, all_keys = live.select(*DEDUP_KEY), want.select(*DEDUP_KEY)
+    assert keys.exceptAll(all_keys).isEmpty() and all_keys.exceptAll(keys).isEmpty()
+    steps = [r for r in read_stream_progress(spark, f"{root}/t").orderBy("batch").collect() if r.n_rows]
+    assert [r.late_rows for r in steps] == [0] * 4
+    settled = [c for r in steps for c in r.cells]
+    assert len(settled) == len(set(settled)) and len({c.event_date for c in settled}) == 91  # each day once; the newest is open
+    assert read_stream_clean(spark, f"{root}/t").exceptAll(want).isEmpty()
+
+
+def _batches(spark, root, batches, **kwargs):
+    """Micro-batches, given as lists of rows, through the complete path."""
+    for n, rows in batches:
+        from helpers import events
+
+        _absorb(with_cells(events(spark, rows), buckets=2), n, root, dt.timedelta(hours=1), DEFAULT_PARAMS, **kwargs)
+
+
+def test_a_late_row_settles_its_own_cell_alone(spark):
+    from helpers import ev
+
+    root = f"{shared_root(spark)}/test-late-cell-{uuid.uuid4().hex[:8]}"
+    first = [ev(f"2019-11-{d:02d} 09:00:00", "view", user=u, price=5.0) for d in range(1, 11) for u in "abcd"]
+    cheaper = ev("2019-11-03 09:00:00", "view", user="a", price=1.0)  # a copy that the batch table keeps
+    _batches(spark, root, [(0, first), (1, [ev("2019-11-12 09:00:00", "view", user="a")]), (2, [cheaper])])
+    progress = {r.batch: r for r in read_stream_progress(spark, root).collect()}
+    assert {c.event_date.day for c in progress[0].cells} == set(range(1, 10))
+    assert {c.event_date.day for c in progress[1].cells} == {10}
+    assert [(c.event_date.day, r.late_rows) for r in [progress[2]] for c in r.cells] == [(3, 1)]
+    rows = read_stream_clean(spark, root)
+    assert rows.count() == 41
+    assert [r.price for r in rows.where("user_id = 'a' and event_date = '2019-11-03'").collect()] == [1.0]
 
-    from clickweave.streaming.complete import _absorb
-    from clickweave.schema import DEFAULT_PARAMS
+
+def test_a_repeated_micro_batch_changes_nothing(spark):
+    from helpers import ev
 
     root = f"{shared_root(spark)}/test-repeat-{uuid.uuid4().hex[:8]}"
-    rows = events(spark, [ev("2019-11-10 09:00:00", "view", user="a"), ev("2019-11-10 09:00:00", "view", user="a", price=1.0)])
-    for batch_id in (0, 0, 1):
-        _absorb(rows, batch_id, f"{root}/raw", f"{root}/clean", DEFAULT_PARAMS)
-        assert read_stream_clean(spark, root).count() == 1
+    rows = [ev("2019-11-10 09:00:00", "view", user="a"), ev("2019-11-10 09:00:00", "view", user="a", price=1.0),
+            ev("2019-11-12 09:00:00", "purchase", user="b", price=3.0)]
+    seen = []
+    for batch_id in (0, 0, 1, 1, 2):
+        _batches(spark, root, [(batch_id, rows)])
+        seen.append((sorted(map(tuple, read_stream_clean(spark, root).collect())), sorted(map(tuple, read_stream_kpis(spark, root).collect()))))
+    assert all(s == seen[0] for s in seen) and len(seen[0][0]) == 2
+    # a batch that failed before it was committed is taken in anew
+    delete_path(spark, f"{root}/state/batch=2")
+    _batches(spark, root, [(2, rows)])
+    assert sorted(map(tuple, read_stream_clean(spark, root).collect())) == seen[0][0]
+
+
+def test_used_files_are_removed_and_an_empty_stream_has_empty_tables(spark):
+    from helpers import ev
+
+    root = f"{shared_root(spark)}/test-unused-{uuid.uuid4().hex[:8]}"
+    assert read_stream_clean(spark, root).count() == read_stream_kpis(spark, root).count() == 0
+    _batches(spark, root, [(0, []), *[(d, [ev(f"2019-11-{d:02d} 09:00:00", "view", user=u) for u in "abc"]) for d in range(1, 6)]])
+    assert read_stream_clean(spark, root).count() == 15
+    assert sorted(list_path(spark, f"{root}/state")) == ["batch=4", "batch=5"]
+    assert len([n for n in list_path(spark, f"{root}/arrived") if n.startswith("batch=")]) <= 3
+    assert [r.total_events for r in read_stream_kpis(spark, root).orderBy("day").collect()] == [3] * 5
 
 
 def test_stream_kpis_exact_columns(spark, catalog):
@@ -90,7 +153,6 @@ def test_stream_kpis_exact_columns(spark, catalog):
 
 
 def test_stream_kpis_drop_late_rows(spark):
-    import datetime as dt
     import time
 
     from helpers import ev, events

@@ -104,16 +104,6 @@ def test_fixture_invariants(catalog):
     assert coh == buyers == 186
 
 
-def test_rfm_independent_of_bucket_size(spark, catalog):
-    from clickweave.operators.rfm import rfm
-    from clickweave.schema import Params
-
-    a = rfm(catalog.clean())
-    b = rfm(catalog.clean(), Params(rank_rows_per_task=20))      # ~10 value buckets per score
-    assert a.count() == 186
-    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
-
-
 def test_product_revenue_null_and_zero(spark):
     from clickweave.operators.product import product_metrics
 
