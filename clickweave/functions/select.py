@@ -29,9 +29,12 @@ def percentiles_disc(counted: DataFrame, probs: Sequence[float], value: str = "v
     ranks = [max(1, math.ceil(total * p)) for p in probs]
     where = [(lo, hi, 0)] * len(probs)  # from, to, rows below
     while open_ := [i for i, (a, b, _) in enumerate(where) if a < b]:
-        # halves, as a difference of the largest numbers would overflow
-        place = [F.when(F.col("v").between(a, b), F.struct(F.lit(i).alias("i"), F.least(F.lit(BINS - 1), F.floor(
-            (F.col("v") / 2 - a / 2) / (b / 2 - a / 2) * BINS)).cast("int").alias("bin"))) for i in open_ for a, b, _ in [where[i]]]
+        place = []
+        for i in open_:
+            a, b, _ = where[i]
+            share = (F.col("v") - a) / (b - a) if math.isfinite(b - a) else (F.col("v") / 2 - a / 2) / (b / 2 - a / 2)
+            bin_ = F.least(F.lit(BINS - 1), F.floor(share * BINS)).cast("int")
+            place.append(F.when(F.col("v").between(a, b), F.struct(F.lit(i).alias("i"), bin_.alias("bin"))))
         bins = (finite.select("v", "n", F.explode(F.array_compact(F.array(*place))).alias("x"))
                 .groupBy("x.i", "x.bin").agg(F.sum("n").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")))
         rows = sorted(bins.collect(), key=lambda r: r.bin)

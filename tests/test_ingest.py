@@ -112,3 +112,66 @@ def test_broken_lines_are_written_by_several_tasks_under_a_header_each(spark, tm
     assert len(lines) == n
     assert lines[1].endswith(',view,37,7,a.b, "x y" ,dear,1,s ') and lines[0].startswith("not a time,view,0,") and lines[3].startswith(",view,111,")
     assert lines[2].endswith(",view,74,7,a.b") and ",,148,7," in lines[4]
+
+
+def test_schema_files(spark):
+    from clickweave.schema import EVENT_SCHEMA, REQUIRED_COLUMNS
+    from clickweave.sources.schema_file import parse_schema, read_schema
+
+    declared = read_schema(spark)
+    assert declared.fields == EVENT_SCHEMA and declared.required == REQUIRED_COLUMNS
+    for bad in ('[{"name": "a", "type": "MAP"}]', '[{"name": "a", "type": "STRING", "mode": "REPEATED"}]',
+                '[{"name": "a", "type": "STRING"}, {"name": "a", "type": "DATE"}]'):
+        with pytest.raises(ValueError):
+            parse_schema(bad)
+
+
+def test_a_changed_mode_changes_what_is_rejected(spark):
+    from clickweave.sources.schema_file import DEFAULT_FILE
+
+    rows = HEADER + GOOD + "2019-11-17 16:58:15 UTC,view,1,2,a.b,x,1.0,,s\n,view,1,2,a.b,x,1.0,u,s\n"
+    path = _write(spark, rows)
+    other = _write(spark, DEFAULT_FILE.read_text().replace('"event_time", "type": "TIMESTAMP", "mode": "REQUIRED"', '"event_time", "type": "TIMESTAMP"')
+                   .replace('"user_id", "type": "STRING", "mode": "NULLABLE"', '"user_id", "type": "STRING", "mode": "REQUIRED"'))
+    assert [r.reason for r in ingest_events(spark, path)[1].collect()] == ["missing_event_time"]
+    assert [r.reason for r in ingest_events(spark, path, schema=other + "/part.csv")[1].collect()] == ["missing_user_id"]
+
+
+def test_a_file_counts_once(spark):
+    """Loaded twice, loaded again after a failure before it was entered, and replaced by another version."""
+    from clickweave.config import delete_path
+    from clickweave.sources.ingest import loaded_files
+
+    path, second = _write(spark, HEADER + GOOD + BAD[0][0]), _write(spark, HEADER + GOOD.replace("2019-11", "2019-12"))
+    out = f"{shared_root(spark)}/test-ledger-{uuid.uuid4().hex[:8]}"
+    for _ in range(2):
+        accepted, rejected = ingest_events(spark, path, out=out)
+        assert (accepted.count(), rejected.count()) == (1, 1)
+    assert ingest_events(spark, [path, second], out=out)[0].count() == 2 and loaded_files(spark, out).count() == 2
+    delete_path(spark, out + "_loads")
+    accepted, rejected = ingest_events(spark, [path, second], out=out)
+    assert (accepted.count(), rejected.count()) == (2, 1)
+    with open((path[len("file:"):] if path.startswith("file:") else path) + "/part.csv", "w") as f:
+        f.write(HEADER + GOOD.replace("2019-11", "2019-10") * 3)
+    accepted, rejected = ingest_events(spark, [path, second], out=out)
+    assert sorted(r.event_time.month for r in accepted.collect()) == [10, 10, 10, 12] and rejected.count() == 0
+    assert ingest_events(spark, path, out=out, mode="overwrite")[0].count() == 4
+
+
+def test_replay_loads_repaired_rows_once(spark):
+    from clickweave.sources.ingest import read_loaded, replay_quarantine
+
+    fixable = ["2019-11-17T16:58:15Z,view,1,2,a.b,x,1.0,u,s\n", "17.11.2019 16:58:15,view,2,2,a.b,x,1.0,u,s\n", '2019-11-17 16:58:15 UTC,view,3,2,a.b,x,"1,5",u,s\n',
+               "2019-11-17 16:58:15 UTC,view,4,2,a.b,x,1.0,u\n", '2019-11-17T16:58:15Z,view,5,2,a.b,x,"-2,25"\n']
+    path = _write(spark, HEADER + GOOD + "".join(fixable) + "".join(b for b, _ in BAD))
+    out = f"{shared_root(spark)}/test-replay-{uuid.uuid4().hex[:8]}"
+    ingest_events(spark, path, out=out)
+    for _ in range(2):
+        marks = replay_quarantine(spark, out).collect()
+    rows = {r.product_id: r for r in read_loaded(spark, out).collect()}
+    assert sorted(rows) == ["1", "2", "3", "4", "4711", "5"] or sorted(rows) == ["1", "1", "2", "3", "4", "4711", "5"]
+    assert len({r.event_time for r in rows.values()}) == 1 and rows["3"].price == 1.5 and rows["4"].user_session is None and rows["5"].price == -2.25
+    assert sorted((m.reason, m.now) for m in marks if m.now) == sorted([("missing_event_time",) * 2, ("missing_event_type",) * 2, ("bad_event_time",) * 2,
+                                                                      ("bad_price",) * 2, ("malformed_row",) * 2])
+    assert sum(m.now is None for m in marks) == 6  # a line of four fields is whole with the others empty
+    assert read_loaded(spark, out).count() == 7

@@ -67,3 +67,66 @@ def test_drilldown_explicit_and_default(catalog):
     explicit = duplicate_drilldown(raw, top.user_id, top.product_id, top.event_type)
     assert default.exceptAll(explicit).count() == 0 and explicit.exceptAll(default).count() == 0
     assert explicit.agg(F.max("occurrences")).first()[0] == top.occurrences
+
+
+def test_clustered_layout_reads_few_files_for_a_user(spark, catalog):
+    """Ranges of (type, user) inside a month: the files that can hold a user's rows of a type, by their
+    statistics, are a few of all."""
+    import pyarrow.parquet as pq
+
+    from clickweave.sources.tables import write_clustered
+
+    path = f"{shared_root(spark)}/test-clustered-{uuid.uuid4().hex[:8]}"
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "24")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    write_clustered(catalog.raw(), path)
+    for k, v in before.items():
+        spark.conf.set(k, v)
+    table = spark.read.parquet(path)
+    assert table.count() == catalog.raw().count()
+    user, kind = table.where("event_type = 'view' and user_id is not null").select("user_id", "event_type").first()
+    hit, files = 0, [f.removeprefix("file:").replace("//", "/") for f in table.inputFiles()]
+    for f in files:
+        meta = pq.ParquetFile(f).metadata
+        for g in range(meta.num_row_groups):
+            cols = {meta.row_group(g).column(i).path_in_schema: meta.row_group(g).column(i) for i in range(meta.num_columns)}
+            u, t = cols["user_id"].statistics, cols["event_type"].statistics
+            hit += u.has_min_max and u.min <= user <= u.max and t.min <= kind <= t.max
+    assert len(files) >= 24 and 1 <= hit <= len(files) // 3
+    used = table.where((F.col("user_id") == user) & (F.col("event_type") == kind)).select("_metadata.file_path").distinct().count()
+    assert used <= hit
+
+
+def test_clean_is_written_with_one_shuffle(spark, catalog):
+    from clickweave.operators.clean import clean_events, write_clean
+
+    path = f"{shared_root(spark)}/test-one-shuffle-{uuid.uuid4().hex[:8]}"
+    write_clean(catalog.raw(), path, at_once=2)
+    got, want = spark.read.parquet(path).select(*catalog.clean().columns), catalog.clean()
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+    plan = clean_events(catalog.raw()).sortWithinPartitions("event_month", "event_type", "user_id")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1
+
+
+def test_only_changed_months_are_cleaned_again(spark, catalog):
+    from clickweave.operators.clean import month_fingerprints, refresh_clean
+    from clickweave.schema import EVENT_COLUMNS
+
+    path = f"{shared_root(spark)}/test-refresh-{uuid.uuid4().hex[:8]}"
+    raw = catalog.raw().select(*EVENT_COLUMNS)
+    months = refresh_clean(raw, path)
+    assert len(months) == 3 and refresh_clean(raw.repartition(7), path) == []
+    first = raw.where("event_time < '2019-11-01' and event_type = 'view' and user_id is not null").orderBy("event_time", "product_id").first()
+    one = (F.col("event_time") == first.event_time) & (F.col("product_id") == first.product_id) & (F.col("user_id") == first.user_id)
+    corrected = raw.withColumn("price", F.when(one, F.lit(1.0)).otherwise(F.col("price")))
+    files = {f for f in spark.read.parquet(path).inputFiles()}
+    assert refresh_clean(corrected, path) == [months[0]]
+    kept = {f for f in spark.read.parquet(path).inputFiles()} & files
+    assert {f.split("event_month=")[1][:10] for f in kept} == {str(m) for m in months[1:]}
+    assert refresh_clean(corrected.where("event_time < '2019-12-01'"), path) == [months[2]]
+    assert spark.read.parquet(path).select("event_month").distinct().count() == 2
+    # a row twice differs from the row once, and a NULL in another column is another row
+    rows = corrected.limit(1)
+    twice = [tuple(month_fingerprints(d).first()) for d in (rows, rows.unionByName(rows), rows.unionByName(rows).unionByName(rows))]
+    assert len(set(twice)) == 3
