@@ -10,9 +10,12 @@ that its bucket ranks first: two sets of similarity 0.8 or more share one of 32
 probability over 1 - 1e-7. In every band bucket all members are first compared with its leader, the
 smallest id; groups of near copies mostly fall together here, by one pair a member. Members of a
 bucket that are still in different components are then compared by their registers in blocks of
-1,000 against 1,000, each pair in its first common band only, and no pair leaves a block unless its
-estimate is near the threshold. So the exact way is taken for whatever the leaders have not joined,
-with no cap, and no task holds more than two blocks of a bucket.
+1,000 against 1,000, each pair in its first common band only. Members are blocked by component, and
+blocks that hold nothing but one component don't meet. No pair leaves a task: the members with an
+estimate near the threshold come again with their full sets, are confirmed there, and only a link that
+joins two components leaves, at most one a member. (Pairs with a set of over 16,384 shingles do leave, and
+are joined with their sets, so that a task's memory is bounded.) So the exact way is taken for whatever
+the leaders have not joined, with no cap, and no task holds more than two blocks of a bucket.
 
 The estimate is the share of equal registers, corrected for registers equal by accident. Pairs go if
 it is more than six standard errors under the threshold (of a sample without replacement, one
@@ -40,6 +43,8 @@ BUCKETS, BAND = 1 << BAND_BITS, 4
 EMPTY = 0xFFFF
 #: Members of a bucket that a task compares with as many others.
 BLOCK = 1000
+#: Shingles that a set may have to be confirmed in such a task.
+SET_ROWS = 1 << 14
 #: Ids that may be broadcast as one column (16 MB).
 ID_ROWS = 2_000_000
 _C = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -167,9 +172,9 @@ def _near_pairs(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.
             yield pa.RecordBatch.from_arrays([b["a"], b["b"]], names=["a", "b"]).filter(pa.array(near))
 
 
-def _apart_pairs(table: pa.Table, percent: int) -> pa.Table:
-    """Two blocks (i, j) of a band's members, or one block with itself: pairs of different components
-    that may be near, in the first band that they share."""
+def _apart(table: pa.Table, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Two blocks (i, j) of a band's members, or one block with itself: a row and the rows of other
+    components that may be near it, in the first band that they share."""
     at, band = table["block"].to_numpy(), table["band"][0].as_py()
     i, j = table["i"][0].as_py(), table["j"][0].as_py()
     ids, c, n = (table[x].to_numpy() for x in ("id", "c", "n"))
@@ -177,15 +182,55 @@ def _apart_pairs(table: pa.Table, percent: int) -> pa.Table:
     bands = table["bands"].combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
     place = int(np.argwhere(bands == band)[0, 1])  # a row may be of another set of the same id
     left, right = np.flatnonzero(at == i), np.flatnonzero(at == j)
-    out: list[tuple[np.ndarray, np.ndarray]] = []
-    for m in left:
+    for m in left.tolist():
         x = right[(c[right] != c[m]) & ((ids[right] > ids[m]) if i == j else True)]
         x = x[(bands[x, :place] != bands[m, :place]).all(axis=1)]
         if len(x):
             x = x[may_be_near(regs[x], regs[m][None, :], n[x], n[m], percent)]
-            out.append((np.full(len(x), ids[m]), ids[x]))
-    a, b = (np.concatenate(p) for p in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-    return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
+        if len(x):
+            yield m, x
+
+
+_QUESTION = "band long, i int, j int, block int, id long, c long, other long"
+
+
+def _in_question(table: pa.Table, percent: int, set_rows: int) -> pa.Table:
+    """The members that have someone to be compared with on full sets; pairs with a large set as pairs."""
+    n, ids = table["n"].to_numpy(), table["id"].to_numpy()
+    flagged, pairs = np.zeros(len(ids), bool), []
+    for m, x in _apart(table, percent):
+        small = (n[x] <= set_rows) & (n[m] <= set_rows)
+        flagged[x[small]] = True
+        flagged[m] |= bool(small.any())
+        pairs += [(m, y) for y in x[~small].tolist()]
+    rows = np.concatenate([np.flatnonzero(flagged), np.array([m for m, _ in pairs], np.int64)])
+    others = pa.array([None] * int(flagged.sum()) + [int(ids[y]) for _, y in pairs], pa.int64())
+    return table.select(["band", "i", "j", "block", "id", "c"]).take(pa.array(rows)).append_column("other", others)
+
+
+def _joining_links(table: pa.Table, percent: int) -> pa.Table:
+    """Links between components, confirmed on the full sets; none between what a link has joined already."""
+    ids, c = table["id"].to_pylist(), table["c"].to_pylist()
+    flat = table["s"].combine_chunks()
+    ends, values = flat.offsets.to_numpy(), flat.values.to_numpy()
+    sets = [values[ends[k]:ends[k + 1]] for k in range(len(ids))]
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.get(x, x) != x:
+            root[x] = x = root.get(root[x], root[x])
+        return x
+
+    out: list[tuple[int, int]] = []
+    for m, found in _apart(table, percent):
+        for x in found.tolist():
+            a, b = find(c[m]), find(c[x])
+            if a != b:
+                common = len(np.intersect1d(sets[m], sets[x], assume_unique=True))
+                if 100 * common >= percent * (len(sets[m]) + len(sets[x]) - common):
+                    root[a] = b
+                    out.append((min(ids[m], ids[x]), max(ids[m], ids[x])))
+    return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
 
 def _near(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -195,18 +240,34 @@ def _near(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return pairs.join(two, "b").join(one, "a").mapInArrow(lambda x: _near_pairs(x, percent), "a long, b long").distinct()
 
 
+def _full_sets(ids: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """The full sets (id, s) of the documents in ``ids`` (doc_id), sorted; as many rows per id as it has rows."""
+    return written(texts.join(bounded(ids, limit=ID_ROWS), "doc_id", "left_semi")
+                   .mapInArrow(lambda b: _sets(b, words), "id long, s array<long>"), "near-sets")
+
+
 def _linked(near: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs that are links, confirmed on the full sets of the documents that are in question."""
     near = written(near, "near-pairs")
-    ids = near.select(F.col("a").alias("doc_id")).unionByName(near.select(F.col("b").alias("doc_id"))).distinct()
-    sets = written(texts.join(bounded(ids, limit=ID_ROWS), "doc_id", "left_semi")
-                   .mapInArrow(lambda b: _sets(b, words), "id long, s array<long>"), "near-sets")
+    sets = _full_sets(near.select(F.col("a").alias("doc_id")).unionByName(near.select(F.col("b").alias("doc_id"))).distinct(), texts, words)
     full = (near.join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
             .join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a"))
     common = F.size(F.array_intersect("sa", "sb"))
     return written(full.where(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b").distinct(), "near-links")
 
 
+def _block_pairs(ordered: DataFrame) -> DataFrame:
+    """band, block, i, j: which pairs of blocks of a band to compare, for both of their blocks. Blocks follow
+    the components, so those that hold one component alone are neighbours; they don't meet."""
+    band, alone = Window.partitionBy("band"), Window.partitionBy("band", "lo", "pure")
+    blocks = (ordered.groupBy("band", "block").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
+              .withColumn("pure", F.col("lo") == F.col("hi")))
+    blocks = blocks.select("band", "block", "pure", F.max("block").over(band).alias("last"),
+                           F.min("block").over(alone).alias("from"), F.max("block").over(alone).alias("to"))
+    pairs = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last")))).where("not (pure and other between from and to)")
+    return pairs.select("band", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+
+
 def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80) -> DataFrame:
     """One row per row of ``docs``: rid (the scan's row number), doc_id, n_shingles, component_id, kept."""
     numbered = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"),
@@ -229,14 +290,18 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80) -> DataF
     # what the leaders have not joined
     placed = members.select("band", "id").join(found, "id", "left").select("band", "id", F.coalesce("component", "id").alias("c"))
     mixed = placed.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("of"))
-    mixed = mixed.where("lo < hi and of > 2").select("band", F.ceil(F.col("of") / BLOCK).cast("int").alias("blocks"))
-    rank = F.row_number().over(Window.partitionBy("band").orderBy("id"))
-    blocks = (placed.join(mixed, "band").withColumn("block", F.floor((rank - 1) / BLOCK).cast("int"))
-              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-              .select("band", "id", "c", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")))
-    apart = (blocks.join(nodes, "id").groupBy("band", "i", "j")
-             .applyInArrow(lambda t: _apart_pairs(t, percent), "a long, b long").distinct())
-    more = _linked(apart, texts, words, percent)
+    rank = F.row_number().over(Window.partitionBy("band").orderBy("c", "id"))
+    ordered = written(placed.join(mixed.where("lo < hi and of > 2").select("band"), "band")
+                      .withColumn("block", F.floor((rank - 1) / BLOCK).cast("int")), "near-blocks")
+    nodes = written(nodes.join(bounded(ordered.select("id").distinct(), limit=ID_ROWS), "id", "left_semi"), "near-apart-nodes")
+    blocks = (ordered.join(_block_pairs(ordered), ["band", "block"]).select("band", "id", "c", "block", "i", "j").join(nodes, "id"))
+    asked = written(blocks.groupBy("band", "i", "j").applyInArrow(lambda t: _in_question(t, percent, SET_ROWS), _QUESTION), "near-questions")
+    large = asked.where("other is not null").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+    small = asked.where("other is null").drop("other")
+    sets = _full_sets(small.select(F.col("id").alias("doc_id")).distinct(), texts, words)
+    confirmed = (small.join(nodes, "id").join(sets, "id").groupBy("band", "i", "j")
+                 .applyInArrow(lambda t: _joining_links(t, percent), "a long, b long"))
+    more = written(confirmed, "near-more").unionByName(_linked(large, texts, words, percent))
     if not more.isEmpty():
         found = connected_components(links.unionByName(more), "near-components")
 

@@ -133,3 +133,33 @@ def test_components_of_paths_stars_and_cycles(spark):
     found = {r.id: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert found == {**{i: 0 for i in range(61)}, **{i: 100 for i in [*range(100, 160), 500]}, **{200 + i: 200 for i in range(9)}, 900: 900, 901: 900}
     assert connected_components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_rows_of_apart_members_grow_with_the_members(spark, make_docs, monkeypatch):
+    """Families whose members are all a little under the threshold: what leaves the block tasks is a few rows a
+    member, not the pairs."""
+    import clickweave.llm.hyperminhash as H
+
+    real, sizes = H.written, {}
+
+    def written(df, name):
+        out = real(df, name)
+        sizes[name] = out.count()
+        return out
+
+    monkeypatch.setattr(H, "written", written)
+    seen = []
+    for n in (60, 120):
+        rng = random.Random(5)
+        base = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+        rows = []
+        for i in range(n):
+            words = list(base)
+            for k in rng.sample(range(150), 4):
+                words[k] = f"e{i}-{k}"
+            rows.append((i, " ".join(words)))
+        got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_duplicates(make_docs(rows)).collect())
+        assert got == brute(rows)
+        seen.append(dict(sizes))
+    assert seen[0]["near-questions"] > 60  # the case is met
+    assert seen[1]["near-questions"] <= 3 * seen[0]["near-questions"] and seen[1]["near-more"] < 120 and seen[1]["near-pairs"] == 0
