@@ -14,7 +14,7 @@ from clickweave.llm.license_scan import BASE, LICENSE_WORD, NOTICES, license_sca
 from clickweave.llm.periodic_runs import periodic_runs, planted, run_report
 from clickweave.llm.quality_rules import quality_rules
 from clickweave.llm.rlz_substring import substring_dedup
-from clickweave.llm.sentencepiece_scan import encode, with_digests
+from clickweave.llm.sentencepiece_scan import encode
 from clickweave.llm.source_mixing import mix_report, mix_sources
 from clickweave.llm.token_counts import token_counts
 from clickweave.llm.trie_dedup import trie_owners
@@ -42,8 +42,7 @@ def op3_compression_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_sentencepiece_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = piece_model()
-    return with_digests(encode(read_table(spark, sf_dir), model), model)
+    return encode(read_table(spark, sf_dir), piece_model(), digests=True)
 
 
 def op5_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -69,6 +69,7 @@ class Lattice:
         self.inner = {a + b for p in self.known for a, b in zip(p, p[1:])}
         self.by_mark = not any(a != MARK and b == MARK for a, b in self.inner)
         self.solved: dict[str, bytes] = {}
+        self.spelled: dict[str, bytes] = {}  # what those ids decode to, in UTF-8
         self.pairs: dict[tuple[str, str], bool] = {}
 
     def apart(self, text: str, p: int) -> bool:
@@ -97,6 +98,24 @@ class Lattice:
         solved.update(zip(new, self.solve(new)))
         return b"".join(map(solved.__getitem__, parts))
 
+    def coded(self, text: str) -> tuple[bytes, bytes]:
+        """Ids of a marked text between certain boundaries, and what they decode to in UTF-8. Marks stand
+        first in their parts and a character's bytes stay in one part, so each part is decoded alone, and
+        once for all texts that have it."""
+        if not self.by_mark:
+            ids = self.solve([text])[0]
+            return ids, self.joined(np.frombuffer(ids, np.int32).tolist()).encode()
+        ids, solved, spelled = self.ids(text), self.solved, self.spelled
+        parts = _PARTS.findall(text)
+        if len(spelled) > _CACHE:
+            spelled.clear()
+        long = {}
+        for p in set(parts).difference(spelled):
+            known = solved.get(p)
+            found = self.joined(np.frombuffer(self.solve([p])[0] if known is None else known, np.int32).tolist()).encode()
+            (long if known is None else spelled)[p] = found
+        return ids, b"".join([long[p] if p in long else spelled[p] for p in parts] if long else map(spelled.__getitem__, parts))
+
     def decode(self, ids: list[int]) -> str:
         return self.joined(ids)[1:]
 
@@ -262,15 +281,22 @@ def _id_lists(blobs: list[bytes]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(blobs), np.int32)))
 
 
-def _encoded(batches: Iterable[pa.RecordBatch], model: bytes) -> Iterator[pa.RecordBatch]:
+def _encoded(batches: Iterable[pa.RecordBatch], model: bytes, digests: bool) -> Iterator[pa.RecordBatch]:
     """Rows (doc_id, text) of usual texts."""
     lattice = lattice_of(model)
     for batch in batches:
         for at in range(0, batch.num_rows, 500):
             part = batch.slice(at, 500)
             texts = part.column(1).to_pylist()
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(t) for t in texts], pa.int64()),
-                                              _id_lists([lattice.encode(t) for t in texts])], names=["doc_id", "n_chars", "ids"])
+            columns = [part.column(0), pa.array([len(t) for t in texts], pa.int64())]
+            names = ["doc_id", "n_chars", "ids"]
+            if digests:
+                coded = [lattice.coded(marked(t)) for t in texts]
+                columns += [_id_lists([c[0] for c in coded]), pa.array([hashlib.sha256(c[1][1:]).hexdigest() for c in coded], pa.string())]
+                names.append("decoded_sha256")
+            else:
+                columns.append(_id_lists([lattice.encode(t) for t in texts]))
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
 
 def _cut(batches: Iterable[pa.RecordBatch], model: bytes, chunk: int) -> Iterator[pa.RecordBatch]:
@@ -346,17 +372,21 @@ def scan_giants(giants: DataFrame, model: bytes, chunk: int, block: int = _BLOCK
         "rid", "n_chunks", F.flatten(F.col("w.part")).alias("ids"))
 
 
-def encode(docs: DataFrame, model: bytes, chunk: int = 16_384) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_chars, n_chunks, n_pieces, ids."""
+def encode(docs: DataFrame, model: bytes, chunk: int = 16_384, digests: bool = False) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_chars, n_chunks, n_pieces, ids; and with ``digests``
+    decoded_sha256 as :func:`with_digests` has it, usual texts being decoded in the pass that encodes them."""
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     giant = F.length("text") > 2 * chunk
-    out = (rows.where(~giant).select("doc_id", "text").mapInArrow(lambda b: _encoded(b, model), "doc_id long, n_chars long, ids array<int>")
-           .select("doc_id", "n_chars", F.lit(1).cast("long").alias("n_chunks"), "ids"))
+    ddl = "doc_id long, n_chars long, ids array<int>" + ", decoded_sha256 string" * digests
+    columns = ["doc_id", "n_chars", "n_chunks", "ids", *["decoded_sha256"] * digests]
+    out = (rows.where(~giant).select("doc_id", "text").mapInArrow(lambda b: _encoded(b, model, digests), ddl)
+           .withColumn("n_chunks", F.lit(1).cast("long")).select(*columns))
     giants = written(rows.where(giant).withColumn("n_chars", F.length("text").cast("long")), "pieces-giants")
     if not giants.isEmpty():
         found = scan_giants(giants.select("rid", "text"), model, chunk)
-        out = out.unionByName(giants.select("rid", "doc_id", "n_chars").join(found, "rid").select("doc_id", "n_chars", "n_chunks", "ids"))
-    return out.select("doc_id", "n_chars", "n_chunks", F.size("ids").cast("long").alias("n_pieces"), "ids")
+        found = giants.select("rid", "doc_id", "n_chars").join(with_digests(found, model) if digests else found, "rid")
+        out = out.unionByName(found.select(*columns))
+    return out.withColumn("n_pieces", F.size("ids").cast("long")).select("doc_id", "n_chars", "n_chunks", "n_pieces", "ids", *["decoded_sha256"] * digests)
 
 
 def _decoded(batches: Iterable[pa.RecordBatch], model: bytes) -> Iterator[pa.RecordBatch]:

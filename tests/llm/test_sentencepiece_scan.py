@@ -5,7 +5,7 @@ import pytest
 import sentencepiece
 
 from clickweave.llm.queries import piece_model
-from clickweave.llm.sentencepiece_scan import Lattice, decode, encode, marked, product, states
+from clickweave.llm.sentencepiece_scan import Lattice, decode, encode, marked, product, states, with_digests
 
 MODEL = piece_model()
 LIBRARY = sentencepiece.SentencePieceProcessor(model_proto=MODEL)
@@ -88,3 +88,15 @@ def test_query_decodes_every_document(spark, make_docs, monkeypatch):
         for _, t in marks:
             ids = LIBRARY.encode((t or "")[:400])
             assert s._digest(lattice, s.pa.array(ids, s.pa.int32())) == digest((t or "")[:400])
+
+
+def test_digests_in_the_encoding_pass(make_docs):
+    """Those of the ids decoded one by one, whatever the texts hold."""
+    rng = random.Random(31)
+    odd = ["", " ", "  a  b ", "\u2581mark \u2581", "naïve café \U0001f600\U0001f600 \x00\x01", "日本語 テキスト", "x" * 5000, "\n\t tabs\r\n", "a\u2581b c", None]
+    rows = [(i, t) for i, t in enumerate(odd)] + [(100 + i, " ".join(rng.choice(["the", "of", "élan", "zürich", "\u0301x", "12,5", "\U0001f1e9\U0001f1ea"]) for _ in range(rng.randint(1, 400))))
+                                                  for i in range(40)]
+    docs = make_docs(rows)
+    for chunk in (16_384, 300):
+        one, two = encode(docs, MODEL, chunk, digests=True), with_digests(encode(docs, MODEL, chunk), MODEL)
+        assert one.columns == two.columns and sorted(map(tuple, one.collect())) == sorted(map(tuple, two.collect()))
