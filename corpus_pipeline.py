@@ -12,7 +12,7 @@ from clickweave.llm.common import read_table, written
 from clickweave.llm.hyperminhash import one_of_each
 from clickweave.llm.quality_rules import good_documents
 from clickweave.llm.queries import piece_model
-from clickweave.llm.sentencepiece_scan import encode, with_digests
+from clickweave.llm.sentencepiece_scan import encode
 from clickweave.llm.source_mixing import mix_documents
 from clickweave.llm.trie_dedup import deduplicate
 
@@ -40,8 +40,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """SentencePiece ids of every text: doc_id, n_chars, n_chunks, n_pieces, ids, and the
     digest of what they decode to."""
-    model = piece_model()
-    return with_digests(encode(docs, model), model)
+    return encode(docs, piece_model(), digests=True)
 
 
 STAGES = [("quality rules", quality), ("exact dedup", exact), ("MinHash near-dedup", near),
