@@ -2,22 +2,26 @@
 
 Every text is cut into words and rolling hashes of ``k`` consecutive words (k = 3, and 2 for the
 templates of two words). Each hash joins the template positions with the same hash; a match whose
-words are equal too is a vote for the diagonal (text position minus template position). Votes are
-added up by (text, template, diagonal); neighbouring diagonals, as left by an inserted or missing
-word, are merged where the template allows a drift; a span is verified by its votes: it needs the
-template's share of the template's distinct k-grams, within a length near the template's.
-
-Base phrases are templates without drift that need all of their votes, so a span is a place where
+words are equal too is a vote of that position for the diagonal (text position minus template
+position). Votes are gathered by (text, template, diagonal); neighbouring diagonals, as left by an
+inserted or missing word, are merged where the template allows a drift; a span is verified by its
+positions: it needs the template's share of the template's k-grams, each counted once however often
+it votes. A chain of diagonals wider than the template is looked at in windows of twice its length, one
+length apart, so that a notice inside a chain is found and votes far from each other don't add up.
+
+Base phrases are templates without drift that need all of their positions, so a span is a place where
 the words stand consecutively. One more template, of one reserved hash, makes every text vote once:
 texts without a license keep their row without a second pass over the table.
 
+Templates are given in code, or as a table (label, text, need, drift, base) of any size: its k-grams are
+broadcast if they are counted to be few, else the k-grams of all texts meet them in a shuffle. Their
+words are compared, too. Only votes are shuffled beyond that, by text, so no phrase, however common, is
+a hot key there.
+
 Defined cases: NULL and empty texts have no words, places or labels (empty strings, score 0); NULL
 ids stay; repeated rows are rows of their own (rows are told apart by the scan's row number within
 this one pass); no rows, no result; extra columns are ignored. Texts of any length: a text's hashes
-are one array of 8 bytes a word.
-
-The templates are a constant table of a few hundred rows, broadcast. All word k-grams meet it where
-they are made; only votes are shuffled, by text, so no phrase, however common, is a hot key.
+are one array of 8 bytes a word. Templates of under two words are left out, equal ones count once.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from clickweave.llm.common import ascii_lower, text_or_empty, words_of
+from clickweave.llm.common import ascii_lower, bounded, text_or_empty, words_of
 
 LICENSE_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -71,24 +75,30 @@ def _grams(words: Column, k: int) -> Column:
     return F.transform(F.slice(words, F.lit(1), n), lambda w, i: F.xxhash64(F.lit(k), w, *[words[i + j] for j in range(1, k)]))
 
 
-def template_grams(spark: SparkSession, templates: tuple[Template, ...]) -> DataFrame:
-    """One row per template position: hash, template (its number), at, k and the k-gram's words."""
-    none = F.lit(None).cast("array<string>")
-    rows = [F.struct(F.lit(_EVERY_TEXT).cast("long").alias("hash"), F.lit(_EVERY_TEXT).alias("template"), F.lit(0).alias("at"),
-                     F.lit(0).alias("k"), none.alias("gram"))]
-    for t, x in enumerate(templates):
-        words = x.text.split(" ")
-        k = min(3, len(words))
-        for i in range(len(words) - k + 1):
-            gram = [F.lit(w) for w in words[i:i + k]]
-            rows.append(F.struct(F.xxhash64(F.lit(k), *gram).alias("hash"), F.lit(t).alias("template"), F.lit(i).alias("at"),
-                                 F.lit(k).alias("k"), F.array(*gram).alias("gram")))
-    return spark.range(1).select(F.inline(F.array(*rows)))
-
-
-def license_votes(docs: DataFrame, templates: tuple[Template, ...]) -> DataFrame:
-    """(rid, doc_id, n_words, template, diagonal): votes, first and end (words of the text)."""
-    spark = docs.sparkSession
+def template_table(spark: SparkSession, templates: tuple[Template, ...] | DataFrame) -> DataFrame:
+    """template (a number), label, base, need, drift, words."""
+    if isinstance(templates, DataFrame):
+        words = words_of(ascii_lower(text_or_empty()), LICENSE_WORD)
+        table = templates.select("label", F.coalesce("base", F.lit(False)).alias("base"), F.col("need").cast("double").alias("need"),
+                                 F.col("drift").cast("int").alias("drift"), words.alias("words")).where("size(words) > 1")
+        number = F.shiftrightunsigned(F.xxhash64("label", F.concat_ws(" ", "words")), 1)
+        return table.withColumn("template", number).dropDuplicates(["template"])
+    return spark.range(1).select(F.inline(F.array(*[
+        F.struct(F.lit(t).cast("long").alias("template"), F.lit(x.label).alias("label"), F.lit(x.base).alias("base"), F.lit(float(x.need)).alias("need"),
+                 F.lit(x.drift).alias("drift"), F.array(*map(F.lit, x.text.split(" "))).alias("words")) for t, x in enumerate(templates)])))
+
+
+def template_grams(table: DataFrame) -> DataFrame:
+    """One row per template position: hash, template, at, k and the k-gram's words; and the reserved one."""
+    k = F.least(F.lit(3), F.size("words"))
+    grams = table.select("template", "words", k.alias("k"), F.posexplode(F.when(k == 2, _grams(F.col("words"), 2)).otherwise(_grams(F.col("words"), 3))).alias("at", "hash"))
+    every = table.sparkSession.range(1).select(F.lit(_EVERY_TEXT).cast("long").alias("hash"), F.lit(_EVERY_TEXT).cast("long").alias("template"),
+                                               F.lit(0).alias("at"), F.lit(0).alias("k"), F.lit(None).cast("array<string>").alias("gram"))
+    return grams.select("hash", "template", "at", "k", F.slice("words", F.col("at") + 1, F.col("k")).alias("gram")).unionByName(every)
+
+
+def license_votes(docs: DataFrame, table: DataFrame) -> DataFrame:
+    """(rid, doc_id, n_words, template, diagonal): the positions that voted, first and end (words of the text)."""
     words = F.col("words")
     grams = F.concat(F.array(F.lit(_EVERY_TEXT).cast("long")), _grams(words, 2), _grams(words, 3))
     texts = (docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long"),
@@ -99,37 +109,41 @@ def license_votes(docs: DataFrame, templates: tuple[Template, ...]) -> DataFrame
     pairs = F.greatest(F.col("n") - 1, F.lit(0))
     place = F.when(F.col("k") == 0, F.lit(0)).when(F.col("k") == 2, F.col("p") - 1).otherwise(F.col("p") - 1 - pairs)
     same = (F.col("k") == 0) | (F.slice(F.col("words"), F.greatest(place + 1, F.lit(1)), F.greatest(F.col("k"), F.lit(1))) == F.col("gram"))
-    votes = at.join(F.broadcast(template_grams(spark, templates)), "hash").where(same)
+    votes = at.join(bounded(template_grams(table)), "hash").where(same)
+    # a diagonal has each position once at most
     return (votes.select("rid", "doc_id", "n", "template", (place - F.col("at")).alias("diagonal"), place.alias("place"),
-                         (place + F.col("k")).alias("past"))
+                         (place + F.col("k")).alias("past"), "at")
             .groupBy("rid", "doc_id", "n", "template", "diagonal")
-            .agg(F.count(F.lit(1)).alias("votes"), F.min("place").alias("first"), F.max("past").alias("end")))
+            .agg(F.collect_list("at").alias("positions"), F.min("place").alias("first"), F.max("past").alias("end")))
 
 
-def license_spans(votes: DataFrame, templates: tuple[Template, ...]) -> DataFrame:
+def license_spans(votes: DataFrame, table: DataFrame) -> DataFrame:
     """Votes of neighbouring diagonals merged: rid, doc_id, n, template, label, base, first, end,
     coverage (0 to 1); plus one row per text with a NULL template."""
-    spark = votes.sparkSession
-    facts = spark.range(1).select(F.inline(F.array(*[
-        F.struct(F.lit(t).alias("template"), F.lit(x.label).alias("label"), F.lit(x.base).alias("base"), F.lit(x.drift).alias("drift"),
-                 F.lit(float(x.need)).alias("need"), F.lit(max(1, len(x.text.split()) - 2)).alias("grams"),
-                 F.lit(len(x.text.split())).alias("length")) for t, x in enumerate(templates)])))
-    v = votes.join(F.broadcast(facts), "template", "left")
+    length = F.size("words")
+    facts = table.select("template", "label", "base", "drift", "need", F.greatest(F.lit(1), length - 2).alias("grams"), length.alias("length"))
+    v = votes.join(bounded(facts), "template", "left")
     of = Window.partitionBy("rid", "template").orderBy("diagonal")
     apart = F.col("diagonal") - F.lag("diagonal").over(of) > F.coalesce("drift", F.lit(0))
     v = v.withColumn("span", F.sum(F.coalesce(apart, F.lit(True)).cast("int")).over(of))
-    spans = v.groupBy("rid", "doc_id", "n", "template", "label", "base", "need", "grams", "length", "span").agg(
-        F.sum("votes").alias("votes"), F.min("first").alias("first"), F.max("end").alias("end"))
-    coverage = F.least(F.lit(1.0), F.col("votes") / F.col("grams"))
-    verified = (F.col("template") < 0) | ((coverage >= F.col("need")) & (F.col("end") - F.col("first") <= 2 * F.col("length")))
+    chain = Window.partitionBy("rid", "template", "span")
+    v = v.withColumns({"lo": F.min("diagonal").over(chain), "hi": F.max("diagonal").over(chain)})
+    step = F.floor((F.col("diagonal") - F.col("lo")) / F.col("length"))
+    wide = F.col("hi") - F.col("lo") > F.col("length")
+    v = v.withColumn("part", F.explode(F.when(wide, F.array(step, step - 1)).otherwise(F.array(F.lit(0).cast("long")))))
+    spans = v.groupBy("rid", "doc_id", "n", "template", "label", "base", "need", "grams", "span", "part").agg(
+        F.size(F.array_distinct(F.flatten(F.collect_list("positions")))).alias("positions"), F.min("first").alias("first"), F.max("end").alias("end"))
+    coverage = F.col("positions") / F.col("grams")
+    verified = (F.col("template") < 0) | (coverage >= F.col("need"))
     return spans.where(verified).select("rid", "doc_id", "n", F.when(F.col("template") >= 0, F.col("template")).alias("template"),
                                         "label", "base", "first", "end", coverage.alias("coverage"))
 
 
-def license_scan(docs: DataFrame, templates: tuple[Template, ...] = BASE + NOTICES) -> DataFrame:
+def license_scan(docs: DataFrame, templates: tuple[Template, ...] | DataFrame = BASE + NOTICES) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_base, first_word, last_word, base_labels,
     labels, score (the best coverage of a span)."""
-    spans = license_spans(license_votes(docs, templates), templates)
+    table = template_table(docs.sparkSession, templates)
+    spans = license_spans(license_votes(docs, table), table)
     base = F.col("base")
 
     def joined(label: Column) -> Column:

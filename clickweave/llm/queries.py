@@ -102,14 +102,15 @@ tg AS (SELECT template, o, tw[o + 1:o + k] AS gram FROM (SELECT *, unnest(range(
 d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({_LOWER}, '{LICENSE_WORD}') AS w FROM documents),
 g AS (SELECT rid, p, w[p + 1:p + 2] AS gram FROM (SELECT *, unnest(range(0, len(w) - 1)) AS p FROM d)
       UNION ALL SELECT rid, p, w[p + 1:p + 3] FROM (SELECT *, unnest(range(0, len(w) - 2)) AS p FROM d)),
-v AS (SELECT rid, template, p - o AS diagonal, count(*) AS votes, min(p) AS first, max(p + len(gram)) AS past
-      FROM g JOIN tg USING (gram) GROUP BY ALL),
-m AS (SELECT v.*, tw.*, sum(CASE WHEN gap <= drift THEN 0 ELSE 1 END) OVER (PARTITION BY rid, v.template ORDER BY diagonal) AS span
+v AS (SELECT rid, template, p - o AS diagonal, list(o) AS positions, min(p) AS first FROM g JOIN tg USING (gram) GROUP BY ALL),
+m AS (SELECT v.*, label, base, need, len(tw) AS length,
+             sum(CASE WHEN gap <= drift THEN 0 ELSE 1 END) OVER (PARTITION BY rid, v.template ORDER BY diagonal) AS span
       FROM (SELECT *, diagonal - lag(diagonal) OVER (PARTITION BY rid, template ORDER BY diagonal) AS gap FROM v) v
       JOIN tw ON tw.template = v.template),
-s AS (SELECT rid, label, base, need, least(1.0, sum(votes) / greatest(1, len(tw) - 2))::DOUBLE AS coverage, min(first) AS first
-      FROM m GROUP BY rid, m.template, label, base, need, span, tw
-      HAVING max(past) - min(first) <= 2 * len(tw) AND least(1.0, sum(votes) / greatest(1, len(tw) - 2)) >= need)
+c AS (SELECT *, min(diagonal) OVER chain AS lo, max(diagonal) OVER chain AS hi FROM m WINDOW chain AS (PARTITION BY rid, template, span)),
+x AS (SELECT *, unnest(CASE WHEN hi - lo > length THEN [(diagonal - lo) // length, (diagonal - lo) // length - 1] ELSE [0] END) AS part FROM c),
+s AS (SELECT rid, label, base, need, len(list_distinct(flatten(list(positions))))::DOUBLE / greatest(1, any_value(length) - 2) AS coverage, min(first) AS first
+      FROM x GROUP BY rid, template, label, base, need, span, part HAVING coverage >= need)
 SELECT doc_id, len(w)::BIGINT AS n_words, count(s.rid) FILTER (base) AS n_base, min(first) FILTER (base)::BIGINT AS first_word,
        max(first) FILTER (base)::BIGINT AS last_word,
        coalesce(array_to_string(list_sort(list(DISTINCT label) FILTER (base)), ','), '') AS base_labels,
