@@ -4,14 +4,15 @@ Each text gives counts (words, characters in words, symbols, repeated lines, wor
 5-word windows, capitals, punctuation) and from them a vector of six transformed statistics: the
 logarithm of the mean word length and the arcsine square roots of five shares. Per language and
 source, a minimum-covariance-determinant estimate of their centre and covariance is found by
-concentration steps, starting at medians and median absolute deviations: the three quarters of the
-rows with the smallest Mahalanobis distances give the next mean and covariance. A row farther from
-the final estimate than ``cutoff`` is rejected. Short texts have noisy shares, so a squared
-distance counts n_words / (n_words + 50) times.
+concentration steps: the three quarters of the rows with the smallest Mahalanobis distances give the
+next mean and covariance. Three starts are followed, each until its determinant falls no more: medians
+and median absolute deviations, all rows, and the half of the rows nearest to the medians. The
+estimate with the lowest determinant is the group's. A row farther from it than ``cutoff`` is rejected.
+Short texts have noisy shares, so a squared distance counts n_words / (n_words + 50) times.
 
 Everything is DataFrame expressions. Statistics are whole numbers (1/512 of a unit), so that sums
 of them and of their products are exact and the verdicts don't depend on the order of rows; a step
-is one aggregation by (group, distance bin), of a few hundred rows per group, so a source with a
+is one aggregation by (group, start, distance bin), of a few hundred rows per group, so a source with a
 third of all rows is pre-aggregated in every task. A group under ``min_rows`` rows with words is
 judged with the other small ones of its language; if those are too few as well, by the estimate of
 all rows of its language, and if that has too few, by the estimate of the whole table. Only a table
@@ -40,11 +41,14 @@ FLOOR = tuple((x * GRID) ** 2 for x in (0.05, 0.05, 0.15, 0.15, 0.05, 0.05))
 CHI2_MEDIAN = 5.348
 _P = len(STATS)
 _PAIRS = [(i, j) for i in range(_P) for j in range(i + 1)]
+#: An estimate: centre, and covariance as L D L'.
+_MOMENTS = [*[f"m{i}" for i in range(_P)], *[f"d{i}" for i in range(_P)], *[f"l{i}{j}" for i, j in _PAIRS if j < i]]
 
 
-def _window_hashes(words: Column) -> Column:
-    hashes = F.transform(F.sequence(F.lit(1), F.size(words) - 4), lambda i: F.xxhash64(F.slice(words, i, 5)))
-    return F.when(F.size(words) >= 5, hashes).otherwise(F.array().cast("array<bigint>"))
+def _window_hashes(hashes: Column) -> Column:
+    """Of the 5-word windows, from the hashes of the words, each of which is hashed once."""
+    windows = F.transform(F.sequence(F.lit(1), F.size(hashes) - 4), lambda i: F.xxhash64(*[F.element_at(hashes, i + j) for j in range(5)]))
+    return F.when(F.size(hashes) >= 5, windows).otherwise(F.array().cast("array<bigint>"))
 
 
 def _covered_words(h: Column) -> Column:
@@ -69,7 +73,8 @@ def text_counts(docs: DataFrame) -> DataFrame:
     text, lines = F.col("t"), F.col("lines")
     punctuation = "".join(c for c in string.punctuation if c not in SYMBOLS)
     d = (docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long"), "lang", "source", text_or_empty().alias("t"))
-         .withColumn("words", words_of(text)).withColumn("h", _window_hashes(F.col("words")))
+         .withColumn("words", words_of(text)).withColumn("each", F.transform("words", lambda w: F.xxhash64(w)))
+         .withColumn("h", _window_hashes(F.col("each")))
          .withColumn("lines", F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, " \t\x0b\x0c\r", "")) > 0)))
     return d.select(
         "rid", "doc_id", "lang", "source", F.size("words").cast("long").alias("n_words"),
@@ -137,35 +142,33 @@ def _start(rows: DataFrame) -> DataFrame:
 
 
 def _with_distance(rows: DataFrame, estimate: DataFrame, groups: int) -> DataFrame:
-    """Adds ``far``, the squared Mahalanobis distance: with covariance L D L', z = inverse(L) (q - m)
-    and the distance is the sum of z_j squared over D_j."""
-    rows = rows.join(bounded(estimate, groups), "g")
+    """Adds ``far``, the squared Mahalanobis distance to the group's estimate (each of them, if there are
+    several): with covariance L D L', z = inverse(L) (q - m) and the distance is the sum of z_j squared
+    over D_j."""
+    rows = rows.join(bounded(estimate.select("g", "start", *_MOMENTS), groups), "g")
     for j in range(_P):
         z = F.col(STATS[j]) - F.col(f"m{j}")
         for k in range(j):
             z = z - F.col(f"l{j}{k}") * F.col(f"z{k}")
         rows = rows.withColumn(f"z{j}", z)
     d2 = sum((F.col(f"z{j}") * F.col(f"z{j}") / F.col(f"d{j}") for j in range(1, _P)), F.col("z0") * F.col("z0") / F.col("d0"))
-    extra = [c for c in estimate.columns if c != "g"]
-    return rows.withColumn("far", d2).drop(*extra, *[f"z{j}" for j in range(_P)])
-
-
-
+    return rows.withColumn("far", d2).drop(*_MOMENTS, *[f"z{j}" for j in range(_P)])
 
 
 def _estimate(rows: DataFrame, share: float) -> DataFrame:
-    """A concentration step's mean and covariance (as L D L') per group, from the bins of smallest
-    distance that hold ``share`` of its rows; ``half``: a distance that half the rows are within."""
+    """A concentration step's mean and covariance (as L D L') per group and start, from the bins of
+    smallest distance that hold ``share`` of its rows; ``size``: the logarithm of the determinant;
+    ``half``: a distance that half the rows are within."""
     sums = [F.sum(q).alias(f"s{i}") for i, q in enumerate(STATS)]
     products = [F.sum(F.col(STATS[i]) * F.col(STATS[j])).alias(f"p{i}{j}") for i, j in _PAIRS]
-    bins = rows.groupBy("g", F.floor(F.log1p("far") * 32).alias("b")).agg(F.count(F.lit(1)).alias("n"), *sums, *products)
-    w = Window.partitionBy("g")
+    bins = rows.groupBy("g", "start", F.floor(F.log1p("far") * 32).alias("b")).agg(F.count(F.lit(1)).alias("n"), *sums, *products)
+    w = Window.partitionBy("g", "start")
     bins = bins.withColumn("upto", F.sum("n").over(w.orderBy("b"))).withColumn("all", F.sum("n").over(w))
     names = ["n", *[f"s{i}" for i in range(_P)], *[f"p{i}{j}" for i, j in _PAIRS]]
     got = (bins.withColumn("half", F.min(F.when(2 * F.col("upto") >= F.col("all"), F.expm1((F.col("b") + 1) / 32))).over(w))
            .where(F.col("upto") - F.col("n") < share * F.col("all"))
-           .groupBy("g").agg(*[F.sum(c).cast("double").alias(c) for c in names], F.first("half").alias("half")))
-    got = got.select("g", "half", *[(F.col(f"s{i}") / F.col("n")).alias(f"m{i}") for i in range(_P)],
+           .groupBy("g", "start").agg(*[F.sum(c).cast("double").alias(c) for c in names], F.first("half").alias("half")))
+    got = got.select("g", "start", "half", *[(F.col(f"s{i}") / F.col("n")).alias(f"m{i}") for i in range(_P)],
                      *[(F.col(f"p{i}{j}") / F.col("n") - F.col(f"s{i}") * F.col(f"s{j}") / F.col("n") / F.col("n")
                         + (FLOOR[j] if i == j else 0.0)).alias(f"c{i}{j}") for i, j in _PAIRS])
     for j in range(_P):
@@ -178,11 +181,36 @@ def _estimate(rows: DataFrame, share: float) -> DataFrame:
             for k in range(j):
                 c = c - F.col(f"l{i}{k}") * F.col(f"l{j}{k}") * F.col(f"d{k}")
             got = got.withColumn(f"l{i}{j}", c / F.col(f"d{j}"))
-    return got.select("g", "half", *[f"m{i}" for i in range(_P)], *[f"d{i}" for i in range(_P)],
-                      *[f"l{i}{j}" for i, j in _PAIRS if j < i])
-
-
-def quality_rules(docs: DataFrame, cutoff: float = 25.0, share: float = 0.75, steps: int = 4,
+    size = sum((F.log(f"d{j}") for j in range(1, _P)), F.log("d0"))
+    return got.select("g", "start", "half", size.alias("size"), *_MOMENTS)
+
+
+def _lowest(rows: DataFrame, groups: int, share: float, falls: float) -> DataFrame:
+    """Per group the estimate of the lowest determinant (``start`` says from where). A step that lowers a
+    start's determinant by over ``falls`` replaces its estimate; the start is followed until one does not.
+    Determinants have a lower bound and fall by at least that, so this ends."""
+    at_medians = written(_start(rows).withColumn("start", F.lit(0)), "mcd-0")
+    near = written(_with_distance(rows, at_medians, groups), "mcd-near")
+    # the medians' spread is no subset's covariance: its first step counts whatever its determinant
+    none = F.lit(None).cast("double")
+    best = at_medians.select("g", "start", none.alias("half"), F.lit(float("inf")).alias("size"), *_MOMENTS)
+    for start, part in ((1, 1.0), (2, 0.5)):
+        best = best.unionByName(_estimate(near, part).withColumn("start", F.lit(start)))
+    best, step = written(best.withColumn("open", F.lit(True)), "mcd-1"), 1
+    while not best.where("open").isEmpty():
+        step += 1
+        now = _estimate(_with_distance(rows, best.where("open"), 3 * groups), share)
+        new = now.select("g", "start", F.struct("half", "size", *_MOMENTS).alias("now"))
+        lower = F.col("open") & (F.col("now.size") < F.col("size") - falls)
+        columns = [F.when(lower, F.col(f"now.{c}")).otherwise(F.col(c)).alias(c) for c in ("half", "size", *_MOMENTS)]
+        # a row per group and start
+        best = written(best.join(bounded(new, 3 * groups), ["g", "start"], "left")
+                       .select("g", "start", *columns, F.coalesce(lower, F.lit(False)).alias("open")), f"mcd-{step}")
+    place = Window.partitionBy("g").orderBy("size", "start")
+    return best.withColumn("place", F.row_number().over(place)).where("place = 1").select("g", "start", *_MOMENTS)
+
+
+def quality_rules(docs: DataFrame, cutoff: float = 25.0, share: float = 0.75, falls: float = 1e-3,
                   min_rows: int = 100) -> DataFrame:
     """One row per row of ``docs``: rid, doc_id, n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words, base_failed, kept, distance (squared; NULL where no group judges it)."""
@@ -193,13 +221,11 @@ def quality_rules(docs: DataFrame, cutoff: float = 25.0, share: float = 0.75, st
     n = 2 * n + 1  # with those of whole languages and of the whole table
     rows = counts.join(known, F.col("lang").eqNullSafe(F.col("l_")) & F.col("source").eqNullSafe(F.col("s_"))).drop("l_", "s_")
     judged = rows.where(F.col("n_words") > 0).select(*STATS, F.explode("feeds").alias("g"))
-    # each step ends in a table of one row per group
-    estimate = written(_start(judged), "mcd-0").withColumn("half", F.lit(CHI2_MEDIAN))
-    for step in range(1, steps + 1):
-        estimate = written(_estimate(_with_distance(judged, estimate.drop("half"), n), share), f"mcd-{step}")
-    final = _estimate(_with_distance(judged, estimate.drop("half"), n), share).select("g", "half")
-    estimate = written(estimate.drop("half").join(final, "g"), "mcd-final")
-    scaled = _with_distance(rows.where(F.col("g").isNotNull()), estimate.drop("half"), n).join(bounded(estimate.select("g", "half"), n), "g")
+    # each step ends in a table of one row per group and start
+    found = _lowest(judged, n, share, falls)
+    final = _estimate(_with_distance(judged, found, n), share).select("g", "half")
+    estimate = written(found.join(final, "g"), "mcd-final")
+    scaled = _with_distance(rows.where(F.col("g").isNotNull()), estimate, n).join(bounded(estimate.select("g", "half"), n), "g")
     wider = F.greatest(F.lit(1.0), F.col("half") / CHI2_MEDIAN)
     out = ("rid", "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
     distance = F.col("far") / wider * F.col("n_words") / (F.col("n_words") + 50)

@@ -1,8 +1,12 @@
+import math
 import random
 import re
+import string
 from collections import Counter
 
-from clickweave.llm.quality_rules import good_documents, quality_rules
+import numpy as np
+
+from clickweave.llm.quality_rules import CHI2_MEDIAN, FLOOR, GRID, good_documents, quality_rules
 
 
 def brute(text):
@@ -78,3 +82,77 @@ def test_small_groups_are_judged_by_their_language_or_the_table(make_docs):
     assert all(got[i].distance == alone[i] for i, *_ in hot)
     # too few rows in the whole table
     assert all(r.distance is None for r in quality_rules(make_docs(hot[:99])).collect())
+
+
+def statistics(text):
+    n, chars, symbols, dup, covered, _ = brute(text)
+    lines = len([x for x in text.split("\n") if x.strip()])
+    marks = "".join(c for c in string.punctuation if c not in "#*$%&|<>")
+
+    def share(a, b):
+        return math.asin(math.sqrt(min(1.0, a / b))) if b else 0.0
+
+    values = (math.log(max(1.0, chars / max(n, 1))), share(symbols, chars), share(dup, lines), share(covered, n),
+              share(sum(c in string.ascii_uppercase for c in text), chars), share(sum(c in marks for c in text), chars))
+    return [math.floor(v * GRID + 0.5) for v in values]
+
+
+def lowest_determinant(q, share=0.75, falls=1e-3):
+    """The estimate and its distances in numpy: the same starts and steps, with matrices."""
+    q, floor = np.array(q, float), np.diag(FLOOR)
+
+    def median(x):
+        return np.sort(x)[(len(x) - 1) // 2]
+
+    def far(m, c):
+        return np.einsum("ij,jk,ik->i", q - m, np.linalg.inv(c), q - m)
+
+    def step(d, share):
+        bins = np.floor(np.log1p(d) * 32)
+        size = np.array([(bins <= b).sum() for b in bins])
+        below = np.array([(bins < b).sum() for b in bins])
+        chosen = q[below < share * len(q)]
+        half = np.expm1((bins[2 * size >= len(q)].min() + 1) / 32)
+        m = chosen.mean(axis=0)
+        c = chosen.T @ chosen / len(chosen) - np.outer(m, m) + floor
+        return m, c, half
+
+    centre = np.array([median(x) for x in q.T])
+    spread = np.array([median(np.abs(x - m)) for x, m in zip(q.T, centre)])
+    first = far(centre, np.diag((spread * 1.4826) ** 2 + FLOOR))
+    ends = []
+    for m, c, size in ((centre, np.diag((spread * 1.4826) ** 2 + FLOOR), math.inf), *[(*step(first, p)[:2], None) for p in (1.0, 0.5)]):
+        size = np.linalg.slogdet(c)[1] if size is None else size
+        while True:
+            m2, c2, _ = step(far(m, c), share)
+            size2 = np.linalg.slogdet(c2)[1]
+            if not size2 < size - falls:
+                break
+            m, c, size = m2, c2, size2
+        ends.append((size, m, c))
+    size, m, c = min(ends, key=lambda e: e[0])
+    half = step(far(m, c), share)[2]
+    return far(m, c) / max(1.0, half / CHI2_MEDIAN), size, [e[0] for e in ends]
+
+
+def test_verdicts_equal_the_lowest_determinant_in_numpy(make_docs):
+    """Two groups, one with a third of junk that the starts see differently."""
+    rng = random.Random(21)
+
+    def text(junk):
+        words = prose(rng, rng.randint(20, 150)).split()
+        if junk:
+            words = [w.upper() + rng.choice(["$", "!", "#"]) if rng.random() < 0.6 else w for w in words]
+        return rng.choice([" ", " ", "\n"]).join(words)
+
+    rows = [(i, text(i % 3 == 0), "en", "a") for i in range(210)] + [(1000 + i, text(i % 10 == 0), "en", "b") for i in range(150)]
+    got = {r.doc_id: r for r in quality_rules(make_docs(rows)).collect()}
+    for source in "ab":
+        mine = [r for r in rows if r[3] == source]
+        distance, _, _ = lowest_determinant([statistics(t) for _, t, *_ in mine])
+        for (i, t, *_), d in zip(mine, distance):
+            n = brute(t)[0]
+            d *= n / (n + 50)
+            assert abs(got[i].distance - d) <= 1e-6 * max(1.0, d)
+            assert got[i].kept == (not brute(t)[-1] and d <= 25.0)
+    assert 0 < sum(r.kept for r in got.values()) < len(rows)
