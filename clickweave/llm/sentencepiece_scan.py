@@ -1,9 +1,8 @@
 """SentencePiece encoding and decoding by a max-plus scan (operator 4).
 
 The ids are the sentencepiece library's for the given model file, without begin and end tokens.
-Between two characters that no piece has side by side every segmentation has a boundary. Texts fall
-apart there: the parts between marks (a mark stands for a space) are looked up in a table of the
-task, the library being called for parts not seen yet.
+Between two characters that no piece has side by side every segmentation has a boundary. Texts of usual
+length, and stretches between two such boundaries, are encoded and decoded by the library.
 
 Giant texts (over two chunks) are a max-plus product. The state of a chunk's edge is the step, a
 piece or a character without one, that begins last before the edge: where it begins and ends. A
@@ -26,7 +25,6 @@ own; no rows, no result; extra columns are ignored. Decoding gives back the text
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -36,10 +34,9 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from clickweave.llm.common import text_or_empty, written
 
 MARK = "▁"
-_PARTS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 NEVER = -(1 << 61)
-#: Parts that a Python worker remembers, none longer than _LONG characters.
-_CACHE, _LONG = 400_000, 48
+#: Pairs of steps that a Python worker remembers.
+_CACHE = 400_000
 _SEEK, _BLOCK = 1024, 256
 #: Ids decoded at a time for a digest.
 _DECODED = 1 << 18
@@ -67,9 +64,6 @@ class Lattice:
         self.control = {i for i, p in enumerate(spec.pieces) if p.type in (2, 3)}
         self.longest = max(map(len, self.known))
         self.inner = {a + b for p in self.known for a, b in zip(p, p[1:])}
-        self.by_mark = not any(a != MARK and b == MARK for a, b in self.inner)
-        self.solved: dict[str, bytes] = {}
-        self.spelled: dict[str, bytes] = {}  # what those ids decode to, in UTF-8
         self.pairs: dict[tuple[str, str], bool] = {}
 
     def apart(self, text: str, p: int) -> bool:
@@ -81,40 +75,12 @@ class Lattice:
         return [np.array(ids, np.int32).tobytes() for ids in self.library.encode(stretches, num_threads=1)]
 
     def ids(self, text: str) -> bytes:
-        """Ids of a marked text between certain boundaries, by its parts between marks."""
-        if not self.by_mark:
-            return self.solve([text])[0]
-        parts = _PARTS.findall(text)
-        if len(self.solved) > _CACHE:
-            self.solved.clear()
-        solved = self.solved
-        new = list(set(parts).difference(solved))
-        long = [p for p in new if len(p) > _LONG]
-        if long:
-            once = dict(zip(long, self.solve(long)))
-            new = [p for p in new if p not in once]
-            solved.update(zip(new, self.solve(new)))
-            return b"".join([once[p] if p in once else solved[p] for p in parts])
-        solved.update(zip(new, self.solve(new)))
-        return b"".join(map(solved.__getitem__, parts))
-
-    def coded(self, text: str) -> tuple[bytes, bytes]:
-        """Ids of a marked text between certain boundaries, and what they decode to in UTF-8. Marks stand
-        first in their parts and a character's bytes stay in one part, so each part is decoded alone, and
-        once for all texts that have it."""
-        if not self.by_mark:
-            ids = self.solve([text])[0]
-            return ids, self.joined(np.frombuffer(ids, np.int32).tolist()).encode()
-        ids, solved, spelled = self.ids(text), self.solved, self.spelled
-        parts = _PARTS.findall(text)
-        if len(spelled) > _CACHE:
-            spelled.clear()
-        long = {}
-        for p in set(parts).difference(spelled):
-            known = solved.get(p)
-            found = self.joined(np.frombuffer(self.solve([p])[0] if known is None else known, np.int32).tolist()).encode()
-            (long if known is None else spelled)[p] = found
-        return ids, b"".join([long[p] if p in long else spelled[p] for p in parts] if long else map(spelled.__getitem__, parts))
+        """Ids of a marked text between certain boundaries."""
+        return self.solve([text])[0]
+
+    def spelled(self, ids: list[list[int]]) -> list[str]:
+        """Texts from their ids, the space before the first word included."""
+        return self.library.decode(ids, num_threads=1)
 
     def decode(self, ids: list[int]) -> str:
         return self.joined(ids)[1:]
@@ -288,14 +254,12 @@ def _encoded(batches: Iterable[pa.RecordBatch], model: bytes, digests: bool) ->
         for at in range(0, batch.num_rows, 500):
             part = batch.slice(at, 500)
             texts = part.column(1).to_pylist()
-            columns = [part.column(0), pa.array([len(t) for t in texts], pa.int64())]
+            found = lattice.library.encode([marked(t) for t in texts], num_threads=1)
+            columns = [part.column(0), pa.array([len(t) for t in texts], pa.int64()), _id_lists([np.array(i, np.int32).tobytes() for i in found])]
             names = ["doc_id", "n_chars", "ids"]
             if digests:
-                coded = [lattice.coded(marked(t)) for t in texts]
-                columns += [_id_lists([c[0] for c in coded]), pa.array([hashlib.sha256(c[1][1:]).hexdigest() for c in coded], pa.string())]
+                columns.append(pa.array([hashlib.sha256(t[1:].encode()).hexdigest() for t in lattice.spelled(found)], pa.string()))
                 names.append("decoded_sha256")
-            else:
-                columns.append(_id_lists([lattice.encode(t) for t in texts]))
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
 
