@@ -7,16 +7,20 @@ passes (epochs) over all blocks first, then one pass in part. Slot ``k`` of a pa
 that a pseudorandom permutation of that source and pass gives for ``k`` (a Feistel network on
 a x b >= blocks with cycle walking, so no sort and no table is needed); the shorter last block comes
 last in a pass, and the last slot of the pass in part takes only the words that are still missing.
-Every slot is thrown into one of the output shards by a seeded hash: the source counts of the
-shards are a multinomial draw conditioned on the source totals, so a source's total equals its
-target to the word. Slots then join the blocks by (source, index). ``mix_report`` gives, per document
-row, the words that each shard takes of it; the rows of ``mix_documents`` are per document and pass,
-whatever the shards.
+
+Output shards have ``shard_slots`` slots each (the last one what is left). How many of them a shard
+takes from each source is drawn: multinomially, conditioned on the sources' totals, by dealing the
+tickets of all sources to the shards in a pseudorandom order. The counts decide the slots: running
+sums over the shards give each shard its range of a source's slots, the source's permutation turns
+them into blocks, and they join the blocks by (source, index). So every source's total equals its target
+to the word. ``mix_report`` gives, per document row, the words that each shard takes of it; the rows of
+``mix_documents`` are per document and pass.
 
 Defined cases: NULL or empty text has size 0 and is never taken; a NULL source is a source of its
 own, last in order; rows that repeat a doc_id are separate rows, each with its own words; a table
 without words gives targets of 0; other columns are ignored, whatever their names. Results depend
-on the rows and the seed only (rows equal in doc_id and size are interchangeable).
+on the rows and the seed only (rows that repeat a doc_id are placed by the scan's row number as well, so
+that an id with many rows is spread like any others).
 
 Skew: a source's prefix sums are taken in two levels, inside buckets of about ``bucket_rows`` rows
 and over the buckets' sums, slots are made in runs of 4,096, and the block join's key is (source,
@@ -85,7 +89,8 @@ def _permuted(k: str, n: str, key: str) -> str:
             f"named_struct('l', s.l, 'r', (s.r + pmod(xxhash64({key}, t, s.l), {b})) % {b})), "
             f"s -> s.l * {b} + s.r)")
     # a x b exceeds n by less than a: the walk back into [0, n) ends after one step nearly always
-    return f"aggregate(sequence(1, 64), {k}, (x, i) -> if(i > 1 and x < {n}, x, {step}))"
+    lost = "cast(raise_error('a permutation left its range') as bigint)"
+    return f"aggregate(sequence(1, 64), {k}, (x, i) -> if(i > 1 and x < {n}, x, {step}), x -> if(x < {n}, x, {lost}))"
 
 
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = 3,
@@ -99,8 +104,12 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats
 
     # positions in the source's stream: prefix sums inside buckets and over the buckets' sums
     buckets = max(1, -(-rows // bucket_rows))
-    mixed = F.xxhash64(F.lit(seed), F.coalesce("doc_id", "rid"))
-    placed = (sized.where(F.col("size") > 0).withColumn("mixed", mixed)
+    several = written(sized.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+                      .select(F.col("doc_id").alias("d_"), F.lit(True).alias("several")), "mix-repeated")
+    own = F.when(F.col("doc_id").isNull() | F.col("several"), F.col("rid"))
+    mixed = F.xxhash64(F.lit(seed), F.coalesce("doc_id", "rid"), own)
+    placed = (sized.where(F.col("size") > 0).join(bounded(several), F.col("doc_id") == F.col("d_"), "left")
+              .withColumn("mixed", mixed).drop("d_", "several")
               .withColumn("bucket", F.pmod("mixed", F.lit(buckets)))
               .join(known.select(F.col("source").alias("s_"), "sid"), F.col("source").eqNullSafe(F.col("s_"))))
     sums = placed.groupBy("sid", "bucket").agg(F.sum("size").alias("total"))
@@ -126,16 +135,21 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats
             .withColumn("whole", F.expr(f"source_size div {block_words}"))
             .withColumn("blocks", F.expr(f"(source_size + {block_words - 1}) div {block_words}"))
             .withColumn("n", F.expr(f"full * blocks + (rest + {block_words - 1}) div {block_words}")).where("n > 0"))
-    slots = (plan.withColumn("run", F.explode(F.expr(f"sequence(0L, n - 1, {_RUN}L)"))).repartition("sid", "run")
-             .withColumn("slot", F.explode(F.expr(f"sequence(run, least(run + {_RUN - 1}, n - 1))")))
+    # the draw: every source has as many tickets as slots, dealt to the shards in a pseudorandom order
+    before = F.sum("n").over(Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, -1))  # over one row per source
+    plan = (plan.withColumn("ahead", F.coalesce(before, F.lit(0).cast("long"))).withColumn("tickets", F.sum("n").over(Window.partitionBy())))
+    draw = (plan.withColumn("run", F.explode(F.expr(f"sequence(0L, n - 1, {_RUN}L)"))).repartition("sid", "run")
+            .withColumn("ticket", F.explode(F.expr(f"sequence(ahead + run, ahead + least(run + {_RUN - 1}, n - 1))")))
+            .withColumn("shard", F.expr(f"{_permuted('ticket', 'tickets', f'{seed}')} div {shard_slots}"))
+            .groupBy("sid", "shard").agg(F.count(F.lit(1)).alias("drawn")))
+    upto = Window.partitionBy("sid").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    counts = draw.withColumn("first", F.coalesce(F.sum("drawn").over(upto), F.lit(0)))
+    slots = (counts.join(bounded(plan), "sid").withColumn("slot", F.explode(F.expr("sequence(first, first + drawn - 1)")))
              .withColumn("epoch", F.expr("slot div blocks")).withColumn("k", F.expr("slot % blocks"))
              .withColumn("block", F.expr(f"if(k < whole, {_permuted('k', 'whole', f'{seed}, sid, epoch')}, k)"))
              .withColumn("take", F.expr(f"if(epoch < full, if(k < whole, {block_words}, source_size - k * {block_words}),"
                                         f" least({block_words}, rest - k * {block_words}))")))
-    shards = max(1, -(-(sources.agg(F.sum("target")).first()[0] or 0) // (block_words * shard_slots)))
-    slots = slots.select("sid", "slot", "epoch", "block", F.col("take").cast("long").alias("take"),
-                         F.pmod(F.xxhash64(F.lit(seed), F.lit("shard"), "sid", "slot"),
-                                F.lit(int(shards))).alias("shard"))
+    slots = slots.select("sid", "slot", "epoch", "block", F.col("take").cast("long").alias("take"), "shard")
     return Mix(sized, known, pieces, slots)
 
 

@@ -112,3 +112,38 @@ def test_tables_without_words(make_docs, table):
     assert mix_report(mix_sources(table(make_docs([])))).collect() == []
     got = mix_report(mix_sources(table(make_docs([(1, None), (2, "", "en", None)])))).collect()
     assert [(r.size, r.target, r.taken) for r in got] == [(0, 0.0, 0)] * 2
+
+
+def test_shards_are_of_one_size_and_their_sources_are_drawn(make_docs, table):
+    mix = mix_sources(table(make_docs(rows(3))), block_words=8, shard_slots=50)
+    slots, counts = mix.slots.collect(), shard_counts(mix).collect()
+    sizes, of = {}, {}
+    for c in counts:
+        sizes[c.shard] = sizes.get(c.shard, 0) + c.blocks
+        of.setdefault(c.sid, {})[c.shard] = c.blocks
+    last = max(sizes)
+    assert sorted(sizes) == list(range(last + 1)) and all(n == 50 for s, n in sizes.items() if s != last) and 0 < sizes[last] <= 50
+    # a shard has a range of a source's slots, in order of the shards
+    for sid, drawn in of.items():
+        mine = sorted((s.slot, s.shard) for s in slots if s.sid == sid)
+        assert [x for x, _ in mine] == list(range(sum(drawn.values())))
+        assert [s for _, s in mine] == sorted(s for _, s in mine)
+    # drawn, not dealt out evenly: about as far from the expected counts as multinomial draws are
+    main = max(of, key=lambda s: sum(of[s].values()))
+    share = sum(of[main].values()) / len(slots)
+    full = [of[main].get(s, 0) for s in range(last)]
+    spread = sum((n - 50 * share) ** 2 for n in full) / len(full)
+    assert 0.2 < spread / (50 * share * (1 - share)) < 4
+
+
+def test_an_id_with_most_rows_is_spread_over_buckets(spark, make_docs, table):
+    """Also in words taken: every row is one of its own."""
+    data = [(7, "a b c d e", "en", "s")] * 600 + [(1000 + i, "x y z", "en", "s") for i in range(200)] + [(None, "n n", "en", "s")] * 50
+    docs = table(make_docs(data))
+    mix = mix_sources(docs, block_words=4, bucket_rows=100)
+    got = mix_report(mix).collect()
+    assert len(got) == 850 and sum(r.taken for r in got) == sum(r.size for r in got) == 3700
+    plan = mix.pieces._jdf.queryExecution().optimizedPlan().toString()
+    assert "several" in plan
+    runs = sorted(r["from"] for r in mix.pieces.where("rid >= 0").groupBy("block").agg({"from": "count"}).withColumnRenamed("count(from)", "from").collect())
+    assert len(runs) == 925
