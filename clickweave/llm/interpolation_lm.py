@@ -32,7 +32,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from clickweave.llm.common import fold, text_or_empty, written
 
@@ -96,11 +96,12 @@ def _asked(chunk: int, texts: list[bytes], learn: list[bool], bits: int) -> Iter
 
 
 def _requests(batches: Iterable[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
-    """Rows (chunk, learn, text) in scan order; deleted texts have chunk ids of their own."""
-    open_: dict[int, tuple[int, list[bytes], list[bool]]] = {}
+    """Rows (chunk, learn, text) in scan order; deleted texts, and texts of each size, have chunk ids of
+    their own."""
+    open_: dict[tuple[int, int], tuple[int, list[bytes], list[bool]]] = {}
     for b in batches:
         for chunk, learn, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-            kind = chunk & 1
+            kind = (chunk & 1, chunk >> _SIZE_BIT)
             if kind in open_ and open_[kind][0] != chunk:
                 yield from _asked(*open_.pop(kind), bits)
             _, texts, learns = open_.setdefault(kind, (chunk, [], []))
@@ -229,6 +230,18 @@ def _scored(texts: pa.Table, told: pa.Table, model: Model) -> pa.Table:
         "base_score": pa.array(np.add.reduceat(base, starts)), "score": pa.array(np.add.reduceat(np.log10(p), starts))})
 
 
+#: The bit of a chunk id above which its texts' size stands; texts up to so many bytes are of size 0.
+_SIZE_BIT, _SMALL = 55, 4096
+
+
+def chunk_ids(size: Column, deleted: Column, chunk_rows: int) -> Column:
+    """Chunks of neighbouring rows: ``chunk_rows`` of texts up to 4 KB, half as many of texts up to twice as
+    long, and so on, so that no chunk has over 2 * chunk_rows * 4 KB (a longer text is a chunk alone)."""
+    kind = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(size, F.lit(1)) / _SMALL))).cast("int")
+    rows = F.greatest(F.lit(1).cast("long"), F.floor(chunk_rows / F.pow(F.lit(2.0), kind)))
+    return kind.cast("long") * (1 << _SIZE_BIT) + F.floor(F.monotonically_increasing_id() / rows) * 2 + deleted.cast("long")
+
+
 def lm_scores(docs: DataFrame, folds: int = 10, chunk_rows: int = 4096, delete: int = 10) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
     Rows whose crc32(doc_id as text) modulo ``folds`` is 0 are held out; one of ``delete`` others is
@@ -236,7 +249,7 @@ def lm_scores(docs: DataFrame, folds: int = 10, chunk_rows: int = 4096, delete:
     spark = docs.sparkSession
     held_out = F.coalesce(fold(F.col("doc_id"), folds) == 0, F.lit(False))
     deleted = ~held_out & (F.pmod(F.xxhash64(F.lit("deleted"), "doc_id"), F.lit(delete)) == 0)
-    chunk = F.floor(F.monotonically_increasing_id() / chunk_rows) * 2 + deleted.cast("long")
+    chunk = chunk_ids(F.octet_length(text_or_empty()), deleted, chunk_rows)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (~held_out).alias("learn"), chunk.cast("long").alias("chunk"),
                        text_or_empty().cast("binary").alias("text"))
     bits = max(8, math.ceil(math.log2(int(spark.conf.get("spark.sql.shuffle.partitions")))) + 1)

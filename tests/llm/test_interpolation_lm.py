@@ -84,3 +84,23 @@ def test_no_rows_and_no_training_rows(make_docs):
     only = next(i for i in range(100) if held(i))
     got = lm_scores(make_docs([(only, "a b")])).collect()[0]
     assert (got.n_tokens, got.n_known, got.train_tokens) == (3, 0, 0) and math.isfinite(got.score) and math.isfinite(got.base_score)
+
+
+def test_chunks_are_bounded_in_bytes(spark, make_docs):
+    """A stretch of long texts is cut into more chunks; a giant one is alone; and nothing else changes."""
+    from pyspark.sql import functions as F
+
+    from clickweave.llm.interpolation_lm import chunk_ids
+
+    rng = random.Random(17)
+    sizes = [rng.choice([0, 1, 10, 4096, 4097, 9000, 40_000, 300_000]) for _ in range(200)]
+    rows = [(i, ("word " * (n // 5 + 1))[:n]) for i, n in enumerate(sizes)]
+    docs = make_docs(rows).coalesce(1)
+    got = docs.select("doc_id", F.octet_length("text").alias("n"), chunk_ids(F.octet_length("text"), F.col("doc_id") % 3 == 0, 16).alias("c")).collect()
+    per = {}
+    for r in got:
+        per.setdefault(r.c, []).append(r.n)
+        assert (r.c & 1) == (r.doc_id % 3 == 0)
+    assert all(sum(ns) <= 2 * 16 * 4096 or len(ns) == 1 for ns in per.values()) and any(len(ns) > 5 for ns in per.values())
+    a, b = (sorted((r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in lm_scores(docs, chunk_rows=k).collect()) for k in (2, 4096))
+    assert a == b
