@@ -53,3 +53,34 @@ def test_a_class_of_short_texts_is_learned(make_docs, spark):
     # one tiny text
     few = [(i, t) for i, t in docs if quality[i]] + [(i, "B") for i, _ in docs if not quality[i]]
     assert all(0 <= r.score <= 1 for r in quality_scores(make_docs(few), labels).collect())
+
+
+def test_scores_and_calibration_equal_brute_force(make_docs, spark):
+    """Sizes by a plain compressor, block by block; the logistic curve is the likeliest one of the rows that
+    calibrate it."""
+    import math
+
+    import zstandard
+    from pyspark.sql import functions as F
+
+    docs, labels, quality = corpus(make_docs, spark)
+    docs += [(1000, None), (1001, ""), (1002, "x"), (1003, "river stone " * 9000), (None, "green")]
+    m = train(make_docs(docs), labels)
+
+    def difference(t):
+        t = (t or "").encode()
+        size = {}
+        for name in ("good", "bad"):
+            packer = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(getattr(m, name)), write_content_size=False, write_dict_id=False)
+            size[name] = sum(len(packer.compress(t[i:i + m.block])) for i in range(0, len(t), m.block))
+        return (size["bad"] - size["good"] + m.usual * 32) / (len(t) + 32)
+
+    want = {i: 1 / (1 + math.exp(-(difference(t) * m.slope + m.offset))) for i, t in docs}
+    got = {r.doc_id: r.score for r in quality_scores(make_docs(docs), labels, model=m).collect()}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-9 for i in want)
+    ids = spark.createDataFrame([(i,) for i in quality], "i long").where(F.pmod(F.xxhash64(F.lit("part"), "i"), F.lit(5)) == 4)
+    used = [r.i for r in ids.collect() if zlib.crc32(str(r.i).encode()) % 3 != 1]
+    text_of = dict(docs)
+    bins = [(math.floor(difference(text_of[i]) * 1000 + 0.5) / 1000, quality[i]) for i in used]
+    off = [(x, y - 1 / (1 + math.exp(-max(-500, min(500, m.slope * x + m.offset))))) for x, y in bins]
+    assert len(bins) > 20 and abs(sum(e for _, e in off)) < 1e-4 and abs(sum(e * x for x, e in off) - 1e-4 * m.slope) < 1e-4

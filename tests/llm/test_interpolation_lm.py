@@ -104,3 +104,41 @@ def test_chunks_are_bounded_in_bytes(spark, make_docs):
     assert all(sum(ns) <= 2 * 16 * 4096 or len(ns) == 1 for ns in per.values()) and any(len(ns) > 5 for ns in per.values())
     a, b = (sorted((r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in lm_scores(docs, chunk_rows=k).collect()) for k in (2, 4096))
     assert a == b
+
+
+def test_scores_equal_brute_force(spark, make_docs):
+    """Counts, deleted texts, event table, weights and mixture from the definitions."""
+    from pyspark.sql import functions as F
+
+    data = [r for r in rows(300) if r[0] is not None and r[0] != 1005]
+    gone = spark.createDataFrame([(i,) for i, _ in data], "i long").where(F.pmod(F.xxhash64(F.lit("deleted"), "i"), F.lit(10)) == 0)
+    gone = {r.i for r in gone.collect() if not held(r.i)}
+    assert len(gone) > 10
+    texts = {i: (t or "").encode().lower().split() + [None] for i, t in data}
+    count = {}
+    for name, ids in (("all", [i for i in texts if not held(i)]), ("kept", [i for i in texts if not held(i) and i not in gone])):
+        words, pairs = Counter(), Counter()
+        for i in ids:
+            words.update(texts[i])
+            pairs.update(zip(["start", *texts[i]], texts[i]))
+        count[name] = words, pairs, sum(words.values()), len(ids)
+    types = len(count["all"][0])
+
+    def estimates(i, name, ends):
+        words, pairs, n, _ = count[name]
+        for k, w in enumerate(texts[i]):
+            before = texts[i][k - 1] if k else "start"
+            context = words[before] if k else ends
+            bucket = 1 + min(int(math.log2(context)), 21) if context else 0
+            yield bucket, pairs[before, w] / context if context else 0.0, words[w] / n
+
+    def octave(x):
+        return min(round(-math.log2(x) * 2), 127) if x else -1
+
+    ends = round(count["all"][3] * 0.9)
+    events = Counter((b, octave(x), octave(y)) for i in gone for b, x, y in estimates(i, "kept", ends))
+    weights = learned_weights(sorted((*k, n) for k, n in events.items()), types)
+    got = {r.doc_id: r.score for r in lm_scores(make_docs(data), chunk_rows=37).collect()}
+    for i in texts:
+        want = sum(math.log10(weights[b][0] * x + weights[b][1] * y + weights[b][2] / (types + 1)) for b, x, y in estimates(i, "all", count["all"][3]))
+        assert abs(got[i] - want) <= 1e-6 * max(1.0, abs(want)), i

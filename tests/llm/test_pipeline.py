@@ -66,3 +66,29 @@ def test_stages(spark, make_docs, table):
     library = sentencepiece.SentencePieceProcessor(model_proto=piece_model())
     assert sorted((r.doc_id, list(r.ids)) for r in seen["SentencePiece encoding"].collect()) == sorted(
         (r.doc_id, library.encode(r.text)) for r in seen["mixing sources"].collect())
+
+
+def test_stages_of_an_empty_table(spark, make_docs, table):
+    docs = table(make_docs([]))
+    for name, stage in corpus_pipeline.STAGES:
+        docs = written(stage(spark, docs, SF), "test-stage")
+        assert docs.count() == 0, name
+    assert {"doc_id", "ids", "decoded_sha256"} <= set(docs.columns)
+
+
+def test_a_giant_text_goes_through_all_stages(spark, make_docs, table):
+    rng = random.Random(20)
+    words = [f"{a}{b}" for a in ("walk", "stone", "river", "green", "letter", "quiet") for b in ("s", "ed", "ing", "er", "ly", "")]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(30, 90))), "en", "a") for i in range(120)]
+    giant = " ".join(rng.choice(words) for _ in range(60_000))
+    rows += [(900, giant, "en", "a"), (901, giant, "en", "a"), (902, giant + " more", "en", None), (903, None, None, None), (None, "short", None, "a")]
+    docs = table(make_docs(rows))
+    for _, stage in corpus_pipeline.STAGES:
+        docs = written(stage(spark, docs, SF), "test-stage")
+    got = docs.where("n_chars > 300000").collect()
+    # a copy and a near copy go: one giant text is left
+    assert len({r.doc_id for r in got}) == 1
+    library = sentencepiece.SentencePieceProcessor(model_proto=piece_model())
+    texts = {901: giant, 902: giant + " more", 900: giant}
+    whole = [r for r in got if r.n_chars == len(texts[r.doc_id])]
+    assert whole and all(list(r.ids) == library.encode(texts[r.doc_id]) and r.n_chunks > 1 for r in whole)
