@@ -92,9 +92,9 @@ def write_clean(raw: DataFrame, clean_path: str, months: Iterable | None = None,
     advised, write what they hold of each month. So that files don't become small where there are many
     months, ``at_once`` of them are cleaned at a time; each reads its own partitions of the raw table."""
     raw = with_month(raw)
-    if months is None:
-        valid = clean_filter(raw if params.period is None else restrict_period(raw, *params.period), params.events)
-        months = [r[0] for r in valid.select(MONTH).distinct().orderBy(MONTH).collect()]
+    if months is None:  # of a table partitioned by month no column is read for this
+        seen = raw if params.period is None else restrict_period(raw, *params.period)
+        months = sorted(r[0] for r in seen.select(MONTH).distinct().collect() if r[0] is not None)
     months = list(months)
     for i in range(0, len(months), at_once):
         part = raw.where(F.col(MONTH).isin(months[i:i + at_once]))
