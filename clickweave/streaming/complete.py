@@ -28,7 +28,8 @@ only moves the state on; a stream without rows gives empty tables.
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -166,8 +167,26 @@ def _remove_unused(spark: SparkSession, root: str, states: Iterable[_State]) ->
                 delete_path(spark, f"{root}/{folder}/{found}")
 
 
+@contextmanager
+def _adaptive(spark: SparkSession) -> Iterator[None]:
+    """Spark turns adaptive execution off in the session of a stream with state, and with it the rebalancing
+    before a write: every task would write a file of each of its cells. The plan of the state is made by then."""
+    key = "spark.sql.adaptive.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def _absorb(batch: DataFrame, batch_id: int, root: str, delay: dt.timedelta, params: Params, clean_up: bool = True) -> None:
     """Take in a micro-batch of :func:`two_paths`."""
+    with _adaptive(batch.sparkSession):
+        _take_in(batch, batch_id, root, delay, params, clean_up)
+
+
+def _take_in(batch: DataFrame, batch_id: int, root: str, delay: dt.timedelta, params: Params, clean_up: bool) -> None:
     spark = batch.sparkSession
     last = _newest_state(spark, root)
     if last >= batch_id:

@@ -177,3 +177,14 @@ def test_stream_kpis_drop_late_rows(spark):
     assert set(rows) == {dt.date(2019, 11, 10)}
     r = rows[dt.date(2019, 11, 10)]
     assert (r.total_events, r.unique_users, r.purchasers, r.revenue) == (2, 1, 1, 5.0)
+
+
+def test_a_cell_is_one_file_however_many_tasks_keep_the_state(spark, catalog):
+    """A stream with state runs without adaptive execution; its writes rebalance nevertheless."""
+    root = _shuffled_source(spark, catalog, files=2)
+    src = spark.readStream.schema(EVENT_SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{root}/src")
+    stream_table(src, f"{root}/t", buckets=1, clean_up=False).trigger(availableNow=True).start().awaitTermination()
+    for folder in ("arrived", "kept"):
+        files = spark.read.option("basePath", f"{root}/t/{folder}").parquet(f"{root}/t/{folder}").select(F.input_file_name().alias("f")).distinct()
+        per_cell = files.groupBy(F.regexp_replace("f", "/[^/]*$", "").alias("cell")).count()
+        assert per_cell.agg(F.max("count")).first()[0] == 1
