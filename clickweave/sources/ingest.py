@@ -123,7 +123,8 @@ def ingest_events(spark: SparkSession, paths: str | Sequence[str], out: str | No
         loads = [f[LOAD] for f in new]
         _forget(spark, out, loads, below_months=True)
         _forget(spark, out + "_rejected", loads, below_months=False)
-        write_event_table(accepted, out, within=(LOAD,))
+        # a load's partitions hold one file's rows, which its splits have together: no shuffle would join more
+        write_event_table(accepted, out, within=(LOAD,), rebalance=False)
         _rejected(tagged, schema).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(LOAD).parquet(out + "_rejected")
         spark.createDataFrame([tuple(f)[:3] for f in new], _LEDGER).coalesce(1).write.mode("append").parquet(out + "_loads")
     return read_loaded(spark, out, schema), read_quarantine(spark, out, schema).drop(LOAD)

@@ -175,3 +175,25 @@ def test_replay_loads_repaired_rows_once(spark):
                                                                       ("bad_price",) * 2, ("malformed_row",) * 2])
     assert sum(m.now is None for m in marks) == 6  # a line of four fields is whole with the others empty
     assert read_loaded(spark, out).count() == 7
+
+
+def test_a_load_is_written_without_a_shuffle(spark, monkeypatch):
+    """Partitions are of one file each, so that a shuffle would only move its rows."""
+    from clickweave.sources import ingest
+
+    path = _write(spark, HEADER + GOOD * 50)
+    out = f"{shared_root(spark)}/test-load-{uuid.uuid4().hex[:8]}"
+    sc, group, write = spark.sparkContext, uuid.uuid4().hex, ingest.write_event_table
+
+    def grouped(*args, **kwargs):
+        sc.setJobGroup(group, "load")
+        try:
+            write(*args, **kwargs)
+        finally:
+            sc.setLocalProperty("spark.jobGroup.id", None)
+
+    monkeypatch.setattr(ingest, "write_event_table", grouped)
+    ingest_events(spark, path, out=out)
+    jobs = [sc.statusTracker().getJobInfo(j) for j in sc.statusTracker().getJobIdsForGroup(group)]
+    assert jobs and max(len(j.stageIds) for j in jobs) == 1
+    assert read_event_table(spark, out, raw_table_schema()).count() == 50
