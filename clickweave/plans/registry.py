@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from clickweave.config import delete_path, ensure_checkpoint_dir
+from clickweave.config import bound_tasks, delete_path, ensure_checkpoint_dir, path_bytes
 from clickweave.operators import bitmaps as B
 from clickweave.operators import checks as K
 from clickweave.operators import clean as C
@@ -27,7 +27,7 @@ from clickweave.operators import rfm as R
 from clickweave.operators import sketch as X
 from clickweave.plans.catalog import EventCatalog
 from clickweave.schema import CSV_TIME_FORMAT, DEDUP_KEY, DEFAULT_PARAMS, EVENT_COLUMNS, Params
-from clickweave.sources.fixtures import commerce_events
+from clickweave.sources.fixtures import TABLES, commerce_events
 from clickweave.sources.ingest import REPLAY, export_csv, ingest_events, read_quarantine, replay_quarantine
 from clickweave.sources.tables import MONTH, raw_table_schema, read_event_table, write_clustered
 
@@ -44,6 +44,7 @@ def catalog_for(spark: SparkSession, sf_dir: str) -> EventCatalog:
         cat = _catalogs.get(key)
         if cat is None or cat.spark is not spark:
             ensure_checkpoint_dir(spark)
+            bound_tasks(spark, sum(path_bytes(spark, f"{key}/{t}.parquet") for t in TABLES))
             fresh = EventCatalog(spark, lambda: commerce_events(spark, key), DEFAULT_PARAMS,
                                  root=cat.root if cat else None)
             if cat is not None:

@@ -4,13 +4,16 @@ The driver tables carry no clickstream, so test and benchmark inputs are mapped
 TPC-H-like star schema by a fixed, deterministic rule (FIXTURES.md §3). It plants repeated
 carts, same-key rows with different prices, buyers without a cart, an out-of-domain event
 type, NULL user / session / category / brand / price, mixed-case brands, category depths
-2 to 4, all price buckets and three months of Q4 2019.
+2 to 4, all price buckets and three months of Q4 2019. The tables are joined once: a line's events
+are exploded from the joined row.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+TABLES = ("lineitem", "orders", "part")
+
 _TEMPLATE = """
 with base as (
   select cast(cast(o_custkey*8 + o_orderkey%8 as bigint) as string) as uid,
@@ -24,15 +27,14 @@ with base as (
          p_size, p_partkey, p_type, p_name, p_brand,
          floor(l_extendedprice)/100.0D as price
   from {lineitem} join {orders} on l_orderkey = o_orderkey join {part} on l_partkey = p_partkey),
-ev as (
-  select 'view' et, 0 mins, 1 copies, * from base
-  union all select 'cart', 10, case when ln >= 6 then ln else 1 end, * from base
-    where rf = 'A' and ls = 'F' and sk % 2 = 0
-  union all select 'purchase', 20, 1, * from base
-    where (rf = 'A' and ls = 'F' and sk % 4 = 0) or direct_buy = 1 and ln = 1
-  union all select 'remove_from_cart', 15, 1, * from base
-    where rf = 'R' and pk % 101 = 0),
-x as (select *, explode(sequence(1, copies)) as copy from ev)
+ev as (select *, explode(array('view', 'cart', 'purchase', 'remove_from_cart')) as et from base),
+x as (select *, case et when 'view' then 0 when 'cart' then 10 when 'purchase' then 20 else 15 end as mins,
+         explode(sequence(1, case when et = 'cart' and ln >= 6 then cast(ln as int) else 1 end)) as copy
+  from ev
+  where case et when 'view' then true
+                when 'cart' then rf = 'A' and ls = 'F' and sk % 2 = 0
+                when 'purchase' then (rf = 'A' and ls = 'F' and sk % 4 = 0) or direct_buy = 1 and ln = 1
+                else rf = 'R' and pk % 101 = 0 end)
 select t0 + make_dt_interval(0, 0, mins) as event_time,
        et as event_type,
        pid as product_id,
@@ -52,4 +54,4 @@ from x
 def commerce_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw events (canonical nine columns) derived from ``sf_dir``'s parquet tables."""
     read = lambda name: spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return spark.sql(_TEMPLATE, lineitem=read("lineitem"), orders=read("orders"), part=read("part"))
+    return spark.sql(_TEMPLATE, **{t: read(t) for t in TABLES})

@@ -130,3 +130,36 @@ def test_only_changed_months_are_cleaned_again(spark, catalog):
     rows = corrected.limit(1)
     twice = [tuple(month_fingerprints(d).first()) for d in (rows, rows.unionByName(rows), rows.unionByName(rows).unionByName(rows))]
     assert len(set(twice)) == 3
+
+
+def test_splits_and_shuffle_partitions_are_bounded(spark):
+    from clickweave.config import SPLIT_BYTES, bound_tasks
+
+    read, parts = "spark.sql.files.maxPartitionBytes", "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    s = spark.newSession()
+    s.conf.set(read, "128MB")
+    s.conf.set("spark.sql.shuffle.partitions", "200")
+    bound_tasks(s, 100 << 20)
+    assert s.conf.get(read) == str(SPLIT_BYTES) and s.conf.get(parts, None) is None
+    bound_tasks(s, 6 << 30)
+    assert int(s.conf.get(parts)) == 480  # five times 6 GB in parts of 64 MB
+    s.conf.set(read, "1m")
+    bound_tasks(s, 1)
+    assert s.conf.get(read) == "1m"
+
+
+def test_a_query_bounds_the_splits_of_its_session(spark):
+    from clickweave.config import SPLIT_BYTES
+    from clickweave.plans.registry import catalog_for
+
+    s = spark.newSession()
+    catalog_for(s, "/root/testdata/sf0.001/")
+    assert s.conf.get("spark.sql.files.maxPartitionBytes") == str(SPLIT_BYTES)
+    catalog_for(spark, "/root/testdata/sf0.001")
+
+
+def test_the_events_take_one_join_of_each_table(spark):
+    from clickweave.sources.fixtures import commerce_events
+
+    plan = commerce_events(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 2
