@@ -25,10 +25,11 @@ from clickweave.sources.tables import raw_table_schema, read_event_table, write_
 
 class EventCatalog:
     def __init__(self, spark: SparkSession, source: Callable[[], DataFrame],
-                 params: Params = DEFAULT_PARAMS, root: str | None = None):
+                 params: Params = DEFAULT_PARAMS, root: str | None = None, rebalance: bool = True):
         self.spark = spark
         self.source = source
         self.params = params
+        self.rebalance = rebalance  # not needed for a source that has just been shuffled in tasks of the advisory size
         self.root = root or new_shared_path(spark, "catalog")
         self._paths: dict[str, str] = {}
         self._lock = threading.RLock()
@@ -56,7 +57,7 @@ class EventCatalog:
 
     def raw(self) -> DataFrame:
         """The raw event table (nine columns + ``event_month`` partition column)."""
-        path = self.persisted("raw", lambda p: write_event_table(self.source(), p))
+        path = self.persisted("raw", lambda p: write_event_table(self.source(), p, rebalance=self.rebalance))
         return read_event_table(self.spark, path, raw_table_schema())
 
     def raw_path(self) -> str:

@@ -46,7 +46,7 @@ def catalog_for(spark: SparkSession, sf_dir: str) -> EventCatalog:
             ensure_checkpoint_dir(spark)
             bound_tasks(spark, sum(path_bytes(spark, f"{key}/{t}.parquet") for t in TABLES))
             fresh = EventCatalog(spark, lambda: commerce_events(spark, key), DEFAULT_PARAMS,
-                                 root=cat.root if cat else None)
+                                 root=cat.root if cat else None, rebalance=False)
             if cat is not None:
                 fresh._paths = dict(cat._paths)
             _catalogs[key] = cat = fresh

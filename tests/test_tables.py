@@ -142,7 +142,7 @@ def test_splits_and_shuffle_partitions_are_bounded(spark):
     bound_tasks(s, 100 << 20)
     assert s.conf.get(read) == str(SPLIT_BYTES) and s.conf.get(parts, None) is None
     bound_tasks(s, 6 << 30)
-    assert int(s.conf.get(parts)) == 480  # five times 6 GB in parts of 64 MB
+    assert int(s.conf.get(parts)) == 960  # five times 6 GB in parts of 32 MB
     s.conf.set(read, "1m")
     bound_tasks(s, 1)
     assert s.conf.get(read) == "1m"
