@@ -1,16 +1,23 @@
 """A stream with two paths: fresh rows at once, and complete tables that lose no late row.
 
-Live path. ``dropDuplicatesWithinWatermark`` lets the first copy of every key ahead of the watermark
-through in the micro-batch that it arrives in; its state is bounded by the watermark. Those rows are
-provisional: a later copy may be the one that the clean table keeps, and rows behind the watermark
-are not among them.
+Live path. The first copy of every key ahead of the watermark is let through in the micro-batch that it
+arrives in, by the rule of ``dropDuplicatesWithinWatermark``: a batch takes rows after the watermark of
+the batch before it, and keys let through after that watermark are known. They are read from the rows set
+aside: a state store would hold all keys of a batch in the executors' memory, as the watermark moves between
+batches only. Those rows are provisional: a later copy may be the one that the clean table keeps, and rows
+behind the watermark are not among them.
 
 Complete path. Every valid row of a micro-batch is set aside under its cell, a day and a hash bucket of
-users. Copies share time and user, so a cell is as independent of all others as a month is. When the
-watermark has passed a day, its cells are settled: de-duplicated once and written as a new version.
-Rows that come later are set aside like any others, and only their cells are settled again, from the
-rows kept and the new ones (of the survivors of two sets the survivor is that of their union). A batch
-cleans the cells of the days that it closes and of its late rows, no month and no other day.
+users, and says whether it is live and whether it is the survivor of the batch. Copies share time and user, so
+a cell is as independent of all others as a month is. When the watermark has passed a day, its cells are
+settled: de-duplicated once and written as a new version. Rows that come later are set aside like any
+others, and only their cells are settled again, from the rows kept and the new survivors (of the
+survivors of two sets the survivor is that of their union). A batch cleans the cells of the days that it
+closes and of its late rows, no month and no other day.
+
+Shuffles. Setting aside shuffles its rows once, by cell; a cell of many rows is cut into parts
+by the hash of the key, so that a task holds the same at any size. One sort by cell, type, user and the
+rest of the key serves the copies, the folders and the order inside a file.
 
 KPIs. Of each settled cell seven sums are kept: events by type, exact revenue, users, buyers. All rows
 of a user and day are in one cell, so users and buyers add up exactly over cells. The KPIs of a day are
@@ -32,20 +39,24 @@ from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
-from clickweave.config import delete_path, list_path
+from clickweave.config import delete_path, list_path, packed_bytes
 from clickweave.functions.numeric import money, round_n
 from clickweave.operators.clean import clean_dedup, clean_filter, enrich
-from clickweave.schema import CLEAN_COLUMNS, DEDUP_KEY, DEFAULT_PARAMS, EVENT_COLUMNS, EVENT_SCHEMA, Params
-from clickweave.streaming.dedup import WATERMARK_COL, with_event_ts
+from clickweave.schema import CLEAN_COLUMNS, DEDUP_KEY, DEDUP_ORDER, DEFAULT_PARAMS, EVENT_COLUMNS, EVENT_SCHEMA, Params
 from clickweave.streaming.kpis import KPI_COLUMNS
 
 DELAY, BUCKETS = dt.timedelta(hours=1), 16
 CELL = ("event_date", "bucket")
+#: A cell, its part, and the key: what makes copies, in the order in which rows are written.
+_COPIES = (*CELL, "event_type", "user_id", *[c for c in DEDUP_KEY if c not in ("event_type", "user_id")], "part")
+#: Bytes of a row in a shuffle, compressed.
+ROW_BYTES = 64
 SUMS = KPI_COLUMNS[1:]
 _CELL_FIELDS = [T.StructField("event_date", T.DateType()), T.StructField("bucket", T.IntegerType())]
-_ARRIVED = T.StructType([*EVENT_SCHEMA.fields, T.StructField("batch", T.LongType()), T.StructField("way", T.StringType()), *_CELL_FIELDS])
+_ARRIVED = T.StructType([*EVENT_SCHEMA.fields, T.StructField("live", T.BooleanType()), T.StructField("survivor", T.BooleanType()),
+                         T.StructField("batch", T.LongType()), *_CELL_FIELDS])
 _KEPT = T.StructType([*EVENT_SCHEMA.fields, T.StructField("version", T.LongType()), *_CELL_FIELDS])
 _STATE = T.StructType([
     *_CELL_FIELDS, T.StructField("version", T.LongType()), T.StructField("pending", T.ArrayType(T.LongType())),
@@ -68,17 +79,25 @@ class _State:
 
 
 def with_cells(events: DataFrame, buckets: int = BUCKETS, params: Params = DEFAULT_PARAMS) -> DataFrame:
-    """Every valid row with its cell (way ``all``)."""
+    """Every valid row with its cell."""
     return clean_filter(events.select(*EVENT_COLUMNS), params.events).withColumns({
-        "event_date": F.to_date("event_time"), "bucket": F.pmod(F.xxhash64("user_id"), F.lit(buckets)).cast("int"), "way": F.lit("all")})
+        "event_date": F.to_date("event_time"), "bucket": F.pmod(F.xxhash64("user_id"), F.lit(buckets)).cast("int")})
+
+
+def _dealt(rows: DataFrame, sizes: dict[tuple[dt.date, int], int]) -> DataFrame:
+    """``rows`` shuffled by cell, and by ``part`` where a cell has more of them than adaptive execution packs into a task.
+    Copies stay together. ``sizes`` (days x buckets, a broadcast of those that are cut) need not be exact."""
+    most = max(1, packed_bytes(rows.sparkSession) // ROW_BYTES)
+    cut = [(*k, -(-n // most)) for k, n in sizes.items() if n > most]
+    if not cut:
+        return rows.withColumn("part", F.lit(0)).repartition(*CELL)
+    parts = rows.sparkSession.createDataFrame(cut, T.StructType([*_CELL_FIELDS, T.StructField("parts", T.LongType())]))
+    part = F.pmod(F.xxhash64(*DEDUP_KEY), F.coalesce("parts", F.lit(1))).cast("int")
+    return rows.join(F.broadcast(parts), list(CELL), "left").withColumn("part", part).drop("parts").repartition(*CELL, "part")
 
 
-def two_paths(events: DataFrame, delay: dt.timedelta = DELAY, buckets: int = BUCKETS, params: Params = DEFAULT_PARAMS) -> DataFrame:
-    """Every valid row, and the first copies ahead of the watermark again (way ``live``, a feed by day)."""
-    rows = with_cells(events, buckets, params)
-    fresh = (with_event_ts(rows).withWatermark(WATERMARK_COL, f"{int(delay.total_seconds())} seconds")
-             .dropDuplicatesWithinWatermark(list(DEDUP_KEY)).drop(WATERMARK_COL))
-    return rows.unionByName(fresh.withColumns({"way": F.lit("live"), "bucket": F.lit(0)}))
+def _sizes(rows: DataFrame) -> dict[tuple[dt.date, int], int]:
+    return {(r.event_date, r.bucket): r["n"] for r in rows.groupBy(*CELL).agg(F.count(F.lit(1)).alias("n")).collect()}
 
 
 def _sums(kept: DataFrame, keys: Iterable[str], params: Params) -> DataFrame:
@@ -103,8 +122,9 @@ def daily_kpis(clean: DataFrame, params: Params = DEFAULT_PARAMS) -> DataFrame:
 
 # -- state ----------------------------------------------------------------------------------
 
-def _newest_state(spark: SparkSession, root: str) -> int:
-    return max((int(n.removeprefix("batch=")) for n in list_path(spark, f"{root}/state") if n.startswith("batch=")), default=-1)
+def _newest_state(spark: SparkSession, root: str, below: float = float("inf")) -> int:
+    found = [int(n.removeprefix("batch=")) for n in list_path(spark, f"{root}/state") if n.startswith("batch=")]
+    return max((n for n in found if n < below), default=-1)
 
 
 def _state(spark: SparkSession, root: str, batch: int) -> _State:
@@ -138,7 +158,7 @@ def _rows_of(spark: SparkSession, base: str, schema: T.StructType, paths: list[s
 def _united(spark: SparkSession, root: str, state: _State, cells: list[tuple[dt.date, int]]) -> DataFrame:
     """The rows of cells, de-duplicated: those kept and those set aside since."""
     kept = [p for k in cells if (v := state.cells[k].version) is not None for p in _cell_paths(f"{root}/kept/version={v}", [k])]
-    aside = [p for k in cells for b in state.cells[k].pending for p in _cell_paths(f"{root}/arrived/batch={b}/way=all", [k])]
+    aside = [p for k in cells for b in state.cells[k].pending for p in _cell_paths(f"{root}/arrived/batch={b}", [k])]
     columns = [*EVENT_COLUMNS, *CELL]
     both = _rows_of(spark, f"{root}/kept", _KEPT, kept).select(*columns).unionByName(
         _rows_of(spark, f"{root}/arrived", _ARRIVED, aside).select(*columns))
@@ -169,8 +189,8 @@ def _remove_unused(spark: SparkSession, root: str, states: Iterable[_State]) ->
 
 @contextmanager
 def _adaptive(spark: SparkSession) -> Iterator[None]:
-    """Spark turns adaptive execution off in the session of a stream with state, and with it the rebalancing
-    before a write: every task would write a file of each of its cells. The plan of the state is made by then."""
+    """Spark may turn adaptive execution off in the session of a stream, and with it the packing of small
+    partitions before a write. A batch keeps no state in Spark."""
     key = "spark.sql.adaptive.enabled"
     before = spark.conf.get(key)
     spark.conf.set(key, "true")
@@ -181,11 +201,46 @@ def _adaptive(spark: SparkSession) -> Iterator[None]:
 
 
 def _absorb(batch: DataFrame, batch_id: int, root: str, delay: dt.timedelta, params: Params, clean_up: bool = True) -> None:
-    """Take in a micro-batch of :func:`two_paths`."""
+    """Take in a micro-batch of :func:`with_cells`."""
     with _adaptive(batch.sparkSession):
         _take_in(batch, batch_id, root, delay, params, clean_up)
 
 
+def _after(time: dt.datetime | None) -> Column:
+    """Whether a row is ahead of the watermark ``time``; all are, of none."""
+    return F.lit(True) if time is None else F.col("event_time") > F.lit(time.isoformat(" ")).cast("timestamp_ntz")
+
+
+def _known(spark: SparkSession, root: str, last: int, earlier: _State, ahead: dt.datetime | None) -> DataFrame:
+    """The keys let through ahead of the watermark ``ahead``, that of state ``earlier``: their days were open in that state, so
+    that it names their batches, or they came with the batch ``last`` after it."""
+    open_cells = [k for k in earlier.cells if ahead is None or k[0] >= ahead.date()]
+    paths = [p for k in open_cells for b in earlier.cells[k].pending for p in _cell_paths(f"{root}/arrived/batch={b}", [k])]
+    rows = _rows_of(spark, f"{root}/arrived", _ARRIVED, [*paths, f"{root}/arrived/batch={last}"]).where("live").where(_after(ahead))
+    if ahead is not None:
+        rows = rows.where(F.col("event_date") >= F.lit(ahead.date()))
+    others = [F.lit(None).cast(EVENT_SCHEMA[c].dataType).alias(c) for c in EVENT_COLUMNS if c not in DEDUP_KEY]
+    return rows.select(*DEDUP_KEY, *others, *CELL, F.lit(True).alias("known"))
+
+
+def _set_aside(batch: DataFrame, root: str, path: str, last: int, delay: dt.timedelta) -> None:
+    """Write the rows of a micro-batch by cell. ``survivor``: the copy of the batch that the clean table would keep;
+    ``live``: a survivor ahead of the watermark whose key is not known."""
+    spark = batch.sparkSession
+    earlier = _state(spark, root, _newest_state(spark, root, below=last))
+    ahead = None if earlier.newest is None else earlier.newest - delay
+    rows = batch.select(*EVENT_COLUMNS, *CELL, F.lit(False).alias("known"))
+    sizes = _sizes(rows)
+    if last >= 0:
+        rows = rows.unionByName(_known(spark, root, last, earlier, ahead))
+    copies = Window.partitionBy(*_COPIES).orderBy(F.col("known").desc(), *[F.col(c).asc_nulls_first() for c in DEDUP_ORDER])
+    before = F.first("known").over(copies.rowsBetween(Window.unboundedPreceding, Window.currentRow))  # a key is known once
+    placed = _dealt(rows, sizes).withColumns({"before": before, "place": F.row_number().over(copies)}).where(~F.col("known"))
+    survivor = F.col("place") == F.when(F.col("before"), 2).otherwise(1)
+    marked = placed.select(*EVENT_COLUMNS, (survivor & ~F.col("before") & _after(ahead)).alias("live"), survivor.alias("survivor"), *CELL)
+    marked.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(*CELL).parquet(path)
+
+
 def _take_in(batch: DataFrame, batch_id: int, root: str, delay: dt.timedelta, params: Params, clean_up: bool) -> None:
     spark = batch.sparkSession
     last = _newest_state(spark, root)
@@ -194,10 +249,9 @@ def _take_in(batch: DataFrame, batch_id: int, root: str, delay: dt.timedelta, pa
     before = _state(spark, root, last)
     state = _State(batch_id, before.newest, dict(before.cells))
     path = f"{root}/arrived/batch={batch_id}"
-    # both ways in one job, so that the stream's state is computed once; a cell's rows in one file, or a few if they are many
-    batch.hint("rebalance", "way", *CELL).write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("way", *CELL).parquet(path)
-    late = F.lit(False) if before.newest is None else F.col("event_time") <= F.lit(before.newest - delay)
-    arrived = spark.read.schema(_ARRIVED).option("basePath", f"{root}/arrived").parquet(path).where("way = 'all'")
+    _set_aside(batch, root, path, last, delay)
+    late = ~_after(None if before.newest is None else before.newest - delay)
+    arrived = spark.read.schema(_ARRIVED).option("basePath", f"{root}/arrived").parquet(path)
     touched = arrived.groupBy(*CELL).agg(F.count(F.lit(1)).alias("n"), F.count_if(late).alias("late"), F.max("event_time").alias("newest")).collect()
     for r in touched:
         cell = state.cells.get((r.event_date, r.bucket), _Cell())
@@ -219,11 +273,11 @@ def _take_in(batch: DataFrame, batch_id: int, root: str, delay: dt.timedelta, pa
 def stream_table(events: DataFrame, root: str, delay: dt.timedelta = DELAY, buckets: int = BUCKETS, params: Params = DEFAULT_PARAMS,
                  clean_up: bool = True):
     """A writer (set a trigger and start it) that keeps live rows, the clean table and daily KPIs of all
-    rows seen under ``root``. A batch's live rows stay until its days are settled."""
+    rows seen under ``root``. A batch's live rows stay until its days are settled. ``events`` are read twice a batch."""
     def absorb(batch: DataFrame, batch_id: int) -> None:
         _absorb(batch, batch_id, root, delay, params, clean_up)
 
-    return two_paths(events, delay, buckets, params).writeStream.foreachBatch(absorb).option("checkpointLocation", f"{root}/checkpoint")
+    return with_cells(events, buckets, params).writeStream.foreachBatch(absorb).option("checkpointLocation", f"{root}/checkpoint")
 
 
 # -- reading --------------------------------------------------------------------------------
@@ -250,7 +304,7 @@ def read_stream_clean(spark: SparkSession, root: str, params: Params = DEFAULT_P
 
 def read_stream_live(spark: SparkSession, root: str, params: Params = DEFAULT_PARAMS) -> DataFrame:
     """The provisional rows of the batches that are not removed yet."""
-    arrived = spark.read.schema(_ARRIVED).parquet(f"{root}/arrived").where("way = 'live'")
+    arrived = spark.read.schema(_ARRIVED).parquet(f"{root}/arrived").where("live")
     return enrich(arrived.drop("event_date"), params, keep=["batch"])
 
 

@@ -188,3 +188,50 @@ def test_a_cell_is_one_file_however_many_tasks_keep_the_state(spark, catalog):
         files = spark.read.option("basePath", f"{root}/t/{folder}").parquet(f"{root}/t/{folder}").select(F.input_file_name().alias("f")).distinct()
         per_cell = files.groupBy(F.regexp_replace("f", "/[^/]*$", "").alias("cell")).count()
         assert per_cell.agg(F.max("count")).first()[0] == 1
+
+
+def test_a_stream_with_live_rows_keeps_no_state_store(spark, catalog):
+    """The store held all keys of a batch in the executors' memory."""
+    root = _shuffled_source(spark, catalog, files=2)
+    src = spark.readStream.schema(EVENT_SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{root}/src")
+    stream_table(src, f"{root}/t", buckets=1, clean_up=False).trigger(availableNow=True).start().awaitTermination()
+    assert list_path(spark, f"{root}/t/checkpoint/state") == []
+    assert read_stream_live(spark, f"{root}/t").count() == catalog.clean().count()
+
+
+def test_live_rows_follow_the_rule_of_the_watermark(spark):
+    """A batch drops rows behind the watermark of the batch before it, and keys that were let through after it."""
+    from helpers import ev
+
+    root = f"{shared_root(spark)}/test-live-rule-{uuid.uuid4().hex[:8]}"
+    old = ev("2019-11-01 09:00:00", "view", user="a")
+    _batches(spark, root, [
+        (0, [ev("2019-11-10 09:00:00", "view", user="a", session=None), ev("2019-11-10 09:00:00", "view", user="a", session=None, price=1.0)]),
+        (1, [old, ev("2019-11-10 09:00:00", "view", user="a", session=None, price=0.5), ev("2019-11-10 08:30:00", "view", user="b")]),
+        (2, [{**old, "user_id": "c"}, ev("2019-11-10 08:00:00", "view", user="d"), ev("2019-11-10 08:00:01", "view", user="e"),
+             ev("2019-11-10 08:30:00", "view", user="b"), ev("2019-11-10 09:00:00", "view", user="a", session=None)]),
+        (3, [ev("2019-11-10 08:00:01", "view", user="e"), ev("2019-11-10 08:00:02", "view", user="f")])], clean_up=False)
+    live = [(r.batch, r.user_id, r.event_time.day, r.price) for r in read_stream_live(spark, root).collect()]
+    assert sorted(live) == [(0, "a", 10, 1.0), (1, "a", 1, 10.0), (1, "b", 10, 10.0), (2, "e", 10, 10.0), (3, "f", 10, 10.0)]
+    assert read_stream_clean(spark, root).count() == 7  # the late rows are in the clean table
+
+
+def test_a_large_cell_is_cut_into_parts(spark, monkeypatch):
+    from helpers import ev, events
+    from clickweave.streaming import complete
+
+    root = f"{shared_root(spark)}/test-parts-{uuid.uuid4().hex[:8]}"
+    monkeypatch.setattr(complete, "ROW_BYTES", complete.packed_bytes(spark) // 5)  # five rows a part
+    rows = [ev("2019-11-10 09:00:00", "view", user="a", product=f"p{i}", price=float(i + 2 + k)) for k in range(2) for i in range(40)]
+    extra = [ev("2019-11-12 09:00:00", "purchase", user="a", product=f"p{i}", price=1.0) for i in range(30)]
+    cheaper = [ev("2019-11-10 09:00:00", "view", user="a", product=f"p{i}", price=1.0) for i in range(10)]
+    _batches(spark, root, [(0, rows), (1, extra), (2, cheaper)])
+    cells = with_cells(events(spark, [*rows, *extra[:4]]), buckets=2)
+    dealt = complete._dealt(cells, complete._sizes(cells))
+    parts = dealt.select(F.spark_partition_id().alias("task"), *complete.CELL, "part", *DEDUP_KEY).distinct()
+    assert {r.event_date.day: r.n for r in parts.groupBy("event_date").agg(F.countDistinct("part").alias("n")).collect()} == {10: 16, 12: 1}
+    assert parts.count() == 44  # the copies of a key are in one task
+    clean = read_stream_clean(spark, root)
+    assert sorted((r.product_id, r.price) for r in clean.where("event_type = 'view'").collect()) == sorted(
+        (f"p{i}", 1.0 if i < 10 else i + 2.0) for i in range(40))
+    assert [tuple(r)[1:] for r in read_stream_kpis(spark, root).orderBy("day").collect()] == [(40, 40, 0, 0, 0.0, 1, 0), (30, 0, 0, 30, 30.0, 1, 1)]
