@@ -15,7 +15,7 @@ others, and only their cells are settled again, from the rows kept and the new s
 survivors of two sets the survivor is that of their union). A batch cleans the cells of the days that it
 closes and of its late rows, no month and no other day.
 
-Shuffles. Setting aside shuffles its rows once, by cell; a cell of many rows is cut into parts
+Shuffles. Setting aside and settling shuffle their rows once, by cell; a cell of many rows is cut into parts
 by the hash of the key, so that a task holds the same at any size. One sort by cell, type, user and the
 rest of the key serves the copies, the folders and the order inside a file.
 
@@ -156,20 +156,19 @@ def _rows_of(spark: SparkSession, base: str, schema: T.StructType, paths: list[s
 
 
 def _united(spark: SparkSession, root: str, state: _State, cells: list[tuple[dt.date, int]]) -> DataFrame:
-    """The rows of cells, de-duplicated: those kept and those set aside since."""
+    """The rows of cells, de-duplicated and in the order of _COPIES: those kept and the survivors set aside since."""
     kept = [p for k in cells if (v := state.cells[k].version) is not None for p in _cell_paths(f"{root}/kept/version={v}", [k])]
     aside = [p for k in cells for b in state.cells[k].pending for p in _cell_paths(f"{root}/arrived/batch={b}", [k])]
     columns = [*EVENT_COLUMNS, *CELL]
     both = _rows_of(spark, f"{root}/kept", _KEPT, kept).select(*columns).unionByName(
-        _rows_of(spark, f"{root}/arrived", _ARRIVED, aside).select(*columns))
-    return clean_dedup(both)
+        _rows_of(spark, f"{root}/arrived", _ARRIVED, aside).where("survivor").select(*columns))
+    return clean_dedup(_dealt(both, _sizes(both)), _COPIES).select(*columns)
 
 
 def _settle(spark: SparkSession, root: str, state: _State, due: list[tuple[dt.date, int]], params: Params) -> None:
     version = state.batch
     path = f"{root}/kept/version={version}"
-    rows = _united(spark, root, state, due).hint("rebalance", *CELL).sortWithinPartitions(*CELL, "event_type", "user_id")
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(*CELL).parquet(path)
+    _united(spark, root, state, due).write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(*CELL).parquet(path)
     for r in _sums(spark.read.schema(_KEPT).option("basePath", f"{root}/kept").parquet(path), CELL, params).collect():  # a row per cell
         state.cells[(r.event_date, r.bucket)] = _Cell(version, (), tuple(r[c] for c in SUMS))
 
@@ -288,7 +287,8 @@ def _settled(spark: SparkSession, root: str, state: _State) -> DataFrame:
     if not cells:
         return spark.createDataFrame([], _KEPT).select(*EVENT_COLUMNS)
     wanted = spark.createDataFrame(cells, T.StructType([*_CELL_FIELDS, T.StructField("version", T.LongType())]))
-    kept = spark.read.schema(_KEPT).parquet(f"{root}/kept")
+    versions = {v for *_, v in cells}  # prunes folders; the join alone would read those of the last state, too
+    kept = spark.read.schema(_KEPT).parquet(f"{root}/kept").where(F.col("version").isin(versions))
     return kept.join(F.broadcast(wanted), [*CELL, "version"], "left_semi").select(*EVENT_COLUMNS)
 
 

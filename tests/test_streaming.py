@@ -235,3 +235,39 @@ def test_a_large_cell_is_cut_into_parts(spark, monkeypatch):
     assert sorted((r.product_id, r.price) for r in clean.where("event_type = 'view'").collect()) == sorted(
         (f"p{i}", 1.0 if i < 10 else i + 2.0) for i in range(40))
     assert [tuple(r)[1:] for r in read_stream_kpis(spark, root).orderBy("day").collect()] == [(40, 40, 0, 0, 0.0, 1, 0), (30, 0, 0, 30, 30.0, 1, 1)]
+
+
+def _plan(df):
+    return str(df._jdf.queryExecution().executedPlan())
+
+
+def test_cells_are_settled_with_one_shuffle_and_one_sort(spark, monkeypatch):
+    from helpers import ev
+    from pyspark.sql.classic.dataframe import DataFrameWriter
+
+    plans, write = {"arrived": [], "kept": []}, DataFrameWriter.parquet
+
+    def noted(self, path, *args, **kwargs):
+        for folder in plans:
+            if f"/{folder}/" in path:
+                plans[folder].append(_plan(self._df))
+        write(self, path, *args, **kwargs)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", noted)
+    root = f"{shared_root(spark)}/test-one-shuffle-{uuid.uuid4().hex[:8]}"
+    _batches(spark, root, [(d, [ev(f"2019-11-{d + 1:02d} 09:00:00", "view", user=u) for u in "abc"]) for d in range(3)])
+    assert len(plans["kept"]) == 2 and len(plans["arrived"]) == 3
+    for plan in plans["kept"] + plans["arrived"]:
+        assert plan.count("Exchange hashpartitioning") == plan.count("Sort [") == 1
+
+
+def test_superseded_versions_are_not_read(spark):
+    """They stay for a batch, as the last state names them."""
+    from helpers import ev
+
+    root = f"{shared_root(spark)}/test-versions-{uuid.uuid4().hex[:8]}"
+    day = [ev("2019-11-01 09:00:00", "view", user=u) for u in "abc"]
+    _batches(spark, root, [(0, [*day, ev("2019-11-03 09:00:00", "view")]), (1, day), (2, day)])
+    assert sorted(n for n in list_path(spark, f"{root}/kept") if n.startswith("version=")) == ["version=1", "version=2"]
+    filters = [part.split("]")[0] for part in _plan(read_stream_clean(spark, root)).split("PartitionFilters: [")[1:]]
+    assert any("version" in f.replace("isnotnull(version", "") for f in filters), filters
